@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from newsloom.llm import decontaminate, pieces, url_filter
+from newsloom.llm import decontaminate, langid, line_dedup, pieces, url_filter
 from newsloom.tables import read
 
 #: The SentencePiece model; a parameter of the operators.
@@ -15,6 +15,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_langid(spark, sf_dir):
+    return langid.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark, sf_dir):
     return pieces.digest(read(spark, sf_dir, "documents"), MODEL)
 
@@ -23,5 +27,9 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op8_pieces, op9_url_filter)}
-SQL = {"op9_url_filter": url_filter.SQL}
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_langid, op8_pieces, op9_url_filter, op10_line_dedup)}
+SQL = {"op10_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
