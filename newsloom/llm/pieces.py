@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -85,6 +86,34 @@ class Codec:
         return "".join(map(self.texts.__getitem__, chunks))[1:]
 
 
+class Packer(Codec):
+    """Text to ids as little-endian 16-bit numbers, and nothing else."""
+
+    def clear(self) -> None:
+        self.held = 0
+        self.decimals: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        new = [c for c in chunks if c not in self.decimals]
+        found = [x or [self.library.piece_to_id(MARK)] for x in self.library.encode(new, num_threads=1)] if new else []
+        raw, at = np.array([i for ids in found for i in ids], "<u2").tobytes(), 0
+        for chunk, ids in zip(new, found, strict=True):
+            self.decimals[chunk] = raw[at : at + 2 * len(ids)]
+            at += 2 * len(ids)
+            self.held += len(chunk) + 16
+
+    def pack(self, texts: list[str | None]) -> list[bytes]:
+        return [b"".join(map(self.decimals.__getitem__, chunks)) for chunks in self.split(texts)]
+
+
+def packer(model_file: str):
+    """What packs texts, and the packed end id."""
+    p = Packer(model_file)
+    if p.library.get_piece_size() > 1 << 16:
+        raise ValueError("ids need more than 16 bits")
+    return p.pack, p.library.eos_id().to_bytes(2, "little")
+
+
 _codecs: dict[str, Codec] = {}
 
 
