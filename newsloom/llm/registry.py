@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from newsloom.llm import decontaminate, hnsw, langid, line_dedup, pieces, token_shards, url_filter
+from newsloom.llm import decontaminate, hnsw, langid, line_dedup, ngram_join, pieces, token_shards, url_filter
 from newsloom.tables import read
 
 #: The SentencePiece model; a parameter of the operators.
@@ -15,6 +15,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.digest(read(spark, sf_dir, "documents"))
+
+
 def op3_token_shards(spark, sf_dir):
     return token_shards.materialise(read(spark, sf_dir, "documents"), MODEL)
 
@@ -39,5 +43,5 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_shards, op4_hnsw, op5_langid, op8_pieces, op9_url_filter, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_token_shards, op4_hnsw, op5_langid, op8_pieces, op9_url_filter, op10_line_dedup)}
 SQL = {"op10_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
