@@ -124,19 +124,23 @@ def codec(model_file: str) -> Codec:
     return _codecs[model_file]
 
 
-def encode(documents: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: the id, its token ids (array of int) and the text they decode to."""
+def encoded(documents: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: the id, n_tokens, token_ids, and round_trip, whether the ids decode to the text (whose markers come back as spaces)."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
         c = codec(model_file)
         for batch in batches:
-            for part in portions(batch):
-                rows = c.split(part.column(1).to_pylist())
-                ids = [[int(i) for i in c.decimal(r).split(",")] if r else [] for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decoded, rows), pa.string())], names=["id", "token_ids", "decoded"])
-
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, token_ids array<int>, decoded string").withColumnRenamed("id", id_col)
+            for part in portions(batch, 128):
+                texts = part.column(1).to_pylist()
+                rows = c.split(texts)
+                ids = [np.array(c.decimal(r).split(","), np.int32) if r else np.empty(0, np.int32) for r in rows]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                back = [c.decoded(r) == (t or "").replace(MARK, " ") for r, t in zip(rows, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), held, pa.array(back)], names=["id", "n_tokens", "token_ids", "round_trip"])
+
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_tokens long, token_ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def digest(documents: DataFrame, model_file: str) -> DataFrame:
