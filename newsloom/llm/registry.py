@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from newsloom.llm import decontaminate, hnsw, langid, line_dedup, ngram_join, pieces, suffix_dedup, token_shards, url_filter
+from newsloom.llm import decontaminate, hnsw, langid, line_dedup, ngram_join, pieces, suffix_dedup, token_shards, toxicity, url_filter
 from newsloom.tables import read
 
 #: The SentencePiece model; a parameter of the operators.
@@ -31,6 +31,10 @@ def op5_langid(spark, sf_dir):
     return langid.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_token_shards, op4_hnsw, op5_langid, op7_suffix_dedup, op8_pieces, op9_url_filter, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_token_shards, op4_hnsw, op5_langid, op6_toxicity, op7_suffix_dedup, op8_pieces, op9_url_filter, op10_line_dedup)}
 SQL = {"op10_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
