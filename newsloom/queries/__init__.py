@@ -1 +1,3 @@
-"""Queries over the driver's tables, one module for each family of operators."""
+"""Queries over the driver's tables, one module for each family of operators. Importing this registers all."""
+
+from newsloom.queries import articles  # noqa: F401
