@@ -95,7 +95,7 @@ def train(documents: DataFrame, lang_col: str = "lang", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int32()), pa.array(total[grams], pa.int64())], names=["lang", "gram", "n"])
 
     rows = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null").mapInArrow(run, "lang string, gram int, n long")
-    table = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(table["lang"].unique())
     profiles = np.zeros((len(langs), DIMENSIONS))
     for k, lang in enumerate(langs):

@@ -46,7 +46,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.llm import bloom
 from newsloom.llm.arrow import as_bytes, portions
+from newsloom.llm.bloom import mix
 from newsloom.plans.durable import written
 from newsloom.plans.graph import components
 
@@ -57,15 +59,6 @@ WORDS_HELD = 400_000
 GROUP_PAIRS = 8_000
 BINS = 32
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > WORDS_HELD:
@@ -119,7 +112,7 @@ def counters(documents: DataFrame, n: int) -> np.ndarray:
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["b", "n"])
 
-    table = documents.select("text").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    table = documents.select("text").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[table["b"].to_numpy()] = table["n"].to_numpy()
     return out
@@ -167,22 +160,7 @@ def postings(documents: DataFrame, n: int, percent: int) -> DataFrame:
 
 def sets_of(documents: DataFrame, n: int, classes: DataFrame) -> DataFrame:
     """(class, key, set) of the classes in ``classes`` (and of a few more): key is the set's least mixed shingle."""
-    spark = documents.sparkSession
-
-    def bits(batches):
-        own = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for batch in batches:
-            for at in _places(batch.column(0).to_numpy()):
-                np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        for block in range(0, len(own), 1 << 16):
-            if (some := own[block : block + (1 << 16)]).any():
-                used = np.flatnonzero(some)
-                yield pa.RecordBatch.from_arrays([pa.array(used + block, pa.int32()), pa.array(some[used].astype(np.int32))], names=["at", "b"])
-
-    found = classes.mapInArrow(bits, "at int, b int").groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-    bloom[found["at"].to_numpy()] = found["b"].to_numpy()
-    held = spark.sparkContext.broadcast(bloom)
+    held = bloom.gather(classes, BLOOM_BITS)
 
     def run(batches):
         shingle, seen = Shingler(n), set()
@@ -190,9 +168,7 @@ def sets_of(documents: DataFrame, n: int, classes: DataFrame) -> DataFrame:
             for part in portions(batch, 256):
                 rows = [(class_of(s), s) for t in as_bytes(part.column(0)) if len(s := shingle(t))]
                 names = np.array([r[0] for r in rows], np.int64)
-                keep = np.ones(len(rows), bool)
-                for at in _places(names):
-                    keep &= (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                keep = bloom.may_hold(held.value, names)
                 out = []
                 for (name, s), k in zip(rows, keep.tolist(), strict=True):
                     if k and name not in seen:
@@ -204,11 +180,6 @@ def sets_of(documents: DataFrame, n: int, classes: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "class long, key long, set binary")
 
 
-def _places(names: np.ndarray) -> list[np.ndarray]:
-    x = names.astype(np.int64).view(np.uint64)
-    return [(mix(x + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in (1, 2, 3)]
-
-
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of distinct classes that are within the threshold; each is looked at once."""
     keys = sets.groupBy("class").agg(F.min("key").alias("key"))

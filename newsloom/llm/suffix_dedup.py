@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.llm import bloom
 from newsloom.llm.arrow import as_bytes, portions
-from newsloom.llm.ngram_join import mix
+from newsloom.llm.bloom import mix
 from newsloom.plans.durable import written
 
 LENGTH = 100
@@ -221,32 +222,10 @@ def occurrences(documents: DataFrame) -> DataFrame:
     return documents.select("id", "kid", "text").mapInArrow(run, "h long, f long, id long, kid long, a int, b int, own boolean")
 
 
-def _places(names: np.ndarray) -> list[np.ndarray]:
-    x = names.view(np.uint64)
-    return [(mix(x + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in (1, 2)]
-
-
-def _bloom(mixed: DataFrame):
-    """Which hashes have several snippets, as bits of a fixed number; what passes by mistake meets no first and falls out."""
-
-    def bits(batches):
-        own = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for batch in batches:
-            for at in _places(batch.column(0).to_numpy()):
-                np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        words = own.view(np.int64)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(words[used])], names=["at", "b"])
-
-    rows = mixed.mapInArrow(bits, "at int, b long").groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
-    words = np.zeros(BLOOM_BITS // 64, np.int64)
-    words[rows["at"].to_numpy()] = rows["b"].to_numpy()
-    return mixed.sparkSession.sparkContext.broadcast(words.view(np.uint8))
-
-
 def texts(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """(h, f, snippet) of the hashes in ``mixed``, once in a batch."""
-    held = _bloom(mixed)
+    # what passes by mistake meets no first snippet and falls out
+    held = bloom.gather(mixed, BLOOM_BITS)
 
     def run(batches):
         for batch in batches:
@@ -256,10 +235,7 @@ def texts(documents: DataFrame, mixed: DataFrame) -> DataFrame:
                 if found is None:
                     continue
                 which, _, h, a, b, f = found
-                keep = np.ones(len(h), bool)
-                for at in _places(h):
-                    keep &= (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(keep)
+                at = np.flatnonzero(bloom.may_hold(held.value, h))
                 _, once = np.unique(np.stack([h[at], f[at]]), axis=1, return_index=True)
                 at = at[once]
                 cut = [rows[i][x:y] for i, x, y in zip(which[at].tolist(), a[at].tolist(), b[at].tolist(), strict=True)]

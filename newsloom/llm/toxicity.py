@@ -192,20 +192,14 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0, 1e-9, 1 - 1e-9))
         return Model(np.zeros(_DIM), 0.0, 0.0, float(np.log(share / (1 - share))))
-    bags = [sorted({u for t in units(x) if (u := unit(t)[:WINDOW])}) for x in texts]
-    bad, good = {}, {}
-    for bag, label in zip(bags, toxic, strict=True):
-        for w in bag:
-            d = bad if label else good
-            d[w] = d.get(w, 0) + 1
-    vocabulary = sorted({*bad, *good})
-    place = {w: k for k, w in enumerate(vocabulary)}
-    n1, n0 = np.array([bad.get(w, 0) for w in vocabulary], float), np.array([good.get(w, 0) for w in vocabulary], float)
+    place: dict[str, int] = {}
+    members = [np.unique(np.array([place.setdefault(u, len(place)) for t in sorted(units(x)) if (u := unit(t)[:WINDOW])], np.int32)) for x in texts]
+    vocabulary = list(place)
+    n1, n0 = (sum((np.bincount(m, minlength=len(place)) for m, label in zip(members, toxic, strict=True) if bool(label) == kind), np.zeros(len(place))) for kind in (True, False))
     expected = (n1 + n0 + 1) * y.mean()
     suspect = np.where(n1 > expected, (n1 - expected) / np.sqrt(expected), 0)
     rng = np.random.default_rng(5)
     by_suspicion = np.argsort(-suspect, kind="stable")
-    members = [np.array([place[w] for w in bag], np.int64) for bag in bags]
     clean = np.flatnonzero(n0 > 0)
     lacking = n0 <= 0.1 * n1
     sure = np.flatnonzero((suspect >= 4) & lacking)
@@ -244,7 +238,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """Labels outside the held-out fold; at most ``sample`` of them, by a hash of doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toArrow().to_pandas().sort_values(["doc_id", "text"])
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 
