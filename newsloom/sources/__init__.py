@@ -1 +1 @@
-
+"""Parsers of feeds and pages."""
