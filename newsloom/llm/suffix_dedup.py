@@ -273,12 +273,21 @@ def _shard(rows: list[tuple]) -> tuple[list[np.ndarray], list[tuple]]:
     piece, start, new, later = sorted_strings(pieces, ids, kids, a)
     some = np.flatnonzero(later)
     doc, x, y = _merged(piece[some], start[some], start[some] + LENGTH)
-    runs = [(rows[p][0], pieces[p][s : s + LENGTH], rows[p][2], rows[p][3], rows[p][4] + s) for p, s in zip(piece[new].tolist(), start[new].tolist(), strict=True) if rows[p][5] > 1] if any(r[5] > 1 for r in rows) else []
+    runs = []
+    if any(r[5] > 1 for r in rows):
+        # for every split anchor, its distinct strings in order, each with the earliest start that is known here
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        seen = set()
+        for k in np.flatnonzero(np.array([r[5] > 1 for r in rows])[piece]).tolist():
+            p, q = piece[k], piece[first[k]]
+            if (rows[p][0], first[k]) not in seen:
+                seen.add((rows[p][0], first[k]))
+                runs.append((rows[p][0], pieces[p][start[k] : start[k] + LENGTH], ids[q], kids[q], a[q] + start[first[k]]))
     return [ids[doc], kids[doc], a[doc] + x, a[doc] + y], runs
 
 
 def compare(firsts: DataFrame, snippets: DataFrame) -> DataFrame:
-    """(id, kid, a, b, h, string): bytes that are later copies; with a string instead, the earliest start of it in one of an anchor's shards."""
+    """(id, kid, a, b, h, run, string): bytes that are later copies; with a string instead, the earliest start of it in one run, of an anchor's shards."""
     shard = F.xxhash64("h", F.pmod("f", F.col("parts")))
     empty = F.lit(None).cast("binary")
     left = firsts.select("h", "f", "id", "kid", "a", "parts", empty.alias("snippet"))
@@ -286,7 +295,7 @@ def compare(firsts: DataFrame, snippets: DataFrame) -> DataFrame:
     right = snippets.join(sizes, "h").select("h", "f", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("kid"), F.lit(None).cast("int").alias("a"), "parts", "snippet")
     dealt = left.unionByName(right).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "h", "f")
 
-    def out(marks, runs):
+    def out(source, marks, runs):
         n, m = len(marks[0]), len(runs)
         return pa.RecordBatch.from_arrays(
             [
@@ -295,9 +304,10 @@ def compare(firsts: DataFrame, snippets: DataFrame) -> DataFrame:
                 pa.concat_arrays([pa.array(marks[2].astype(np.int32)), pa.array([r[4] for r in runs], pa.int32())]),
                 pa.concat_arrays([pa.array(marks[3].astype(np.int32)), pa.nulls(m, pa.int32())]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([r[0] for r in runs], pa.int64())]),
+                pa.array([source] * (n + m), pa.int64()),
                 pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([r[1] for r in runs], pa.binary())]),
             ],
-            names=["id", "kid", "a", "b", "h", "string"],
+            names=["id", "kid", "a", "b", "h", "run", "string"],
         )
 
     def run(batches):
@@ -317,7 +327,7 @@ def compare(firsts: DataFrame, snippets: DataFrame) -> DataFrame:
                     at, first, snippet = (h[k], f[k]), [], None
                     if shards[k] != current:
                         if len(ready) >= SHARD_SNIPPETS // 2:
-                            yield out(*_shard(ready))
+                            yield out(current, *_shard(ready))
                             ready = []
                         current = shards[k]
                 if cut[k] is None:
@@ -326,35 +336,45 @@ def compare(firsts: DataFrame, snippets: DataFrame) -> DataFrame:
                     snippet = cut[k]
         close()
         if ready:
-            yield out(*_shard(ready))
+            yield out(current, *_shard(ready))
 
-    return dealt.select("h", "f", "id", "kid", "a", "parts", "snippet", "shard").mapInArrow(run, "id long, kid long, a int, b int, h long, string binary")
+    return dealt.select("h", "f", "id", "kid", "a", "parts", "snippet", "shard").mapInArrow(run, "id long, kid long, a int, b int, h long, run long, string binary")
 
 
 def merge(runs: DataFrame) -> DataFrame:
     """(id, kid, a, b) of strings that start earlier in another shard of their anchor: sorted runs, merged by binary search."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
+        batches = list(batches)
+        table = pa.Table.from_batches(batches) if batches else None
         if table is None or not table.num_rows:
             return
         text = np.array(table["string"].to_pylist(), f"S{LENGTH}")
-        ids, kids, a = (table[c].to_numpy() for c in ("id", "kid", "a"))
-        held = np.empty(0, np.int64)
-        lost = np.zeros(len(text), bool)
-        order = np.lexsort((a, kids, ids, text))
-        chunk = max(1, len(order) // 8)
-        for k in range(0, len(order), chunk):
-            new = order[k : k + chunk]
-            at = np.searchsorted(text[held], text[new], side="left")
-            known = (at < len(held)) & (text[held[np.minimum(at, len(held) - 1)]] == text[new]) if len(held) else np.zeros(len(new), bool)
-            again = np.concatenate([[False], text[new[1:]] == text[new[:-1]]])
-            lost[new[known | again]] = True
-            held = np.concatenate([held, new[~(known | again)]])
-        some = np.flatnonzero(lost)
+        ids, kids, a, h, source = (table[c].to_numpy() for c in ("id", "kid", "a", "h", "run"))
+        where = list(zip(ids.tolist(), kids.tolist(), a.tolist(), strict=True))
+        lost: set[int] = set()
+        for anchor in np.unique(h):
+            of = np.flatnonzero(h == anchor)
+            held = np.empty(0, np.int64)
+            for one in np.unique(source[of]):
+                new = of[source[of] == one]
+                new = new[np.argsort(text[new], kind="stable")]
+                at = np.searchsorted(text[held], text[new])
+                known = np.zeros(len(new), bool)
+                inside = np.flatnonzero(at < len(held))
+                known[inside] = text[held[at[inside]]] == text[new[inside]]
+                for k in np.flatnonzero(known).tolist():
+                    x, y = held[at[k]], new[k]
+                    if where[y] < where[x]:
+                        lost.add(x)
+                        held[at[k]] = y
+                    elif where[x] < where[y]:
+                        lost.add(y)
+                held = np.insert(held, at[~known], new[~known])
+        some = np.array(sorted(lost), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(kids[some]), pa.array(a[some].astype(np.int32)), pa.array((a[some] + LENGTH).astype(np.int32))], names=["id", "kid", "a", "b"])
 
-    dealt = runs.select("id", "kid", "a", "h", "string").repartition(F.col("h"), F.xxhash64("string"))
+    dealt = runs.select("id", "kid", "a", "h", "run", "string").repartition(F.col("h"), F.xxhash64("string"))
     return dealt.mapInArrow(run, "id long, kid long, a int, b int")
 
 

@@ -1,0 +1,366 @@
+"""The ten operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from newsloom.llm import decontaminate, hnsw, langid, line_dedup, ngram_join, pieces, suffix_dedup, token_shards, toxicity, url_filter
+
+DOCS = "doc_id long, text string"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def words(r, n, vocabulary=40):
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+def near(r, text, p=0.05):
+    return " ".join(f"x{r.randrange(99)}" if r.random() < p else w for w in text.split())
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    r = random.Random(4)
+    base = [words(r, r.randrange(30, 200), 500) for _ in range(12)]
+    texts = [*base, *(near(r, t) for t in base for _ in range(4)), *base[:3], None, "", "   ", "one", "one two three", "one two three", "Éé ß", base[0] * 60, "a" * 3000, "ab" * 900]
+    texts += ["\n".join([words(r, 12), base[1], words(r, 12)]) for _ in range(5)]
+    return list(enumerate(texts))
+
+
+def clashing(df):
+    """Columns that the operators use inside."""
+    return df.withColumns({"id": F.lit("x"), "n": F.lit(1), "class": F.lit("y"), "kid": F.lit(0), "t": F.lit("t"), "spans": F.lit(2)})
+
+
+# --- op1
+
+
+def test_decontaminate_equals_brute_force(spark, corpus):
+    r = random.Random(1)
+    items = [(k, t) for k, t in enumerate([" ".join(corpus[0][1].split()[5:30]), "One, TWO three!", "one", "", None, "zzz " * 11, words(r, 9), " ".join(corpus[3][1].split()[:10])])]
+    items += [(0, "again, under one id"), (None, "without an id here")]
+    docs = [*corpus, (900, "say ONE two;three again"), (901, "again under one id"), (902, "without an id here yes"), (903, "zzz " * 40)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.digest(clashing(spark.createDataFrame(docs, DOCS)), b).collect()}
+    named = [("null" if k is None else str(k), t) for k, t in items]
+    for k, t in docs:
+        n, hit, found = decontaminate.brute(t, named)
+        assert (got[k].n_words, got[k].n_hit, got[k].n_items, got[k].items_sha256, got[k].contaminated) == (n, hit, len(found), decontaminate.sha(found), hit > 0), (k, t)
+
+
+def test_automaton_equals_brute_force_on_small_alphabets():
+    r = random.Random(2)
+    for _ in range(200):
+        items = [(str(k), " ".join(r.choice("ab") for _ in range(r.randrange(0, 9)))) for k in range(4)]
+        text = " ".join(r.choice("abc") for _ in range(25))
+        spans, found = decontaminate.Automaton([(k, decontaminate.words(t.encode())) for k, t in items], 4).stream(decontaminate.words(text.encode()))
+        n, hit, names = decontaminate.brute(text, items, 4)
+        assert sum(b - a for a, b in spans) == hit and sorted(found) == names
+
+
+def test_blocks_of_items_find_the_same(spark, corpus):
+    items = spark.createDataFrame([(k, " ".join(corpus[k][1].split()[2:20])) for k in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame(corpus, DOCS)
+    whole, parts = decontaminate.automata(items, 10), decontaminate.automata(items, 10, block_chars=200)
+    assert len(whole) == 1 and len(parts) > 2
+    for row in docs.collect():
+        t = row.text.encode() if row.text is not None else None
+        assert decontaminate.hits(t, [x.value for x in whole])[1:] == decontaminate.hits(t, [x.value for x in parts])[1:]
+
+
+def test_removal_keeps_clean_rows_and_cuts_spans(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = "before it there are many other words that nobody tests, then " + item.upper() + "; and after it quite a few more words stand here"
+    rows = [(1, "clean, and as it is!  ", 5), (2, long, 6), (3, item, 7), (4, None, 8), (5, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in decontaminate.remove(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(out) == {1, 2, 4, 5} and out[1].text == rows[0][1] and out[4].text is None
+    assert "ALPHA" not in out[2].text and out[2].text.startswith("before it") and out[2].text.endswith("stand here")
+    assert decontaminate.remove(docs, spark.createDataFrame([], "item_id long, text string")).count() == 5
+
+
+# --- op2
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 50)])
+def test_ngram_components_equal_brute_force(spark, corpus, n, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.cluster(clashing(spark.createDataFrame(corpus, DOCS)), n, percent).collect()}
+    assert got == ngram_join.brute(corpus, n, percent)
+
+
+def test_ngram_chain_links_through(spark):
+    """A is near B and B near C, but A not near C: one component."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(3, " ".join(base)), (2, " ".join(base[4:])), (1, " ".join(base[9:])), (7, "other words in here now")]
+    got = {r.doc_id: r.component_id for r in ngram_join.cluster(spark.createDataFrame(rows, DOCS), 4, 94).collect()}
+    assert got == {3: 1, 2: 1, 1: 1, 7: 7}
+
+
+def test_ngram_repeats_and_empty(spark):
+    rows = [(5, "a b c d e"), (5, "a b c d e"), (2, "A b C d e"), (9, None)]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in ngram_join.digest(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(2, 2, 2), (5, 2, 2), (5, 2, 2), (9, 9, 0)]
+    assert ngram_join.digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# --- op3
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_permutation_is_a_bijection(n):
+    p = token_shards.Permutation(n, b"k")
+    x = np.arange(n)
+    slots = p.slots(x)
+    assert sorted(slots.tolist()) == list(range(n)) and (p.numbers(slots) == x).all()
+    if n > 60:
+        assert (token_shards.Permutation(n, b"other").slots(x) != slots).any()
+
+
+def test_shards_round_trip(spark, corpus, tmp_path):
+    docs = [*corpus, corpus[0]]
+    out = token_shards.materialise(clashing(spark.createDataFrame(docs, DOCS)), MODEL, length=16, shard_slots=8)
+    token_shards.write_shards(out, str(tmp_path / "shards"))
+    rows = token_shards.resume(spark, str(tmp_path / "shards"), 0).collect()
+    assert [r.slot for r in rows] == list(range(len(rows))) and {len(r.record) for r in rows} == {32} and all(r.shard == r.slot // 8 for r in rows)
+    assert [r.slot for r in token_shards.resume(spark, str(tmp_path / "shards"), 5).limit(3).collect()] == [5, 6, 7]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = {}
+    for r in sorted(rows, key=lambda r: r.number):
+        texts.setdefault(r.doc_id, []).extend(np.frombuffer(r.record[: 2 * r.n_tokens], "<u2").tolist())
+    for k, t in corpus[1:]:
+        assert texts.get(k, []) == ([*library.encode(t), 2] if t else []), k
+    assert texts[0] == [*library.encode(corpus[0][1]), 2] * 2
+    assert token_shards.materialise(spark.createDataFrame([], DOCS), MODEL).count() == 0
+
+
+# --- op4
+
+
+def test_hnsw_recall_ties_and_bad_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)) * rng.uniform(0.2, 3, (1500, 1))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    rows += [(5000 + i, rows[40][1]) for i in range(60)]  # copies
+    bad = [(7000, None), (7020, []), (7040, [0.0] * 16), (7060, [float("nan")] * 16), (7080, [None] + [1.0] * 15), (7100, [float("inf")] * 16)]
+    df = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit(2))
+    got = {}
+    for r in hnsw.search(df, F.col("vec_id") % 20 == 0, 20, shard_rows=400).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    hit = 0
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    for q, found in got.items():
+        s = m @ m[ids == q][0]
+        s[ids == q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:20]].tolist()
+        listed = [found[k] for k in range(1, 21)]
+        hit += len({v for v, _ in listed} & set(best))
+        assert all(abs(score - s[ids == v][0]) < 1e-9 for v, score in listed) and listed == sorted(listed, key=lambda t: (-t[1], t[0]))
+    assert hit / (20 * len(got)) >= 0.95
+    few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>")
+    assert few.count() - 1 == hnsw.digest(few).count() and hnsw.digest(few.limit(0)).count() == 0
+
+
+# --- op5
+
+
+def test_langid_learns_and_rejects(spark):
+    r = random.Random(6)
+    syllables = {"aa": ["ka", "ki", "ku"], "bb": ["sto", "ster", "né"], "cc": ["müh", "ghe", "lo"]}
+    rows = [(i, " ".join("".join(r.choice(syllables[lang]) for _ in range(3)) for _ in range(r.randrange(3, 60))), lang) for i in range(200) for lang in [["aa", "bb", "cc"][i % 3]]]
+    rows += [(500, None, "aa"), (501, "", "aa"), (502, "12 34 !!", "bb"), (503, "kakiku", None), (504, "x", "aa"), (505, rows[1][1] * 400, "bb"), (None, "kakuka kikaku", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.digest(clashing(df)).collect()}
+    assert {k: got[k].lang_pred for k in (500, 501, 502, 503)} == {500: "und", 501: "und", 502: "und", 503: "aa"} and got[505].lang_pred == "bb"
+    held = [(got[i].lang_pred, lang) for i, _, lang in rows[:200] if got[i].held_out]
+    assert len(held) > 20 and sum(a == b for a, b in held) / len(held) > 0.97
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert {r.lang_pred for r in langid.digest(df.where("doc_id = 503")).collect()} == {"und"}
+    assert langid.digest(df.limit(0)).count() == 0
+
+
+def test_langid_counts_do_not_depend_on_pieces(monkeypatch):
+    text = "Some words, and ÉÈ more " * 30
+    whole = langid.counts(text)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert (langid.counts(text) == whole).all()
+
+
+# --- op6
+
+
+def test_toxicity_finds_insults_also_bent(spark):
+    r = random.Random(8)
+    plain = [f"{a}{b}{c}" for a in ("ba", "to", "li", "mer", "son") for b in ("na", "ri", "len", "do") for c in ("t", "ka", "sel")]
+    bad = ["zwirkel", "gomfratz", "plunkert"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        w = [r.choice(plain) for _ in range(r.randrange(10, 60))]
+        if toxic:
+            w[r.randrange(len(w))] = r.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    rows += [(900, "banat g-o-m-f-r-a-t-z toril"), (901, "banat gomxfratz tonaka"), (902, "z w i r k e l banat"), (903, None), (904, ""), (905, "banat tonaka " * 20000)]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, labels[0], (None, 1), (77777, None)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.digest(clashing(docs), known).collect()}
+    held = [(got[i].predicted, t) for i, t in labels if got[i].held_out]
+    assert sum(p == t for p, t in held) / len(held) > 0.95
+    assert [got[k].predicted for k in (900, 901, 902, 903, 904, 905)] == [1, 1, 1, 0, 0, 0] and all(0 <= x.score <= 1 for x in got.values())
+    assert {r.predicted for r in toxicity.digest(docs.limit(5), known.limit(0)).collect()} == {0}
+
+
+def test_kernel_is_the_gapped_subsequence_kernel():
+    word, sub, weight = toxicity.features(["ab", "acb"])
+    a = {s: w for k, s, w in zip(word, sub, weight, strict=True) if k == 0}
+    b = {s: w for k, s, w in zip(word, sub, weight, strict=True) if k == 1}
+    assert sum(v * v for v in a.values()) == pytest.approx(1) and 0 < sum(v * b.get(k, 0) for k, v in a.items()) < 1
+
+
+# --- op7
+
+
+def test_suffix_array_and_prefixes_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        t = bytes(r.choice(b"ab\0") for _ in range(r.randrange(1, 60)))
+        x = np.frombuffer(t, np.uint8)
+        order = suffix_dedup.suffix_array(x)
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        cuts = sorted({0, *(r.randrange(len(t)) for _ in range(3))})
+        got = suffix_dedup.common_prefixes(x, order, np.array(cuts), np.diff([*cuts, len(t)]), 10)
+        want = [next((k for k in range(10) if order[i] + k >= len(t) or order[i - 1] + k >= len(t) or t[order[i] + k] != t[order[i - 1] + k]), 10) for i in range(1, len(t))]
+        assert got.tolist() == want
+
+
+def _suffix_corpus(corpus):
+    r = random.Random(9)
+    return [*corpus, (800, "é" * 200), (801, "x" + "é" * 200), (802, corpus[2][1][37:300] + words(r, 20) + corpus[4][1][11:260])]
+
+
+@pytest.mark.parametrize("snippets", [8192, 4])
+def test_suffix_dedup_equals_brute_force(spark, corpus, monkeypatch, snippets):
+    """Also with anchors dealt over many shards, whose sorted runs are then merged."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_SNIPPETS", snippets)
+    rows = _suffix_corpus(corpus)
+    r = random.Random(5)
+    r.shuffle(shuffled := list(rows))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digest(clashing(spark.createDataFrame(shuffled, DOCS).repartition(5))).collect()}
+    assert got == suffix_dedup.brute(rows)
+
+
+def test_suffix_dedup_repeats_and_empty(spark, corpus):
+    rows = [corpus[0], corpus[0], (None, corpus[0][1]), (3, None)]
+    got = sorted(((x.doc_id is not None, x.doc_id or 0, x.n_removed) for x in suffix_dedup.digest(spark.createDataFrame(rows, DOCS)).collect()))
+    n = len(corpus[0][1].encode())
+    assert got == [(False, 0, 0), (True, 0, n), (True, 0, n), (True, 3, 0)]
+    assert suffix_dedup.digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# --- op8
+
+
+def test_pieces_equal_the_library(spark, corpus):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(1)
+    alphabet = [*"abeé  ▁\n\t漢😀\x00.,", "<s>", "</s>", "<unk>", "<0x0A>", "the", "   ", "▁▁", "\r\n", "�", "​"]
+    rows = [*corpus, *((1000 + k, "".join(r.choice(alphabet) for _ in range(r.randrange(15)))) for k in range(2000)), corpus[0]]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = dict(rows)
+    for x in pieces.digest(clashing(spark.createDataFrame(rows, DOCS)), MODEL).collect():
+        ids = library.encode(texts[x.doc_id] or "")
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids) if ids else "")), texts[x.doc_id]
+    for x in pieces.encoded(spark.createDataFrame(rows[:200], DOCS), MODEL).collect():
+        assert x.token_ids == library.encode(texts[x.doc_id] or "") and x.n_tokens == len(x.token_ids) and x.round_trip
+    assert pieces.digest(spark.createDataFrame([], DOCS), MODEL).count() == 0
+
+
+def test_the_table_may_be_emptied_at_any_time():
+    c = pieces.Codec(MODEL, table_chars=50)
+    for t in ("one two three four", "five six  seven", "one two", ""):
+        ids = c.library.encode(t)
+        (chunks,) = c.split([t])
+        assert c.decimal(chunks) == ",".join(map(str, ids)) and c.decoded(chunks) == c.library.decode(ids)
+
+
+# --- op9
+
+
+def _glob(pattern, text):
+    return re.fullmatch("".join({"*": ".*", "~": "[^/]*"}.get(c) or re.escape(c) for c in pattern), text, re.S) is not None
+
+
+def test_globs_equal_regular_expressions():
+    r = random.Random(7)
+    patterns = ["".join(r.choice("ab/.~*") for _ in range(r.randrange(1, 9))) for _ in range(60)] + ["a" * 90, "~" + "ab" * 40 + "*", ""]
+    urls = ["".join(r.choice("ab/.") for _ in range(r.randrange(0, 12))) for _ in range(400)] + ["a" * 90, "xx" + "ab" * 40 + "/", ""]
+    got = url_filter.Globs(patterns).match([u.encode() for u in urls])
+    for i, u in enumerate(urls):
+        for j, p in enumerate(patterns):
+            assert got[i, j] == _glob(p, u), (u, p)
+
+
+@pytest.mark.parametrize(
+    "url,expected",
+    [
+        ("https://A.Example.ORG/en/12?x#y", ("a.example.org", "/en/12", "example.org/en/1", "block")),
+        ("https://example.org/es/", ("example.org", "/es/", "example.org/es/", "block")),
+        ("https://notexample.org/es/", ("notexample.org", "/es/", "org/", "allow")),
+        ("https://x.com/fr/a", ("x.com", "/fr/a", "com/fr/", "allow")),
+        ("https://x.com/FR/a", ("x.com", "/FR/a", None, "allow")),
+        ("https://free-bets.com/en/", ("free-bets.com", "/en/", None, "block")),
+        ("https://x.com/a.org/b", ("x.com", "/a.org/b", None, "allow")),
+        ("https://example.org?q=/es/", ("example.org", "", None, "allow")),
+        ("https://example.org#://b.com/de/", ("example.org", "", None, "allow")),
+        ("example.org/es/", ("", "", None, "allow")),
+        ("", ("", "", None, "allow")),
+        (None, ("", "", None, "allow")),
+        ("://com/de/" + "x" * 5000, ("com", "/de/" + "x" * 5000, "com/de/", "block")),
+    ],
+)
+def test_url_rules(spark, url, expected):
+    df = spark.createDataFrame([(1, url, "h"), (1, url, "h")], "page_id long, url string, host string")
+    for r in url_filter.judge(df).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == expected
+
+
+def test_no_pages(spark):
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+# --- op10
+
+
+def _lines_brute(rows):
+    windows, later = {}, {}
+    for k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = t.split("\n") if t is not None else []
+        for p in range(len(lines) - 2):
+            w = "\n".join(lines[p : p + 3])
+            if w.strip(" \t\r\n"):
+                if windows.setdefault(w, (k, p)) != (k, p):
+                    later.setdefault(k, set()).update((p, p + 1, p + 2))
+    return {k: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in later.get(k, ())) for k, t in rows}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(2)
+    rows = [(k, "\n".join(r.choice(["a", "b", "", " ", "long line"]) for _ in range(r.randrange(0, 9)))) for k in range(120)] + [(500, None), (501, ""), (502, "a\n" * 400), (503, "x\ny"), (None, "a\nb\na\nb\nlast")]
+    got = {x.doc_id: x for x in line_dedup.digest(clashing(spark.createDataFrame(rows, DOCS).repartition(3))).collect()}
+    want = _lines_brute(rows)
+    for k, t in rows:
+        assert got[k].text == want[k], (k, t)
+        assert got[k].n_lines == (len(t.split("\n")) if t is not None else 0)
+    assert line_dedup.digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_line_dedup_keeps_columns_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", "s"), (1, "a\nb\nc", "s"), (2, "a\nb\nc\nd", "s")], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text, r.source, r.n_removed) for r in line_dedup.dedup(df).collect())
+    assert got == [(1, "a\nb\nc", "s", 0), (1, "a\nb\nc", "s", 0), (2, "d", "s", 3)]
