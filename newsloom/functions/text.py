@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters that texts mix, and the ones they fold to; digits of two scripts; marks that vanish.
 _FOLD_FROM = "يىئكةأإآؤ"
@@ -18,12 +19,12 @@ _DIACRITICS = "[ً-ْٰۖ-ۭ]"
 _WORD = "(?U)[^\\w؀-ۿ]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _clean(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(lambda t: " ".join(unicodedata.normalize("NFC", html.unescape(t)).replace(" ", " ").split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
