@@ -53,41 +53,50 @@ _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8, 16)]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes of ``text`` (uint8) in order, by Larsson-Sadakane refinement: after the first
-    ranking, by 8 bytes, only groups that are still tied are sorted, by the rank of what stands as far ahead."""
+    """Positions of the suffixes of ``text`` (uint8) in order, by Larsson-Sadakane refinement: after a first ranking by
+    seven bytes, only groups that are still tied are sorted, by the rank of what stands as far ahead as is known."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    if n == 0:
+        return np.empty(0, np.int64)
+    bits = np.uint64(max(1, n.bit_length()))
+    packed = 3 * int(bits) <= 64
+    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    # a suffix of fewer than 8 bytes stands before a longer one with zeros
-    ends = np.flatnonzero(order > n - 8)
-    if len(ends):
-        order = np.lexsort((np.minimum(n - np.arange(n), 8), key))
-    sorted_key = key[order]
-    short = np.minimum(n - order, 8)
-    new = np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1]) | (short[1:] != short[:-1])]) if n else np.empty(0, bool)
-    rank = np.empty(n, np.int64)
-    starts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    rank[order] = starts[group] if n else 0
-    h = 8
+    for k in range(7):
+        key = (key << np.uint64(9)) | padded[k : k + n]
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    starts = np.flatnonzero(new).astype(np.int32)
+    group = np.cumsum(new, dtype=np.int32) - 1
+    rank = np.empty(n, np.int32)
+    rank[order] = starts[group]
+    h, low = 7, (np.uint64(1) << bits) - np.uint64(1)
+    if packed:
+        order = (np.sort((rank[order].astype(np.uint64) << bits) | order.astype(np.uint64)) & low).astype(np.int64)
+    else:
+        order = np.lexsort((np.arange(n), rank))
     while True:
-        sizes = np.diff(np.concatenate([starts, [n]]))
-        tied = np.flatnonzero(sizes[group] > 1) if n else np.empty(0, np.int64)
+        # a place is tied if it does not start a group, or the next one does not
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
         if not len(tied):
             return order
         pos = order[tied]
-        ahead = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)], -1)
-        sub = np.lexsort((ahead, rank[pos]))
-        pos, ahead = pos[sub], ahead[sub]
+        ahead = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
+        if packed:  # rank, rank ahead and position in one number: sorting it needs no index
+            ordered = np.sort((((rank[pos].astype(np.uint64) << bits) | ahead.astype(np.uint64)) << bits) | pos.astype(np.uint64))
+            pos = (ordered & low).astype(np.int64)
+            pair = ordered >> bits
+            split = np.concatenate([[True], pair[1:] != pair[:-1]])
+        else:
+            sub = np.lexsort((pos, ahead, rank[pos]))
+            pos, ahead = pos[sub], ahead[sub]
+            was = rank[pos]
+            split = np.concatenate([[True], (was[1:] != was[:-1]) | (ahead[1:] != ahead[:-1])])
         order[tied] = pos
-        was = rank[pos]
-        split = np.concatenate([[True], (was[1:] != was[:-1]) | (ahead[1:] != ahead[:-1])])
         new[tied] = split
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
+        starts = np.flatnonzero(new).astype(np.int32)
+        group = np.cumsum(new, dtype=np.int32) - 1
         rank[pos] = starts[group[tied]]
         h *= 2
 
@@ -102,7 +111,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, siz
     before = np.empty(n, np.int64)
     before[order[0]] = -1
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight = np.zeros(n + 1, np.uint64)  # the eight bytes from each position on
+    for k in range(8):
+        eight[:n] = (eight[:n] << np.uint64(8)) | padded[k : k + n]
+    limits = [np.uint64(1) << np.uint64(8 * k) for k in range(8)]
     shared = np.zeros(n, np.int32)
     by_size = np.argsort(-sizes, kind="stable")
     begins, sizes = begins[by_size], sizes[by_size]
@@ -116,13 +129,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, siz
         while len(going):
             x, y = at[going] + h[going], other[going] + h[going]
             inside = np.minimum(n - x, n - y)
-            same = np.ones(len(going), bool)
+            differ = eight[np.minimum(x, n)] ^ eight[np.minimum(y, n)]
             grown = np.zeros(len(going), np.int64)
-            for k in range(8):
-                same &= (padded[np.minimum(x + k, n)] == padded[np.minimum(y + k, n)]) & (k < inside)
-                grown += same
+            for limit in limits:
+                grown += differ < limit
+            grown = np.minimum(grown, inside)
             h[going] += grown
-            going = going[same & (h[going] < most)]
+            going = going[(grown == 8) & (h[going] < most)]
         h = np.minimum(h, most)
         carry[:live] = h
         shared[at] = h
@@ -173,11 +186,15 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 _SPAN = LENGTH - GRAM
 
 
-def _snippets(rows: list[bytes | None], hashed=True):
-    """Of each text, its anchors: (row, anchor, hash, first byte, past the last, hash of the snippet)."""
+def _snippets(rows: list[bytes | None], wanted=None):
+    """Of each text, its anchors: (row, anchor, hash, first byte, past the last, hash of the snippet); of all, or of
+    those whose hash is ``wanted``."""
     which, at, name, a, b, f = [], [], [], [], [], []
     for i, text in enumerate(rows):
         q, h = anchors(text or b"")
+        if wanted is not None and len(q):
+            keep = wanted(h)
+            q, h = q[keep], h[keep]
         if not len(q):
             continue
         lo, hi = np.maximum(q - _SPAN, 0), np.minimum(q + LENGTH, len(text))
@@ -231,13 +248,11 @@ def texts(documents: DataFrame, mixed: DataFrame) -> DataFrame:
         for batch in batches:
             for part in portions(batch, 1024):
                 rows = as_bytes(part.column(0))
-                found = _snippets(rows)
+                found = _snippets(rows, lambda h: bloom.may_hold(held.value, h))
                 if found is None:
                     continue
                 which, _, h, a, b, f = found
-                at = np.flatnonzero(bloom.may_hold(held.value, h))
-                _, once = np.unique(np.stack([h[at], f[at]]), axis=1, return_index=True)
-                at = at[once]
+                _, at = np.unique(h ^ mix(f), return_index=True)
                 cut = [rows[i][x:y] for i, x, y in zip(which[at].tolist(), a[at].tolist(), b[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(f[at].view(np.int64)), pa.array(cut, pa.binary())], names=["h", "f", "snippet"])
 
@@ -258,11 +273,18 @@ def sorted_strings(pieces: list[bytes], ids: np.ndarray, kids: np.ndarray, a: np
     whole = sizes[piece] - start >= LENGTH
     piece, start, group = piece[whole], start[whole], group[whole]
     pos = a[piece] + start
-    rank = np.lexsort((pos, kids[piece], ids[piece], group))
+    by_doc = np.lexsort((kids, ids))
+    doc = np.empty(len(ids), np.uint64)
+    doc[by_doc] = np.cumsum(np.concatenate([[0], (ids[by_doc][1:] != ids[by_doc][:-1]) | (kids[by_doc][1:] != kids[by_doc][:-1])])) if len(ids) else 0
+    bits = [np.uint64(int(x.max(initial=0)).bit_length()) for x in (doc, pos)]
+    if int(bits[0]) + int(bits[1]) + int(group.max(initial=0)).bit_length() <= 64:
+        rank = np.argsort((((group.astype(np.uint64) << bits[0]) | doc[piece]) << bits[1]) | pos.astype(np.uint64))
+    else:
+        rank = np.lexsort((pos, doc[piece], group))
     piece, start, group, pos = piece[rank], start[rank], group[rank], pos[rank]
     new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.empty(0, bool)
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(group) else np.empty(0, np.int64)
-    later = (ids[piece] != ids[piece[first]]) | (kids[piece] != kids[piece[first]]) | (pos != pos[first])
+    later = (doc[piece] != doc[piece[first]]) | (pos != pos[first])
     return piece, start, new, later
 
 
