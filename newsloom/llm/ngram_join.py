@@ -9,18 +9,20 @@ is right, this one makes prefixes rare). A class posts the first
 Groups of near copies post the same shingles in thousands, so pairs are not
 taken from a posting list all at once:
 
-1. In each list, ordered by size, a class is paired with the one before it and
-   with the first: a number of pairs linear in the postings. Each distinct pair
-   is verified once, and the links are joined into components.
-2. Only lists that then still hold several components give further pairs, and
-   only between components; length and positional filters cut them down.
-   Verified links join components again.
+1. In the lists of its rarest shingles, ordered by size, a class is paired with
+   the one before it and with the first: a number of pairs linear in the
+   classes. Each distinct pair is verified once, and the links are joined into
+   components.
+2. In lists that then still hold several components, neighbours of different
+   ones are paired, verified and joined.
+3. Lists that still hold several components give all further pairs between
+   components that the length, positional and suffix filters leave.
 
 A pair left out is one whose documents are connected already, so components are
-those of all links. Verification meets a pair's sets in one task, after a
-filter on their suffixes by ranges of the hash: sets travel to a group that a
-min-hash names, so near copies travel once for all their pairs, and groups
-with many pairs are split. Candidates come in rounds of bounded lists.
+those of all links. Before sets travel, a filter on the pair's suffixes compares
+how many shingles each has in every range of the hash. Verification then meets
+the sets in a group that a min-hash names, so near copies travel once for all
+their pairs, and groups with many pairs are split.
 
 Defined results. Words are separated by ASCII white space, A-Z in lower case.
 Fewer than ``n`` words are one shingle together; a null text or one without
@@ -37,6 +39,7 @@ dropped by the join behind it.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +54,17 @@ from newsloom.llm.arrow import as_bytes, portions
 from newsloom.llm.bloom import mix
 from newsloom.plans.durable import written
 from newsloom.plans.graph import components
+from newsloom.plans.joins import top_per
 
-BUCKETS = 1 << 20
+BUCKETS, BLOCK = 1 << 20, 1 << 12
 BLOOM_BITS = 1 << 26
 WORDS_HELD = 400_000
-#: Pairs that one verification group takes.
-GROUP_PAIRS = 8_000
-BINS = 32
+#: Shingles of pairs that one verification group takes, about 40 MB of sets at most.
+GROUP_SHINGLES = 5_000_000
+#: Lists in which a class is paired first, its rarest; whatever that leaves apart is paired in all of them.
+FIRST_LISTS = 6
+#: Ranges of the hash of the suffix filter.
+BINS = 128
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -99,37 +106,52 @@ def counters(documents: DataFrame, n: int) -> np.ndarray:
     """How many documents have a shingle in each bucket."""
 
     def count(batches):
-        sums, shingle, waiting, held = np.zeros(BUCKETS, np.int64), Shingler(n), [], 0
+        sums, shingle, waiting, held = np.zeros(BUCKETS, np.uint32), Shingler(n), [], 0
         for batch in batches:
             for text in as_bytes(batch.column(0)):
                 waiting.append(shingle(text))
                 held += len(waiting[-1])
                 if held > BUCKETS:
-                    sums += np.bincount((np.concatenate(waiting) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                    sums += np.bincount((np.concatenate(waiting) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
                     waiting, held = [], 0
         if held:
-            sums += np.bincount((np.concatenate(waiting) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["b", "n"])
+            sums += np.bincount((np.concatenate(waiting) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+        packed = [zlib.compress(x.tobytes(), 1) for x in sums.reshape(-1, BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
-    table = documents.select("text").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[table["b"].to_numpy()] = table["n"].to_numpy()
-    return out
+    def add(_key, table):
+        total = sum((np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64) for x in table["counts"]), np.zeros(BLOCK, np.int64))
+        return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
+    table = documents.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").toArrow()
+    out = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
+    for block, counts in zip(table["block"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(counts, np.int64)
+    return out.reshape(-1)
 
-def members(documents: DataFrame, n: int) -> DataFrame:
-    """(id, class, size) for each row; class is null for an empty set."""
+
+def signatures(documents: DataFrame, n: int) -> DataFrame:
+    """(id, class, size, key, bins) for each row: class is null for an empty set, key is the set's least mixed shingle,
+    bins count its shingles by ranges of the hash."""
     kind = documents.schema["id"].dataType.simpleString()
 
     def run(batches):
-        shingle = Shingler(n)
+        shingle, shift = Shingler(n), np.uint64(64 - BINS.bit_length() + 1)
         for batch in batches:
             for part in portions(batch):
                 sets = [shingle(t) for t in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "class", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([int(mix(s).view(np.int64).min()) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([np.bincount((s >> shift).astype(np.int64), minlength=BINS) for s in sets], pa.list_(pa.int32())),
+                    ],
+                    names=["id", "class", "size", "key", "bins"],
+                )
 
-    return documents.select("id", "text").mapInArrow(run, f"id {kind}, class long, size long")
+    return documents.select("id", "text").mapInArrow(run, f"id {kind}, class long, size long, key long, bins array<int>")
 
 
 def postings(documents: DataFrame, n: int, percent: int) -> DataFrame:
@@ -159,7 +181,7 @@ def postings(documents: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def sets_of(documents: DataFrame, n: int, classes: DataFrame) -> DataFrame:
-    """(class, key, set) of the classes in ``classes`` (and of a few more): key is the set's least mixed shingle."""
+    """(class, set) of the classes in ``classes`` (and of a few more), once in each task."""
     held = bloom.gather(classes, BLOOM_BITS)
 
     def run(batches):
@@ -167,88 +189,120 @@ def sets_of(documents: DataFrame, n: int, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for part in portions(batch, 256):
                 rows = [(class_of(s), s) for t in as_bytes(part.column(0)) if len(s := shingle(t))]
-                names = np.array([r[0] for r in rows], np.int64)
-                keep = bloom.may_hold(held.value, names)
+                keep = bloom.may_hold(held.value, np.array([r[0] for r in rows], np.int64))
                 out = []
                 for (name, s), k in zip(rows, keep.tolist(), strict=True):
                     if k and name not in seen:
                         seen.add(name)
-                        out.append((name, int(mix(s).view(np.int64).min()), s.tobytes()))
+                        out.append((name, s.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["class", "key", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["class", "set"])
+
+    return documents.select("text").mapInArrow(run, "class long, set binary")
+
+
+def _shared(x_bins, y_bins, sizes, percent: int):
+    """Whether enough shingles may be common: no more than, in each range of the hash, the smaller count."""
+    most = F.aggregate(F.zip_with(x_bins, y_bins, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return (100 + percent) * most >= percent * sizes
 
-    return documents.select("text").mapInArrow(run, "class long, key long, set binary")
 
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, key, weight) of pairs that pass the suffix filter: no more shingles can be common than, range by range of the hash,
+    the smaller count. ``classes``: class, size, key, bins. Key is that of a."""
+    one = lambda s: classes.select(F.col("class").alias(s), F.col("size").alias(f"{s}_size"), F.col("key").alias(f"{s}_key"), F.col("bins").alias(f"{s}_bins"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    sized = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    return both.where(sized & _shared(F.col("a_bins"), F.col("b_bins"), F.col("a_size") + F.col("b_size"), percent)).select("a", "b", F.col("a_key").alias("key"), (F.col("a_size") + F.col("b_size")).alias("weight"))
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of distinct classes that are within the threshold; each is looked at once."""
-    keys = sets.groupBy("class").agg(F.min("key").alias("key"))
-    named = pairs.join(keys.withColumnRenamed("class", "a"), "a")
-    size = named.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = named.join(size, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP_PAIRS))).alias("g"), "a", "b")
+
+def verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b, key) of distinct classes that are within the threshold; each is looked at once."""
+    size = pairs.groupBy("key").agg(F.sum("weight").alias("n"))
+    dealt = pairs.join(size, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP_SHINGLES))).alias("g"), "a", "b")
     dealt = written(dealt, "pairs")
     wanted = dealt.select("g", F.explode(F.array("a", "b")).alias("class")).distinct()
-    sent = wanted.join(sets.select("class", "set"), "class").select("g", "class", F.lit(None).cast("long").alias("b"), "set")
+    sets = sets_of(documents, n, wanted.select("class").distinct())
+    sent = wanted.join(sets, "class").select("g", "class", F.lit(None).cast("long").alias("b"), "set")
     both = sent.unionByName(dealt.select("g", F.col("a").alias("class"), "b", F.lit(None).cast("binary").alias("set")))
 
     def run(_key, table):
         own = table.filter(pc.is_valid(table["set"]))
         held = {c: np.frombuffer(s, np.uint64) for c, s in zip(own["class"].to_pylist(), own["set"].to_pylist(), strict=True)}
         asked = table.filter(pc.is_valid(table["b"]))
-        a, b = asked["class"].to_pylist(), asked["b"].to_pylist()
-        place = {c: i for i, c in enumerate(held)}
-        shift = np.uint64(64 - BINS.bit_length() + 1)
-        bins = np.array([np.bincount((s >> shift).astype(np.int64), minlength=BINS) for s in held.values()], np.int32).reshape(-1, BINS)
-        sizes = np.array([len(s) for s in held.values()], np.int64)
-        i, j = np.array([place[x] for x in a], np.int64), np.array([place[x] for x in b], np.int64)
-        need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
-        fits = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
-        # no more can be common than the smaller count of each range of the hash
-        for k in range(0, len(i), 4096):
-            some = slice(k, k + 4096)
-            fits[some] &= np.minimum(bins[i[some]], bins[j[some]]).sum(axis=1) >= need[some]
         good = []
-        for k in np.flatnonzero(fits):
-            x, y = held[a[k]], held[b[k]]
-            if len(x) > len(y):
-                x, y = y, x
+        for a, b in zip(asked["class"].to_pylist(), asked["b"].to_pylist(), strict=True):
+            x, y = sorted((held[a], held[b]), key=len)
             at = np.searchsorted(y, x)
-            if np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x) >= need[k]:
-                good.append(k)
-        return pa.table({"a": pa.array([a[k] for k in good], pa.int64()), "b": pa.array([b[k] for k in good], pa.int64())})
+            common = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                good.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in good], pa.int64()), "b": pa.array([b for _, b in good], pa.int64())})
 
     return both.groupBy("g").applyInArrow(run, "a long, b long")
 
 
+def _fits(x_size, x_pos, y_size, y_pos, percent: int):
+    """The length filter, and the positional one: what is left behind a common shingle must suffice."""
+    need = F.ceil(percent * (x_size + y_size) / F.lit(100 + percent))
+    return (100 * F.least(x_size, y_size) >= percent * F.greatest(x_size, y_size)) & (F.least(x_size - x_pos, y_size - y_pos) >= need)
+
+
+def _pairs(ends: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of rows with another posting ``o`` of their list, where length and position allow a link."""
+    fit = ends.where("o is not null and o.class <> class").where(_fits(F.col("size"), F.col("pos"), F.col("o.size"), F.col("o.pos"), percent))
+    return fit.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct()
+
+
+def _apart(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The postings of lists that hold several components, with each class's component as ``part``."""
+    by_token = Window.partitionBy("token")
+    marked = lists.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
+    return marked.withColumns({"low": F.min("part").over(by_token), "high": F.max("part").over(by_token)}).where("low <> high").drop("low", "high").distinct()
+
+
 def cluster(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_shingles, and component_id, the smallest id that links reach."""
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    members = written(signatures(rows, n), "members")
+    classes = members.where("class is not null").groupBy("class").agg(F.first("size").alias("size"), F.first("key").alias("key"), F.first("bins").alias("bins"))
+
     by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy("size", "class")
-    lists = postings(rows, n, percent).withColumns({"low": F.min("class").over(by_token), "high": F.max("class").over(by_token), "before": F.lag("class").over(ordered), "hub": F.first("class").over(ordered)})
+    ordered = by_token.orderBy("size", "class", "pos")
+    one = F.struct("class", "size", "pos")
+    lists = postings(rows, n, percent).withColumns({"low": F.min("class").over(by_token), "high": F.max("class").over(by_token), "before": F.lag(one).over(ordered), "hub": F.first(one).over(ordered)})
     lists = written(lists.where("low <> high").drop("low", "high"), "postings")
-    ends = lists.select("class", F.explode(F.array("before", "hub")).alias("other")).where("other is not null and other <> class")
-    near = ends.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    sets = written(sets_of(rows, n, lists.select("class").distinct()), "sets")
-    links = written(verify(near, sets, percent), "links")
+    rarest = top_per(lists, ["class"], FIRST_LISTS, F.asc("pos"), F.asc("token"))
+    near = _pairs(rarest.select("class", "size", "pos", F.explode(F.array("before", "hub")).alias("o")), percent)
+    near = written(likely(near, classes, percent), "near")
+    links = written(verify(near, rows, n, percent), "links")
     joined = written(components(links, "a", "b"), "components")
+    seen = near.select("a", "b")
+
+    # the same along the bounds between what is still apart, in every list
+    open_ = written(_apart(lists.select("token", "class", "size", "pos"), joined), "open")
+    one = F.struct("class", "size", "pos", "part")
+    bounds = open_.withColumn("o", F.lag(one).over(ordered)).where("o.part <> part")
+    near = written(likely(_pairs(bounds, percent).join(seen, ["a", "b"], "left_anti"), classes, percent), "near")
+    if near.limit(1).count():
+        links = written(links.unionByName(verify(near, rows, n, percent)), "links")
+        joined = written(components(links, "a", "b"), "components")
+        seen = seen.unionByName(near.select("a", "b"))
+        open_ = written(_apart(open_.select("token", "class", "size", "pos"), joined), "open")
+
+    # and every pair across components that the filters leave
+    full = open_.join(classes.select("class", "bins"), "class")
+    x, y = full.alias("x"), full.alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.part") != F.col("y.part")) & _fits(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), percent) & _shared(F.col("x.bins"), F.col("y.bins"), F.col("x.size") + F.col("y.size"), percent)
+    across = x.join(y, met).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+    across = written(likely(across, classes, percent), "across")
+    if across.limit(1).count():
+        links = written(links.unionByName(verify(across, rows, n, percent)), "links")
+        joined = components(links, "a", "b")
 
     part = F.coalesce("component", "class")
-    marked = lists.select("token", "class", "size", "pos").distinct().join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("part", part).drop("component")
-    open_ = marked.withColumns({"low": F.min("part").over(by_token), "high": F.max("part").over(by_token)}).where("low <> high").drop("low", "high")
-    open_ = written(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    need = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / F.lit(100 + percent))
-    rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")) & (rest >= need)
-    across = x.join(y, met).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    across = across.join(near, ["a", "b"], "left_anti")
-    more = written(verify(across, sets, percent), "links")
-    joined = components(links.unionByName(more), "a", "b") if more.limit(1).count() else joined
-
-    named = members(rows, n)
-    whole = named.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("part", part)
-    whole = written(whole.select("id", "size", "part"), "members")
+    whole = members.select("id", "class", "size").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("part", part).select("id", "size", "part")
+    whole = written(whole, "parts")
     least = whole.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
     out = whole.join(least, "part", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
