@@ -42,8 +42,8 @@ def exact_duplicates(articles: DataFrame) -> DataFrame:
 def similar_pairs(articles: DataFrame, threshold: float = SIMILAR, radius_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """(left_id, right_id, score) of titles within the radius of time, each pair once, the smaller id left.
 
-    Titles of one key are one class and are compared once for all (a wire story that a third of the outlets carry is
-    one row), and classes meet only where they share a trigram of their prefix as well as a bucket of time.
+    Rows meet where they share a trigram of their prefix and a bucket of time. A story that many outlets carry within the
+    window is so many pairs, as the result asks for each.
     """
     titled = articles.select("id", "published_at", T.title_key(F.col("title")).alias("key")).where("key <> '' and published_at is not null")
     grams = titled.withColumn("g", T.trigrams(F.col("key")))
