@@ -404,11 +404,12 @@ def marks(rows: DataFrame) -> DataFrame:
     """(id, kid, a, b): bytes [a, b) of a document that later copies cover. ``rows``: id, kid, text, none null but the text."""
     by_hash = Window.partitionBy("h")
     same = Window.partitionBy("h", "f").orderBy("id", "kid", "a")
-    found = occurrences(rows).withColumns({"r": F.row_number().over(same), "low": F.min("f").over(by_hash), "high": F.max("f").over(by_hash)})
+    # rows alike in id and kid are one document: they share a place, and only a larger place is a later copy
+    found = occurrences(rows).withColumns({"r": F.row_number().over(same), "place": F.rank().over(same), "low": F.min("f").over(by_hash), "high": F.max("f").over(by_hash)})
     found = found.withColumn("n", F.sum(F.when(F.col("r") == 1, 1).otherwise(0)).over(by_hash))
-    kept = found.where("own or r > 1 or low <> high").select("h", "f", "id", "kid", "a", "b", "own", "r", F.ceil(F.col("n") / SHARD_SNIPPETS).cast("int").alias("parts"), (F.col("low") != F.col("high")).alias("mixed"))
+    kept = found.where("own or place > 1 or (r = 1 and low <> high)").select("h", "f", "id", "kid", "a", "b", "own", "r", "place", F.ceil(F.col("n") / SHARD_SNIPPETS).cast("int").alias("parts"), (F.col("low") != F.col("high")).alias("mixed"))
     kept = written(kept, "anchors")
-    copies = kept.where(f"own or (r > 1 and b - a >= {LENGTH})").select("id", "kid", "a", "b")
+    copies = kept.where(f"own or (place > 1 and b - a >= {LENGTH})").select("id", "kid", "a", "b")
     firsts = kept.where("not own and r = 1 and mixed")
     compared = written(compare(firsts, texts(rows, firsts.select("h"))), "compared")
     split = compared.where("string is not null")

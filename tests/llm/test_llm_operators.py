@@ -263,6 +263,20 @@ def test_suffix_dedup_repeats_and_empty(spark, corpus):
     assert suffix_dedup.digest(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_dedup_repeats_that_come_first(spark, corpus):
+    """A repeated row in other partitions and further than a portion of rows away is no copy of itself."""
+    first, inner = corpus[0], corpus[1][1] + " " + corpus[2][1]
+    rows = [first, (5, inner), (9, first[1]), (12, inner[40:])]
+    many = spark.createDataFrame([first, *((100 + k, "short") for k in range(1100)), first], DOCS)
+    docs = many.coalesce(1).union(spark.createDataFrame(rows, DOCS).coalesce(1)).union(spark.createDataFrame(rows, DOCS).coalesce(1))
+    found = suffix_dedup.digest(docs).where("doc_id < 100").collect()
+    assert len(found) == 10
+    want = suffix_dedup.brute(rows)
+    assert want[first[0]][1] == want[5][1] == 0 < want[12][1] < len(inner) - 40 + 1 and want[9][1] == len(first[1].encode())
+    for x in found:
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id]
+
+
 # --- op8
 
 
