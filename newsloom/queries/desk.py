@@ -119,14 +119,23 @@ def c43(spark, sf_dir):
     return K.log_tail(domain(spark, sf_dir, "usage")).select("id", "stage")
 
 
-@query("j15_interested", f"WITH {ctes('news_event', 'account')}, e AS (SELECT id AS event_id, category FROM news_event WHERE id < 200), t AS (SELECT event_id, unnest(['iran', category]) AS topic FROM e), w AS (SELECT user_id, 'iran' AS topic FROM account WHERE user_id % 10 = 0 UNION SELECT user_id, 'disasters' FROM account WHERE user_id % 4 = 1) SELECT DISTINCT event_id, 'u' || user_id AS endpoint FROM t JOIN w USING (topic)")
-def j15(spark, sf_dir):
-    e = domain(spark, sf_dir, "news_event").where("id < 200").select(F.col("id").alias("event_id"), F.array(F.lit("iran"), F.col("category")).alias("topics"))
+def _interested(events, spark, sf_dir):
+    e = events.select(F.col("id").alias("event_id"), F.array(F.lit("iran"), F.col("category")).alias("topics"))
     u = F.col("user_id")
     s = domain(spark, sf_dir, "account").select(F.concat(F.lit("u"), u.cast("string")).alias("endpoint"), (u % 10 == 0).alias("iran"), F.lit(False).alias("world"), F.when(u % 4 == 1, F.array(F.lit("disasters"))).otherwise(F.array().cast("array<string>")).alias("assets"))
     return K.interested(e, s)
 
 
+@query("j15_interested", f"WITH {ctes('news_event', 'account')}, e AS (SELECT id AS event_id, category FROM news_event WHERE id < 200), t AS (SELECT event_id, unnest(['iran', category]) AS topic FROM e), w AS (SELECT user_id, 'iran' AS topic FROM account WHERE user_id % 10 = 0 UNION SELECT user_id, 'disasters' FROM account WHERE user_id % 4 = 1) SELECT DISTINCT event_id, 'u' || user_id AS endpoint FROM t JOIN w USING (topic)")
+def j15(spark, sf_dir):
+    return _interested(domain(spark, sf_dir, "news_event").where("id < 200"), spark, sf_dir)
+
+
+@query("j15_interested_whole", f"WITH {ctes('news_event', 'account')}, t AS (SELECT id AS event_id, unnest(['iran', category]) AS topic FROM news_event), w AS (SELECT user_id, 'iran' AS topic FROM account WHERE user_id % 10 = 0 UNION SELECT user_id, 'disasters' FROM account WHERE user_id % 4 = 1) SELECT DISTINCT event_id, 'u' || user_id AS endpoint FROM t JOIN w USING (topic)")
+def j15_whole(spark, sf_dir):
+    return _interested(domain(spark, sf_dir, "news_event"), spark, sf_dir)
+
+
 @query("x26_lead_outlet", f"WITH {ctes('report')}, o AS (SELECT event_id, reported_at, report_id, CASE WHEN source_id % 9 = 0 THEN 'nine' ELSE 's' || source_id END AS o FROM report) SELECT event_id, arg_min(o, strftime(reported_at, '%Y-%m-%d') || printf('%012d', report_id) || o) AS lead, (count(DISTINCT o) - 1)::BIGINT AS others FROM o GROUP BY 1")
 def x26(spark, sf_dir):
     r = domain(spark, sf_dir, "report")

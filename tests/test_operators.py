@@ -225,3 +225,21 @@ def test_listing_relay_merge():
     assert got == {"title": "feed", "lead": "page lead", "content": "feed body", "extraction_tier": "feed"}
     with pytest.raises(ValueError):
         S.strategy("other")
+
+
+def test_interested_whole_table(spark):
+    """Every event meets its subscribers, each pair once, whatever its id and however many topics it shares."""
+    from newsloom.adapt import domain
+    from newsloom.operators import desk as K
+    from newsloom.registry import registered
+
+    r = random.Random(8)
+    topics = ["iran", "global", "gold", "oil"]
+    events = [(i, r.sample(topics, r.randrange(4))) for i in range(60)] + [(3, ["iran", "iran"])]
+    subs = [(f"u{i}", r.random() < 0.3, r.random() < 0.3, r.sample(topics[2:], r.randrange(3))) for i in range(25)] + [("u1", True, True, ["gold"])]
+    got = sorted(map(tuple, K.interested(spark.createDataFrame(events, "event_id long, topics array<string>"), spark.createDataFrame(subs, "endpoint string, iran boolean, world boolean, assets array<string>")).collect()))
+    want = {(e, u) for e, has in events for u, iran, world, assets in subs if set(has) & {*assets, *(["iran"] * iran), *(["global"] * world)}}
+    assert got == sorted(want)
+    sf = "/root/testdata/sf0.001"
+    found = registered()["j15_interested_whole"].run(spark, sf).select("event_id").distinct().count()
+    assert found == domain(spark, sf, "news_event").count()
