@@ -175,6 +175,11 @@ def c02(spark, sf_dir):
     return E.merged_into(r, F.lit(7), F.lit(3).cast("long"))
 
 
+@query("c02_merge_whole", f"WITH {ctes('report')} SELECT DISTINCT CASE WHEN event_id = 7 THEN 3 ELSE event_id END AS event_id, source_id FROM report")
+def c02_whole(spark, sf_dir):
+    return E.merged_into(domain(spark, sf_dir, "report").select("event_id", "source_id"), F.lit(7), F.lit(3).cast("long"))
+
+
 @query("a16_visibility_p95", f"WITH {ctes('article', 'source')}, d AS (SELECT greatest(0, epoch(created_at) - epoch(published_at)) / 60.0::DOUBLE AS delay FROM article JOIN source USING (source_id) WHERE tier = 1), o AS (SELECT delay, row_number() OVER (ORDER BY delay) AS r, count(*) OVER () AS n FROM d) SELECT max(n)::BIGINT AS n, max(delay) FILTER (r = ceil(0.95::DOUBLE * n)) AS p95, avg((delay <= 10)::INT) AS within_ten FROM o")
 def a16(spark, sf_dir):
     """By nearest rank; delays below zero count as none."""

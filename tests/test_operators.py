@@ -243,3 +243,14 @@ def test_interested_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     found = registered()["j15_interested_whole"].run(spark, sf).select("event_id").distinct().count()
     assert found == domain(spark, sf, "news_event").count()
+
+
+def test_merge_whole_table(spark):
+    """Reports of every event are in the merged table, those with large ids too."""
+    from newsloom.adapt import domain
+    from newsloom.registry import registered
+
+    sf = "/root/testdata/sf0.001"
+    reports = {(r.event_id, r.source_id) for r in domain(spark, sf, "report").select("event_id", "source_id").collect()}
+    got = [(r.event_id, r.source_id) for r in registered()["c02_merge_whole"].run(spark, sf).collect()]
+    assert max(got)[0] > 500 and sorted(got) == sorted({(3 if e == 7 else e, s) for e, s in reports})
