@@ -143,10 +143,14 @@ def review_queue(events: DataFrame, skipped: DataFrame) -> DataFrame:
     return joined.orderBy(F.col("skipped_at").asc_nulls_first(), F.col("confidence").asc_nulls_last(), F.col("impact").desc_nulls_last(), F.desc("event_time"), F.asc("id"))
 
 
-def timeline_gaps(points: DataFrame, days: int = 3) -> DataFrame:
-    """(symbol, from_at, to_at) of silences longer than ``days``."""
-    before = F.lag("observed_at").over(Window.partitionBy("symbol").orderBy("observed_at"))
-    return points.select("symbol", before.alias("from_at"), F.col("observed_at").alias("to_at")).where(F.col("to_at") - F.col("from_at") > F.make_dt_interval(days=F.lit(days)))
+def timeline_gaps(points: DataFrame, days: int = 3, minutes: int = 0) -> DataFrame:
+    """(symbol, from_at, to_at) of silences longer than ``days`` and ``minutes``. Points are ordered by symbol and
+    day; between days stands a summary with one row for each, so few symbols with all the rows are many groups."""
+    dated = points.where("observed_at is not null").select("symbol", F.col("observed_at").alias("to_at"), F.to_date("observed_at").alias("_day"))
+    within = dated.select("symbol", F.lag("to_at").over(Window.partitionBy("symbol", "_day").orderBy("to_at")).alias("from_at"), "to_at")
+    ends = dated.groupBy("symbol", "_day").agg(F.min("to_at").alias("to_at"), F.max("to_at").alias("_last"))
+    between = ends.select("symbol", F.lag("_last").over(Window.partitionBy("symbol").orderBy("_day")).alias("from_at"), "to_at")
+    return within.unionByName(between).where(F.col("to_at") - F.col("from_at") > F.make_dt_interval(days=F.lit(days), mins=F.lit(minutes)))
 
 
 def merged_into(memberships: DataFrame, loser: Column, winner: Column) -> DataFrame:

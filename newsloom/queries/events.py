@@ -88,11 +88,21 @@ def a33(spark, sf_dir):
     return E.refresh(r.select("event_id", "reported_at", (F.col("reported_at") + F.make_dt_interval(hours=F.lit(3))).alias("created_at"), (i % 3 == 0).alias("gone"), (i % 29 == 0).alias("revised"), (i % 2 == 0).alias("assessed"), F.lit("developing").alias("status")))
 
 
+def _candidates(articles, e):
+    a = articles.select("id", (F.col("event_time") + F.make_dt_interval(hours=F.lit(5))).alias("published_at"))
+    return E.candidates(a, e, a.select(F.col("id").alias("article_id"), F.col("id").alias("event_id")))
+
+
 @query("j11_event_candidates", f"WITH {ctes('news_event')}, a AS (SELECT id AS article_id, event_time + INTERVAL 5 HOUR AS published_at FROM news_event WHERE id % 50 = 0) SELECT article_id, id AS event_id FROM a JOIN news_event ON event_time BETWEEN published_at - INTERVAL 36 HOUR AND published_at + INTERVAL 36 HOUR WHERE NOT (article_id = id) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY event_time DESC, id DESC) <= 10")
 def j11(spark, sf_dir):
     e = domain(spark, sf_dir, "news_event")
-    a = e.where("id % 50 = 0").select("id", (F.col("event_time") + F.make_dt_interval(hours=F.lit(5))).alias("published_at"))
-    return E.candidates(a, e, a.select(F.col("id").alias("article_id"), F.col("id").alias("event_id")))
+    return _candidates(e.where("id % 50 = 0"), e)
+
+
+@query("j11_event_candidates_whole", f"WITH {ctes('news_event')}, a AS (SELECT id AS article_id, event_time + INTERVAL 5 HOUR AS published_at FROM news_event) SELECT article_id, id AS event_id FROM a JOIN news_event ON event_time BETWEEN published_at - INTERVAL 36 HOUR AND published_at + INTERVAL 36 HOUR WHERE NOT (article_id = id) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY event_time DESC, id DESC) <= 10")
+def j11_whole(spark, sf_dir):
+    e = domain(spark, sf_dir, "news_event")
+    return _candidates(e, e)
 
 
 @query("j12_attach", f"WITH {ctes('article')}, a AS (SELECT id, CASE WHEN id % 5 = 4 THEN id - 1 END AS duplicate_of FROM article), l AS (SELECT id % 50 AS event_id, id AS canonical_id FROM a WHERE duplicate_of IS NULL) SELECT DISTINCT event_id, a.id AS article_id FROM l JOIN a ON coalesce(a.duplicate_of, a.id) = l.canonical_id WHERE NOT (a.id % 20 = 9)")

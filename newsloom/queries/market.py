@@ -104,6 +104,12 @@ def a34(spark, sf_dir):
     return E.timeline_gaps(prices(spark, sf_dir).where(F.dayofmonth("observed_at") % 6 == 1))
 
 
+@query("a34_timeline_gaps_whole", f"WITH {ctes('price')}, g AS (SELECT symbol, lag(observed_at) OVER (PARTITION BY symbol ORDER BY observed_at) AS from_at, observed_at AS to_at FROM price) SELECT * FROM g WHERE to_at - from_at > INTERVAL 20 MINUTE")
+def a34_whole(spark, sf_dir):
+    """All prices; they are minutes apart, so the silence sought is shorter."""
+    return E.timeline_gaps(prices(spark, sf_dir), days=0, minutes=20)
+
+
 @query("c10_market_context", f"WITH {ctes('price')}, w AS (SELECT symbol, arg_max(price, observed_at) AS last_price, arg_max(price, observed_at) FILTER (observed_at <= TIMESTAMP '2024-01-24') AS week_ago FROM price WHERE symbol IN ('view', 'purchase') AND observed_at <= TIMESTAMP '{NOW}' GROUP BY 1) SELECT symbol, last_price, (last_price - week_ago) / week_ago * 100.0::DOUBLE AS change FROM w")
 def c10(spark, sf_dir):
     """Last price and its change over a week, of two symbols, in one aggregation."""

@@ -254,3 +254,28 @@ def test_merge_whole_table(spark):
     reports = {(r.event_id, r.source_id) for r in domain(spark, sf, "report").select("event_id", "source_id").collect()}
     got = [(r.event_id, r.source_id) for r in registered()["c02_merge_whole"].run(spark, sf).collect()]
     assert max(got)[0] > 500 and sorted(got) == sorted({(3 if e == 7 else e, s) for e, s in reports})
+
+
+def test_gaps_and_candidates_whole_tables(spark):
+    """Gaps lie between neighbours among all prices, over days without any too, and every article gets its candidates."""
+    from newsloom.adapt import domain
+    from newsloom.registry import registered
+
+    r = random.Random(11)
+    points = [(s, at(r.randrange(40) * 1440 + r.randrange(3) * 300)) for s in "ab" for _ in range(30)] + [("a", None), ("c", at(5))]
+    table = spark.createDataFrame(points, "symbol string, observed_at timestamp_ntz")
+    for days, minutes in ((3, 0), (0, 299), (0, 300)):
+        want = []
+        for s in "abc":
+            mine = sorted(t for x, t in points if x == s and t)
+            want += [(s, x, y) for x, y in zip(mine, mine[1:], strict=False) if y - x > timedelta(days=days, minutes=minutes)]
+        assert sorted(map(tuple, E.timeline_gaps(table, days, minutes).collect())) == sorted(want)
+    sf = "/root/testdata/sf0.001"
+    price = domain(spark, sf, "price").groupBy("symbol").count().collect()
+    assert registered()["a34_timeline_gaps_whole"].run(spark, sf).count() > sum(x["count"] for x in price) / 2
+    events = [(e.id, e.event_time) for e in domain(spark, sf, "news_event").select("id", "event_time").collect()]
+    want = []
+    for i, t in events:
+        near = [(u, j) for j, u in events if j != i and abs(u - t - timedelta(hours=5)) <= timedelta(hours=36)]
+        want += [(i, j) for _, j in sorted(near)[-10:]]
+    assert sorted(map(tuple, registered()["j11_event_candidates_whole"].run(spark, sf).collect())) == sorted(want)
