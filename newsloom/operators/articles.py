@@ -40,19 +40,26 @@ def exact_duplicates(articles: DataFrame) -> DataFrame:
 
 
 def similar_pairs(articles: DataFrame, threshold: float = SIMILAR, radius_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """(left_id, right_id, score) of titles within the radius of time, each pair once, the smaller id left.
+    """(left_id, right_id, score) of titles within the radius of time, each pair once, the smaller id left. A title
+    without a moment is compared with all titles.
 
     Rows meet where they share a trigram of their prefix and a bucket of time. A story that many outlets carry within the
     window is so many pairs, as the result asks for each.
     """
-    titled = articles.select("id", "published_at", T.title_key(F.col("title")).alias("key")).where("key <> '' and published_at is not null")
+    titled = articles.select("id", "published_at", T.title_key(F.col("title")).alias("key")).where("key <> ''")
     grams = titled.withColumn("g", T.trigrams(F.col("key")))
     n = F.size("g")
     prefix = F.slice(F.array_sort("g"), F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))
     posted = grams.withColumn("token", F.explode(prefix))
     left = posted.select(F.col("id").alias("left_id"), F.col("published_at").alias("left_at"), F.col("g").alias("left_g"), "token")
     right = posted.select(F.col("id").alias("right_id"), F.col("published_at").alias("right_at"), F.col("g").alias("right_g"), "token")
-    near = range_join(left, right, "left_at", "right_at", radius_seconds, ["token"])
+    sides = ["left_id", "left_g", "right_id", "right_g", "token"]
+    dated = range_join(left.where("left_at is not null"), right.where("right_at is not null"), "left_at", "right_at", radius_seconds, ["token"]).select(sides)
+    # two undated titles meet once; beside a dated one the undated may have the larger id
+    undated = left.where("left_at is null").join(right, "token").where("left_id < right_id or (right_at is not null and left_id > right_id)")
+    turn = F.col("left_id") > F.col("right_id")
+    either = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
+    near = dated.unionByName(undated.select(either("left_id", "right_id"), either("left_g", "right_g"), either("right_id", "left_id"), either("right_g", "left_g"), "token"))
     sized = (F.size("left_g") >= threshold * F.size("right_g")) & (F.size("right_g") >= threshold * F.size("left_g"))
     # a pair that shares several tokens is scored at the first of them only
     first = F.element_at(F.array_sort(F.array_intersect("left_g", "right_g")), 1) == F.col("token")

@@ -279,3 +279,18 @@ def test_gaps_and_candidates_whole_tables(spark):
         near = [(u, j) for j, u in events if j != i and abs(u - t - timedelta(hours=5)) <= timedelta(hours=36)]
         want += [(i, j) for _, j in sorted(near)[-10:]]
     assert sorted(map(tuple, registered()["j11_event_candidates_whole"].run(spark, sf).collect())) == sorted(want)
+
+
+def test_undated_titles_match_too(spark):
+    """Titles without a moment against all others, on either side, each pair once; alone they are still no copies."""
+    r = random.Random(6)
+    base = ["a first story about gold prices", "the second story from tehran today", "something else entirely in here"]
+    rows = [(i, r.choice(base) + r.choice(["", " x", " now"]), None if r.random() < 0.4 else at(r.randrange(10) * 1440)) for i in range(40)] + [(90, "", None), (91, None, None)]
+    table = spark.createDataFrame(rows, "id long, title string, published_at timestamp_ntz").withColumn("content_hash", F.lit(None).cast("string"))
+    close = spark.createDataFrame([(i, t, at(0)) for i, t, _ in rows], "id long, title string, published_at timestamp_ntz")
+    when = {i: t for i, _, t in rows}
+    alike = [(p.left_id, p.right_id, p.score) for p in A.similar_pairs(close).collect()]
+    want = [p for p in alike if None in (x := (when[p[0]], when[p[1]])) or abs(x[0] - x[1]) <= timedelta(hours=36)]
+    got = [(p.left_id, p.right_id, p.score) for p in A.similar_pairs(table).collect()]
+    assert sorted(got) == sorted(want) and any(when[a] is None for a, _, _ in want) and any(when[b] is None for _, b, _ in want)
+    assert {d.id for d in A.find_duplicates(table).collect()} == {b for _, b, _ in want}
