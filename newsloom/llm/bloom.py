@@ -1,4 +1,4 @@
-"""A Bloom filter of a fixed number of bits over a column of longs, gathered from all tasks and broadcast."""
+"""A Bloom filter over a column of longs, gathered from all tasks and broadcast; its size follows the number of names, up to a bound."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 HASHES = 2
+#: Bits of the smallest and of the largest filter (32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,6 +25,11 @@ def _places(names: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(x + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(bits - 1)).astype(np.int64) for k in range(1, HASHES + 1)]
 
 
+def bits_for(names: int) -> int:
+    """Sixteen bits a name, as a power of two within the bounds. Beyond the upper one more passes; a join behind must drop it."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, names) - 1).bit_length()))
+
+
 def gather(names: DataFrame, bits: int):
     """A broadcast of the filter over the one long column of ``names``; ``bits`` is a power of two."""
 

@@ -2,310 +2,344 @@
 
 A document's set is its distinct shingles of ``n`` words. Documents with one
 set are one class. Shingles are ordered rare first, by document counts over the
-whole corpus held in ``BUCKETS`` counters (of a shingle's bucket; any one order
-is right, this one makes prefixes rare). A class posts the first
-|x| - ceil(t|x|) + 1 shingles; two classes within the threshold share one.
+whole corpus held in counters (of a shingle's bucket; any one order is right,
+this one makes prefixes rare). A class posts the first |x| - ceil(t|x|) + 1
+shingles; two classes within the threshold share one. Texts are read twice: for
+the counts, and for everything else that is known of a document; after that, only
+the sets of candidates are read again.
 
 Groups of near copies post the same shingles in thousands, so pairs are not
 taken from a posting list all at once:
 
 1. In the lists of its rarest shingles, ordered by size, a class is paired with
    the one before it and with the first: a number of pairs linear in the
-   classes. Each distinct pair is verified once, and the links are joined into
-   components.
-2. In lists that then still hold several components, neighbours of different
-   ones are paired, verified and joined.
+   classes. Pairs that the length, positional and suffix filters leave are
+   verified once, and the links are joined into components.
+2. Lists that then still hold several components do the same in another order,
+   with more partners, between different components.
 3. Lists that still hold several components give all further pairs between
-   components that the length, positional and suffix filters leave.
+   components that the three filters leave.
 
-A pair left out is one whose documents are connected already, so components are
-those of all links. Before sets travel, a filter on the pair's suffixes compares
-how many shingles each has in every range of the hash. Verification then meets
-the sets in a group that a min-hash names, so near copies travel once for all
-their pairs, and groups with many pairs are split.
+A pair left out of ``cluster`` is one whose documents are connected already, so
+components are those of all links; ``links`` leaves out none.
+
+The suffix filter bounds the symmetric difference from below: shingles fall into
+twice as many bins as there are, and each bin whose parity differs holds one
+that is not common. It is part of the joins that make pairs. Verification meets
+the sets in groups of bounded weight, so a group of near copies is many groups.
 
 Defined results. Words are separated by ASCII white space, A-Z in lower case.
 Fewer than ``n`` words are one shingle together; a null text or one without
-words has an empty set, size 0, and is its own component. Ties do not matter.
-Rows that repeat a doc_id each get its row. The table may be empty. Shingles
-and classes are named by 64 bits; the chance that two of m sets share a name is
-about m * m / 3.7e19.
-
-Driver and broadcast: counters of fixed size, and a Bloom filter of fixed size
-that says which classes' sets a task must send; what passes by mistake is
-dropped by the join behind it.
+words has an empty set, size 0, and is its own component. Texts are read whole,
+very long ones in pieces. Ties do not matter. Rows that repeat a doc_id each get
+their row; a null doc_id is no component's smallest id unless it has no other.
+The table may be empty. Further columns are not read, whatever their names.
+Shingles and classes are named by 64 bits; the chance that two of m names agree
+is about m * m / 3.7e19.
+
+Driver and broadcast: one byte for each counter, whose number follows the input's
+partitions between 2^20 and 2^24, and a Bloom filter of 32 MB at most that says
+which classes' sets a task must send; what passes by mistake is dropped by the
+join behind it. With far more shingles than counters, prefixes are less rare and
+lists longer; with far more candidates than bits, more sets travel; results stay.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.llm import bloom
-from newsloom.llm.arrow import as_bytes, portions
-from newsloom.llm.bloom import mix
-from newsloom.plans.durable import written
+from newsloom.llm.arrow import portions
+from newsloom.llm.shingles import Shingler
+from newsloom.plans.durable import scratch, written
 from newsloom.plans.graph import components
-from newsloom.plans.joins import top_per
 
-BUCKETS, BLOCK = 1 << 20, 1 << 12
-BLOOM_BITS = 1 << 26
-WORDS_HELD = 400_000
-#: Shingles of pairs that one verification group takes, about 40 MB of sets at most.
-GROUP_SHINGLES = 5_000_000
+#: Counters: so many for each input partition, within these bounds.
+COUNTERS_EACH, LEAST_COUNTERS, MOST_COUNTERS = 1 << 15, 1 << 20, 1 << 24
+BLOCK = 1 << 12
+#: Shingles of pairs that one verification group takes, about 8 MB of sets.
+GROUP_SHINGLES = 500_000
 #: Lists in which a class is paired first, its rarest; whatever that leaves apart is paired in all of them.
-FIRST_LISTS = 6
-#: Ranges of the hash of the suffix filter.
-BINS = 128
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_HELD:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingles."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.words = _Words()
-        self.odd = np.random.default_rng(n).integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else ()
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        k = min(self.n, len(h))
-        total = np.full(len(h) - k + 1, np.uint64(k))
-        for i in range(k):
-            total += h[i : len(h) - k + 1 + i] * self.odd[i]
-        return np.unique(mix(total))
+FIRST_LISTS = 2
+#: Rounds of linear pairing in all lists, before all remaining pairs across components are taken.
+ROUNDS = 2
+#: Postings of a list that are ordered together when neighbours are paired.
+LIST_BLOCK = 4096
+#: Bins of the suffix filter, as a power of two: twice the shingles, within these bounds.
+LEAST_BINS, MOST_BINS = 64, 1 << 14
 
 
 def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+    name = xxhash.xxh3_64_intdigest(shingles)
+    return name - (1 << 64) if name >> 63 else name
+
 
+def counters_for(documents: DataFrame) -> int:
+    wanted = COUNTERS_EACH * max(1, documents.rdd.getNumPartitions())
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (wanted - 1).bit_length()))
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
 
+def rareness(documents: DataFrame, n: int, counters: int) -> np.ndarray:
+    """One byte for each counter, larger where more documents have a shingle of it: eight steps for each doubling."""
 
-def counters(documents: DataFrame, n: int) -> np.ndarray:
-    """How many documents have a shingle in each bucket."""
+    def tally(values: list[np.ndarray]) -> np.ndarray:
+        return np.bincount((np.concatenate(values) & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
 
     def count(batches):
-        sums, shingle, waiting, held = np.zeros(BUCKETS, np.uint32), Shingler(n), [], 0
+        sums, shingle, waiting, held = np.zeros(counters, np.uint32), Shingler(n), [], 0
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                waiting.append(shingle(text))
+            for part in portions(batch, 1024):
+                waiting.append(shingle(part.column(0))[0])
                 held += len(waiting[-1])
-                if held > BUCKETS:
-                    sums += np.bincount((np.concatenate(waiting) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                if held > counters:
+                    sums += tally(waiting)
                     waiting, held = [], 0
         if held:
-            sums += np.bincount((np.concatenate(waiting) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            sums += tally(waiting)
         packed = [zlib.compress(x.tobytes(), 1) for x in sums.reshape(-1, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     def add(_key, table):
         total = sum((np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64) for x in table["counts"]), np.zeros(BLOCK, np.int64))
-        return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        steps = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+        return pa.table({"block": table["block"].slice(0, 1), "steps": pa.array([steps.tobytes()], pa.binary())})
 
-    table = documents.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").toArrow()
-    out = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
-    for block, counts in zip(table["block"].to_pylist(), table["counts"].to_pylist(), strict=True):
-        out[block] = np.frombuffer(counts, np.int64)
+    table = documents.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, steps binary").toArrow()
+    out = np.zeros((counters // BLOCK, BLOCK), np.uint8)
+    for block, steps in zip(table["block"].to_pylist(), table["steps"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(steps, np.uint8)
     return out.reshape(-1)
 
 
-def signatures(documents: DataFrame, n: int) -> DataFrame:
-    """(id, class, size, key, bins) for each row: class is null for an empty set, key is the set's least mixed shingle,
-    bins count its shingles by ranges of the hash."""
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """For each bin, whether it holds an odd number of the shingles; packed into longs."""
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (2 * len(shingles) - 1).bit_length()))
+    odd = np.bincount(((shingles >> np.uint64(24)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray], present: list[bool]) -> pa.Array:
+    """An array<long> of ``parts``, null where not ``present``."""
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([not x for x in present], pa.bool_()))
+
+
+def signatures(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, class, size, key, parities, prefix) for each row: class is null for an empty set, key is the set's least shingle;
+    the prefix, rarest first, comes once for each class in a task."""
     kind = documents.schema["id"].dataType.simpleString()
+    counters = counters_for(documents)
+    steps = documents.sparkSession.sparkContext.broadcast(rareness(documents, n, counters))
+    none = np.empty(0, np.uint64)
 
     def run(batches):
-        shingle, shift = Shingler(n), np.uint64(64 - BINS.bit_length() + 1)
+        shingle, seen, rank = Shingler(n), set(), steps.value
         for batch in batches:
             for part in portions(batch):
-                sets = [shingle(t) for t in as_bytes(part.column(1))]
+                values, at = shingle(part.column(1))
+                ranks = rank[(values & np.uint64(counters - 1)).astype(np.int64)]
+                names, sizes, keys, parities, prefixes = [], np.diff(at), [], [], []
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    s = values[lo:hi]
+                    names.append(class_of(s) if hi > lo else None)
+                    keys.append(int(s[0].view(np.int64)) if hi > lo else None)
+                    parities.append(_parities(s).view(np.uint64) if hi > lo else none)
+                    if hi == lo or names[-1] in seen:
+                        prefixes.append(none)
+                    else:
+                        seen.add(names[-1])
+                        prefixes.append(s[np.argsort(ranks[lo:hi], kind="stable")[: hi - lo - -(-percent * (hi - lo) // 100) + 1]])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([int(mix(s).view(np.int64).min()) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([np.bincount((s >> shift).astype(np.int64), minlength=BINS) for s in sets], pa.list_(pa.int32())),
-                    ],
-                    names=["id", "class", "size", "key", "bins"],
+                    [part.column(0), pa.array(names, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.int64()), _lists(parities, [x is not None for x in names]), _lists(prefixes, [len(x) > 0 for x in prefixes])],
+                    names=["id", "class", "size", "key", "parities", "prefix"],
                 )
 
-    return documents.select("id", "text").mapInArrow(run, f"id {kind}, class long, size long, key long, bins array<int>")
+    return documents.select("id", "text").mapInArrow(run, f"id {kind}, class long, size long, key long, parities array<long>, prefix array<long>")
 
 
-def postings(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token, class, size, pos) of every class's prefix, once in each task."""
-    counts = documents.sparkSession.sparkContext.broadcast(counters(documents, n).astype(np.uint32))
-
-    def run(batches):
-        shingle, seen, count = Shingler(n), set(), counts.value
-        for batch in batches:
-            for part in portions(batch):
-                tokens, classes, sizes, places = [], [], [], []
-                for text in as_bytes(part.column(0)):
-                    s = shingle(text)
-                    if not len(s) or (name := class_of(s)) in seen:
-                        continue
-                    seen.add(name)
-                    first = len(s) - -(-percent * len(s) // 100) + 1
-                    order = np.argsort(count[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:first]
-                    tokens.append(s[order])
-                    classes.append(np.full(first, name, np.int64))
-                    sizes.append(np.full(first, len(s), np.int32))
-                    places.append(np.arange(first, dtype=np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "class", "size", "pos"])
-
-    return documents.select("text").mapInArrow(run, "token long, class long, size int, pos int")
-
-
-def sets_of(documents: DataFrame, n: int, classes: DataFrame) -> DataFrame:
-    """(class, set) of the classes in ``classes`` (and of a few more), once in each task."""
-    held = bloom.gather(classes, BLOOM_BITS)
+def sets_of(documents: DataFrame, n: int, classes: DataFrame, number: int) -> DataFrame:
+    """(class, set) of the ``number`` classes in ``classes`` (and of a few more), once in each task."""
+    held = bloom.gather(classes, bloom.bits_for(number))
 
     def run(batches):
         shingle, seen = Shingler(n), set()
         for batch in batches:
             for part in portions(batch, 256):
-                rows = [(class_of(s), s) for t in as_bytes(part.column(0)) if len(s := shingle(t))]
-                keep = bloom.may_hold(held.value, np.array([r[0] for r in rows], np.int64))
+                values, at = shingle(part.column(0))
+                spans = [(lo, hi) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if hi > lo]
+                names = [class_of(values[lo:hi]) for lo, hi in spans]
+                keep = bloom.may_hold(held.value, np.array(names, np.int64))
                 out = []
-                for (name, s), k in zip(rows, keep.tolist(), strict=True):
+                for name, (lo, hi), k in zip(names, spans, keep.tolist(), strict=True):
                     if k and name not in seen:
                         seen.add(name)
-                        out.append((name, s.tobytes()))
+                        out.append((name, values[lo:hi].tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["class", "set"])
 
     return documents.select("text").mapInArrow(run, "class long, set binary")
 
 
-def _shared(x_bins, y_bins, sizes, percent: int):
-    """Whether enough shingles may be common: no more than, in each range of the hash, the smaller count."""
-    most = F.aggregate(F.zip_with(x_bins, y_bins, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return (100 + percent) * most >= percent * sizes
+def _half(x: Column) -> Column:
+    """Parities over half as many bins."""
+    h = (F.size(x) / 2).cast("int")
+    return F.when(h > 0, F.zip_with(F.slice(x, F.lit(1), h), F.slice(x, h + 1, h), lambda p, q: p.bitwiseXOR(q)))
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, key, weight) of pairs that pass the suffix filter: no more shingles can be common than, range by range of the hash,
-    the smaller count. ``classes``: class, size, key, bins. Key is that of a."""
-    one = lambda s: classes.select(F.col("class").alias(s), F.col("size").alias(f"{s}_size"), F.col("key").alias(f"{s}_key"), F.col("bins").alias(f"{s}_bins"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    sized = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    return both.where(sized & _shared(F.col("a_bins"), F.col("b_bins"), F.col("a_size") + F.col("b_size"), percent)).select("a", "b", F.col("a_key").alias("key"), (F.col("a_size") + F.col("b_size")).alias("weight"))
+def _similar(x: Column, y: Column, x_size: Column, y_size: Column, percent: int) -> Column:
+    """The suffix filter: no more bins may differ in parity than shingles may be not common. Sizes fit each other, so bins differ once by half at most."""
+    fewer, more = F.when(F.size(x) > F.size(y), _half(x)).otherwise(x), F.when(F.size(y) > F.size(x), _half(y)).otherwise(y)
+    differ = F.aggregate(F.zip_with(fewer, more, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    return (100 + percent) * differ <= (100 - percent) * (x_size + y_size)
 
 
-def verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b, key) of distinct classes that are within the threshold; each is looked at once."""
-    size = pairs.groupBy("key").agg(F.sum("weight").alias("n"))
-    dealt = pairs.join(size, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP_SHINGLES))).alias("g"), "a", "b")
-    dealt = written(dealt, "pairs")
-    wanted = dealt.select("g", F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = sets_of(documents, n, wanted.select("class").distinct())
-    sent = wanted.join(sets, "class").select("g", "class", F.lit(None).cast("long").alias("b"), "set")
-    both = sent.unionByName(dealt.select("g", F.col("a").alias("class"), "b", F.lit(None).cast("binary").alias("set")))
-
-    def run(_key, table):
-        own = table.filter(pc.is_valid(table["set"]))
-        held = {c: np.frombuffer(s, np.uint64) for c, s in zip(own["class"].to_pylist(), own["set"].to_pylist(), strict=True)}
-        asked = table.filter(pc.is_valid(table["b"]))
-        good = []
-        for a, b in zip(asked["class"].to_pylist(), asked["b"].to_pylist(), strict=True):
-            x, y = sorted((held[a], held[b]), key=len)
-            at = np.searchsorted(y, x)
-            common = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                good.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in good], pa.int64()), "b": pa.array([b for _, b in good], pa.int64())})
-
-    return both.groupBy("g").applyInArrow(run, "a long, b long")
-
-
-def _fits(x_size, x_pos, y_size, y_pos, percent: int):
+def _length(x_size, y_size, percent: int) -> Column:
+    return 100 * F.least(x_size, y_size) >= percent * F.greatest(x_size, y_size)
+
+
+def _fits(x_size, x_pos, y_size, y_pos, percent: int) -> Column:
     """The length filter, and the positional one: what is left behind a common shingle must suffice."""
     need = F.ceil(percent * (x_size + y_size) / F.lit(100 + percent))
-    return (100 * F.least(x_size, y_size) >= percent * F.greatest(x_size, y_size)) & (F.least(x_size - x_pos, y_size - y_pos) >= need)
+    return _length(x_size, y_size, percent) & (F.least(x_size - x_pos, y_size - y_pos) >= need)
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, key, weight) of pairs (a, b) that pass the suffix filter. Key is that of a."""
+    one = lambda s: classes.select(F.col("class").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("size", "key", "parities")])
+    both = pairs.join(one("a"), "a").join(one("b"), "b").where(_length(F.col("a_size"), F.col("b_size"), percent))
+    return both.where(_similar(F.col("a_parities"), F.col("b_parities"), F.col("a_size"), F.col("b_size"), percent)).select("a", "b", F.col("a_key").alias("key"), (F.col("a_size") + F.col("b_size")).alias("weight"))
+
+
+def verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int, into: str) -> DataFrame:
+    """Written: the pairs (a, b) of distinct classes that are within the threshold; each is looked at once."""
+    size = pairs.groupBy("key").agg(F.sum("weight").alias("n"))
+    dealt = pairs.join(size, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / GROUP_SHINGLES))).alias("g"), "a", "b")
+    dealt = written(dealt, "pairs", into)
+    wanted = dealt.select("g", F.col("a").alias("class")).unionByName(dealt.select("g", F.col("b").alias("class"))).distinct()
+    names = written(wanted.select("class").distinct(), "names", into)
+    sent = wanted.join(sets_of(documents, n, names, names.count()), "class").select("g", F.lit(None).cast("long").alias("a"), F.col("class").alias("b"), "set")
+    both = sent.unionByName(dealt.select("g", "a", "b", F.lit(None).cast("binary").alias("set")))
+
+    def run(batches):
+        """Rows come by group, its sets first."""
+        now, held = None, {}
+        for batch in batches:
+            good = []
+            for g, a, b, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if g != now:
+                    now, held = g, {}
+                if own is not None:
+                    held[b] = np.frombuffer(own, np.uint64)
+                    continue
+                x, y = sorted((held[a], held[b]), key=len)
+                at = np.searchsorted(y, x)
+                common = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], names=["a", "b"])
+
+    return written(both.repartition("g").sortWithinPartitions("g", F.asc_nulls_first("a"), "b").mapInArrow(run, "a long, b long"), "links", into)
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """Postings (token, class, size, pos, part) of lists that hold several parts, with the list's length ``n``."""
+    several = lists.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high").select("token", "n")
+    return lists.join(several.hint("shuffle_hash"), "token")
+
+
+def _parted(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    return lists.join(joined.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "size", "pos", F.coalesce("component", "class").alias("part"))
 
 
 def _pairs(ends: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of rows with another posting ``o`` of their list, where length and position allow a link."""
-    fit = ends.where("o is not null and o.class <> class").where(_fits(F.col("size"), F.col("pos"), F.col("o.size"), F.col("o.pos"), percent))
+    fit = ends.where("o is not null and o.part <> part and o.class <> class").where(_fits(F.col("size"), F.col("pos"), F.col("o.size"), F.col("o.pos"), percent))
     return fit.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct()
 
 
-def _apart(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """The postings of lists that hold several components, with each class's component as ``part``."""
-    by_token = Window.partitionBy("token")
-    marked = lists.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
-    return marked.withColumns({"low": F.min("part").over(by_token), "high": F.max("part").over(by_token)}).where("low <> high").drop("low", "high").distinct()
+def _meet(open_: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each posting with the one before it and the first of its block of the list; from the second turn on in random
+    order, and with one more before it."""
+    mixed = F.xxhash64("class", F.lit(turn))
+    block = F.pmod(F.xxhash64("class", F.lit(-turn)), F.ceil(F.col("n") / LIST_BLOCK))
+    order = Window.partitionBy("token", "block").orderBy("size", "class") if turn == 0 else Window.partitionBy("token", "block").orderBy("mixed", "class")
+    one = F.struct("class", "size", "pos", "part")
+    partners = [F.lag(one).over(order), F.first(one).over(order)] + ([F.lag(one, 2).over(order)] if turn else [])
+    ends = open_.withColumns({"mixed": mixed, "block": block}).select("class", "size", "pos", "part", F.array(*partners).alias("others"))
+    return _pairs(ends.select("class", "size", "pos", "part", F.explode("others").alias("o")), percent)
+
+
+def _all_pairs(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different parts that meet in a list and pass all three filters. Lists are cut by bands of size, within
+    which a link is possible to the same or the next; the join's skewed keys are Spark's to split."""
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) + 1e-9)) if percent < 100 else F.col("size")
+    full = open_.join(classes.select("class", "parities"), "class").withColumn("band", band.cast("long"))
+    x, y = full.alias("x"), full.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
+    c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
+    (xs, ys), (xc, yc), (xp, yp) = c("size"), c("class"), c("pos")
+    before = (xs < ys) | ((xs == ys) & (xc < yc))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & before & (F.col("x.part") != F.col("y.part")) & _fits(xs, xp, ys, yp, percent) & _similar(*c("parities"), xs, ys, percent)
+    return x.join(y, met).select(F.least(xc, yc).alias("a"), F.greatest(xc, yc).alias("b")).distinct()
+
+
+def _prepared(documents: DataFrame, n: int, percent: int, id_col: str, text_col: str, into: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows (id, text); written: members (id, class, size), classes (class, size, key, parities), lists (token, class, size, pos)."""
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = written(signatures(rows, n, percent), "signed", into)
+    known = signed.where("class is not null")
+    classes = written(known.where("prefix is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ("size", "key", "parities")]), "classes", into)
+    posted = known.where("prefix is not null").select("class", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
+    lists = written(_open(posted.withColumn("part", F.col("class"))).select("token", "class", "size", "pos", "n"), "lists", into)
+    return rows, signed.select("id", "class", "size"), classes, lists
+
+
+def links(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: verified pairs (a, b) between classes of equal sets, and the members (id, class, n_shingles)."""
+    spark = documents.sparkSession
+    with scratch(spark, "ngram") as into:
+        rows, members, classes, lists = _prepared(documents, n, percent, id_col, text_col, into)
+        near = written(likely(_all_pairs(lists.withColumn("part", F.col("class")), classes, percent), classes, percent), "near", into)
+        return written(verify(near, rows, n, percent, into), "links"), written(members.select(F.col("id").alias(id_col), "class", F.col("size").alias("n_shingles")), "members")
 
 
 def cluster(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_shingles, and component_id, the smallest id that links reach."""
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = written(signatures(rows, n), "members")
-    classes = members.where("class is not null").groupBy("class").agg(F.first("size").alias("size"), F.first("key").alias("key"), F.first("bins").alias("bins"))
-
-    by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy("size", "class", "pos")
-    one = F.struct("class", "size", "pos")
-    lists = postings(rows, n, percent).withColumns({"low": F.min("class").over(by_token), "high": F.max("class").over(by_token), "before": F.lag(one).over(ordered), "hub": F.first(one).over(ordered)})
-    lists = written(lists.where("low <> high").drop("low", "high"), "postings")
-    rarest = top_per(lists, ["class"], FIRST_LISTS, F.asc("pos"), F.asc("token"))
-    near = _pairs(rarest.select("class", "size", "pos", F.explode(F.array("before", "hub")).alias("o")), percent)
-    near = written(likely(near, classes, percent), "near")
-    links = written(verify(near, rows, n, percent), "links")
-    joined = written(components(links, "a", "b"), "components")
-    seen = near.select("a", "b")
-
-    # the same along the bounds between what is still apart, in every list
-    open_ = written(_apart(lists.select("token", "class", "size", "pos"), joined), "open")
-    one = F.struct("class", "size", "pos", "part")
-    bounds = open_.withColumn("o", F.lag(one).over(ordered)).where("o.part <> part")
-    near = written(likely(_pairs(bounds, percent).join(seen, ["a", "b"], "left_anti"), classes, percent), "near")
-    if near.limit(1).count():
-        links = written(links.unionByName(verify(near, rows, n, percent)), "links")
-        joined = written(components(links, "a", "b"), "components")
-        seen = seen.unionByName(near.select("a", "b"))
-        open_ = written(_apart(open_.select("token", "class", "size", "pos"), joined), "open")
-
-    # and every pair across components that the filters leave
-    full = open_.join(classes.select("class", "bins"), "class")
-    x, y = full.alias("x"), full.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.part") != F.col("y.part")) & _fits(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), percent) & _shared(F.col("x.bins"), F.col("y.bins"), F.col("x.size") + F.col("y.size"), percent)
-    across = x.join(y, met).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    across = written(likely(across, classes, percent), "across")
-    if across.limit(1).count():
-        links = written(links.unionByName(verify(across, rows, n, percent)), "links")
-        joined = components(links, "a", "b")
-
-    part = F.coalesce("component", "class")
-    whole = members.select("id", "class", "size").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("part", part).select("id", "size", "part")
-    whole = written(whole, "parts")
-    least = whole.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
-    out = whole.join(least, "part", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    with scratch(documents.sparkSession, "ngram") as into:
+        rows, members, classes, lists = _prepared(documents, n, percent, id_col, text_col, into)
+
+        def next_to(pairs: DataFrame, seen: DataFrame | None) -> DataFrame:
+            return written(likely(pairs.join(seen, ["a", "b"], "left_anti") if seen else pairs, classes, percent), "near", into)
+
+        by_class = Window.partitionBy("class").orderBy("pos", "token")
+        rarest = lists.withColumn("r", F.dense_rank().over(by_class)).where(F.col("r") <= FIRST_LISTS).drop("r", "n")
+        near = next_to(_meet(_open(rarest.withColumn("part", F.col("class"))), 0, percent), None)
+        seen = near.select("a", "b")
+        found = verify(near, rows, n, percent, into)
+        joined = written(components(found, "a", "b"), "components", into)
+        for turn in range(1, ROUNDS + 2):
+            open_ = written(_open(_parted(lists, joined)), "open", into)
+            pairs = _meet(open_, turn, percent) if turn <= ROUNDS else _all_pairs(open_, classes, percent)
+            near = next_to(pairs, seen)
+            if near.limit(1).count():
+                seen = seen.unionByName(near.select("a", "b"))
+                more = verify(near, rows, n, percent, into)
+                if more.limit(1).count():
+                    found = found.unionByName(more)
+                    joined = written(components(found, "a", "b"), "components", into)
+
+        part = F.coalesce("component", "class")
+        whole = written(members.join(joined.withColumnRenamed("node", "class"), "class", "left").select("id", "size", part.alias("part")), "parts", into)
+        least = whole.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
+        out = whole.join(least, "part", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+        return written(out, "clusters")
 
 
 def digest(documents: DataFrame) -> DataFrame:
