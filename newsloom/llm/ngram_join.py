@@ -18,15 +18,15 @@ taken from a posting list all at once:
 2. Lists that then still hold several components do the same in another order,
    with more partners, between different components.
 3. Lists that still hold several components give all further pairs between
-   components that the three filters leave.
+   components, by bands of size, that the three filters leave.
 
 A pair left out of ``cluster`` is one whose documents are connected already, so
 components are those of all links; ``links`` leaves out none.
 
 The suffix filter bounds the symmetric difference from below: shingles fall into
 twice as many bins as there are, and each bin whose parity differs holds one
-that is not common. It is part of the joins that make pairs. Verification meets
-the sets in groups of bounded weight, so a group of near copies is many groups.
+that is not common. Verification meets the sets in groups of bounded weight, so
+a group of near copies is many groups.
 
 Defined results. Words are separated by ASCII white space, A-Z in lower case.
 Fewer than ``n`` words are one shingle together; a null text or one without
@@ -277,16 +277,16 @@ def _meet(open_: DataFrame, turn: int, percent: int) -> DataFrame:
     return _pairs(ends.select("class", "size", "pos", "part", F.explode("others").alias("o")), percent)
 
 
-def _all_pairs(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of different parts that meet in a list and pass all three filters. Lists are cut by bands of size, within
-    which a link is possible to the same or the next; the join's skewed keys are Spark's to split."""
+def _all_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different parts that meet in a list where length and position allow a link. Lists are cut by bands of
+    size, within which a link is possible to the same or the next; the join's skewed keys are Spark's to split."""
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) + 1e-9)) if percent < 100 else F.col("size")
-    full = open_.join(classes.select("class", "parities"), "class").withColumn("band", band.cast("long"))
+    full = open_.select("token", "class", "size", "pos", "part", band.cast("int").alias("band"))
     x, y = full.alias("x"), full.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
     (xs, ys), (xc, yc), (xp, yp) = c("size"), c("class"), c("pos")
     before = (xs < ys) | ((xs == ys) & (xc < yc))
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & before & (F.col("x.part") != F.col("y.part")) & _fits(xs, xp, ys, yp, percent) & _similar(*c("parities"), xs, ys, percent)
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & before & (F.col("x.part") != F.col("y.part")) & _fits(xs, xp, ys, yp, percent)
     return x.join(y, met).select(F.least(xc, yc).alias("a"), F.greatest(xc, yc).alias("b")).distinct()
 
 
@@ -306,7 +306,7 @@ def links(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     spark = documents.sparkSession
     with scratch(spark, "ngram") as into:
         rows, members, classes, lists = _prepared(documents, n, percent, id_col, text_col, into)
-        near = written(likely(_all_pairs(lists.withColumn("part", F.col("class")), classes, percent), classes, percent), "near", into)
+        near = written(likely(_all_pairs(lists.withColumn("part", F.col("class")), percent), classes, percent), "near", into)
         return written(verify(near, rows, n, percent, into), "links"), written(members.select(F.col("id").alias(id_col), "class", F.col("size").alias("n_shingles")), "members")
 
 
@@ -326,7 +326,7 @@ def cluster(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
         joined = written(components(found, "a", "b"), "components", into)
         for turn in range(1, ROUNDS + 2):
             open_ = written(_open(_parted(lists, joined)), "open", into)
-            pairs = _meet(open_, turn, percent) if turn <= ROUNDS else _all_pairs(open_, classes, percent)
+            pairs = _meet(open_, turn, percent) if turn <= ROUNDS else _all_pairs(open_, percent)
             near = next_to(pairs, seen)
             if near.limit(1).count():
                 seen = seen.unionByName(near.select("a", "b"))

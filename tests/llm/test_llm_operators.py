@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, hnsw, langid, line_dedup, ngram_join, pieces, suffix_dedup, token_shards, toxicity, url_filter
+from newsloom.llm import decontaminate, hnsw, langid, line_dedup, ngram_join, pieces, shingles, suffix_dedup, token_shards, toxicity, url_filter
 
 DOCS = "doc_id long, text string"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -109,6 +110,32 @@ def test_ngram_repeats_and_empty(spark):
     assert ngram_join.digest(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ngram_links_are_all_of_them(spark, corpus):
+    links, members = ngram_join.links(clashing(spark.createDataFrame(corpus, DOCS)), 4, 60)
+    class_of = {r.doc_id: r["class"] for r in members.collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in links.collect()}
+    sets = {k: {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} for k, t in corpus if (w := (t or "").lower().split())}
+    want = {tuple(sorted((class_of[i], class_of[j]))) for i in sets for j in sets if i < j and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])}
+    assert got == want and len(want) > 20 and all(class_of[k] is None for k, _ in corpus if k not in sets)
+
+
+def test_shingles_equal_plain_sets(monkeypatch):
+    r = random.Random(1)
+    texts = [None, "", "  ", "one", "One two", "a b c d", "a b c d e a b c d", "É é É é"] + ["".join(r.choice("aBb \n\x0bé\u00a0") for _ in range(r.randrange(60))) for _ in range(300)] + ["x" * 3000 + " y " + "z" * 70 + " w" * 2000 + " q", "y" * 6000]
+    for piece in (shingles.PIECE, 64):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        values, at = shingles.Shingler(4)(pa.array(texts))
+        sets = []
+        for t in texts:
+            w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert [len(x) for x in own] == [len(x) for x in sets]
+        for _ in range(3000):
+            i, j = r.randrange(len(texts)), r.randrange(len(texts))
+            assert len(np.intersect1d(own[i], own[j])) == len(sets[i] & sets[j])
+
+
 # --- op3
 
 
