@@ -10,6 +10,12 @@ is. Repeated items count once per item_id; an item whose item_id is null is
 named ``null``. Repeated documents are judged alike, each in its own row. An
 empty benchmark hits nothing. Only the named columns are read, so further
 columns of whatever name pass through ``remove`` and do not reach ``match``.
+Very long texts are streamed whole, in memory in proportion to their words; a
+null doc_id is a row like any other.
+
+Bounds. An automaton takes ``BLOCK_CHARS`` of items; a benchmark of more is as
+many automata, all of which a worker holds, so ``MOST_BLOCKS`` of them are the
+limit: test sets are small beside a corpus, and a larger one is refused.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0
 FOLD = bytes(b if b in WORD_BYTES else 0x20 for b in bytes(range(256)).lower())
 WORD_RUN = re.compile(rb"[^ ]+")
 
-#: Characters of items held by one automaton, about 60 MB of Python objects; a larger benchmark is matched in several passes.
-BLOCK_CHARS = 2_000_000
+#: Characters of items held by one automaton, about 60 MB of Python objects; and how many automata a worker may hold.
+BLOCK_CHARS, MOST_BLOCKS = 2_000_000, 32
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -60,12 +66,16 @@ class Automaton:
                     while self.length[self.link[at]] >= size:
                         at = self.link[at]
                     own[at].setdefault(size, set()).add(name)
-        #: Per state, the windows that are suffixes of its words: {length: items}, its own and those of its suffix links.
-        self.windows: list[dict[int, set[str]]] = [{} for _ in self.next]
-        for v in sorted(range(len(self.next)), key=self.length.__getitem__):
-            above = self.windows[self.link[v]] if v else {}
-            self.windows[v] = {k: above.get(k, set()) | own[v].get(k, set()) for k in {*above, *own[v]}} if own[v] else above
-        self.least = [min(x, default=1 << 60) for x in self.windows]
+        self.n = n
+        #: Per state, the windows that end in it, {length: items}, and the nearest state up its suffix links that has some: names are held once.
+        self.windows = own
+        self.above = [-1] * len(own)
+        self.least = [1 << 60] * len(own)
+        for v in sorted(range(len(own)), key=self.length.__getitem__):
+            if v:
+                up = self.link[v]
+                self.above[v] = up if own[up] else self.above[up]
+                self.least[v] = min([self.least[up], *own[v]])
 
     def _extend(self, last: int, word: bytes) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -98,10 +108,11 @@ class Automaton:
         return copy
 
     def stream(self, doc: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        """The merged spans [first word, past the last] that windows cover, and the items that have one."""
+        """The merged spans [first word, past the last, whether a whole item of fewer than n words is in it] that windows cover,
+        and the items that have one."""
         nxt, link, length, least = self.next, self.link, self.length, self.least
         spans: list[list[int]] = []
-        found: set[str] = set()
+        met: set[tuple[int, int]] = set()
         s = matched = 0
         for i, word in enumerate(doc):
             t = nxt[s].get(word)
@@ -118,25 +129,29 @@ class Automaton:
             s = t
             matched += 1
             if matched >= least[s]:
-                fits = [k for k in self.windows[s] if k <= matched]
-                start = i + 1 - max(fits)
-                found.update(*(self.windows[s][k] for k in fits))
+                fits, at = [], s if self.windows[s] else self.above[s]
+                while at > 0:
+                    own = [k for k in self.windows[at] if k <= matched]
+                    fits += own
+                    met.update((at, k) for k in own)
+                    at = self.above[at]
+                start, short = i + 1 - max(fits), min(fits) < self.n
                 while spans and spans[-1][0] >= start:
-                    spans.pop()
+                    short |= spans.pop()[2]
                 if spans and spans[-1][1] >= start:
-                    spans[-1][1] = i + 1
+                    spans[-1][1:] = [i + 1, spans[-1][2] or short]
                 else:
-                    spans.append([start, i + 1])
-        return spans, found
+                    spans.append([start, i + 1, short])
+        return spans, set().union(*(self.windows[at][k] for at, k in met))
 
 
 def union(spans: list[list[int]], more: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted([*spans, *more]):
+    for a, b, short in sorted([*spans, *more]):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1][1:] = [max(out[-1][1], b), out[-1][2] or short]
         else:
-            out.append([a, b])
+            out.append([a, b, short])
     return out
 
 
@@ -146,6 +161,8 @@ def automata(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: st
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.col(text_col).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = 1 + total // block_chars
+    if blocks > MOST_BLOCKS:
+        raise ValueError(f"the benchmark has {total} characters; match it in parts of {MOST_BLOCKS * block_chars}")
     out = []
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "t"), F.lit(blocks)) == k)
@@ -173,7 +190,7 @@ def match(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
         for batch in batches:
             rows = [hits(t, blocks) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(d) for d, _, _ in rows], pa.int64()), pa.array([sum(b - a for a, b in s) for _, s, _ in rows], pa.int64()), pa.array([[{"first": a, "past": b} for a, b in s] for _, s, _ in rows], spans), pa.array([sorted(f) for _, _, f in rows], pa.list_(pa.string()))],
+                [batch.column(0), pa.array([len(d) for d, _, _ in rows], pa.int64()), pa.array([sum(b - a for a, b, _ in s) for _, s, _ in rows], pa.int64()), pa.array([[{"first": a, "past": b} for a, b, _ in s] for _, s, _ in rows], spans), pa.array([sorted(f) for _, _, f in rows], pa.list_(pa.string()))],
                 names=["id", "n_words", "n_hit", "spans", "items"],
             )
 
@@ -182,8 +199,8 @@ def match(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, n: int = 10, min_span: int = 10, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``documents`` without contamination: hit spans of at least ``min_span`` words (or of a whole shorter item) are cut
-    out of the text, and a document of which more than ``max_coverage`` of the words are hit goes as a whole.
+    """``documents`` without contamination: hit spans of at least ``min_span`` words, or with a whole item of fewer than ``n``
+    in them, are cut out of the text, and a document of which more than ``max_coverage`` of the words are hit goes as a whole.
 
     Clean rows come back byte for byte; the columns and their order stay.
     """
@@ -196,9 +213,9 @@ def remove(documents: DataFrame, benchmark: DataFrame, n: int = 10, min_span: in
             keep, texts = [], []
             for text in as_bytes(batch.column(at)):
                 doc, spans, _ = hits(text, blocks)
-                hit = sum(b - a for a, b in spans)
+                hit = sum(b - a for a, b, _ in spans)
                 keep.append(hit <= max_coverage * len(doc))
-                cut = [(a, b) for a, b in spans if b - a >= min(min_span, n)] if min_span > n else spans
+                cut = [(a, b) for a, b, short in spans if short or b - a >= min_span]
                 if cut and keep[-1]:
                     places = [m.span() for m in WORD_RUN.finditer(text.translate(FOLD))]
                     left, pieces = 0, []
