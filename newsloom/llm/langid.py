@@ -1,24 +1,28 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A letter trigram is bound from
-the three, the first permuted twice and the second once; a text is the bundle
-(sum) of its trigrams, a language the bundle of its training texts. A text has
-the language whose profile is nearest by cosine.
+Every letter has a random vector of +1 and -1 of its own, drawn by its code
+point. A letter trigram is bound from the three, the first permuted twice and
+the second once; a text is the bundle (sum) of its trigrams, a language the
+bundle of its training texts. A text has the language whose profile is nearest
+by cosine.
 
-Letters are a-z in lower case; any other letter falls, by its code point, into
-one of five further symbols; everything else is a word boundary. The bundles
-are sums of counts times trigram vectors, so texts are reduced to trigram
-counts first, and a profile to one row for each trigram that occurs.
+Letters are taken in lower case, whatever their script; everything else is a
+word boundary, a symbol with a vector as well; trigrams have a letter in the
+middle. Texts are reduced to counts of trigrams first.
 
 Defined results. A text that is null or has no letter is ``und`` with score 0,
 as is every text when nothing could be learned. Ties go to the language that
-sorts first. Texts are taken whole: long ones add up by pieces. Training reads
-every row with a language outside the held-out fold; its result is a count for
-each language and trigram, whatever the number of rows.
+sorts first. Texts are taken whole: long ones add up by pieces. Repeated rows
+are judged, and in training counted, each for itself. An empty table gives no
+row and teaches nothing. Training reads every row with a language outside the
+held-out fold; each task bundles what it reads into one vector a language, and
+the driver sees their sums. Further columns pass through; columns that have the
+names of the results give way to them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,53 +32,99 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from newsloom.llm.arrow import portions
+from newsloom.llm.names import without
 
 DIMENSIONS = 1024
 SEED = 20
-SYMBOLS = 32
-GRAMS = SYMBOLS**3
 PIECE = 1 << 20
-
-
-@lru_cache(maxsize=1)
-def symbols() -> np.ndarray:
-    """The symbol of each code point of the basic plane; 0 is the boundary."""
-    return np.fromiter((symbol(c) for c in range(0x10000)), np.uint8, 0x10000)
+#: Trigrams whose vectors a task keeps at hand (16 MB), and whose counts it keeps apart for a language.
+GRAMS_HELD = 1 << 14
+_BITS, _LOW = np.int64(21), np.int64((1 << 21) - 1)
 
 
 def symbol(point: int) -> int:
+    """The code point of a letter in lower case; 0, the boundary, for what is no letter."""
     letter = chr(point)
-    if not letter.isalpha():
-        return 0
-    low = ord(letter.lower()[0])
-    return low - 96 if 97 <= low <= 122 else 27 + low % 5
+    return ord(letter.lower()[0]) if letter.isalpha() else 0
 
 
 @lru_cache(maxsize=1)
-def gram_vectors() -> np.ndarray:
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (first[:, None, None, :] * second[None, :, None, :] * letters[None, None, :, :]).reshape(GRAMS, DIMENSIONS)
-
-
-def counts(text: str | None) -> np.ndarray | None:
-    """How often each trigram occurs; None without a letter."""
-    if not text:
-        return None
-    total, carry = None, np.zeros(1, np.uint8)
-    for at in range(0, len(text), PIECE):
+def _plane() -> np.ndarray:
+    return np.fromiter(map(symbol, range(0x10000)), np.int32, 0x10000)
+
+
+@lru_cache(maxsize=4096)
+def letter_vector(point: int) -> np.ndarray:
+    return np.random.default_rng([SEED, point]).integers(0, 2, DIMENSIONS, np.int8) * np.int8(2) - np.int8(1)
+
+
+def gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The bound vectors of trigrams, a row each."""
+    out = np.ones((len(grams), DIMENSIONS), np.int8)
+    for place in range(3):
+        points, at = np.unique((grams >> (_BITS * np.int64(2 - place))) & _LOW, return_inverse=True)
+        letters = np.array([np.roll(letter_vector(int(p)), 2 - place) for p in points], np.int8).reshape(-1, DIMENSIONS)
+        out *= letters[at]
+    return out
+
+
+class Grams:
+    """The vectors of trigrams, kept while a task runs; as many as ``GRAMS_HELD``."""
+
+    def __init__(self):
+        self.known, self.rows = np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.int8)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """The rows of sorted distinct trigrams."""
+        new = grams[~np.isin(grams, self.known, assume_unique=True)]
+        if len(new):
+            if len(self.known) + len(new) > GRAMS_HELD:
+                self.__init__()
+                new = grams
+            if len(new) > GRAMS_HELD:
+                return gram_vectors(new)
+            known = np.concatenate([self.known, new])
+            order = np.argsort(known)
+            self.known, self.rows = known[order], np.concatenate([self.rows, gram_vectors(new)])[order]
+        return self.rows[np.searchsorted(self.known, grams)]
+
+
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a text, sorted, and how often each occurs."""
+    found, times, carry = [], [], np.zeros(1, np.int32)
+    for at in range(0, len(text or ""), PIECE):
         points = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = symbols()[np.minimum(points, 0xFFFF)]
+        codes = _plane()[np.minimum(points, 0xFFFF)]
         for i in np.flatnonzero(points > 0xFFFF):
             codes[i] = symbol(int(points[i]))
-        codes = np.concatenate([carry, codes, np.zeros(int(at + PIECE >= len(text)), np.uint8)])
-        codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])].astype(np.int32)
-        grams = (codes[:-2] << 10) | (codes[1:-1] << 5) | codes[2:]
-        grams = grams[codes[1:-1] != 0] if len(grams) else grams
-        found = np.bincount(grams, minlength=GRAMS)
-        total = found if total is None else total + found
-        carry = codes[-2:].astype(np.uint8)
-    return total if total is not None and total.any() else None
+        codes = np.concatenate([carry, codes, np.zeros(int(at + PIECE >= len(text)), np.int32)])
+        codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+        wide = codes.astype(np.int64)
+        grams = ((wide[:-2] << (2 * _BITS)) | (wide[1:-1] << _BITS) | wide[2:])[wide[1:-1] != 0]
+        some, n = np.unique(grams, return_counts=True)
+        found.append(some)
+        times.append(n)
+        carry = codes[-2:]
+    if len(found) == 1:
+        return found[0], times[0]
+    return _summed(found, times)
+
+
+def _summed(grams: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not grams:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    some, at = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.zeros(len(some), np.int64)
+    np.add.at(total, at, np.concatenate(times))
+    return some, total
+
+
+def bundle(grams: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The sum of trigram vectors, each as often as it occurs; whole numbers, so any order of adding gives the same."""
+    out = np.zeros(DIMENSIONS, np.int64)
+    for lo in range(0, len(grams), 2048):
+        out += (times[lo : lo + 2048].astype(float) @ gram_vectors(grams[lo : lo + 2048]).astype(float)).astype(np.int64)
+    return out
 
 
 def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:
@@ -85,34 +135,51 @@ def train(documents: DataFrame, lang_col: str = "lang", text_col: str = "text")
     """The languages and their profiles, a row each of length one."""
 
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
+        waiting: dict[str, tuple[list, list]] = {}
+        bundles: dict[str, np.ndarray] = {}
+
+        def close(lang):
+            some, total = _summed(*waiting.pop(lang))
+            bundles[lang] = bundles.get(lang, 0) + bundle(some, total)
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (found := counts(text)) is not None:
-                    sums[lang] = sums[lang] + found if lang in sums else found
-        for lang, total in sums.items():
-            grams = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int32()), pa.array(total[grams], pa.int64())], names=["lang", "gram", "n"])
-
-    rows = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null").mapInArrow(run, "lang string, gram int, n long")
-    table = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+                some, n = counts(text)
+                if len(some):
+                    own = waiting.setdefault(lang, ([], []))
+                    own[0].append(some)
+                    own[1].append(n)
+                    if len(own[0]) == 256:
+                        waiting[lang] = tuple([x] for x in _summed(*own))
+                        if len(waiting[lang][0][0]) > GRAMS_HELD:
+                            close(lang)
+        for lang in list(waiting):
+            close(lang)
+        for lang, total in bundles.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(total)], names=["lang", "at", "n"])
+
+    rows = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null").mapInArrow(run, "lang string, at int, n long")
+    table = rows.groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(table["lang"].unique())
     profiles = np.zeros((len(langs), DIMENSIONS))
     for k, lang in enumerate(langs):
-        own = table[table["lang"] == lang].sort_values("gram")
-        profiles[k] = (own["n"].to_numpy(float) / own["n"].sum()) @ gram_vectors()[own["gram"].to_numpy()].astype(float)
+        own = table[table["lang"] == lang]
+        profiles[k, own["at"].to_numpy()] = own["n"].to_numpy(float)
         profiles[k] /= np.linalg.norm(profiles[k]) or 1
     return langs, profiles.astype(np.float32)
 
 
-def nearest(texts: list[str | None], langs: list[str], profiles: np.ndarray) -> tuple[list[str], list[float]]:
+def nearest(texts: list[str | None], langs: list[str], profiles: np.ndarray, grams: Grams) -> tuple[list[str], list[float]]:
     found = [counts(t) for t in texts]
-    some = [k for k, c in enumerate(found) if c is not None and langs]
+    some = [k for k, (g, _) in enumerate(found) if len(g) and langs]
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if some:
-        dense = np.array([found[k] for k in some], np.float32)
-        used = np.flatnonzero(dense.any(axis=0))
-        bundles = dense[:, used] @ gram_vectors()[used].astype(np.float32)
+        used, at = np.unique(np.concatenate([found[k][0] for k in some]), return_inverse=True)
+        bundles = np.zeros((len(some), DIMENSIONS), np.float32)
+        dense = np.zeros((len(some), len(used)), np.float32)
+        dense[np.repeat(np.arange(len(some)), [len(found[k][0]) for k in some]), at] = np.concatenate([found[k][1] for k in some])
+        for lo in range(0, len(used), 4096):
+            bundles += dense[:, lo : lo + 4096] @ grams(used[lo : lo + 4096]).astype(np.float32)
         cosines = bundles @ profiles.T / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
         best = cosines.argmax(axis=1)
         for row, k in enumerate(some):
@@ -120,20 +187,21 @@ def nearest(texts: list[str | None], langs: list[str], profiles: np.ndarray) ->
     return names, scores
 
 
-def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """``documents`` with lang_pred and score behind its columns; nothing but the text is an input."""
+def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """``documents`` with lang_pred and score (or other names) behind its columns; nothing but the text is an input."""
     langs, profiles = model
     held = documents.sparkSession.sparkContext.broadcast((langs, profiles))
+    documents = documents.select(*[F.col(f"`{c}`") for c in without(documents.columns, [lang_name, score_name])])
     at = documents.columns.index(text_col)
 
-    def run(batches):
-        known, rows = held.value
+    def run(batches: Iterator[pa.RecordBatch]):
+        (known, rows), grams = held.value, Grams()
         for batch in batches:
             for part in portions(batch, 128):
-                names, scores = nearest(part.column(at).to_pylist(), known, rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                names, scores = nearest(part.column(at).to_pylist(), known, rows, grams)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_name, score_name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())]))
 
 
 def digest(documents: DataFrame) -> DataFrame:
