@@ -18,9 +18,17 @@ its own, divided by its norm.
 Defined results. A text that is null or has no letter has the score of a word
 without features. Texts are read whole, a word at a time; runs of single letters
 are also read as one word. Very long words are read in overlapping windows. Rows
-that repeat score alike. Training takes at most ``SAMPLE`` labelled texts, by a
-hash of doc_id; a doc_id with several labels is toxic if one says so. Without
-texts of both kinds every score is the share of toxic ones, or 0.
+that repeat score alike. An empty table has no scores. Ties in training go by
+doc_id and text. A doc_id with several labels is toxic if one says so. Without
+texts of both kinds every score is the share of toxic ones, or 0. Further columns
+pass through; columns that have the names of the results give way to them.
+
+Bounds of training, all of them parameters of this module: ``SAMPLE`` labelled
+rows of ``SAMPLE_BYTES`` of text together, by a hash of doc_id, as many as fit
+both. Of their words the machine sees all that it takes for insults, and
+``HARDEST`` and ``RANDOM`` of the clean ones a round, the hardest chosen anew from
+all by what it has learned; where no word is suspect, the ``FALLBACK`` that come
+nearest. Words of every length are read in the windows that scoring uses.
 """
 
 from __future__ import annotations
@@ -32,9 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from newsloom.llm.arrow import portions
-from newsloom.llm.langid import held_out, symbol
+from newsloom.llm.langid import held_out
+from newsloom.llm.names import without
 
-SAMPLE = 6000
+SAMPLE, SAMPLE_BYTES = 6000, 24_000_000
+HARDEST, RANDOM, FALLBACK = 4000, 4000, 20
+#: Letters of the shortest word of which bent forms are learned: shorter ones come too near to clean words.
+LEAST_BENT = 4
 LANDMARKS = 256
 DECAY = 0.6
 SPAN = 5
@@ -50,11 +62,26 @@ _END = 31
 _SYMBOLS = {}
 
 
+def symbol(point: int) -> int:
+    """1 to 26 for a-z; letters of other scripts fall, by code point, into five further symbols."""
+    letter = chr(point)
+    if not letter.isalpha():
+        return 0
+    low = ord(letter.lower()[0])
+    return low - 96 if 97 <= low <= 122 else 27 + low % 5
+
+
 def unit(token: str) -> str:
     """The letters of a token, in lower case."""
     return token.lower() if token.isalpha() else "".join([c for c in token if c.isalpha()]).lower()
 
 
+def windows(token: str) -> list[str]:
+    """The letters of a token; those of a very long one in overlapping windows."""
+    u = unit(token)
+    return [u[lo : lo + WINDOW] for lo in range(0, max(1, len(u) - WINDOW // 2), WINDOW // 2)] if len(u) > WINDOW else [u]
+
+
 def units(text: str | None) -> set[str]:
     """The distinct words of a text, with runs of three or more single letters also as one."""
     tokens = (text or "").split()
@@ -128,7 +155,7 @@ def bend(words: list[str], rng: np.random.Generator, each: int = 3) -> list[str]
     """Words with a letter put in between, as someone would write them to get past a list."""
     out = []
     for word in words:
-        for _ in range(each if 4 <= len(word) < WINDOW else 0):
+        for _ in range(each if len(word) >= LEAST_BENT else 0):
             at = int(rng.integers(1, len(word)))
             out.append(word[:at] + chr(97 + int(rng.integers(26))) + word[at:])
     return out
@@ -157,10 +184,9 @@ class Model:
         new = [t for t in tokens if t not in self.table]
         pieces, owner = [], []
         for k, t in enumerate(new):
-            u = unit(t)
-            for lo in range(0, max(1, len(u) - WINDOW // 2), WINDOW // 2) if len(u) > WINDOW else (0,):
-                pieces.append(u[lo : lo + WINDOW])
-                owner.append(k)
+            own = windows(t)
+            pieces += own
+            owner += [k] * len(own)
         value = np.full(len(new), -np.inf)
         np.maximum.at(value, np.array(owner, np.int64), judged(pieces, self.weights, self.bias))
         self.table.update(zip(new, value.tolist(), strict=True))
@@ -193,7 +219,7 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
         share = float(np.clip(y.mean() if len(y) else 0, 1e-9, 1 - 1e-9))
         return Model(np.zeros(_DIM), 0.0, 0.0, float(np.log(share / (1 - share))))
     place: dict[str, int] = {}
-    members = [np.unique(np.array([place.setdefault(u, len(place)) for t in sorted(units(x)) if (u := unit(t)[:WINDOW])], np.int32)) for x in texts]
+    members = [np.unique(np.array([place.setdefault(u, len(place)) for t in sorted(units(x)) for u in windows(t) if u], np.int32)) for x in texts]
     vocabulary = list(place)
     n1, n0 = (sum((np.bincount(m, minlength=len(place)) for m, label in zip(members, toxic, strict=True) if bool(label) == kind), np.zeros(len(place))) for kind in (True, False))
     expected = (n1 + n0 + 1) * y.mean()
@@ -204,9 +230,9 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
     lacking = n0 <= 0.1 * n1
     sure = np.flatnonzero((suspect >= 4) & lacking)
     if not len(sure):
-        sure = by_suspicion[:20]
+        sure = by_suspicion[:FALLBACK]
     bent = bend([vocabulary[k] for k in sure], rng)
-    positive, hard = sure, clean[np.argsort(-suspect[clean], kind="stable")][:3000]
+    positive, hard = sure, clean[np.argsort(-suspect[clean], kind="stable")][:HARDEST]
     for turn in range(2):  # the second time, the clean words that looked worst are landmarks too
         near = hard if turn else np.argsort(-n0, kind="stable")
         chosen = list(dict.fromkeys([*by_suspicion[: landmarks // 2].tolist(), *near[: landmarks // 4].tolist(), *rng.permutation(len(vocabulary))[: landmarks // 4].tolist()]))
@@ -217,7 +243,7 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         for _ in range(ROUNDS):
-            negative = np.unique(np.concatenate([hard, rng.permutation(clean)[:4000]]))
+            negative = np.unique(np.concatenate([hard, rng.permutation(clean)[:RANDOM]]))
             negative = negative[~np.isin(negative, positive)]
             rows = np.concatenate([positive, negative])
             words = [vocabulary[k] for k in rows] + bent
@@ -227,24 +253,37 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
             value = judged(vocabulary, dense @ (root @ w[:-1]), float(w[-1]))
             found = [own[np.argmax(value[own])] for m, label in zip(members, toxic, strict=True) if label and len(own := m[lacking[m]])]
             positive = np.unique(np.concatenate([np.array([k for k in found if value[k] > -0.5], np.int64), sure]))
-            hard = clean[np.argsort(-value[clean], kind="stable")][:4000]
+            hard = clean[np.argsort(-value[clean], kind="stable")][:HARDEST]
     model = Model(dense @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
     model.slope, model.shift = _curve(model.worst(texts), y)
     model.table = {}
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Labels outside the held-out fold; at most ``sample`` of them, by a hash of doc_id."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Labels outside the held-out fold; at most ``sample`` rows of ``sample_bytes`` together, by a hash of doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toArrow().to_pandas().sort_values(["doc_id", "text"])
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("text"))
+    sizes = rows.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
+    last, total = None, 0
+    for last in sizes.collect():
+        total += last.bytes
+        if total > sample_bytes:
+            break
+    if last is None:
+        return fit([], [])
+    place = F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "h")
+    bound = F.struct(F.xxhash64(F.lit(last.doc_id)).alias("x"), F.lit(last.doc_id).alias("doc_id"), F.lit(last.h).alias("h"))
+    rows = rows.where(place < bound if total > sample_bytes else place <= bound)
+    rows = rows.orderBy("doc_id", "text").limit(sample).select("doc_id", "text", "toxic").toArrow().to_pandas()
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 
-def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``documents`` with score and predicted behind its columns."""
+def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text", score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """``documents`` with score and predicted (or other names) behind its columns."""
     held = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.shift))
+    documents = documents.select(*[F.col(f"`{c}`") for c in without(documents.columns, [score_name, predicted_name])])
     at = documents.columns.index(text_col)
 
     def run(batches):
@@ -252,9 +291,9 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text
         for batch in batches:
             for part in portions(batch, 256):
                 value = own.score(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32))], names=[*part.schema.names, score_name, predicted_name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(score_name, DoubleType()), StructField(predicted_name, IntegerType())]))
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
