@@ -7,8 +7,11 @@ for itself. A task segments every distinct chunk once, by the library, and
 joins the ids of a text back by the positions of its chunks.
 
 Defined results. A null text counts as empty; an empty text has no ids, and
-decodes to an empty text. Very long words go to the library whole. The table
-is emptied when it holds ``TABLE_CHARS`` characters, so memory stays bounded.
+decodes to an empty text. Very long words go to the library whole, very long
+texts chunk by chunk. Repeated rows are encoded alike, each in its own row; an
+empty table gives none. Further columns are not read, whatever their names. The
+table is emptied when it holds ``TABLE_CHARS`` characters (about 100 MB of Python
+objects), so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from newsloom.llm.arrow import portions
 #: Fixed value: the library's whitespace marker.
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_CHARS = 24_000_000
+TABLE_CHARS = 6_000_000
 
 
 class Codec:
@@ -87,7 +90,10 @@ class Codec:
 
 
 class Packer(Codec):
-    """Text to ids as little-endian 16-bit numbers, and nothing else."""
+    """Text to ids as little-endian 16-bit numbers, and nothing else; its table has one short entry a chunk and may hold more."""
+
+    def __init__(self, model_file: str, table_chars: int = 3 * TABLE_CHARS):
+        super().__init__(model_file, table_chars)
 
     def clear(self) -> None:
         self.held = 0

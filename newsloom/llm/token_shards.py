@@ -1,30 +1,34 @@
 """Training-order materialisation: fixed-stride token shards in a keyed random order.
 
 Texts become ids, an end id closes each, and ids are cut into sequences of
-``length`` (the last one padded). Sequences are numbered 0..N-1 without gaps; a
-keyed Feistel network over the next even power of two, walked along its cycle
-until it falls below N, sends each number to a slot of its own. Slots are dealt
-to partitions by range, so a shard is a run of consecutive records of one
-stride: a reader seeks to ``slot * stride`` and goes on from there.
-
-Recovery. Ids are written once to the shared folder, as one file for each input
-partition; every number follows from (file, row) there, so a task that runs
-again makes the same records. Only the number of sequences of each partition
-reaches the driver.
+``length`` (the last one padded). Sequences are numbered 0..N-1 without gaps, in
+the order of a hash of document and text; a keyed Feistel network over the next
+even power of two, walked along its cycle until it falls below N, sends each
+number to a slot of its own. Slots are dealt to partitions by range, and each
+partition writes its records one behind the other, all of one stride: a reader
+seeks to ``(slot - first) * stride`` in the shard that begins at ``first`` and goes
+on from there.
+
+Recovery. Ids are written once to the shared folder, in order; every number
+follows from the rows themselves, so a task that runs again makes the same
+records, and other splits of the input make the same order. Only the number of
+sequences of each partition reaches the driver.
 
 Defined results. A null or empty text has no sequence. Repeated rows each have
-their own. The empty table has no shard. Numbers follow the order of rows in
-the table as it is read; the key alone decides the slots, so one key and one
-written table give one order.
+their own, side by side in number. A null id is an id like any other. The empty
+table has no shard. Very long texts are encoded chunk by chunk and cut into as
+many sequences as they need. Further columns are not read, whatever their names.
+Key, rows and ``length`` decide the order, nothing else.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ from newsloom.plans.durable import written
 
 LENGTH = 512
 SHARD_SLOTS = 4096
+#: Ranges of the hash that orders documents; partitions take runs of them, so their number does not show in the order.
+BUCKETS = 1 << 16
 KEY = b"training order"
 ROUNDS = 6
 #: Ranges of whole shards that one shuffle deals to; with more shards than that, each range has several.
@@ -78,20 +84,28 @@ class Permutation:
 def tokens(documents: DataFrame, model_file: str, length: int, id_col: str, text_col: str) -> DataFrame:
     """Written to the shared folder: part, the number of its first sequence within the part, id, and the ids as 16-bit numbers."""
     kind = documents.schema[id_col].dataType.simpleString()
+    parts = min(BUCKETS, max(1, documents.rdd.getNumPartitions()))
 
-    def run(batches):
+    def encode(batches):
         pack, end = packer(model_file)
-        at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             for rows in portions(batch):
-                ids = [x + end if x else b"" for x in pack(rows.column(1).to_pylist())]
-                n = np.array([-(-len(x) // (2 * length)) for x in ids], np.int64)
-                first = at + np.cumsum(n) - n
-                at += int(n.sum())
-                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first), pa.array(n), rows.column(0), pa.array(ids, pa.binary())], names=["part", "first", "n", "id", "ids"])
-                yield out.filter(pa.array(n > 0))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([x + end for x in pack(rows.column(3).to_pylist())], pa.binary())], names=["part", "h", "id", "ids"])
+
+    def number(batches):
+        """A partition's rows come in order."""
+        at = 0
+        for batch in batches:
+            n = -(-pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) // (2 * length))
+            first = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), pa.array(n), batch.column(1), batch.column(2)], names=["part", "first", "n", "id", "ids"])
 
-    return written(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"part int, first long, n long, id {kind}, ids binary"), "tokens")
+    h = F.xxhash64(id_col, text_col)
+    part = F.floor(F.pmod(h, F.lit(BUCKETS)) * parts / F.lit(BUCKETS)).cast("int")
+    rows = documents.where(F.col(text_col) != "").select(part.alias("part"), h.alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    dealt = rows.mapInArrow(encode, f"part int, h long, id {kind}, ids binary").repartitionById(parts, F.col("part")).sortWithinPartitions(F.pmod("h", F.lit(BUCKETS)), "h", "id")
+    return written(dealt.select("part", "id", "ids").mapInArrow(number, f"part int, first long, n long, id {kind}, ids binary"), "tokens")
 
 
 def materialise(documents: DataFrame, model_file: str, length: int = LENGTH, key: bytes = KEY, shard_slots: int = SHARD_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,10 +143,29 @@ def materialise(documents: DataFrame, model_file: str, length: int = LENGTH, key
 
 
 def write_shards(records: DataFrame, path: str) -> None:
-    """One file for each range of slots, its rows in slot order."""
-    records.write.parquet(path)
-
-
-def resume(spark: SparkSession, path: str, slot: int) -> DataFrame:
-    """The records from ``slot`` on; files and row groups that end before it are skipped by their statistics."""
-    return spark.read.parquet(path).where(F.col("slot") >= slot).orderBy("slot")
+    """``path``/records: a file for each range of slots, its records of one stride (their bytes and a newline) in slot order;
+    ``path``/index: for each file its number, first slot, slots and stride."""
+    spark = records.sparkSession
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
+    files = records.groupBy(F.spark_partition_id().alias("file")).agg(F.min("slot").alias("first"), F.count("*").alias("slots"), (F.max(F.length("record")) + 1).alias("stride"))
+    spark.createDataFrame(files.collect(), files.schema).coalesce(1).write.parquet(f"{path}/index")
+
+
+def read_shards(spark: SparkSession, path: str, slot: int = 0, most: int | None = None) -> Iterator[bytes]:
+    """The records from ``slot`` on, in order, for one reader: it seeks to the first and reads on, in whatever store Spark can reach."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    store = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {int(x.getPath().getName().split("-")[1]): x.getPath() for x in store.listStatus(fs.Path(f"{path}/records")) if x.getPath().getName().startswith("part-")}
+    for shard in spark.read.parquet(f"{path}/index").where(F.col("first") + F.col("slots") > slot).orderBy("first").toLocalIterator():
+        stream = store.open(names[shard.file])
+        try:
+            at = max(0, slot - shard.first)
+            stream.seek(at * shard.stride)
+            while at < shard.slots and most != 0:
+                n = min(shard.slots - at, max(1, (1 << 20) // shard.stride), most or shard.slots)
+                held = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n * shard.stride))
+                yield from (held[k * shard.stride : (k + 1) * shard.stride - 1] for k in range(n))
+                at += n
+                most = most and most - n
+        finally:
+            stream.close()
