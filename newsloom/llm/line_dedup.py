@@ -9,8 +9,9 @@ Defined results. A null text has no lines and stays null. Fewer than three
 lines make no window, and windows of white space alone are passed over, so
 such texts stay as they are. Rows alike in doc_id and text are one document:
 each of them keeps or loses the same lines. A null doc_id counts as the
-smallest. A text that loses every line becomes empty. Further columns of the
-table are not read.
+smallest. A text that loses every line becomes empty. An empty table gives no
+row. Texts of any length are read whole, as arrays of their lines. Further
+columns of the table pass through, whatever their names.
 
 At scale: windows are aggregated to their first occurrence before the shuffle,
 so a passage that a third of all documents share is one row for each task; the
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.llm.names import free, without
+
 LINES = 3
 
 
@@ -34,10 +37,14 @@ def _windows(lines: Column) -> Column:
     return F.transform(joined, lambda w: F.when(F.trim(F.translate(w, "\n\r\t", "   ")) != "", F.unhex(F.md5(w.cast("binary")))))
 
 
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with later occurrences cut from the text, and n_lines and n_removed behind its columns."""
-    rows = documents.withColumn("_kid", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("_lines", F.split(text_col, "\n", -1))
-    found = rows.select(F.col(id_col).alias("id"), F.col("_kid").alias("kid"), F.posexplode(_windows(F.col("_lines"))).alias("pos", "h")).where("h is not null")
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_name: str = "n_lines", removed_name: str = "n_removed") -> DataFrame:
+    """``documents`` with later occurrences cut from the text, and n_lines and n_removed (or other names) behind its columns;
+    columns that have these names give way to them."""
+    kept_columns = without(documents.columns, [lines_name, removed_name])
+    documents = documents.select(*[F.col(f"`{c}`") for c in kept_columns])
+    own_kid, own_lines = free("_kid", [*kept_columns, "kid", "id"]), free("_lines", kept_columns)
+    rows = documents.withColumn(own_kid, F.xxhash64(F.col(id_col), F.col(text_col))).withColumn(own_lines, F.split(text_col, "\n", -1))
+    found = rows.select(F.col(id_col).alias("id"), F.col(own_kid).alias("kid"), F.posexplode(_windows(F.col(own_lines))).alias("pos", "h")).where("h is not null")
     first = found.groupBy("h").agg(F.min(F.struct("id", "kid", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(first, "h").where(~F.struct("id", "kid", "pos").eqNullSafe(F.col("first"))).select("id", "kid", "pos").distinct()
 
@@ -52,15 +59,15 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("ended"), F.struct(F.col("ended").alias("at"), (F.col("pos") - F.col("ended")).alias("n"))))).alias("kept"),
         )
     )
-    lines = F.col("_lines")
-    tail = F.slice(lines, F.col("past") + 1, F.greatest(F.size(lines) - F.col("past"), F.lit(0)))
-    left = F.concat(F.flatten(F.transform("kept", lambda g: F.slice(lines, g["at"] + 1, g["n"]))), tail)
-    text = F.when(F.col("past").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    joined = rows.join(cut, (rows["_kid"] == cut["kid"]) & rows[id_col].eqNullSafe(cut["id"]), "left")
+    lines = rows[own_lines]
+    tail = F.slice(lines, cut["past"] + 1, F.greatest(F.size(lines) - cut["past"], F.lit(0)))
+    left = F.concat(F.flatten(F.transform(cut["kept"], lambda g: F.slice(lines, g["at"] + 1, g["n"]))), tail)
+    text = F.when(cut["past"].isNull(), rows[text_col]).otherwise(F.array_join(left, "\n"))
+    joined = rows.join(cut, (rows[own_kid] == cut["kid"]) & rows[id_col].eqNullSafe(cut["id"]), "left")
     return joined.select(
-        *[text.alias(c) if c == text_col else rows[c] for c in documents.columns],
-        F.greatest(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias(c) if c == text_col else rows[f"`{c}`"] for c in documents.columns],
+        F.greatest(F.size(lines), F.lit(0)).cast("long").alias(lines_name),
+        F.coalesce(cut["n_removed"], F.lit(0)).cast("long").alias(removed_name),
     )
 
 

@@ -1,6 +1,7 @@
 """The ten operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -62,7 +63,7 @@ def test_automaton_equals_brute_force_on_small_alphabets():
         text = " ".join(r.choice("abc") for _ in range(25))
         spans, found = decontaminate.Automaton([(k, decontaminate.words(t.encode())) for k, t in items], 4).stream(decontaminate.words(text.encode()))
         n, hit, names = decontaminate.brute(text, items, 4)
-        assert sum(b - a for a, b in spans) == hit and sorted(found) == names
+        assert sum(b - a for a, b, _ in spans) == hit and sorted(found) == names
 
 
 def test_blocks_of_items_find_the_same(spark, corpus):
@@ -86,6 +87,17 @@ def test_removal_keeps_clean_rows_and_cuts_spans(spark):
     assert decontaminate.remove(docs, spark.createDataFrame([], "item_id long, text string")).count() == 5
 
 
+@pytest.mark.parametrize("least,cut", [(5, {1, 2, 3}), (10, {1, 2, 3}), (11, {2, 3}), (20, {3})])
+def test_removal_heeds_its_length_limit(spark, least, cut):
+    """Spans of 10 and 15 words, and a whole item of three words, which goes at any limit."""
+    w = [f"q{i}" for i in range(15)]
+    around = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, f"{around} {' '.join(w[:10])} {around}"), (2, f"{around} {' '.join(w)} {around}"), (3, f"{around} one two three {around}")]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "one two three")], "item_id long, text string")
+    out = {r.doc_id: r.text for r in decontaminate.remove(spark.createDataFrame(rows, DOCS), items, min_span=least).collect()}
+    assert {k for k, t in rows if out[k] != t} == cut and "two" not in out[3]
+
+
 # --- op2
 
 
@@ -150,20 +162,28 @@ def test_permutation_is_a_bijection(n):
 
 
 def test_shards_round_trip(spark, corpus, tmp_path):
-    docs = [*corpus, corpus[0]]
+    docs = [*corpus, corpus[0], (None, "no id here")]
     out = token_shards.materialise(clashing(spark.createDataFrame(docs, DOCS)), MODEL, length=16, shard_slots=8)
-    token_shards.write_shards(out, str(tmp_path / "shards"))
-    rows = token_shards.resume(spark, str(tmp_path / "shards"), 0).collect()
+    path = str(tmp_path / "shards")
+    token_shards.write_shards(out, path)
+    rows = out.orderBy("slot").collect()
     assert [r.slot for r in rows] == list(range(len(rows))) and {len(r.record) for r in rows} == {32} and all(r.shard == r.slot // 8 for r in rows)
-    assert [r.slot for r in token_shards.resume(spark, str(tmp_path / "shards"), 5).limit(3).collect()] == [5, 6, 7]
+    whole = list(token_shards.read_shards(spark, path))
+    assert whole == [bytes(r.record) for r in rows]
+    sizes = {f.stat().st_size % 33 for f in (tmp_path / "shards" / "records").glob("part-*")}
+    assert sizes == {0} and sum(f.stat().st_size for f in (tmp_path / "shards" / "records").glob("part-*")) == 33 * len(rows)
+    for slot, most in ((0, 1), (5, 3), (8, 20), (len(rows) - 1, 9), (len(rows), 4)):
+        assert list(token_shards.read_shards(spark, path, slot, most)) == whole[slot : slot + most]
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = {}
     for r in sorted(rows, key=lambda r: r.number):
         texts.setdefault(r.doc_id, []).extend(np.frombuffer(r.record[: 2 * r.n_tokens], "<u2").tolist())
-    for k, t in corpus[1:]:
+    for k, t in [*corpus[1:], docs[-1]]:
         assert texts.get(k, []) == ([*library.encode(t), 2] if t else []), k
     assert texts[0] == [*library.encode(corpus[0][1]), 2] * 2
     assert token_shards.materialise(spark.createDataFrame([], DOCS), MODEL).count() == 0
+    again = token_shards.materialise(spark.createDataFrame(docs[::-1], DOCS).repartition(7), MODEL, length=16, shard_slots=8)
+    assert [(r.slot, r.doc_id, bytes(r.record)) for r in again.orderBy("slot").collect()] == [(r.slot, r.doc_id, bytes(r.record)) for r in rows]
 
 
 # --- op4
@@ -194,6 +214,25 @@ def test_hnsw_recall_ties_and_bad_rows(spark):
     assert few.count() - 1 == hnsw.digest(few).count() and hnsw.digest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clustered"])
+def test_hnsw_recall_over_full_shards(spark, kind):
+    """Two shards of 2,500 vectors and one of 1,000 in 64 dimensions, without and with structure."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    if kind == "clustered":
+        x = rng.normal(size=(80, 64))[rng.integers(0, 80, 6000)] + 0.3 * x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in hnsw.search(df, F.col("vec_id") % 20 == 0, 20, shard_rows=2500).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = x[::20].astype(float) @ x.T.astype(float)
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(found[20 * k] & set(row.tolist())) / 20 for k, row in enumerate(best)]) >= (0.97 if kind == "gaussian" else 0.99)
+
+
 # --- op5
 
 
@@ -213,10 +252,35 @@ def test_langid_learns_and_rejects(spark):
 
 
 def test_langid_counts_do_not_depend_on_pieces(monkeypatch):
-    text = "Some words, and ÉÈ more " * 30
+    text = "Some words, and ÉÈ more 漢字 😀 " * 30
     whole = langid.counts(text)
     monkeypatch.setattr(langid, "PIECE", 7)
-    assert (langid.counts(text) == whole).all()
+    assert all((x == y).all() for x, y in zip(langid.counts(text), whole, strict=True))
+
+
+def test_langid_equals_bind_bundle_and_cosine(spark):
+    """Each trigram bound one by one, each text and language bundled by plain sums; letters of all scripts differ, ties go to the first."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("abc abd", "l"), ("νερό και φως", "g"), ("漢字 仮名", "c"), ("ßéß ж", "m"), ("ABC abd", "l"), ("abc abd", "a"), ("ab cd", None), ("ж", None), ("λ", None)])]
+
+    def bound(text):
+        letters = [0] + [ord(c.lower()[0]) if c.isalpha() else 0 for c in text] + [0]
+        letters = [c for k, c in enumerate(letters) if c or not k or letters[k - 1]]
+        total = np.zeros(langid.DIMENSIONS, int)
+        for x, y, z in zip(letters, letters[1:], letters[2:], strict=False):
+            if y:
+                total += np.roll(langid.letter_vector(x).astype(int), 2) * np.roll(langid.letter_vector(y).astype(int), 1) * langid.letter_vector(z)
+        return total
+
+    profiles = {lang: sum(bound(t) for _, t, x in rows if x == lang) for lang in "acglm"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model[0] == list("acglm")
+    for r in langid.predict(df.withColumn("SCORE", F.lit("old")), model).collect():
+        own = bound(r.text)
+        cosine = {k: own @ p / np.linalg.norm(own) / np.linalg.norm(p) for k, p in profiles.items()}
+        best = min(cosine, key=lambda k: (-round(cosine[k], 5), k))
+        assert r.lang_pred == best and r.score == pytest.approx(max(0, cosine[best]), abs=1e-4)
+    assert len({langid.letter_vector(ord(c)).tobytes() for c in "éßжλ漢e"}) == 6
 
 
 # --- op6
@@ -243,11 +307,57 @@ def test_toxicity_finds_insults_also_bent(spark):
     assert {r.predicted for r in toxicity.digest(docs.limit(5), known.limit(0)).collect()} == {0}
 
 
-def test_kernel_is_the_gapped_subsequence_kernel():
-    word, sub, weight = toxicity.features(["ab", "acb"])
-    a = {s: w for k, s, w in zip(word, sub, weight, strict=True) if k == 0}
-    b = {s: w for k, s, w in zip(word, sub, weight, strict=True) if k == 1}
-    assert sum(v * v for v in a.values()) == pytest.approx(1) and 0 < sum(v * b.get(k, 0) for k, v in a.items()) < 1
+def _kernel_brute(x, y):
+    """The sum over common subsequences of three symbols, each pair of occurrences weighted by what it skips, over the norms."""
+
+    def embed(w):
+        c, out = ["$", *w, "$"], {}
+        for i, j, k in itertools.combinations(range(len(c)), 3):
+            if k - i <= toxicity.SPAN:
+                sub = (c[i], c[j], c[k])
+                out[sub] = out.get(sub, 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    a, b = embed(x), embed(y)
+    dot = lambda p, q: sum(v * q.get(s, 0) for s, v in p.items())
+    return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+
+def test_kernel_equals_brute_force():
+    r = random.Random(4)
+    some = ["idiot", "idxiot", "a", "ab", "abcabc", *("".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(20))]
+    word, sub, weight = toxicity.features(some)
+    dense = np.zeros((32**3, len(some)))
+    dense[sub, word] = weight
+    got = toxicity.kernel(some, dense)
+    assert got == pytest.approx(np.array([[_kernel_brute(x, y) for y in some] for x in some]), abs=1e-9)
+
+
+def test_folded_weights_equal_the_machine_in_nystroem_space():
+    """Scoring by one weight a subsequence is kernel against landmarks, whitened, times the machine's weights."""
+    marks, words_ = ["idiot", "lovely", "house", "stupid"], ["idxiot", "houses", "stupidly", "sun"]
+    word, sub, weight = toxicity.features(marks)
+    dense = np.zeros((32**3, len(marks)))
+    dense[sub, word] = weight
+    gram = np.array([[_kernel_brute(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors / np.sqrt(values)
+    w = toxicity.machine(gram @ root, np.array([1.0, -1, -1, 1]), np.ones(4), 4.0)
+    plain = np.array([[_kernel_brute(x, y) for y in marks] for x in words_]) @ root @ w[:-1] + w[-1]
+    assert toxicity.judged(words_, dense @ (root @ w[:-1]), float(w[-1])) == pytest.approx(plain, abs=1e-9)
+
+
+def test_toxicity_learns_behind_the_first_letters_and_bounds_its_sample(spark):
+    r = random.Random(3)
+    clean = [f"{a}{b}{c}" for a in ("ba", "to", "li") for b in ("na", "ri", "len") for c in ("t", "ka", "sel")]
+    glued = "www.banat.example.tonaka.lirit.baletsel/zwirkel"
+    rows = [(i, " ".join(r.choice(clean) for _ in range(20)) + (f" {glued}" if i % 4 == 0 else f" {glued[:-8]}")) for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert (np.array(model.score([t for _, t in rows])) >= 0.3).tolist() == [i % 4 == 0 for i, _ in rows]
+    assert toxicity.train(docs, labels, sample_bytes=0).score(["x"]) == pytest.approx([0], abs=1e-6)
+    out = toxicity.score(docs.withColumn("Score", F.lit("old")), model)
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and out.where("predicted = 1").count() == 100
 
 
 # --- op7
@@ -405,3 +515,10 @@ def test_line_dedup_keeps_columns_and_repeats(spark):
     df = spark.createDataFrame([(1, "a\nb\nc", "s"), (1, "a\nb\nc", "s"), (2, "a\nb\nc\nd", "s")], "doc_id long, text string, source string")
     got = sorted((r.doc_id, r.text, r.source, r.n_removed) for r in line_dedup.dedup(df).collect())
     assert got == [(1, "a\nb\nc", "s", 0), (1, "a\nb\nc", "s", 0), (2, "d", "s", 3)]
+
+
+def test_line_dedup_output_names_give_way(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 9, "k", 7), (2, "a\nb\nc\nd", 9, "k", 7)], "doc_id long, text string, N_lines long, _lines string, _kid long")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", "_lines", "_kid", "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", "k", 7, 3, 0), (2, "d", "k", 7, 4, 3)]

@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsloom.llm import decontaminate, ngram_join
@@ -46,6 +47,19 @@ def test_stages_return_the_columns_of_documents(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_stages_heed_rows_not_names(spark):
+    """Columns called like what the stages compute come back as they were; a text is kept although its doc_id has a copy."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "en"), (2, base + " end", "en"), (2, "another text altogether of other words", "en"), (None, base, "en"), (4, "long " + " ".join(f"x{i}" for i in range(200_000)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(f"own {c}") for c in ("score", "lang_pred", "n_removed", "n_lines", "_lines", "_kid", "component_id", "row_key", "id")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in docs.columns[3:])
+        assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((k or 0, t) for k, t, _ in rows if name != "near_copies" or t != base + " end")
+
+
 def test_each_operator_has_one_query():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES]
     assert sorted(numbers) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
