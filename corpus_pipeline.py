@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, langid, line_dedup, ngram_join, pieces
+from newsloom.llm.names import free
 from newsloom.llm.registry import MODEL
 from newsloom.plans.durable import written
 from newsloom.tables import read
@@ -23,19 +24,25 @@ def _measured(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents that state a language; what has none that it can tell (no text, no letter) goes."""
     model = langid.train(docs.where(~langid.held_out()))
-    return langid.predict(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
+    lang, score = free("lang_pred", docs.columns), free("lang_score", docs.columns)
+    return langid.predict(docs, model, lang_name=lang, score_name=score).where(F.col(lang) != "und").select(*docs.columns)
 
 
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; so does a document of which every line went."""
-    out = line_dedup.dedup(docs).where("n_removed = 0 or n_removed < n_lines")
+    lines, removed = free("n_lines", docs.columns), free("n_removed", docs.columns)
+    out = line_dedup.dedup(docs, lines_name=lines, removed_name=removed).where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     return _measured(out.select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at a similarity of 0.8 or more on five-word shingles, the smallest doc_id stays. A row without doc_id stays."""
-    gone = ngram_join.cluster(docs, 5, 80).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group at a similarity of 0.8 or more on five-word shingles, the smallest doc_id stays; a row without doc_id stays.
+    Rows are told apart by doc_id and text, so another text under a copy's doc_id stays."""
+    key, component = free("row_key", docs.columns), free("component_id", docs.columns)
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    groups = ngram_join.cluster(keyed.where("doc_id is not null").select(key, "text"), 5, 80, id_col=key)
+    gone = groups.where(F.col("component_id") != F.col(key)).select(F.col(key).alias(component)).distinct()
+    return keyed.join(gone, F.col(key) == F.col(component), "left_anti").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
