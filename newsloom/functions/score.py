@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom import vocab
+from newsloom.functions.text import clean, fold
 
 
 def level_score(level: Column) -> Column:
@@ -20,15 +21,15 @@ def decide(*axes: Column) -> Column:
     return F.when(F.size(scores) < 2, F.lit(vocab.INSUFFICIENT)).when(F.array_min(scores) < 2, F.lit(vocab.NO_NOTIFY)).when(high >= 2, F.lit(vocab.NOTIFY)).otherwise(F.lit(vocab.NO_NOTIFY))
 
 
-def quality_flag(title: Column, text: Column, url: Column, published: Column, now: Column) -> Column:
-    """The first reason that fails, '' for none."""
-    t = F.trim(F.coalesce(title, F.lit("")))
+def quality_flag(title: Column, lead: Column, content: Column, url: Column, published: Column, now: Column) -> Column:
+    """The first reason that fails, '' for none. Title, lead and content together are the evidence, each as it is shown."""
+    shown = [clean(c) for c in (title, lead, content)]
     return (
-        F.when(t == "", F.lit("missing_title"))
-        .when(F.length(t) < 10, F.lit("title_too_short"))
-        .when(F.length(F.trim(F.coalesce(text, F.lit("")))) < 40, F.lit("insufficient_text"))
+        F.when(shown[0] == "", F.lit("missing_title"))
+        .when(F.length(shown[0]) < 10, F.lit("title_too_short"))
+        .when(sum((F.length(c) for c in shown), F.lit(0)) < 40, F.lit("insufficient_text"))
         .when(published > now + F.make_dt_interval(hours=F.lit(6)), F.lit("published_in_future"))
-        .when(~F.coalesce(url, F.lit("")).rlike("^https?://[^/]"), F.lit("invalid_url"))
+        .when(~F.coalesce(url.startswith("http://") | url.startswith("https://"), F.lit(False)), F.lit("invalid_url"))
         .otherwise(F.lit(""))
     )
 
@@ -59,9 +60,9 @@ def rank_score(iran: Column, world: Column, hours: Column) -> Column:
 
 
 def alert_reason(dial: Column, level: Column, world_level: Column, watched: Column) -> Column:
-    """Breaking news reach everybody; what is watched, those whose dial is at or under its tier."""
-    floor = F.when(dial == "low", 2).when(dial == "medium", 3).otherwise(4)
-    return F.when(world_level >= 5, F.lit("breaking")).when(watched & (level >= floor), F.lit("watched"))
+    """Breaking news reach everybody; what is watched, those whose dial is at or under its tier, an unknown dial as a medium one; else ''."""
+    floor = F.when(dial == "low", 2).when(dial == "high", 4).otherwise(3)
+    return F.when(world_level >= 5, F.lit("breaking")).when(watched & (level >= floor), F.lit("watch")).otherwise(F.lit(""))
 
 
 def alert_change(old_tier: Column, tier_: Column, old_evidence: Column, evidence: Column) -> Column:
@@ -79,18 +80,19 @@ def pct_change(before: Column, after: Column) -> Column:
     return (after - before) / before * 100.0
 
 
-def error_class(message: Column) -> Column:
-    """The cause, from an HTTP status or the words of an exception."""
-    status = F.regexp_extract(message, "HTTP (\\d{3})", 1).try_cast("int")
-    low = F.lower(message)
+def error_class(error: Column) -> Column:
+    """The cause of a failed fetch, '' for none. ``error``: an exception's name and what it says, which may hold a status."""
+    name = F.lower(F.regexp_extract(error, "^(\\w*)", 1))
+    status = F.regexp_extract(error, "\\bHTTP (\\d{3})\\b", 1).try_cast("int")
     return (
-        F.when(F.coalesce(message, F.lit("")) == "", F.lit(""))
+        F.when(F.coalesce(error, F.lit("")) == "", F.lit(""))
+        .when(name == "gone", F.lit("gone"))
+        .when(name.isin("fatal", "budgetexceeded"), F.lit("provider"))
         .when(status == 429, F.lit("rate_limit"))
-        .when(status.isin(404, 410) | low.contains("gone"), F.lit("gone"))
-        .when(status.isin(401, 403), F.lit("blocked"))
-        .when((status >= 500) | low.rlike("timeout|connection"), F.lit("network"))
-        .when(low.rlike("valueerror|parse|invalid"), F.lit("parse"))
-        .otherwise(F.lit("unknown"))
+        .when(status.isin(404, 410), F.lit("gone"))
+        .when(status.isin(401, 403, 451) | name.contains("blocked"), F.lit("blocked"))
+        .when((status >= 500) | name.rlike("^transient$|timeout|connection|ssl|socket"), F.lit("network"))
+        .otherwise(F.lit("parse"))
     )
 
 
@@ -102,9 +104,7 @@ def event_topic(slug: Column) -> Column:
 
 def price(text: Column) -> Column:
     """A price's text to a decimal; null if it is none."""
-    from newsloom.functions.text import fold
-
-    return F.replace(fold(text), F.lit(","), F.lit("")).try_cast("decimal(20,4)")
+    return F.replace(fold(text, compose=False), F.lit(","), F.lit("")).try_cast("decimal(20,4)")
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
@@ -156,9 +156,9 @@ def push_worthy(confidence: Column, lead_tier: Column, sources: Column, iran: Co
     return F.coalesce((confidence >= 0.8) & ((lead_tier == 1) | (sources >= 2)) & ((iran >= 80) | (world >= 85) | (asset >= 80)), F.lit(False))
 
 
-def pause_reason(circuit: Column, budget: Column, manual: Column) -> Column:
-    """By precedence: a person's pause, then the circuit, then the budget."""
-    return F.when(manual, F.lit("manual")).when(circuit, F.lit("circuit")).when(budget, F.lit("budget")).otherwise(F.lit(""))
+def pause_reason(circuit: Column, month: Column, today: Column, month_limit: Column, day_limit: Column) -> Column:
+    """Why no call to a model can run, '' if nothing is in the way: an empty wallet, another open circuit, the month's budget, the day's."""
+    return F.when(circuit == "open_budget", "wallet_empty").when(circuit.isin(*vocab.OPEN_CIRCUITS), "circuit_open").when(month >= month_limit, "monthly_budget").when(today >= day_limit, "daily_budget").otherwise("")
 
 
 def boosted_place(place: Column, watched: Column) -> Column:

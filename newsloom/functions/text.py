@@ -19,9 +19,13 @@ _DIACRITICS = "[ً-ْٰۖ-ۭ]"
 _WORD = "(?U)[^\\w؀-ۿ]+"
 
 
+def cleaned(text) -> str:
+    return " ".join(unicodedata.normalize("NFC", html.unescape(str(text or ""))).replace(" ", " ").split())
+
+
 @F.pandas_udf(StringType())
 def _clean(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(lambda t: " ".join(unicodedata.normalize("NFC", html.unescape(t)).replace(" ", " ").split()))
+    return texts.map(lambda t: None if t is None else cleaned(t))
 
 
 @F.pandas_udf(StringType())
@@ -30,34 +34,38 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def clean(text: Column) -> Column:
-    """Safe to show; entities unescaped, composed, white space collapsed."""
-    return _clean(text)
+    """Safe to show; entities unescaped, composed, white space collapsed. Only text with an entity or beyond ASCII reaches Python."""
+    odd = text.rlike("&|\\P{ASCII}")
+    return F.coalesce(_clean(F.when(odd, text)), squeeze(text), F.lit(""))
 
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
 
 
-def fold(text: Column, compose: bool = False) -> Column:
-    """For matching only. ``compose`` also brings text that is not ASCII to NFC, in Python; the rest stays in the JVM."""
+def fold(text: Column, compose: bool = True) -> Column:
+    """For matching only. Text beyond ASCII is brought to NFC, in Python; the rest stays in the JVM. Text that is known to
+    be composed may go without."""
     t = F.coalesce(text, F.lit(""))
     if compose:
-        t = F.when(t.rlike("^\\p{ASCII}*$"), t).otherwise(_nfc(t))
+        t = F.coalesce(_nfc(F.when(t.rlike("\\P{ASCII}"), t)), t)
     t = F.regexp_replace(t, _DIACRITICS, "")
     t = F.translate(t, _FOLD_FROM + _DIGITS + " " + _VANISH, _FOLD_TO + "0123456789" * 2 + " ")
     return squeeze(F.lower(t))
 
 
-def title_key(title: Column, compose: bool = False) -> Column:
+def title_key(title: Column, compose: bool = True) -> Column:
     """Folded, punctuation gone."""
     return squeeze(F.regexp_replace(fold(title, compose), _WORD, " "))
 
 
-def trigrams(title: Column, compose: bool = False) -> Column:
+def trigrams(title: Column, compose: bool = True) -> Column:
     """The set of windows of three characters of the key without spaces; a shorter key is its own."""
     key = F.replace(title_key(title, compose), F.lit(" "), F.lit(""))
+    letters = F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0))
     n = F.length(key)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(key, i, F.lit(3)))
+    from_ = lambda k: F.slice(letters, F.lit(k), F.greatest(n - 2, F.lit(0)))
+    windows = F.zip_with(F.zip_with(from_(1), from_(2), lambda x, y: F.concat(x, y)), from_(3), lambda x, y: F.concat(x, y))
     return F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(key)).otherwise(F.array_distinct(windows))
 
 
@@ -67,7 +75,7 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(shared / (F.size(left) + F.size(right) - shared))
 
 
-def content_hash(title: Column, lead: Column, content: Column, compose: bool = False) -> Column:
+def content_hash(title: Column, lead: Column, content: Column, compose: bool = True) -> Column:
     """Identity of a story whatever its encoding."""
     raw = F.concat_ws("|", fold(title, compose), fold(lead, compose), F.substring(fold(content, compose), 1, 1500))
     return F.substring(F.sha2(raw.cast("binary"), 256), 1, 32)

@@ -6,10 +6,12 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.functions import text as T
+from newsloom.plans.durable import written
 from newsloom.plans.graph import components
-from newsloom.plans.joins import latest_per, range_join
+from newsloom.plans.joins import latest_per, range_join, top_per
 
 #: Titles are the same story from this similarity on, within so many seconds.
 SIMILAR, WINDOW_SECONDS = 0.75, 36 * 3600
@@ -43,27 +45,27 @@ def similar_pairs(articles: DataFrame, threshold: float = SIMILAR, radius_second
     """(left_id, right_id, score) of titles within the radius of time, each pair once, the smaller id left. A title
     without a moment is compared with all titles.
 
-    Rows meet where they share a trigram of their prefix and a bucket of time. A story that many outlets carry within the
-    window is so many pairs, as the result asks for each.
+    Trigrams are ordered rare first by their counts over all titles; rows meet where they share one of their prefix and a
+    bucket of time, and length and position allow the threshold. Only ids, sizes, places and hashes travel so far; the sets
+    come to each pair once. A story that many outlets carry within the window is so many pairs, as the result asks for each.
     """
-    titled = articles.select("id", "published_at", T.title_key(F.col("title")).alias("key")).where("key <> ''")
-    grams = titled.withColumn("g", T.trigrams(F.col("key")))
-    n = F.size("g")
-    prefix = F.slice(F.array_sort("g"), F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))
-    posted = grams.withColumn("token", F.explode(prefix))
-    left = posted.select(F.col("id").alias("left_id"), F.col("published_at").alias("left_at"), F.col("g").alias("left_g"), "token")
-    right = posted.select(F.col("id").alias("right_id"), F.col("published_at").alias("right_at"), F.col("g").alias("right_g"), "token")
-    sides = ["left_id", "left_g", "right_id", "right_g", "token"]
-    dated = range_join(left.where("left_at is not null"), right.where("right_at is not null"), "left_at", "right_at", radius_seconds, ["token"]).select(sides)
+    titled = written(articles.select("id", "published_at", T.trigrams(F.col("title")).alias("g")).where(F.size("g") > 0).withColumn("n", F.size("g")), "titles")
+    each = titled.select("id", "published_at", "n", F.explode(F.transform("g", lambda x: F.xxhash64(x))).alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("f"))
+    placed = each.join(counts, "token").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("f", "token")))
+    posted = written(placed.where(F.col("pos") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).drop("f"), "posted")
+    side = lambda s: posted.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "published_at", "n", "pos")], "token")
+    left, right = side("left"), side("right")
+    dated = range_join(left.where("left_published_at is not null"), right.where("right_published_at is not null"), "left_published_at", "right_published_at", radius_seconds, ["token"]).where("left_id < right_id")
     # two undated titles meet once; beside a dated one the undated may have the larger id
-    undated = left.where("left_at is null").join(right, "token").where("left_id < right_id or (right_at is not null and left_id > right_id)")
-    turn = F.col("left_id") > F.col("right_id")
-    either = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
-    near = dated.unionByName(undated.select(either("left_id", "right_id"), either("left_g", "right_g"), either("right_id", "left_id"), either("right_g", "left_g"), "token"))
-    sized = (F.size("left_g") >= threshold * F.size("right_g")) & (F.size("right_g") >= threshold * F.size("left_g"))
-    # a pair that shares several tokens is scored at the first of them only
-    first = F.element_at(F.array_sort(F.array_intersect("left_g", "right_g")), 1) == F.col("token")
-    scored = near.where((F.col("left_id") < F.col("right_id")) & sized & first).withColumn("score", T.jaccard(F.col("left_g"), F.col("right_g")))
+    undated = left.where("left_published_at is null").join(right, "token").where("left_id < right_id or (right_published_at is not null and left_id > right_id)")
+    sized = (F.col("left_n") >= threshold * F.col("right_n")) & (F.col("right_n") >= threshold * F.col("left_n"))
+    need = threshold / (1 + threshold) * (F.col("left_n") + F.col("right_n")) - 1e-9
+    fits = sized & (F.least(F.col("left_n") - F.col("left_pos"), F.col("right_n") - F.col("right_pos")) + 1 >= need)
+    ends = lambda pairs: pairs.where(fits).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+    near = ends(dated).unionByName(ends(undated)).distinct()
+    sets = lambda s: titled.select(F.col("id").alias(f"{s}_id"), F.col("g").alias(f"{s}_g"))
+    scored = near.join(sets("left"), "left_id").join(sets("right"), "right_id").withColumn("score", T.jaccard(F.col("left_g"), F.col("right_g")))
     return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
 
 
@@ -122,10 +124,5 @@ def shortlist(texts: DataFrame, items: list[tuple[str, list[str]]], text: Column
     pattern = "(?U)(?<!\\w)(" + "|".join(re.escape(a) for a in sorted(claimed, key=lambda a: (-len(a), a))) + ")(?:s|ها)?(?!\\w)"
     names = F.create_map(*[F.lit(x) for pair in claimed.items() for x in pair])
     hits = texts.select("id", F.explode(F.regexp_extract_all(T.fold(text), F.lit(pattern), F.lit(1))).alias("a")).groupBy("id", names[F.col("a")].alias("slug")).agg(F.count("*").alias("hits"))
-    return latest_top(hits, most)
-
-
-def latest_top(hits: DataFrame, most: int) -> DataFrame:
-    from newsloom.plans.joins import top_per
-
     return top_per(hits, ["id"], most, F.desc("hits"), F.asc("slug"))
+
