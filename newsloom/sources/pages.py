@@ -1,178 +1,238 @@
-"""Article pages and feeds, by the standard library's parsers."""
+"""Article pages and feeds: parsers that name candidates, and columns that choose among them.
+
+A page is read once by the standard library's parser, which writes down what
+might be a field: (field, rank, value), the rank saying where it stood. What a
+field becomes is then a rule over that array in the JVM: the best rank for most,
+the longest text for the body.
+"""
 
 from __future__ import annotations
 
 import html
 import json
 import re
-import unicodedata
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+from datetime import UTC
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from newsloom.functions.text import cleaned as clean
+
+# Where a field may stand, best rank first.
+LINKED = {"headline": ("title", 0), "description": ("lead", 0), "articleBody": ("body", 0), "datePublished": ("published_at", 0), "image": ("image_url", 0), "keywords": ("keyword", 0)}
+META = {"og:title": ("title", 2), "description": ("lead", 1), "og:image": ("image_url", 1), "twitter:image": ("image_url", 2), "keywords": ("keyword", 1)}
+ARTICLE_TYPES = {"NewsArticle", "Article"}
+LEAST_BLOCK, MOST_KEYWORDS, KEYWORD_CHARS = 20, 12, 64
+
+CANDIDATES = pa.list_(pa.struct([("field", pa.string()), ("rank", pa.int32()), ("at", pa.int32()), ("value", pa.string())]))
 
-SCHEMA = "page_id long, title string, lead string, content string, extraction_tier string, published_at string, image_url string, keywords array<string>, n_links long"
 
+def strings(x) -> Iterator[str]:
+    """The texts in a value of linked data, whatever its shape: of a node, that of its address."""
+    if isinstance(x, str):
+        yield x
+    elif isinstance(x, list):
+        for y in x:
+            yield from strings(y)
+    elif isinstance(x, dict):
+        yield from strings(x.get("url"))
 
-def clean(text) -> str:
-    return " ".join(unicodedata.normalize("NFC", html.unescape(str(text or ""))).replace(" ", " ").split())
 
+def nodes(x) -> Iterator[dict]:
+    """The nodes of linked data, those of its graphs behind those that stand alone."""
+    level = [x]
+    while level:
+        flat = [z for y in level for z in (y if isinstance(y, list) else [y]) if isinstance(z, dict)]
+        yield from flat
+        level = [z["@graph"] for z in flat if isinstance(z.get("@graph"), list)]
 
-class _Page(HTMLParser):
-    """What extraction needs of a page: scripts of linked data, meta tags, headings, paragraphs, links."""
 
-    SILENT = {"script", "style"}
+class Reader(HTMLParser):
+    """Names the candidates of a page as it goes by."""
 
-    def __init__(self):
+    def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.data, self.meta, self.headings, self.links = [], {}, [], 0
-        self.paragraphs = {"article": [], "body": []}
-        self.inside = {"article": 0}
-        self.stack, self.text, self.open = [], [], None
+        self.base, self.found, self.links = base, [], 0
+        self.depth = 0  # of article elements
+        self.sinks: list[tuple[str, str, list[str]]] = []  # (tag, what becomes of its text, the text)
+        self.article = None
+
+    def name(self, field: str, rank: int, value: str) -> None:
+        value = clean(value)
+        if field == "keyword":
+            value = value[:KEYWORD_CHARS]
+        if field == "image_url" and value:
+            value = urljoin(self.base, value)
+        if value:
+            self.found.append((field, rank, len(self.found), value))
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "meta" and (name := a.get("property") or a.get("name")):
-            self.meta.setdefault(name, a.get("content") or "")
-        if tag == "a" and a.get("href"):
-            self.links += 1
-        if tag == "article":
-            self.inside["article"] += 1
-        if tag in self.SILENT:
-            self.stack.append(a.get("type") or tag)
-            self.raw = []
+        a = {k: v or "" for k, v in attrs}
+        if tag == "a":
+            self.links += bool(a.get("href"))
+        elif tag == "meta":
+            field, rank = META.get(a.get("property") or a.get("name"), ("", 0))
+            for value in a.get("content", "").split(",") if field == "keyword" else [a.get("content", "")] * bool(field):
+                self.name(field, rank, value)
+        elif tag in ("script", "style"):
+            self.sinks.append((tag, "linked" if a.get("type") == "application/ld+json" else "", []))
         elif tag in ("p", "h1"):
-            self.close()
-            self.open, self.text = tag, []
-
-    def close(self):
-        if self.open:
-            line = clean("".join(self.text))
-            if self.open == "h1":
-                self.headings.append(line)
-            elif len(line) > 20:
-                self.paragraphs["article" if self.inside["article"] else "body"].append(line)
-        self.open = None
-
-    def handle_endtag(self, tag):
-        if tag in self.SILENT and self.stack:
-            if self.stack.pop() == "application/ld+json":
-                self.data.append("".join(self.raw))
-        elif tag == self.open or tag in ("div", "article", "body"):
-            self.close()
-        if tag == "article":
-            self.inside["article"] = max(0, self.inside["article"] - 1)
+            self.drain("p", "h1")
+            self.sinks.append((tag, "block" if tag == "p" else "title", []))
+        self.depth += tag == "article"
 
     def handle_data(self, data):
-        if self.stack:
-            self.raw.append(data)
-        elif self.open:
-            self.text.append(data)
-
+        if self.sinks:
+            self.sinks[-1][2].append(data)
 
-def linked_data(scripts: list[str]) -> dict:
-    """The first node that is an article, also within a graph."""
-    for script in scripts:
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "script", "style"):
+            self.drain(tag)
+        elif tag in ("div", "article", "body"):
+            self.drain("p", "h1")
+        self.depth = max(0, self.depth - (tag == "article"))
+
+    def drain(self, *tags: str) -> None:
+        """What has been gathered under the innermost of ``tags``, if that is what is open."""
+        if not self.sinks or self.sinks[-1][0] not in tags:
+            return
+        _, what, text = self.sinks.pop()
+        if what == "linked":
+            self.linked("".join(text))
+        elif what == "title":
+            self.name("title", 1, "".join(text))
+        elif what == "block" and len(clean("".join(text))) > LEAST_BLOCK:
+            self.name("block", 0 if self.depth else 1, "".join(text))
+
+    def linked(self, text: str) -> None:
         try:
-            found = json.loads(script)
+            article = next((n for n in nodes(json.loads(text)) if n.get("@type") in ARTICLE_TYPES), None)
         except ValueError:
-            continue
-        waiting = found if isinstance(found, list) else [found]
-        waiting = [*waiting, *(y for x in waiting if isinstance(x, dict) and isinstance(x.get("@graph"), list) for y in x["@graph"])]
-        for node in waiting:
-            if isinstance(node, dict) and node.get("@type") in ("NewsArticle", "Article"):
-                return node
-    return {}
-
-
-def image(data: dict, meta: dict, url: str) -> str:
-    """S09."""
-    found = data.get("image")
-    found = found[0] if isinstance(found, list) and found else found
-    found = found.get("url") if isinstance(found, dict) else found
-    found = clean(found if isinstance(found, str) else "") or clean(meta.get("og:image")) or clean(meta.get("twitter:image"))
-    return urljoin(url, found) if found else ""
-
-
-def keywords(data: dict, meta: dict, most: int = 12) -> list[str]:
-    """S10."""
-    raw = data.get("keywords") or meta.get("keywords")
-    values = raw if isinstance(raw, list) else str(raw or "").split(",")
-    return list(dict.fromkeys(tag for v in values if (tag := clean(v)[:64])))[:most]
-
-
-def parse_page(text: str | None, url: str | None) -> dict:
-    """Linked data before markup; the longer body wins, linked data on a tie; the tier says which."""
-    page = _Page()
-    page.feed(text or "")
-    HTMLParser.close(page)
-    _Page.close(page)
-    data = linked_data(page.data)
-    published, css = clean(data.get("articleBody")), "\n".join(page.paragraphs["article"] or page.paragraphs["body"])
-    return {
-        "title": clean(data.get("headline")) or next(iter(page.headings), "") or clean(page.meta.get("og:title")),
-        "lead": clean(data.get("description")) or clean(page.meta.get("description")),
-        "content": published if len(published) >= len(css) else css,
-        "extraction_tier": "jsonld" if len(published) >= len(css) else "css",
-        "published_at": clean(data.get("datePublished")),
-        "image_url": image(data, page.meta, url or ""),
-        "keywords": keywords(data, page.meta),
-        "n_links": page.links,
-    }
+            return
+        if article is None or self.article is not None:
+            return
+        self.article = article
+        for key, (field, rank) in LINKED.items():
+            for value in strings(article.get(key)):
+                for part in value.split(",") if field == "keyword" and isinstance(article[key], str) else [value]:
+                    self.name(field, rank, part)
+
+
+def read_page(text: str | None, url: str | None) -> tuple[list[dict], int]:
+    """The candidates of a page, and how many links it has."""
+    reader = Reader(url or "")
+    reader.feed(text or "")
+    reader.close()
+    while reader.sinks:
+        before = len(reader.sinks)
+        reader.drain("p", "h1", "script", "style")
+        if len(reader.sinks) == before:
+            break
+    return [dict(zip(("field", "rank", "at", "value"), x, strict=True)) for x in reader.found], reader.links
+
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, found, n_links): what each page of (page_id, url, html) offers."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                read = [read_page(t, u) for u, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _ in read], CANDIDATES), pa.array([n for _, n in read], pa.int64())], names=["page_id", "found", "n_links"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, found array<struct<field:string,rank:int,at:int,value:string>>, n_links long")
+
+
+def _of(found: Column, field: str) -> Column:
+    return F.filter(found, lambda x: x["field"] == field)
+
+
+def _best(found: Column, field: str) -> Column:
+    """The value of the best rank, the first of them."""
+    return F.coalesce(F.array_min(F.transform(_of(found, field), lambda x: F.struct(x["rank"], x["at"], x["value"])))["value"], F.lit(""))
+
+
+def _level(found: Column, field: str) -> Column:
+    """All values of the best rank that has any, in order."""
+    own = _of(found, field)
+    least = F.array_min(F.transform(own, lambda x: x["rank"]))
+    return F.transform(F.filter(own, lambda x: x["rank"] == least), lambda x: x["value"])
+
+
+def choose(found: DataFrame) -> DataFrame:
+    """A page's fields from its candidates. The longer body wins, linked data on a tie; the tier says which."""
+    c = F.col("found")
+    linked, blocks = _best(c, "body"), F.array_join(_level(c, "block"), "\n")
+    own = F.length(linked) >= F.length(blocks)
+    return found.select(
+        "page_id",
+        *[_best(c, f).alias(f) for f in ("title", "lead")],
+        F.when(own, linked).otherwise(blocks).alias("content"),
+        F.when(own, "jsonld").otherwise("css").alias("extraction_tier"),
+        *[_best(c, f).alias(f) for f in ("published_at", "image_url")],
+        F.slice(F.array_distinct(_level(c, "keyword")), 1, MOST_KEYWORDS).alias("keywords"),
+        "n_links",
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """S08 to S10 over a table of pages (page_id, url, html)."""
+    return choose(candidates(pages))
 
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame([{"page_id": i, **parse_page(t, u)} for i, u, t in zip(frame["page_id"], frame["url"], frame["html"], strict=True)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
+# The elements of a feed's item, by local name, and the field and rank of each.
+ITEM = {"title": ("title", 0), "description": ("lead", 0), "summary": ("lead", 1), "encoded": ("content", 0), "content": ("content", 1), "pubDate": ("published_at", 0), "published": ("published_at", 1), "updated": ("published_at", 2), "date": ("published_at", 3)}
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+def utc(text: str) -> str:
+    """A mail date in UTC, as ISO text; what cannot be read stays as it is."""
+    try:
+        moment = parsedate_to_datetime(text)
+    except (ValueError, TypeError):
+        return text
+    return (moment if moment.tzinfo else moment.replace(tzinfo=UTC)).astimezone(UTC).isoformat()
+
+
+def _elements(item: ET.Element) -> Iterator[tuple[str, int, str]]:
+    for x in item:
+        name, text = x.tag.rsplit("}", 1)[-1], (x.text or "").strip()
+        if name in ITEM:
+            yield (*ITEM[name], text)
+        elif name == "link":
+            yield "url", 0, text
+            yield "url", 1, x.get("href", "") if x.get("rel", "alternate") == "alternate" else ""
+        elif name == "enclosure" and x.get("type", "image").startswith("image"):
+            yield "image_url", 0, x.get("url", "")
+        elif name == "category":
+            yield "native_category", 0, (x.get("domain") or text).lower()
 
 
 def parse_feed(text: str) -> list[dict]:
     """Items of RSS 2.0, RSS 1.0 and Atom. What is not XML, or has no item, raises; items without a link or a
-    title are left out; a date that cannot be read stays as text."""
+    title are left out; of Atom's links the alternate one counts; dates are in UTC, one that cannot be read stays as text."""
     try:
-        root = ET.fromstring(text)
+        items = [x for x in ET.fromstring(text).iter() if x.tag.rsplit("}", 1)[-1] in ("item", "entry")]
     except ET.ParseError as e:
         raise ValueError(f"not a feed: {e}") from e
-    out = []
-    for item in root.iter():
-        if _local(item.tag) not in ("item", "entry"):
-            continue
-        parts: dict[str, str] = {}
-        link = image_ = category = ""
-        for x in item:
-            name = _local(x.tag)
-            if name == "link":
-                link = link or (x.text or "").strip() or x.get("href", "")
-            elif name == "enclosure" and x.get("type", "image").startswith("image"):
-                image_ = x.get("url", "")
-            elif name == "category":
-                category = category or (x.get("domain") or x.text or "").strip().lower()
-            else:
-                parts.setdefault(name, x.text or "")
-        date = parts.get("pubDate") or parts.get("published") or parts.get("updated") or parts.get("date") or ""
-        try:
-            date = parsedate_to_datetime(date).isoformat()
-        except (ValueError, TypeError):
-            pass
-        title = clean(parts.get("title"))
-        lead = clean(re.sub(r"<[^>]+>", " ", parts.get("description") or parts.get("summary") or ""))
-        content = clean(re.sub(r"<[^>]+>", " ", parts.get("encoded") or parts.get("content") or "")) or lead
-        if link and title:
-            out.append({"url": link, "title": title, "lead": lead, "content": content, "published_at": date, "image_url": image_, "native_category": category})
-    if not out and not any(_local(x.tag) in ("item", "entry") for x in root.iter()):
+    if not items:
         raise ValueError("a feed without items")
+    out = []
+    for item in items:
+        best: dict[str, tuple[int, str]] = {}
+        for field, rank, value in _elements(item):
+            if value and rank < best.get(field, (9, ""))[0]:
+                best[field] = (rank, value)
+        row = {f: best.get(f, (0, ""))[1] for f in ("url", "title", "lead", "content", "published_at", "image_url", "native_category")}
+        row |= {f: clean(re.sub(r"<[^>]+>", " ", row[f])) for f in ("lead", "content")} | {"title": clean(row["title"]), "published_at": utc(row["published_at"])}
+        if row["url"] and row["title"]:
+            out.append(row | {"content": row["content"] or row["lead"]})
     return out
 
 
@@ -182,6 +242,21 @@ def merged(feed: dict, page: dict) -> dict:
     return out | {"content": page.get("content") or feed.get("content") or "", "extraction_tier": page.get("extraction_tier", "feed") if page.get("content") else "feed"}
 
 
+def merge_tables(feed: DataFrame, pages: DataFrame, fields: tuple[str, ...] = ("title", "lead", "published_at", "image_url", "native_category")) -> DataFrame:
+    """S04, S11 over tables keyed by url: the feed's ``fields`` where it has them, the page's content where that has one; a
+    page that is gone (``gone``) leaves the feed's row, marked so."""
+    f, p = feed.alias("f"), pages.alias("p")
+    full = lambda side, c: F.nullif(F.col(f"{side}.{c}"), F.lit("")) if c in (feed if side == "f" else pages).columns else F.lit(None).cast("string")
+    body = full("p", "content")
+    return f.join(p, "url", "left").select(
+        "url",
+        *[F.coalesce(full("f", c), full("p", c), F.lit("")).alias(c) for c in fields],
+        F.coalesce(body, full("f", "content"), F.lit("")).alias("content"),
+        F.when(body.isNotNull(), F.col("p.extraction_tier")).otherwise("feed").alias("extraction_tier"),
+        F.coalesce(F.col("p.gone"), F.lit(False)).alias("gone"),
+    )
+
+
 def listing(text: str, base: str) -> list[str]:
     """The links of a listing, absolute, each once, in order."""
     found = re.findall(r"""<a\b[^>]*\bhref=["']([^"'#]+)""", text, re.I)
@@ -198,7 +273,7 @@ def relay(text: str, base: str) -> str:
 
 
 #: Parsers by a source's strategy.
-STRATEGIES = {"rss": parse_feed, "listing": listing, "relay": relay, "page": parse_page}
+STRATEGIES = {"rss": parse_feed, "listing": listing, "relay": relay, "page": read_page}
 
 
 def strategy(name: str):
