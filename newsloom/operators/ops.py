@@ -20,17 +20,32 @@ def daily_new(articles: DataFrame, sources: DataFrame, first_day: str, last_day:
 
 
 def attempt_totals(attempts: DataFrame) -> DataFrame:
-    """Per source, all of it in one pass."""
+    """Per source, all of it in one pass."""
     is_ = lambda s: F.count_if(F.col("status") == s)
     return attempts.groupBy("source_id").agg(F.count("*").alias("attempts"), is_("failed").alias("failed"), is_("empty").alias("empty"), F.sum("fetched").alias("fetched"), F.sum("new").alias("new"))
 
 
-def source_state(attempts: DataFrame, now: Column, stale_hours: int = 24) -> DataFrame:
-    """The last attempt of each source and what it says of its health; an unfinished one over 30 minutes old was interrupted."""
+def source_state(sources: DataFrame, attempts: DataFrame, now: Column, fresh_minutes: int = 15, hung_minutes: int = 30) -> DataFrame:
+    """Per source its last attempt, seen as interrupted where it runs for too long, and the state that follows.
+    ``sources``: source_id, enabled, last_new_at; ``attempts``: source_id, id, started_at, finished_at, status."""
     last = latest_per(attempts, ["source_id"], F.desc("started_at"), F.desc("id"))
-    old = F.col("started_at") < now - F.make_dt_interval(hours=F.lit(stale_hours))
-    state = F.when(F.col("status") == "failed", "failing").when(old, "stale").when(F.col("status") == "running", F.when(F.col("started_at") < now - F.make_dt_interval(mins=F.lit(30)), "interrupted").otherwise("running")).when(F.col("status") == "empty", "quiet").otherwise("healthy")
-    return last.select("source_id", F.col("started_at").alias("last_at"), state.alias("state"))
+    within = lambda c, minutes: F.coalesce(now - F.col(c) <= F.make_dt_interval(mins=F.lit(minutes)), F.lit(False))
+    seen = F.when((F.col("status") == "running") & ~within("started_at", hung_minutes), "interrupted").otherwise(F.col("status"))
+    state = (
+        F.when(~F.col("enabled"), "disabled")
+        .when(F.col("last_status").isin("failed", "partial", "empty", "interrupted"), F.col("last_status"))
+        .when(within("finished_at", fresh_minutes), "healthy")
+        .when(F.col("last_status") == "running", "running")
+        .otherwise(F.when(F.col("last_new_at").isNotNull(), "stale").otherwise("unknown"))
+    )
+    joined = sources.join(last.select("source_id", "started_at", "finished_at", seen.alias("last_status")), "source_id", "left")
+    return joined.select("source_id", F.col("started_at").alias("last_at"), "last_status", state.alias("state"))
+
+
+def quality(articles: DataFrame) -> DataFrame:
+    """Of all articles: duplicates, known from a feed or listing only, without a body, flagged."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    return articles.agg(n(F.col("duplicate_of").isNotNull(), "duplicates"), n(F.col("extraction_tier").isin("feed", "listing"), "feed_only"), n(F.col("content") == "", "empty_body"), n(F.col("quality_flag") != "", "quality_flagged"))
 
 
 def coverage(attempts: DataFrame, silence_seconds: int = 600) -> DataFrame:
@@ -64,6 +79,27 @@ def open_gaps(intervals: DataFrame, minutes: int) -> DataFrame:
     return last.where((F.col("state") == "gap") & long).select("source_id", "started_at", "ended_at", "error_class")
 
 
+def coverage_summary(sources: DataFrame, intervals: DataFrame, retries: DataFrame, now: Column, days: int = 7, unobserved_minutes: int = 10) -> DataFrame:
+    """Per source: the gap that is still open (unknown, if nobody looked for so long), hours of gap and of unknown in
+    the window, and fetches that wait for another try. ``retries``: source_id, gave_up."""
+    since = now - F.make_dt_interval(days=F.lit(days))
+    own = intervals.where(F.col("ended_at") >= since)
+    last = latest_per(own, ["source_id"], F.desc("ended_at"), F.desc("started_at")).select("source_id", "started_at", "ended_at", F.col("state").alias("last_state"), "error_class")
+    hours = coverage_hours(own, since, now).groupBy("source_id").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("state") == s, F.col("hours"))), F.lit(0.0)), 1).alias(f"{s}_hours") for s in ("gap", "unknown")])
+    waiting = retries.where("not gave_up").groupBy("source_id").agg(F.count("*").alias("retries_pending"))
+    unseen = F.col("ended_at").isNull() | (now - F.col("ended_at") > F.make_dt_interval(mins=F.lit(unobserved_minutes)))
+    open_ = ~unseen & (F.col("last_state") != "covered")
+    joined = sources.select("source_id").join(last, "source_id", "left").join(hours, "source_id", "left").join(waiting, "source_id", "left")
+    return joined.select(
+        "source_id",
+        F.when(unseen, "unknown").when(open_, F.col("last_state")).alias("open_gap"),
+        F.when(open_, F.col("error_class")).otherwise("").alias("open_class"),
+        F.when(unseen, F.col("ended_at")).when(open_, F.col("started_at")).alias("open_since"),
+        *[F.coalesce(f"{s}_hours", F.lit(0.0)).alias(f"{s}_hours") for s in ("gap", "unknown")],
+        F.coalesce("retries_pending", F.lit(0)).alias("retries_pending"),
+    )
+
+
 def cost_breakdown(usage: DataFrame, today: Column) -> DataFrame:
     """Per stage and provider: calls, cost, and today's of both (UTC days)."""
     is_today = F.to_date("created_at") == today
@@ -166,11 +202,15 @@ def round_robin(rows: DataFrame, buckets: list[str], order: list[Column], n: int
     return rows.withColumn("turn", turn).orderBy("turn", *buckets).limit(n)
 
 
-def run_status(events: DataFrame) -> DataFrame:
-    """Per run its cost, distinct successes and status."""
-    ok, bad = F.count_if(F.col("status") == "success"), F.count_if(F.col("status") == "failed")
-    status = F.when(bad == 0, "success").when(ok == 0, "failed").otherwise("partial")
-    return events.groupBy("run_id").agg(F.sum(F.col("cost").cast("decimal(18,6)")).cast("double").alias("cost"), F.count_distinct(F.when(F.col("status") == "success", F.col("event_key"))).alias("successes"), status.alias("status"))
+def run_status(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """Per run its cost, distinct successes and status. An empty wallet, an open circuit and a fatal error name the
+    run, in this order; what was skipped or is retried is no failure; a run of skips alone had nothing to do."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    cost, done = F.sum(F.col("cost").cast("decimal(18,6)")).cast("double"), F.count_distinct(F.when(F.col("status") == "success", F.col("event_key")))
+    counted = events.groupBy("run_id").agg(cost.alias("cost"), done.alias("successes"), n("quota_exhausted").alias("_quota"), n("circuit_open").alias("_circuit"), n("fatal").alias("_fatal"), n("success").alias("_ok"), n("skipped").alias("_skipped"), F.count_if(~F.col("status").isin("success", "skipped", "retry")).alias("_bad"), F.count("*").alias("_n"))
+    ok, bad = F.col("_ok") > 0, F.col("_bad") > 0
+    status = F.when(F.col("_n").isNull(), "no_work").when(F.col("_quota") > 0, "quota_exhausted").when(F.col("_circuit") > 0, "circuit_open").when(F.col("_fatal") > 0, "aborted").when(ok & bad, "partial").when(ok, "success").when(F.col("_skipped") == F.col("_n"), "no_work").otherwise("failed")
+    return runs.select("run_id").join(counted, "run_id", "left").select("run_id", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("successes", F.lit(0)).alias("successes"), status.alias("status"))
 
 
 def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:

@@ -83,6 +83,11 @@ def link_strength(similarity: Column, shared: Column, same_topic: Column) -> Col
     return F.when(linked, s + 0.1 * shared)
 
 
+def storied(events: DataFrame) -> DataFrame:
+    """What may belong to a storyline: of a category other than '' and other, and not withdrawn."""
+    return events.where("coalesce(category, '') not in ('', 'other') and status <> 'withdrawn'")
+
+
 def storylines(events: DataFrame, tags: DataFrame, days: int = 14) -> DataFrame:
     """(event_id, storyline_id) of linked events; a storyline is named by its smallest event.
 

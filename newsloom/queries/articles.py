@@ -13,7 +13,7 @@ from newsloom.operators import articles as A
 from newsloom.plans.joins import latest_per
 from newsloom.registry import query
 
-_FOLD = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+_FOLD = "trim(regexp_replace(lower(nfc_normalize({})), '\\s+', ' ', 'g'))"
 
 
 def fold_sql(x: str) -> str:
@@ -42,13 +42,14 @@ def d02(spark, sf_dir):
     return domain(spark, sf_dir, "article").select("id", "published_at", D.jalali(D.local_day(p)).alias("jalali"), F.date_format(D.local(p), "HH:mm").alias("clock"), D.local_day(p).cast("string").alias("local_day"))
 
 
-_FLAG = "CASE WHEN trim(coalesce(title, '')) = '' THEN 'missing_title' WHEN length(trim(title)) < 10 THEN 'title_too_short' WHEN length(trim(coalesce(content, ''))) < 40 THEN 'insufficient_text' WHEN published_at > TIMESTAMP '2024-01-20 06:00:00' THEN 'published_in_future' WHEN NOT regexp_matches(url, '^https?://[^/]') THEN 'invalid_url' ELSE '' END"
+_SHOWN = "length(trim(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g')))"
+_FLAG = f"CASE WHEN {_SHOWN.format('title')} = 0 THEN 'missing_title' WHEN {_SHOWN.format('title')} < 10 THEN 'title_too_short' WHEN {_SHOWN.format('title')} + {_SHOWN.format('lead')} + {_SHOWN.format('content')} < 40 THEN 'insufficient_text' WHEN published_at > TIMESTAMP '2024-01-20 06:00:00' THEN 'published_in_future' WHEN NOT (starts_with(url, 'http://') OR starts_with(url, 'https://')) THEN 'invalid_url' ELSE '' END"
 
 
 @query("x03_quality_gate", f"WITH {ctes('article')}, flagged AS (SELECT {_FLAG} AS quality_flag FROM article) SELECT quality_flag, count(*) AS n FROM flagged GROUP BY 1")
 def x03(spark, sf_dir):
     a = domain(spark, sf_dir, "article")
-    flag = X.quality_flag(F.col("title"), F.col("content"), F.col("url"), F.col("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    flag = X.quality_flag(F.col("title"), F.col("lead"), F.col("content"), F.col("url"), F.col("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     return a.groupBy(flag.alias("quality_flag")).agg(F.count("*").alias("n"))
 
 
@@ -133,7 +134,7 @@ def t08(spark, sf_dir):
 @query("p01_eligible", f"WITH {ctes('article', 'news_event')}, m AS (SELECT *, {_FLAG} AS quality_flag, id % 6 = 5 AS dup, id % 19 = 0 AS hid FROM article) SELECT m.id FROM m WHERE NOT dup AND NOT hid AND quality_flag = '' AND native_category <> 'cat3' AND id % 8 <> 1 AND NOT EXISTS (SELECT 1 FROM news_event e WHERE e.hidden AND e.primary_article_id = m.id AND e.event_time > TIMESTAMP '2001-07-01')")
 def p01(spark, sf_dir):
     a = domain(spark, sf_dir, "article")
-    flag = X.quality_flag(F.col("title"), F.col("content"), F.col("url"), F.col("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    flag = X.quality_flag(F.col("title"), F.col("lead"), F.col("content"), F.col("url"), F.col("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     a = a.select("id", F.when(F.col("id") % 6 == 5, F.col("id") - 1).alias("duplicate_of"), (F.col("id") % 19 == 0).alias("hidden"), flag.alias("quality_flag"), F.when(F.col("native_category") == "cat3", "slug:cat3").otherwise("").alias("prefilter_reason"), F.when(F.col("id") % 8 == 1, "gone").otherwise("live").alias("url_status"))
     hidden = domain(spark, sf_dir, "news_event").where("hidden and event_time > timestamp_ntz'2001-07-01'").select(F.col("primary_article_id").alias("id"))
     return A.eligible(A.canonical(a, hidden)).select("id")

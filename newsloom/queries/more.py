@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom import vocab
 from newsloom.adapt import EVENT_NOW, NOW, ctes, domain
 from newsloom.functions import score as X
 from newsloom.functions import time as D
@@ -38,7 +39,7 @@ def c11(spark, sf_dir):
 
 @query(
     "c06_storylines",
-    f"""WITH RECURSIVE {ctes('news_event', 'tag')}, e AS (SELECT id, event_time, category, b.embedding AS v FROM news_event LEFT JOIN embeddings b ON b.vec_id = id % 500 WHERE event_time >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 20 DAY AND category <> 'other'), t AS (SELECT DISTINCT event_id, item FROM tag WHERE event_id IN (SELECT id FROM e)),
+    f"""WITH RECURSIVE {ctes('news_event', 'tag')}, e AS (SELECT id, event_time, category, b.embedding AS v FROM news_event LEFT JOIN embeddings b ON b.vec_id = id % 500 WHERE event_time >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 20 DAY AND category <> 'other' AND id % 23 <> 0 AND id % 29 <> 0), t AS (SELECT DISTINCT event_id, item FROM tag WHERE event_id IN (SELECT id FROM e)),
 sh AS (SELECT x.event_id AS l_id, y.event_id AS e_id, count(*) AS shared FROM t x JOIN t y USING (item) WHERE x.event_id <> y.event_id GROUP BY ALL),
 p AS (SELECT l.id AS l_id, b.id AS e_id, b.event_time AS e_at, coalesce({_COS.replace('a.embedding', 'l.v').replace('b.embedding', 'b.v')}, 0) AS s, coalesce(shared, 0) AS shared, l.category = b.category AS same FROM e l JOIN e b ON (b.event_time < l.event_time OR (b.event_time = l.event_time AND b.id < l.id)) AND l.event_time - b.event_time <= INTERVAL 14 DAY LEFT JOIN sh ON sh.l_id = l.id AND sh.e_id = b.id),
 parent AS MATERIALIZED (SELECT l_id, e_id FROM p WHERE s >= 0.85 OR (s >= 0.75 AND shared >= 1) OR (shared >= 2 AND same) QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY s + 0.1::DOUBLE * shared DESC, e_at, e_id) = 1),
@@ -47,8 +48,9 @@ SELECT id AS event_id, min(node) AS storyline_id FROM reach GROUP BY 1""",
 )
 def c06(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_k"), F.col("embedding").alias("vector"))
-    e = domain(spark, sf_dir, "news_event").where((F.col("event_time") >= now() - F.make_dt_interval(days=F.lit(20))) & (F.col("category") != "other"))
-    e = e.join(v, F.col("id") % 500 == F.col("_k"), "left").select("id", "event_time", "category", "vector")
+    e = domain(spark, sf_dir, "news_event").where(F.col("event_time") >= now() - F.make_dt_interval(days=F.lit(20)))
+    e = e.withColumns({"status": F.when(F.col("id") % 23 == 0, "withdrawn").otherwise(F.col("status")), "category": F.when(F.col("id") % 29 == 0, "").otherwise(F.col("category"))})
+    e = R.storied(e).join(v, F.col("id") % 500 == F.col("_k"), "left").select("id", "event_time", "category", "vector")
     tags = domain(spark, sf_dir, "tag").join(e.select(F.col("id").alias("event_id")), "event_id", "left_semi").select("event_id", "item")
     return R.storylines(e, tags)
 
@@ -110,7 +112,7 @@ def c25(spark, sf_dir):
 least(360.0::DOUBLE, 5.0::DOUBLE * pow(2.0::DOUBLE, k)) AS retry_minutes, k >= 5 OR status = 'corrected' AS gives_up, CASE WHEN k <= 4 THEN k * 25 END AS stored_score,
 coalesce(confidence >= 0.8::DOUBLE AND (k % 2 = 0 OR k >= 2) AND (iran_score >= 80 OR global_score >= 85 OR i0 >= 80), false) AS push_worthy,
 CASE WHEN k <= 4.9::DOUBLE THEN 7 ELSE 30 END AS chart_days, CASE WHEN i0 / 10.0::DOUBLE >= 1000 THEN 0 ELSE floor(i0 / 10.0::DOUBLE + 0.5::DOUBLE) END AS toman,
-CASE k % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'circuit' ELSE 'budget' END AS pause_reason, k - CASE WHEN hidden THEN 5.5::DOUBLE ELSE 0.0::DOUBLE END AS boosted, {IMPACT} AS impact,
+CASE WHEN k = 0 THEN 'wallet_empty' WHEN k IN (1, 2) THEN 'circuit_open' WHEN i0 >= 80 THEN 'monthly_budget' WHEN global_score >= 60 THEN 'daily_budget' ELSE '' END AS pause_reason, CASE WHEN global_score >= 95 THEN 'breaking' WHEN NOT hidden AND k >= CASE id % 4 WHEN 0 THEN 2 WHEN 2 THEN 4 ELSE 3 END THEN 'watch' ELSE '' END AS alert_reason, k - CASE WHEN hidden THEN 5.5::DOUBLE ELSE 0.0::DOUBLE END AS boosted, {IMPACT} AS impact,
 (k * 1000.0::DOUBLE * 0.15::DOUBLE + 500.0::DOUBLE * 0.6::DOUBLE) / 1e6::DOUBLE AS token_cost FROM i""")
 def x_rules(spark, sf_dir):
     """Rules of a single row: retries, answers, push, charts, money, pauses, boosts."""
@@ -125,7 +127,8 @@ def x_rules(spark, sf_dir):
         X.push_worthy(F.col("confidence"), 1 + k % 2, k, F.col("iran_score"), F.col("global_score"), i0).alias("push_worthy"),
         X.chart_days(k.cast("double")).alias("chart_days"),
         X.toman(i0).alias("toman"),
-        X.pause_reason(k % 3 == 1, k % 3 == 2, k % 3 == 0).alias("pause_reason"),
+        X.pause_reason(vocab.pick((*vocab.OPEN_CIRCUITS, "closed", "closed", "closed", "closed", "probing"), k + 1), i0, F.col("global_score"), F.lit(80.0), F.lit(60.0)).alias("pause_reason"),
+        X.alert_reason(vocab.pick(("low", "medium", "high", "other"), F.col("id") % 4 + 1), k, F.when(F.col("global_score") >= 95, 5).otherwise(4), ~F.col("hidden")).alias("alert_reason"),
         X.boosted_place(k, F.col("hidden")).alias("boosted"),
         X.impact(F.col("iran_score"), F.col("global_score")).alias("impact"),
         X.token_cost(k * 1000.0, F.lit(500.0), F.lit(0.15), F.lit(0.6)).alias("token_cost"),

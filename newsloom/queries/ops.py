@@ -31,9 +31,26 @@ def a04(spark, sf_dir):
     return O.attempt_totals(domain(spark, sf_dir, "attempt"))
 
 
-@query("a05_source_state", f"WITH {ctes('attempt')}, l AS (SELECT * FROM attempt QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) = 1) SELECT source_id, started_at AS last_at, CASE WHEN status = 'failed' THEN 'failing' WHEN started_at < {SQL_NOW} - INTERVAL 24 HOUR THEN 'stale' WHEN status = 'empty' THEN 'quiet' ELSE 'healthy' END AS state FROM l")
+#: Attempts of the stream, of which one in thirteen has not come to an end, and the state of each source at noon of a day within it.
+SEEN, SQL_SEEN = "2024-01-15 12:00:00", "TIMESTAMP '2024-01-15 12:00:00'"
+_ATTEMPTS = f"t AS (SELECT source_id, id, started_at, CASE WHEN id % 13 = 0 THEN 'running' ELSE status END AS status, CASE WHEN id % 13 <> 0 THEN started_at + INTERVAL 2 MINUTE END AS finished_at FROM attempt WHERE started_at <= {SQL_SEEN}), s AS (SELECT DISTINCT source_id, source_id % 10 <> 0 AS enabled, source_id % 3 <> 0 AS has_new FROM attempt), l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) = 1)"
+
+
+@query("a05_source_state", f"WITH {ctes('attempt')}, {_ATTEMPTS}, j AS (SELECT s.*, started_at, finished_at, CASE WHEN status = 'running' AND started_at < {SQL_SEEN} - INTERVAL 30 MINUTE THEN 'interrupted' ELSE status END AS last_status FROM s LEFT JOIN l USING (source_id)) SELECT source_id, started_at AS last_at, last_status, CASE WHEN NOT enabled THEN 'disabled' WHEN last_status IN ('failed', 'partial', 'empty', 'interrupted') THEN last_status WHEN {SQL_SEEN} - finished_at <= INTERVAL 15 MINUTE THEN 'healthy' WHEN last_status = 'running' THEN 'running' WHEN has_new THEN 'stale' ELSE 'unknown' END AS state FROM j")
 def a05(spark, sf_dir):
-    return O.source_state(domain(spark, sf_dir, "attempt"), now())
+    seen = F.lit(SEEN).cast("timestamp_ntz")
+    a = domain(spark, sf_dir, "attempt")
+    sources = a.select("source_id").distinct().select("source_id", (F.col("source_id") % 10 != 0).alias("enabled"), F.when(F.col("source_id") % 3 != 0, seen).alias("last_new_at"))
+    open_ = F.col("id") % 13 == 0
+    tried = a.where(F.col("started_at") <= seen).select("source_id", "id", "started_at", F.when(open_, "running").otherwise(F.col("status")).alias("status"), F.when(~open_, F.col("started_at") + F.make_dt_interval(mins=F.lit(2))).alias("finished_at"))
+    return O.source_state(sources, tried, seen)
+
+
+@query("a03_quality", f"WITH {ctes('article')} SELECT count(*) FILTER (id % 9 = 4) AS duplicates, count(*) FILTER (id % 4 IN (0, 1)) AS feed_only, count(*) FILTER (content = '') AS empty_body, count(*) FILTER (id % 11 = 0) AS quality_flagged FROM article")
+def a03(spark, sf_dir):
+    k = F.col("id")
+    a = domain(spark, sf_dir, "article").select("content", F.when(k % 9 == 4, k - 1).alias("duplicate_of"), vocab.pick(("feed", "listing", "jsonld", "css"), 1 + k % 4).alias("extraction_tier"), F.when(k % 11 == 0, "invalid_url").otherwise("").alias("quality_flag"))
+    return O.quality(a)
 
 
 def _states(spark, sf_dir):
@@ -64,6 +81,17 @@ def a14(spark, sf_dir):
     return O.open_gaps(O.coverage(_states(spark, sf_dir), 86_400), 30)
 
 
+@query("a08_coverage_summary", f"""WITH {ctes('attempt')}, {COVERAGE}, own AS (SELECT * FROM coverage WHERE ended_at >= {SQL_NOW} - INTERVAL 7 DAY), l AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ended_at DESC, started_at DESC) = 1),
+h AS (SELECT source_id, round(sum(CASE WHEN state = 'gap' THEN t ELSE 0 END), 1) AS gap_hours, round(sum(CASE WHEN state = 'unknown' THEN t ELSE 0 END), 1) AS unknown_hours FROM (SELECT source_id, state, (epoch_us(least(ended_at, {SQL_NOW})) - epoch_us(greatest(started_at, {SQL_NOW} - INTERVAL 7 DAY))) / 3.6e9::DOUBLE AS t FROM own WHERE ended_at > {SQL_NOW} - INTERVAL 7 DAY) GROUP BY 1),
+r AS (SELECT source_id, count(*) AS retries_pending FROM attempt WHERE status = 'failed' AND id % 4 <> 0 GROUP BY 1), s AS (SELECT DISTINCT source_id FROM attempt),
+j AS (SELECT s.source_id, l.* EXCLUDE (source_id), {SQL_NOW} - ended_at > INTERVAL 12 HOUR OR ended_at IS NULL AS unseen, gap_hours, unknown_hours, retries_pending FROM s LEFT JOIN l USING (source_id) LEFT JOIN h USING (source_id) LEFT JOIN r USING (source_id))
+SELECT source_id, CASE WHEN unseen THEN 'unknown' WHEN state <> 'covered' THEN state END AS open_gap, CASE WHEN NOT unseen AND state <> 'covered' THEN error_class ELSE '' END AS open_class, CASE WHEN unseen THEN ended_at WHEN state <> 'covered' THEN started_at END AS open_since, coalesce(gap_hours, 0)::DOUBLE AS gap_hours, coalesce(unknown_hours, 0)::DOUBLE AS unknown_hours, coalesce(retries_pending, 0)::BIGINT AS retries_pending FROM j""")
+def a08(spark, sf_dir):
+    a = domain(spark, sf_dir, "attempt")
+    retries = a.where("status = 'failed'").select("source_id", (F.col("id") % 4 == 0).alias("gave_up"))
+    return O.coverage_summary(a.select("source_id").distinct(), O.coverage(_states(spark, sf_dir), 86_400), retries, now(), unobserved_minutes=720)
+
+
 @query("a09_cost_breakdown", f"WITH {ctes('usage')} SELECT stage, provider, count(*) AS calls, sum(cost::DECIMAL(18,6))::DOUBLE AS cost, count(*) FILTER (created_at::DATE = DATE '2024-01-30') AS today_calls, coalesce(sum(cost::DECIMAL(18,6)) FILTER (created_at::DATE = DATE '2024-01-30'), 0)::DOUBLE AS today_cost FROM usage GROUP BY 1, 2")
 def a09(spark, sf_dir):
     return O.cost_breakdown(domain(spark, sf_dir, "usage"), F.lit("2024-01-30").cast("date"))
@@ -74,7 +102,7 @@ def a10(spark, sf_dir):
     return O.daily_cost(domain(spark, sf_dir, "usage"), vocab.table(spark, vocab.STAGES, "stage"), "2024-02-01").withColumn("day", F.col("day").cast("string"))
 
 
-@query("a11_crawl_errors", f"WITH {ctes('attempt')}, f AS (SELECT *, CASE substr(error, 6) WHEN '429' THEN 'rate_limit' WHEN '503' THEN 'network' WHEN '404' THEN 'gone' WHEN '403' THEN 'blocked' ELSE 'unknown' END AS error_class FROM attempt WHERE status = 'failed' AND started_at >= {SQL_NOW} - INTERVAL 7 DAY) SELECT source_id, error_class, count(*) AS week, count(*) FILTER (started_at >= {SQL_NOW} - INTERVAL 1 DAY) AS day FROM f GROUP BY GROUPING SETS ((source_id, error_class), (error_class))")
+@query("a11_crawl_errors", f"WITH {ctes('attempt')}, f AS (SELECT *, CASE substr(error, 6) WHEN '429' THEN 'rate_limit' WHEN '503' THEN 'network' WHEN '404' THEN 'gone' WHEN '403' THEN 'blocked' ELSE 'parse' END AS error_class FROM attempt WHERE status = 'failed' AND started_at >= {SQL_NOW} - INTERVAL 7 DAY) SELECT source_id, error_class, count(*) AS week, count(*) FILTER (started_at >= {SQL_NOW} - INTERVAL 1 DAY) AS day FROM f GROUP BY GROUPING SETS ((source_id, error_class), (error_class))")
 def a11(spark, sf_dir):
     return O.crawl_errors(domain(spark, sf_dir, "attempt"), now())
 
@@ -169,9 +197,14 @@ def a18(spark, sf_dir):
     return O.standings(o.select(vocab.pick(variants, 1 + k % 3).alias("variant_a"), vocab.pick(variants, 1 + (k + 1) % 3).alias("variant_b"), F.when(c % 2 == 0, "a").otherwise("b").alias("shown_as_left"), vocab.pick(("left", "right", "tie"), 1 + c % 3).alias("winner")))
 
 
-@query("a29_run_status", f"WITH {ctes('usage')} SELECT run_id, sum(cost::DECIMAL(18,6))::DOUBLE AS cost, count(DISTINCT event_key) FILTER (status = 'success') AS successes, CASE WHEN count(*) FILTER (status = 'failed') = 0 THEN 'success' WHEN count(*) FILTER (status = 'success') = 0 THEN 'failed' ELSE 'partial' END AS status FROM usage GROUP BY 1")
+_NODES = "n AS (SELECT run_id, cost, event_key, CASE WHEN id % 97 = 0 THEN 'quota_exhausted' WHEN id % 89 = 0 THEN 'circuit_open' WHEN id % 83 = 0 THEN 'fatal' WHEN run_id % 5 = 0 AND id % 3 > 0 THEN 'skipped' WHEN id % 11 = 0 THEN 'retry' WHEN run_id % 7 = 0 THEN 'failed' ELSE status END AS status FROM usage)"
+
+
+@query("a29_run_status", f"WITH {ctes('usage')}, {_NODES}, g AS (SELECT run_id, sum(cost::DECIMAL(18,6))::DOUBLE AS cost, count(DISTINCT event_key) FILTER (status = 'success') AS successes, list(DISTINCT status) AS had FROM n GROUP BY 1) SELECT c_custkey AS run_id, coalesce(cost, 0)::DOUBLE AS cost, coalesce(successes, 0)::BIGINT AS successes, CASE WHEN had IS NULL THEN 'no_work' WHEN 'quota_exhausted' IN had THEN 'quota_exhausted' WHEN 'circuit_open' IN had THEN 'circuit_open' WHEN 'fatal' IN had THEN 'aborted' WHEN 'success' IN had THEN CASE WHEN len(list_filter(had, lambda x: x NOT IN ('success', 'skipped', 'retry'))) > 0 THEN 'partial' ELSE 'success' END WHEN had = ['skipped'] THEN 'no_work' ELSE 'failed' END AS status FROM customer LEFT JOIN g ON c_custkey = run_id")
 def a29(spark, sf_dir):
-    return O.run_status(domain(spark, sf_dir, "usage"))
+    k, r = F.col("id"), F.col("run_id")
+    status = F.when(k % 97 == 0, "quota_exhausted").when(k % 89 == 0, "circuit_open").when(k % 83 == 0, "fatal").when((r % 5 == 0) & (k % 3 > 0), "skipped").when(k % 11 == 0, "retry").when(r % 7 == 0, "failed").otherwise(F.col("status"))
+    return O.run_status(domain(spark, sf_dir, "account").select(F.col("user_id").alias("run_id")), domain(spark, sf_dir, "usage").withColumn("status", status))
 
 
 @query("r07_sessions", f"WITH {ctes('usage')}, g AS (SELECT *, coalesce(created_at - lag(created_at) OVER (PARTITION BY run_id ORDER BY created_at) >= INTERVAL 24 HOUR, true) AS fresh FROM usage), i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY run_id ORDER BY created_at, id) AS island FROM g) SELECT run_id, min(created_at) AS started_at, max(created_at) AS ended_at, count(*) AS n FROM i GROUP BY run_id, island")

@@ -13,7 +13,9 @@ NOTIFY, NO_NOTIFY, INSUFFICIENT = "اطلاع‌رسانی شود", "اطلاع
 NOTIFY_STATUSES = (NOTIFY, NO_NOTIFY, INSUFFICIENT)
 EVENT_CATEGORIES = ("conflict_security", "sanctions_diplomacy", "macro_monetary", "energy_commodities", "iran_economy_policy", "markets_companies", "disasters", "social_unrest", "other")
 LEGACY_EVENT_CATEGORIES = {"monetary": "macro_monetary", "macro": "macro_monetary", "sanctions_trade": "sanctions_diplomacy", "geopolitics": "sanctions_diplomacy", "energy": "energy_commodities", "markets": "markets_companies"}
-ERROR_CLASSES = ("network", "rate_limit", "blocked", "gone", "parse", "unknown")
+ERROR_CLASSES = ("network", "blocked", "parse", "rate_limit", "gone", "provider")
+RUN_STATUSES = ("no_work", "quota_exhausted", "circuit_open", "aborted", "partial", "success", "failed")
+OPEN_CIRCUITS = ("open_budget", "open_errors", "stopped")
 STAGES = ("assess", "brief", "translate", "memory")
 
 

@@ -209,9 +209,9 @@ RSS = """<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>
 
 def test_feeds():
     a, b = S.parse_feed(RSS)
-    assert a == {"url": "https://a.b/1", "title": "T & t", "lead": "lead", "content": "body", "published_at": "2024-01-01T10:00:00+03:30", "image_url": "https://a.b/i.jpg", "native_category": "politics"}
+    assert a == {"url": "https://a.b/1", "title": "T & t", "lead": "lead", "content": "body", "published_at": "2024-01-01T06:30:00+00:00", "image_url": "https://a.b/i.jpg", "native_category": "politics"}
     assert b["published_at"] == "soon"
-    (atom,) = S.parse_feed('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t</title><link href="https://a.b/3"/><summary>s</summary></entry></feed>')
+    (atom,) = S.parse_feed('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t</title><link rel="self" href="https://a.b/feed"/><link href="https://a.b/3"/><summary>s</summary></entry></feed>')
     assert (atom["url"], atom["lead"]) == ("https://a.b/3", "s")
     for bad in ("<rss>", "<rss><channel/></rss>"):
         with pytest.raises(ValueError):

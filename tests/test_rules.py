@@ -77,7 +77,7 @@ def test_parse_iso(spark, text, expected):
 )
 def test_quality(spark, title, text, url, expected):
     now = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
-    r = one(spark, X.quality_flag(F.lit(title), F.lit(text), F.lit(url), now, now), X.quality_flag(F.lit("long enough title"), F.lit("x" * 50), F.lit("https://a.b"), now + F.make_dt_interval(days=F.lit(2)), now))
+    r = one(spark, X.quality_flag(F.lit(title), F.lit(""), F.lit(text), F.lit(url), now, now), X.quality_flag(F.lit("long enough title"), F.lit("x" * 50), F.lit(None).cast("string"), F.lit("https://a.b"), now + F.make_dt_interval(days=F.lit(2)), now))
     assert r.c0 == expected and r.c1 == "published_in_future"
 
 
@@ -89,7 +89,7 @@ def test_bands_and_impact(spark):
     assert tuple(r) == (70.0, 10.0, 10.0, 20.0)
 
 
-@pytest.mark.parametrize("text,expected", [("timeout", "network"), ("HTTP 429", "rate_limit"), ("HTTP 503", "network"), ("HTTP 404", "gone"), ("HTTP 403", "blocked"), ("ValueError: x", "parse"), ("odd", "unknown"), ("", "")])
+@pytest.mark.parametrize("text,expected", [("timeout", "network"), ("HTTP 429", "rate_limit"), ("HTTP 503", "network"), ("HTTP 404", "gone"), ("HTTP 403", "blocked"), ("ValueError: x", "parse"), ("odd", "parse"), ("", ""), ("HTTP 451", "blocked"), ("RobotsBlocked: no", "blocked"), ("Fatal: key", "provider"), ("Gone: HTTP 404", "gone"), ("SSLError: x", "network"), ("the connection page", "parse")])
 def test_error_class(spark, text, expected):
     assert one(spark, X.error_class(F.lit(text))).c0 == expected
 
