@@ -1,3 +1,3 @@
 """Queries over the driver's tables, one module for each family of operators. Importing this registers all."""
 
-from newsloom.queries import articles, desk, events, market, more, ops  # noqa: F401
+from newsloom.queries import articles, desk, events, lists, market, more, ops  # noqa: F401
