@@ -55,9 +55,14 @@ def deliveries(devices: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def next_pair(pairs: DataFrame, feedback: DataFrame, users: DataFrame) -> DataFrame:
-    """Each user's first pair without their verdict. Users by pairs is the question itself; pairs are a curated set."""
-    every = users.join(pairs.select("pair_id"), how="cross")
-    return every.join(feedback, ["user_id", "pair_id"], "left_anti").groupBy("user_id").agg(F.min("pair_id").alias("pair_id"))
+    """Each user's first pair without their verdict. Pairs are numbered in order; a user who has judged the first so
+    many without a gap goes on behind them, so users never meet pairs but the one that comes next."""
+    numbered = pairs.select("pair_id").distinct().withColumn("place", F.row_number().over(Window.orderBy("pair_id")))  # a curated set
+    judged = feedback.select("user_id", "pair_id").distinct().join(numbered, "pair_id")
+    ranked = judged.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("place")))
+    done = ranked.groupBy("user_id").agg((F.count_if(F.col("_r") == F.col("place")) + 1).alias("place"))
+    return users.join(done, "user_id", "left").withColumn("place", F.coalesce("place", F.lit(1))).join(numbered, "place").select("user_id", "pair_id")
+
 
 
 def truth(cases: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from newsloom.functions import score as X
 from newsloom.functions import time as D
+from newsloom.plans.folds import ordered_fold
 from newsloom.plans.joins import range_join, top_per
 
 #: The shares of scored events at or above tiers 2 to 5, the bands of too small a sample, and its size.
@@ -106,23 +108,18 @@ def alert_ledger(changes: DataFrame) -> DataFrame:
     A merge rebases silently. What was told last is always the row before: what tells nothing has the same evidence and
     no higher tier than what was told, so a fold is needed only for tiers that sink and rise again within one evidence.
     """
-
-    def fold(rows):
-        told, out = None, []
-        for r in rows.sort_values(["at", "seq"]).itertuples():
-            kind = ""
-            if r.merged and told is not None:
-                told = (r.tier, r.evidence_level)
-            elif told is None:
-                kind, told = "new", (r.tier, r.evidence_level)
-            elif r.evidence_level != told[1] or r.tier > told[0]:
-                kind, told = "update", (r.tier, r.evidence_level)
-            out.append(kind)
-        kept = rows.sort_values(["at", "seq"])[["user_id", "event_id", "at", "seq", "tier", "evidence_level"]].assign(kind=out)
-        return kept[kept["kind"] != ""]
-
-    kinds = {f.name: f.dataType.simpleString() for f in changes.schema}
-    return changes.groupBy("user_id", "event_id").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in ("user_id", "event_id", "at", "seq", "tier", "evidence_level")) + ", kind string")
+    names = ["user_id", "event_id", "at", "seq", "tier", "evidence_level"]
+
+    def step(told, row):
+        new = (row["tier"], row["evidence_level"])
+        if told is not None and row["merged"]:
+            return new, None
+        if told is None or new[1] != told[1] or new[0] > told[0]:
+            return new, (*[row[c] for c in names], "new" if told is None else "update")
+        return told, None
+
+    schema = StructType([*[changes.schema[c] for c in names], StructField("kind", StringType())])
+    return ordered_fold(changes.select(*names, "merged"), ["user_id", "event_id"], ["at", "seq"], step, schema)
 
 
 def pushes(alerts: DataFrame, accounts: DataFrame, cap: int = 5) -> DataFrame:

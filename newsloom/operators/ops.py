@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.functions import score as X
+from newsloom.plans.folds import ordered_fold
 from newsloom.plans.joins import latest_per, top_per
 
 
@@ -219,27 +220,40 @@ def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return s.select("run_id", "started_at", "ended_at", "n")
 
 
+def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+    """Per key the count ``n`` and the values at places (from 1) of its sorted values; ``ranks`` are columns over ``n``. Values
+    fall into buckets between a key's least and greatest; only the bucket that holds a place is put in order, so a key with
+    most of the rows is many groups."""
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("n"))
+    width = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.where(F.col(value).isNotNull()).join(ends, keys).withColumn("_b", width)
+    counted = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b"))
+    wanted = ends.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in ranks.items()])).alias("w")).select(*keys, "n", "w.*")
+    holding = counted.withColumn("_upto", upto).join(wanted, keys).where((F.col("place") <= F.col("_upto")) & (F.col("place") > F.col("_upto") - F.col("_m")))
+    inside = dealt.join(holding.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(value)))
+    found = inside.select(*keys, "_b", "_r", F.col(value).alias("_v")).join(holding.withColumn("_r", F.col("place") - F.col("_upto") + F.col("_m")), [*keys, "_b", "_r"])
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
 def percentile_by_index(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The median cut to whole numbers, and the p95 at place int(.95 n) - 1 of the sorted values: another
-    definition than nearest rank. Ranks come from a window, so no group is gathered."""
-    by = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"_r": F.row_number().over(by.orderBy(value)), "_n": F.count("*").over(by)})
-    at = F.greatest(F.floor(0.95 * F.col("_n")).cast("int"), F.lit(1))
-    return ranked.groupBy(*keys).agg(F.floor(F.median(value)).cast("long").alias("p50"), F.max(F.when(F.col("_r") == at, F.col(value))).alias("p95"), F.count("*").alias("n"))
+    definition than nearest rank."""
+    n = F.col("n")
+    places = {"_m1": F.floor((n + 1) / 2), "_m2": F.ceil((n + 1) / 2), "p95": F.greatest(F.floor(0.95 * n), F.lit(1))}
+    return at_ranks(rows, keys, value, places).select(*keys, F.floor((F.col("_m1") + F.col("_m2")) / 2).cast("long").alias("p50"), "p95", "n")
 
 
 def spaced(notices: DataFrame, seconds: int = 6 * 3600) -> DataFrame:
     """The first notice of a key, and then each that comes so long after the last one told."""
 
-    def fold(rows):
-        told, keep = None, []
-        for t in (ordered := rows.sort_values(["at", "seq"]))["at"]:
-            new = told is None or (t - told).total_seconds() >= seconds
-            told = t if new else told
-            keep.append(new)
-        return ordered[keep]
+    names = notices.columns
+
+    def step(told, row):
+        new = told is None or (row["at"] - told).total_seconds() >= seconds
+        return (row["at"], tuple(row[c] for c in names)) if new else (told, None)
 
-    return notices.groupBy("key").applyInPandas(fold, notices.schema)
+    return ordered_fold(notices, ["key"], ["at", "seq"], step, notices.schema)
 
 
 def admitted(requests: DataFrame, day_limit: float) -> DataFrame:
@@ -250,14 +264,26 @@ def admitted(requests: DataFrame, day_limit: float) -> DataFrame:
 
 def circuit(outcomes: DataFrame, errors: int = 5) -> DataFrame:
     """After each outcome of a provider, how many errors are in a row and whether the circuit is open. A success
-    closes it; a wallet failure opens it at once. Islands of errors by a running count of successes."""
-    order = Window.partitionBy("provider").orderBy("created_at", "id")
-    island = F.sum((F.col("status") == "success").cast("int")).over(order)
-    inside = Window.partitionBy("provider", "_i").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    marked = outcomes.withColumn("_i", island)
-    row = F.sum((F.col("status") != "success").cast("long")).over(inside)
-    fatal = F.max((F.col("status") == "wallet").cast("int")).over(inside)
-    return marked.select("id", "provider", row.alias("errors_in_a_row"), ((row >= errors) | (fatal == 1)).alias("open"))
+    closes it; a wallet failure opens it at once. Errors are counted within a day; those of the days before, back to the
+    last success, come from a summary with a row for each provider and day, so few providers with all the rows are many groups."""
+    ok, wallet = F.col("status") == "success", F.col("status") == "wallet"
+    order = Window.partitionBy("provider", "_day").orderBy("created_at", "id")
+    island = order.rowsBetween(Window.unboundedPreceding, 0)
+    marked = outcomes.withColumn("_day", F.to_date("created_at")).withColumn("_i", F.sum(ok.cast("int")).over(island))
+    inside = Window.partitionBy("provider", "_day", "_i").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marked.withColumns({"_n": F.sum((~ok).cast("long")).over(inside), "_w": F.max(wallet.cast("int")).over(inside)})
+    last = F.struct("created_at", "id")
+    days = counted.groupBy("provider", "_day").agg(F.max("_i").alias("_ok"), F.max_by("_n", last).alias("_left"), F.max_by("_w", last).alias("_lost"))
+    by_day = Window.partitionBy("provider").orderBy("_day")
+    runs = days.withColumn("_g", F.sum((F.col("_ok") > 0).cast("int")).over(by_day))
+    upto = Window.partitionBy("provider", "_g").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumns({"_s": F.sum("_left").over(upto), "_f": F.max("_lost").over(upto)})
+    carried = runs.select("provider", "_day", F.lag("_s").over(by_day).alias("_before"), F.lag("_f").over(by_day).alias("_was"))
+    joined = counted.join(carried, ["provider", "_day"])
+    open_run = F.col("_i") == 0
+    row = F.col("_n") + F.when(open_run, F.coalesce("_before", F.lit(0))).otherwise(F.lit(0))
+    fatal = F.greatest(F.col("_w"), F.when(open_run, F.coalesce("_was", F.lit(0))).otherwise(F.lit(0)))
+    return joined.select("id", "provider", row.alias("errors_in_a_row"), ((row >= errors) | (fatal == 1)).alias("open"))
 
 
 def capped(attempts: DataFrame, keys: list[str], most: int = 3) -> DataFrame:

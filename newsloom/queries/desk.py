@@ -71,13 +71,13 @@ def c26(spark, sf_dir):
     return K.next_pair(pairs, seen, users)
 
 
-@query("c29_outcomes", f"WITH {ctes('review', 'classification')}, c AS (SELECT * FROM classification QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) = 1) SELECT r.article_id AS id, CASE WHEN c.id % 5 <> 0 THEN category END AS predicted, coalesce(c.id % 5 <> 0 AND category = CASE WHEN toxic = 1 THEN 'security' ELSE 'economics' END, false) AS hit FROM review r LEFT JOIN c USING (article_id)")
+@query("c29_outcomes", f"WITH {ctes('review', 'classification')}, c AS (SELECT * FROM classification QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) = 1) SELECT r.article_id AS id, CASE WHEN c.id % 5 <> 0 THEN category END AS predicted, coalesce(c.id % 5 <> 0 AND category = CASE WHEN toxic = 1 THEN 'security' ELSE 'economics' END, false) AS hit, CASE WHEN toxic = 1 THEN 'security' ELSE 'economics' END AS truth FROM review r LEFT JOIN c USING (article_id)")
 def c29(spark, sf_dir):
     from newsloom.plans.joins import latest_per
 
     c = latest_per(domain(spark, sf_dir, "classification"), ["article_id"], F.desc("created_at"), F.desc("id"))
     labels = domain(spark, sf_dir, "review").select(F.col("article_id").alias("id"), F.when(F.col("toxic") == 1, "security").otherwise("economics").alias("truth"))
-    return K.outcomes(labels, c.select(F.col("article_id").alias("id"), F.col("category").alias("answer"), (F.col("id") % 5 != 0).alias("usable"))).drop("truth")
+    return K.outcomes(labels, c.select(F.col("article_id").alias("id"), F.col("category").alias("answer"), (F.col("id") % 5 != 0).alias("usable")))
 
 
 @query("a24_grouping_quality", "SELECT count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') / nullif(count(*) FILTER (l_returnflag = 'R'), 0)::DOUBLE AS precision, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') / nullif(count(*) FILTER (l_linestatus = 'F'), 0)::DOUBLE AS recall FROM lineitem")
@@ -87,10 +87,10 @@ def a24(spark, sf_dir):
     return K.grouping_quality(read(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").alias("called"), (F.col("l_linestatus") == "F").alias("same")))
 
 
-@query("c33_canary", f"WITH {ctes('attempt')} SELECT source_id, sum(fetched % 3)::BIGINT AS parsed, count(*) FILTER (id % 2 = 0) AS with_image, sum(fetched % 3) = 0 AS degraded FROM attempt GROUP BY 1")
+@query("c33_canary", f"WITH {ctes('attempt')} SELECT source_id, sum(fetched % 3)::BIGINT AS parsed, count(*) FILTER (id % 2 = 0) AS with_image, sum(fetched % 3) = 0 AS degraded, string_agg(DISTINCT status, ',' ORDER BY status) AS tiers FROM attempt GROUP BY 1")
 def c33(spark, sf_dir):
     a = domain(spark, sf_dir, "attempt")
-    return K.canary(a.select("source_id", (F.col("fetched") % 3).alias("parsed"), (F.col("id") % 2 == 0).alias("with_image"), F.col("status").alias("tier"))).drop("tiers")
+    return K.canary(a.select("source_id", (F.col("fetched") % 3).alias("parsed"), (F.col("id") % 2 == 0).alias("with_image"), F.col("status").alias("tier"))).withColumn("tiers", F.array_join("tiers", ","))
 
 
 @query("c34_embedding_backlog", f"WITH {ctes('article')} SELECT id FROM article WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) ORDER BY created_at DESC, id DESC LIMIT 100")
@@ -126,13 +126,10 @@ def _interested(events, spark, sf_dir):
     return K.interested(e, s)
 
 
-@query("j15_interested", f"WITH {ctes('news_event', 'account')}, e AS (SELECT id AS event_id, category FROM news_event WHERE id < 200), t AS (SELECT event_id, unnest(['iran', category]) AS topic FROM e), w AS (SELECT user_id, 'iran' AS topic FROM account WHERE user_id % 10 = 0 UNION SELECT user_id, 'disasters' FROM account WHERE user_id % 4 = 1) SELECT DISTINCT event_id, 'u' || user_id AS endpoint FROM t JOIN w USING (topic)")
+_J15 = f"WITH {ctes('news_event', 'account')}, t AS (SELECT id AS event_id, unnest(['iran', category]) AS topic FROM news_event), w AS (SELECT user_id, 'iran' AS topic FROM account WHERE user_id % 10 = 0 UNION SELECT user_id, 'disasters' FROM account WHERE user_id % 4 = 1) SELECT DISTINCT event_id, 'u' || user_id AS endpoint FROM t JOIN w USING (topic)"
+@query("j15_interested", _J15)
+@query("j15_interested_whole", _J15)
 def j15(spark, sf_dir):
-    return _interested(domain(spark, sf_dir, "news_event").where("id < 200"), spark, sf_dir)
-
-
-@query("j15_interested_whole", f"WITH {ctes('news_event', 'account')}, t AS (SELECT id AS event_id, unnest(['iran', category]) AS topic FROM news_event), w AS (SELECT user_id, 'iran' AS topic FROM account WHERE user_id % 10 = 0 UNION SELECT user_id, 'disasters' FROM account WHERE user_id % 4 = 1) SELECT DISTINCT event_id, 'u' || user_id AS endpoint FROM t JOIN w USING (topic)")
-def j15_whole(spark, sf_dir):
     return _interested(domain(spark, sf_dir, "news_event"), spark, sf_dir)
 
 
@@ -151,7 +148,19 @@ def a37(spark, sf_dir):
     return K.section_order(e.select(F.col("category").alias("section"), F.row_number().over(Window.orderBy(F.desc("event_time"), F.desc("id"))).alias("place")))
 
 
-@query("a28_release_gate")
+_GATES = "m(name, value, n) AS (SELECT 'visibility_p95', quantile_disc(delay, 0.95), count(*) FROM d UNION ALL SELECT 'false_top', count(*) FILTER (toxic = 0 AND quality = 0) / nullif(count(*), 0)::DOUBLE, count(*) FROM labels UNION ALL SELECT 'missed_top', count(*) FILTER (toxic = 1 AND quality = 1) / nullif(count(*), 0)::DOUBLE, count(*) FROM labels WHERE doc_id < 0)"
+
+
+@query("a28_release_gate", f"WITH {ctes('article')}, d AS (SELECT (epoch(created_at) - epoch(published_at)) / 60.0::DOUBLE AS delay FROM article), {_GATES}, g(name, floor, ceiling, least) AS (VALUES ('visibility_p95', NULL, 20.0, 100), ('false_top', 0.05, 0.1, 50), ('missed_top', NULL, 0.05, 10)) SELECT name, value, n, coalesce(n >= least AND coalesce(value >= floor, true) AND coalesce(value <= ceiling, true) AND value IS NOT NULL, false) AS passed FROM m JOIN g USING (name)")
 def a28(spark, sf_dir):
-    rows = [("visibility_p95", 9.0, None, 10.0, 120, 100), ("false_top", 0.05, None, 0.02, 120, 100), ("missed_top", None, None, 0.05, 9, 10)]
-    return K.gate(spark.createDataFrame(rows, "name string, value double, floor double, ceiling double, n int, least int"))
+    """Gates over what the tables measure: delays of articles, and labels that two signals share."""
+    from newsloom.tables import read
+
+    a = domain(spark, sf_dir, "article")
+    delay = (F.unix_timestamp(F.col("created_at").cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))) / 60.0
+    first = a.select(delay.alias("delay")).agg(F.lit("visibility_p95").alias("name"), F.expr("percentile_disc(0.95) within group (order by delay)").alias("value"), F.count("*").alias("n"))
+    labels = read(spark, sf_dir, "labels")
+    share = lambda rows, name, hit: rows.agg(F.lit(name).alias("name"), (F.count_if(hit) / F.nullif(F.count("*"), F.lit(0))).alias("value"), F.count("*").alias("n"))
+    measured = first.unionByName(share(labels, "false_top", (F.col("toxic") == 0) & (F.col("quality") == 0))).unionByName(share(labels.where("doc_id < 0"), "missed_top", (F.col("toxic") == 1) & (F.col("quality") == 1)))
+    limits = spark.createDataFrame([("visibility_p95", None, 20.0, 100), ("false_top", 0.05, 0.1, 50), ("missed_top", None, 0.05, 10)], "name string, floor double, ceiling double, least int")
+    return K.gate(measured.join(limits, "name")).select("name", "value", "n", "passed")

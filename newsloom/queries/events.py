@@ -93,14 +93,10 @@ def _candidates(articles, e):
     return E.candidates(a, e, a.select(F.col("id").alias("article_id"), F.col("id").alias("event_id")))
 
 
-@query("j11_event_candidates", f"WITH {ctes('news_event')}, a AS (SELECT id AS article_id, event_time + INTERVAL 5 HOUR AS published_at FROM news_event WHERE id % 50 = 0) SELECT article_id, id AS event_id FROM a JOIN news_event ON event_time BETWEEN published_at - INTERVAL 36 HOUR AND published_at + INTERVAL 36 HOUR WHERE NOT (article_id = id) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY event_time DESC, id DESC) <= 10")
+_J11 = f"WITH {ctes('news_event')}, a AS (SELECT id AS article_id, event_time + INTERVAL 5 HOUR AS published_at FROM news_event) SELECT article_id, id AS event_id FROM a JOIN news_event ON event_time BETWEEN published_at - INTERVAL 36 HOUR AND published_at + INTERVAL 36 HOUR WHERE NOT (article_id = id) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY event_time DESC, id DESC) <= 10"
+@query("j11_event_candidates", _J11)
+@query("j11_event_candidates_whole", _J11)
 def j11(spark, sf_dir):
-    e = domain(spark, sf_dir, "news_event")
-    return _candidates(e.where("id % 50 = 0"), e)
-
-
-@query("j11_event_candidates_whole", f"WITH {ctes('news_event')}, a AS (SELECT id AS article_id, event_time + INTERVAL 5 HOUR AS published_at FROM news_event) SELECT article_id, id AS event_id FROM a JOIN news_event ON event_time BETWEEN published_at - INTERVAL 36 HOUR AND published_at + INTERVAL 36 HOUR WHERE NOT (article_id = id) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY event_time DESC, id DESC) <= 10")
-def j11_whole(spark, sf_dir):
     e = domain(spark, sf_dir, "news_event")
     return _candidates(e, e)
 
@@ -135,9 +131,14 @@ def _changes(spark, sf_dir):
     return r.select((F.col("event_id") % 40).alias("user_id"), (F.col("event_id") % 300).alias("event_id"), F.col("reported_at").alias("at"), F.col("report_id").alias("seq"), (1 + F.col("source_id") % 5).cast("int").alias("tier"), F.when(F.col("stance") == "contradicts", "disputed").otherwise("multi").alias("evidence_level"), (F.col("report_id") % 37 == 0).alias("merged"))
 
 
-@query("r08_alert_ledger")
+_LEDGER = """c AS (SELECT event_id % 40 AS user_id, event_id % 300 AS event_id, reported_at AS at_, report_id AS seq, (1 + source_id % 5)::INT AS tier, CASE WHEN stance = 'contradicts' THEN 'disputed' ELSE 'multi' END AS evidence_level, report_id % 37 = 0 AS merged FROM report),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY at_, seq) AS k FROM c),
+t AS (SELECT *, 'new' AS kind, tier AS t, evidence_level AS e FROM n WHERE k = 1 UNION ALL SELECT n.*, CASE WHEN n.merged THEN '' WHEN n.evidence_level <> t.e OR n.tier > t.t THEN 'update' ELSE '' END, CASE WHEN n.merged OR n.evidence_level <> t.e OR n.tier > t.t THEN n.tier ELSE t.t END, CASE WHEN n.merged OR n.evidence_level <> t.e OR n.tier > t.t THEN n.evidence_level ELSE t.e END FROM t JOIN n ON n.user_id = t.user_id AND n.event_id = t.event_id AND n.k = t.k + 1)"""
+
+
+@query("r08_alert_ledger", f"WITH RECURSIVE {ctes('report')}, {_LEDGER} SELECT user_id, event_id, at_ AS \"at\", seq, tier, evidence_level, kind FROM t WHERE kind <> ''")
 def r08(spark, sf_dir):
-    """A fold over each reader's changes; tests hold it against a plain loop, and streaming against this."""
+    """A fold over each reader's changes; streaming is held against this."""
     return E.alert_ledger(_changes(spark, sf_dir))
 
 
@@ -162,12 +163,12 @@ def o01(spark, sf_dir):
     return first.select("id", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query("l08_latest_assessment_as_of", f"WITH {ctes('news_event')}, asked AS (SELECT id % 300 AS event_id, id, event_time AS created_at, category FROM news_event), r AS (SELECT id AS event_id, TIMESTAMP '1998-01-01' + to_days((id % 900)::INTEGER) AS reviewed_at FROM news_event WHERE id < 300) SELECT r.event_id, max(a.id) AS assessment_id, arg_max(a.category, a.id) AS category FROM r JOIN asked a ON a.event_id = r.event_id AND a.created_at <= r.reviewed_at GROUP BY 1")
+@query("l08_latest_assessment_as_of", f"WITH {ctes('news_event')}, asked AS (SELECT CAST(floor(id / 5) AS BIGINT) AS event_id, id, event_time AS created_at, category FROM news_event), r AS (SELECT event_id, TIMESTAMP '1998-01-01' + to_days((event_id % 900)::INTEGER) AS reviewed_at FROM asked GROUP BY 1) SELECT r.event_id, max(a.id) AS assessment_id, arg_max(a.category, a.id) AS category FROM r JOIN asked a ON a.event_id = r.event_id AND a.created_at <= r.reviewed_at GROUP BY 1")
 def l08(spark, sf_dir):
-    """The latest assessment at the time of a review."""
+    """The latest assessment at the time of a review, of every event; five assessments each."""
     e = domain(spark, sf_dir, "news_event")
-    asked = e.select((F.col("id") % 300).alias("event_id"), "id", F.col("event_time").alias("created_at"), "category")
-    r = e.where("id < 300").select(F.col("id").alias("event_id"), (F.lit("1998-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("id") % 900).cast("int"))).alias("reviewed_at"))
+    asked = e.select(F.floor(F.col("id") / 5).alias("event_id"), "id", F.col("event_time").alias("created_at"), "category")
+    r = asked.select("event_id").distinct().withColumn("reviewed_at", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("event_id") % 900).cast("int")))
     seen = r.join(asked, "event_id").where("created_at <= reviewed_at")
     return latest_per(seen, ["event_id"], F.desc("id")).select("event_id", F.col("id").alias("assessment_id"), "category")
 
@@ -179,14 +180,9 @@ def c28(spark, sf_dir):
     return E.latest_actions(e.select("id", (F.col("id") % 500).alias("event_id"), F.col("event_time").alias("at"), names[(F.col("id") % 4).cast("int")].alias("action"), "category"))
 
 
-@query("c02_merge", f"WITH {ctes('report')} SELECT DISTINCT CASE WHEN event_id = 7 THEN 3 ELSE event_id END AS event_id, source_id FROM report WHERE event_id < 500")
-def c02(spark, sf_dir):
-    r = domain(spark, sf_dir, "report").where("event_id < 500").select("event_id", "source_id")
-    return E.merged_into(r, F.lit(7), F.lit(3).cast("long"))
-
-
+@query("c02_merge", f"WITH {ctes('report')} SELECT DISTINCT CASE WHEN event_id = 7 THEN 3 ELSE event_id END AS event_id, source_id FROM report")
 @query("c02_merge_whole", f"WITH {ctes('report')} SELECT DISTINCT CASE WHEN event_id = 7 THEN 3 ELSE event_id END AS event_id, source_id FROM report")
-def c02_whole(spark, sf_dir):
+def c02(spark, sf_dir):
     return E.merged_into(domain(spark, sf_dir, "report").select("event_id", "source_id"), F.lit(7), F.lit(3).cast("long"))
 
 
