@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.functions import score as X
 from newsloom.functions import text as T
 from newsloom.plans.graph import components
 from newsloom.plans.joins import latest_per, range_join, top_per
 
-#: Queries that one pass over the candidates takes; a fixed bound on what is broadcast.
-QUERY_BLOCK = 4096
+#: Vectors that stand together as one row when all of a table are compared: 0.5 MB at 64 dimensions.
+BLOCK_ROWS = 1024
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -21,49 +23,84 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def packed(rows: DataFrame, prefix: str) -> DataFrame:
+    """Blocks of (id, vector, at), a row each: ``{prefix}_ids``, ``_at`` and ``_unit`` as bytes (vectors brought to length
+    one), ``_dim``, and ``_lo`` and ``_hi``, the bounds of ``at``. Rows without a vector are in none."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                ids, at, sizes = part.column(0).to_numpy(), part.column(2).to_numpy(), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                flat, ends = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(sizes)
+                for d in np.unique(sizes).tolist():
+                    own = sizes == d
+                    unit = flat[np.repeat(own, sizes)].reshape(-1, d)
+                    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((ids[own].tobytes(), pa.binary()), (at[own].tobytes(), pa.binary()), (unit.tobytes(), pa.binary()), (d, pa.int32()), (int(at[own].min()), pa.int64()), (int(at[own].max()), pa.int64()))], names=[f"{prefix}_{c}" for c in ("ids", "at", "unit", "dim", "lo", "hi")])
+
+    schema = ", ".join(f"{prefix}_{c} {t}" for c, t in (("ids", "binary"), ("at", "binary"), ("unit", "binary"), ("dim", "int"), ("lo", "long"), ("hi", "long")))
+    return rows.where("vector is not null and size(vector) > 0").select("id", "vector", "at").mapInArrow(run, schema)
+
+
+def _opened(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row[f"{prefix}_ids"], np.int64), np.frombuffer(row[f"{prefix}_at"], np.int64), np.frombuffer(row[f"{prefix}_unit"]).reshape(-1, row[f"{prefix}_dim"])
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, past_only: bool = False) -> DataFrame:
     """Exact cosine neighbours (query_id, id, similarity, place); ties to the smaller id; a row is not its own.
 
-    ``queries``: id, vector; ``candidates``: id, vector, both with ``at`` where only the past may answer. Blocks of a
-    fixed number of queries go to the candidates' tasks, each keeps its k best of each query, a window merges them.
+    ``queries``: id, vector; ``candidates``: id, vector, both with ``at`` where only the past may answer. Blocks of queries
+    meet blocks of candidates, a matrix product each, of which every query keeps its k best; a window merges them.
     """
-    spark = candidates.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    at = F.unix_micros(F.col("at").cast("timestamp")) if past_only else F.lit(0)
-    q = queries.select("id", "vector", at.alias("at"))
-    c = candidates.select("id", "vector", at.alias("at"))
-    out = None
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        unit = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast((np.array([r.id for r in rows]), unit, np.array([r.at for r in rows])))
-
-        def run(batches, held=held):
-            ids, vectors, moments = held.value
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(float)
-                matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-                for lo in range(0, len(ids), 512):
-                    s = vectors[lo : lo + 512] @ matrix.T
-                    bad = ids[lo : lo + 512, None] == own[None, :]
-                    if past_only:
-                        bad |= batch.column(2).to_numpy()[None, :] >= moments[lo : lo + 512, None]
-                    s[bad] = -np.inf
-                    best = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                    r = np.repeat(np.arange(len(s)), best.shape[1])
-                    flat = best.ravel()
-                    keep = np.isfinite(s[r, flat])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r[keep]]), pa.array(own[flat[keep]]), pa.array(s[r, flat][keep])], names=["query_id", "id", "similarity"])
-
-        part = c.mapInArrow(run, "query_id long, id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    best = top_per(out, ["query_id"], k, F.desc("similarity"), F.asc("id"))
-    from pyspark.sql.window import Window
-
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))))
+    at = F.unix_micros(F.col("at").cast("timestamp")) if past_only else F.lit(0).cast("long")
+    q, c = (packed(rows.select(F.col("id").cast("long").alias("id"), "vector", at.alias("at")), p) for rows, p in ((queries, "q"), (candidates, "c")))
+    met = q.crossJoin(c).where("q_dim = c_dim")  # blocks, of a stated query set and all rows
+    if past_only:
+        met = met.where("c_lo < q_hi")
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(batch.num_rows):
+                (row,) = batch.slice(lo, 1).to_pylist()
+                (q_ids, q_at, q_unit), (ids, moments, unit) = _opened(row, "q"), _opened(row, "c")
+                s = q_unit @ unit.T
+                bad = q_ids[:, None] == ids[None, :]
+                if past_only:
+                    bad |= moments[None, :] >= q_at[:, None]
+                s[bad] = -np.inf
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                r, at_ = np.nonzero((s >= least[:, None]) & np.isfinite(s))  # ties at the bound stay; the window decides
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[at_]), pa.array(s[r, at_])], names=["query_id", "id", "similarity"])
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))
+    return met.mapInArrow(run, "query_id long, id long, similarity double").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def close_pairs(rows: DataFrame, least: float, seconds: int) -> DataFrame:
+    """(l_id, e_id, similarity) of rows (id, vector, at) and earlier ones (ties: of smaller id) no more than ``seconds``
+    before, with a cosine of ``least`` or more. Rows stand in blocks in order of time; blocks meet where their times allow,
+    by buckets as wide as the radius, and only pairs that are close leave them."""
+    radius = 1_000_000 * seconds
+    timed = rows.select(F.col("id").cast("long").alias("id"), "vector", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    ordered = timed.where("at is not null and vector is not null").repartitionByRange("at").sortWithinPartitions("at")
+    bucket = lambda c: F.floor(F.col(c) / radius)
+    late = packed(ordered, "l").withColumn("b", F.explode(F.sequence(bucket("l_lo") - 1, bucket("l_hi"))))
+    early = packed(ordered, "e").withColumn("b", F.explode(F.sequence(bucket("e_lo"), bucket("e_hi"))))
+    first = F.greatest(bucket("l_lo") - 1, bucket("e_lo"))  # two blocks that share several buckets meet in the first
+    met = late.join(early, "b").where((F.col("b") == first) & (F.col("e_lo") <= F.col("l_hi")) & (F.col("e_hi") >= F.col("l_lo") - radius) & (F.col("l_dim") == F.col("e_dim")))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(batch.num_rows):
+                (row,) = batch.slice(lo, 1).to_pylist()
+                (l_ids, l_at, l_unit), (e_ids, e_at, e_unit) = _opened(row, "l"), _opened(row, "e")
+                s = l_unit @ e_unit.T
+                gap = l_at[:, None] - e_at[None, :]
+                r, c = np.nonzero((s >= least - 1e-9) & (gap <= radius) & ((gap > 0) | ((gap == 0) & (e_ids[None, :] < l_ids[:, None]))))
+                yield pa.RecordBatch.from_arrays([pa.array(l_ids[r]), pa.array(e_ids[c]), pa.array(s[r, c])], names=["l_id", "e_id", "similarity"])
+
+    return met.mapInArrow(run, "l_id long, e_id long, similarity double")
 
 
 def similar_titles(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -95,10 +132,16 @@ def storylines(events: DataFrame, tags: DataFrame, days: int = 14) -> DataFrame:
     others went: so storylines are the trees of those choices, which components give without walking events in order.
     ``events``: id, event_time, category, vector (or null); ``tags``: event_id, item.
     """
-    side = lambda s: events.select(F.col("id").alias(f"{s}_id"), F.col("event_time").alias(f"{s}_at"), X.event_topic(F.col("category")).alias(f"{s}_topic"), F.col("vector").alias(f"{s}_v"))
-    near = range_join(side("l"), side("e"), "l_at", "e_at", days * 86_400).where((F.col("e_at") < F.col("l_at")) | ((F.col("e_at") == F.col("l_at")) & (F.col("e_id") < F.col("l_id"))))
-    t = tags.distinct()
-    shared = t.select(F.col("event_id").alias("l_id"), "item").join(t.select(F.col("event_id").alias("e_id"), "item"), "item").where("l_id <> e_id").groupBy("l_id", "e_id").agg(F.count("*").alias("shared"))
-    scored = near.join(shared, ["l_id", "e_id"], "left").withColumn("strength", link_strength(cosine(F.col("l_v"), F.col("e_v")), F.coalesce("shared", F.lit(0)), F.col("l_topic") == F.col("e_topic"))).where("strength > 0")
+    side = lambda s: events.select(F.col("id").alias(f"{s}_id"), F.col("event_time").alias(f"{s}_at"), X.event_topic(F.col("category")).alias(f"{s}_topic"))
+    earlier = (F.col("e_at") < F.col("l_at")) | ((F.col("e_at") == F.col("l_at")) & (F.col("e_id") < F.col("l_id")))
+    tagged = lambda s: side(s).join(tags.distinct().withColumnRenamed("event_id", f"{s}_id"), f"{s}_id").select(f"{s}_id", f"{s}_at", "item")
+    together = range_join(tagged("l"), tagged("e"), "l_at", "e_at", days * 86_400, ["item"]).where(earlier)
+    shared = together.groupBy("l_id", "e_id").agg(F.count("*").alias("shared"))
+    # what is linked is close by text, or shares two items: all others need no score
+    close = close_pairs(events.select("id", "vector", F.col("event_time").alias("at")), 0.75, days * 86_400)
+    met = close.join(shared, ["l_id", "e_id"], "full").join(side("l"), "l_id").join(side("e"), "e_id")
+    rest = met.where("similarity is null").join(events.select(F.col("id").alias("l_id"), F.col("vector").alias("_l")), "l_id").join(events.select(F.col("id").alias("e_id"), F.col("vector").alias("_e")), "e_id")
+    rest = rest.where("shared >= 2").withColumn("similarity", cosine(F.col("_l"), F.col("_e"))).drop("_l", "_e")
+    scored = met.where("similarity is not null").unionByName(rest).withColumn("strength", link_strength(F.col("similarity"), F.coalesce("shared", F.lit(0)), F.col("l_topic") == F.col("e_topic"))).where("strength > 0")
     parent = latest_per(scored, ["l_id"], F.desc("strength"), F.asc("e_at"), F.asc("e_id")).select("l_id", "e_id")
     return components(parent, "l_id", "e_id").select(F.col("node").alias("event_id"), F.col("component").alias("storyline_id"))
