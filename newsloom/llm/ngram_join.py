@@ -69,7 +69,7 @@ GROUP_SHINGLES = 500_000
 #: Lists in which a class is paired first, its rarest; whatever that leaves apart is paired in all of them.
 FIRST_LISTS = 2
 #: Rounds of linear pairing in all lists, before all remaining pairs across components are taken.
-ROUNDS = 2
+ROUNDS = 1
 #: Postings of a list that are ordered together when neighbours are paired.
 LIST_BLOCK = 4096
 #: Bins of the suffix filter, as a power of two: twice the shingles, within these bounds.
@@ -233,17 +233,18 @@ def verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int, into: s
         now, held = None, {}
         for batch in batches:
             good = []
-            for g, a, b, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if g != now:
-                    now, held = g, {}
-                if own is not None:
-                    held[b] = np.frombuffer(own, np.uint64)
-                    continue
-                x, y = sorted((held[a], held[b]), key=len)
-                at = np.searchsorted(y, x)
-                common = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    good.append((a, b))
+            for part in portions(batch, 256):
+                for g, a, b, own in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    if g != now:
+                        now, held = g, {}
+                    if own is not None:
+                        held[b] = np.frombuffer(own, np.uint64)
+                        continue
+                    x, y = sorted((held[a], held[b]), key=len)
+                    at = np.searchsorted(y, x)
+                    common = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], names=["a", "b"])
 
     return written(both.repartition("g").sortWithinPartitions("g", F.asc_nulls_first("a"), "b").mapInArrow(run, "a long, b long"), "links", into)
@@ -256,7 +257,7 @@ def _open(lists: DataFrame) -> DataFrame:
 
 
 def _parted(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    return lists.join(joined.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "size", "pos", F.coalesce("component", "class").alias("part"))
+    return lists.join(joined.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "size", "pos", "back1", "back2", F.coalesce("component", "class").alias("part"))
 
 
 def _pairs(ends: DataFrame, percent: int) -> DataFrame:
@@ -279,14 +280,20 @@ def _meet(open_: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _all_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of different parts that meet in a list where length and position allow a link. Lists are cut by bands of
-    size, within which a link is possible to the same or the next; the join's skewed keys are Spark's to split."""
+    size, within which a link is possible to the same or the next; the join's skewed keys are Spark's to split. Two classes
+    that share one of the two shingles before this one, in either order, have met in its list, where position allows no
+    less: they are left out here."""
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) + 1e-9)) if percent < 100 else F.col("size")
-    full = open_.select("token", "class", "size", "pos", "part", band.cast("int").alias("band"))
+    full = open_.select("token", "class", "size", "pos", "back1", "back2", "part", band.cast("int").alias("band"))
     x, y = full.alias("x"), full.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
     (xs, ys), (xc, yc), (xp, yp) = c("size"), c("class"), c("pos")
     before = (xs < ys) | ((xs == ys) & (xc < yc))
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & before & (F.col("x.part") != F.col("y.part")) & _fits(xs, xp, ys, yp, percent)
+    again = F.lit(False)
+    for i in (1, 2):
+        for j in (1, 2):
+            again = again | F.coalesce(F.col(f"x.back{i}") == F.col(f"y.back{j}"), F.lit(False))
+    met = ~again & (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & before & (F.col("x.part") != F.col("y.part")) & _fits(xs, xp, ys, yp, percent)
     return x.join(y, met).select(F.least(xc, yc).alias("a"), F.greatest(xc, yc).alias("b")).distinct()
 
 
@@ -296,8 +303,9 @@ def _prepared(documents: DataFrame, n: int, percent: int, id_col: str, text_col:
     signed = written(signatures(rows, n, percent), "signed", into)
     known = signed.where("class is not null")
     classes = written(known.where("prefix is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ("size", "key", "parities")]), "classes", into)
-    posted = known.where("prefix is not null").select("class", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
-    lists = written(_open(posted.withColumn("part", F.col("class"))).select("token", "class", "size", "pos", "n"), "lists", into)
+    posted = known.where("prefix is not null").select("class", F.col("size").cast("int").alias("size"), "prefix", F.posexplode("prefix").alias("pos", "token"))
+    posted = posted.withColumns({f"back{k}": F.when(F.col("pos") >= k, F.element_at("prefix", F.col("pos") + 1 - k)) for k in (1, 2)}).drop("prefix")
+    lists = written(_open(posted.withColumn("part", F.col("class"))).select("token", "class", "size", "pos", "back1", "back2", "n"), "lists", into)
     return rows, signed.select("id", "class", "size"), classes, lists
 
 
@@ -322,8 +330,7 @@ def cluster(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
         rarest = lists.withColumn("r", F.dense_rank().over(by_class)).where(F.col("r") <= FIRST_LISTS).drop("r", "n")
         near = next_to(_meet(_open(rarest.withColumn("part", F.col("class"))), 0, percent), None)
         seen = near.select("a", "b")
-        found = verify(near, rows, n, percent, into)
-        joined = written(components(found, "a", "b"), "components", into)
+        joined = written(components(verify(near, rows, n, percent, into), "a", "b"), "components", into)
         for turn in range(1, ROUNDS + 2):
             open_ = written(_open(_parted(lists, joined)), "open", into)
             pairs = _meet(open_, turn, percent) if turn <= ROUNDS else _all_pairs(open_, percent)
@@ -332,8 +339,8 @@ def cluster(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
                 seen = seen.unionByName(near.select("a", "b"))
                 more = verify(near, rows, n, percent, into)
                 if more.limit(1).count():
-                    found = found.unionByName(more)
-                    joined = written(components(found, "a", "b"), "components", into)
+                    stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                    joined = written(components(stars.unionByName(more), "a", "b"), "components", into)
 
         part = F.coalesce("component", "class")
         whole = written(members.join(joined.withColumnRenamed("node", "class"), "class", "left").select("id", "size", part.alias("part")), "parts", into)
