@@ -28,9 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.llm.arrow import portions
 from newsloom.llm.pieces import packer
@@ -84,7 +84,7 @@ class Permutation:
 def tokens(documents: DataFrame, model_file: str, length: int, id_col: str, text_col: str) -> DataFrame:
     """Written to the shared folder: part, the number of its first sequence within the part, id, and the ids as 16-bit numbers."""
     kind = documents.schema[id_col].dataType.simpleString()
-    parts = min(BUCKETS, max(1, documents.rdd.getNumPartitions()))
+    parts = min(BUCKETS, 8 * max(1, documents.rdd.getNumPartitions()))
 
     def encode(batches):
         pack, end = packer(model_file)
@@ -92,20 +92,12 @@ def tokens(documents: DataFrame, model_file: str, length: int, id_col: str, text
             for rows in portions(batch):
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([x + end for x in pack(rows.column(3).to_pylist())], pa.binary())], names=["part", "h", "id", "ids"])
 
-    def number(batches):
-        """A partition's rows come in order."""
-        at = 0
-        for batch in batches:
-            n = -(-pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) // (2 * length))
-            first = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), pa.array(n), batch.column(1), batch.column(2)], names=["part", "first", "n", "id", "ids"])
-
     h = F.xxhash64(id_col, text_col)
     part = F.floor(F.pmod(h, F.lit(BUCKETS)) * parts / F.lit(BUCKETS)).cast("int")
     rows = documents.where(F.col(text_col) != "").select(part.alias("part"), h.alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    dealt = rows.mapInArrow(encode, f"part int, h long, id {kind}, ids binary").repartitionById(parts, F.col("part")).sortWithinPartitions(F.pmod("h", F.lit(BUCKETS)), "h", "id")
-    return written(dealt.select("part", "id", "ids").mapInArrow(number, f"part int, first long, n long, id {kind}, ids binary"), "tokens")
+    before = Window.partitionBy("part").orderBy(F.pmod("h", F.lit(BUCKETS)), "h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.mapInArrow(encode, f"part int, h long, id {kind}, ids binary").withColumn("n", F.ceil(F.length("ids") / (2 * length)))
+    return written(held.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n", "id", "ids"), "tokens")
 
 
 def materialise(documents: DataFrame, model_file: str, length: int = LENGTH, key: bytes = KEY, shard_slots: int = SHARD_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
