@@ -272,6 +272,35 @@ def relay(text: str, base: str) -> str:
     return base
 
 
+def feed_items(feeds: DataFrame) -> DataFrame:
+    """S02, S03 over a table (source_id, text): a row for each item; ``error`` names a feed that cannot be read, which has no other row."""
+    names = ("url", "title", "lead", "content", "published_at", "image_url", "native_category", "error")
+
+    def read(text: str | None) -> list[dict]:
+        try:
+            return parse_feed(text or "")
+        except ValueError as e:
+            return [{"error": str(e).split(":")[0]}]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(s, item) for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item in read(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), *[pa.array([x.get(n, "") for _, x in rows], pa.string()) for n in names]], names=["source_id", *names])
+
+    return feeds.select("source_id", "text").mapInArrow(run, "source_id string, " + ", ".join(f"{n} string" for n in names))
+
+
+def listed(pages: DataFrame) -> DataFrame:
+    """S05, S06 over a table (page_id, url, html): the links of each page in order, and where it hands on to."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, listing(t or "", u or ""), relay(t or "", u or "")) for i, u, t in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string()), pa.string()))], names=["page_id", "links", "relay"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, links array<string>, relay string")
+
+
 #: Parsers by a source's strategy.
 STRATEGIES = {"rss": parse_feed, "listing": listing, "relay": relay, "page": read_page}
 
