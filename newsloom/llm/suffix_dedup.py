@@ -23,9 +23,11 @@ is sorted:
    start, and the sorted runs are merged by binary search.
 
 Defined results. Texts are UTF-8 bytes; null is empty. Fewer than LENGTH bytes
-have no such string. A null doc_id counts as the smallest. Rows alike in doc_id
-and text are one document, each row with its result; texts that differ under
-one doc_id are ordered by a hash of the text. Overlaps count, within a document too.
+have no such string. A doc_id is a number; null counts as the smallest. Rows
+alike in doc_id and text are one document, each row with its result; texts that
+differ under one doc_id are ordered by a hash of the text. Overlaps count, within
+a document too. An empty table gives no row. Very long texts are read in pieces.
+Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ from newsloom.plans.durable import written
 LENGTH = 100
 GRAM = 24
 SHARD_SNIPPETS = 8192
+#: Bytes of a text whose anchors are sought at once, about 72 times as many of memory.
+PIECE = 1 << 20
 BLOOM_BITS = 1 << 27
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8, 16)]
@@ -143,7 +147,20 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, siz
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The positions of anchors and their hashes."""
+    """The positions of anchors and their hashes; of long texts piece by piece, each with all the strings that hold its positions."""
+    if len(text) <= PIECE:
+        return _anchors(text)
+    found = []
+    for lo in range(0, len(text), PIECE):
+        begin = max(0, lo - LENGTH)
+        at, h = _anchors(text[begin : lo + PIECE + 2 * LENGTH])
+        at += begin
+        own = (at >= lo) & (at < lo + PIECE)
+        found.append((at[own], h[own]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width = len(text), LENGTH - GRAM + 1
     if n < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)

@@ -14,7 +14,9 @@ Defined results. A null URL, or one without ``://``, has an empty host and
 path; no rule fits it and the verdict is the default. Repeated rows are judged
 alike. A rule fits its host and all subdomains where the path starts with the
 rule's; among those that fit, the longest wins (ties: the first given). Where
-none fits, the longest matching glob of ``globs`` decides, else ``default``.
+none fits, the longest matching glob of ``globs`` decides, else ``default``. An
+empty table gives no row. A very long URL takes a step for each byte, and the
+others of its batch wait for it. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

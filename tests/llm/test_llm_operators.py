@@ -122,6 +122,14 @@ def test_ngram_repeats_and_empty(spark):
     assert ngram_join.digest(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ngram_null_ids_clashing_names_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(None, "a b c d e"), (4, "a b c d e"), (None, "x y z u v"), (7, long), (6, long + " end"), (8, "w1 w2 w3 w4")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in ("class", "size", "key", "prefix", "part", "component_id", "n_shingles", "least")})
+    got = sorted(((r.doc_id or 0, r.component_id, r.n_shingles) for r in ngram_join.digest(docs).collect()), key=str)
+    assert got == [(0, 4, 2), (0, None, 2), (4, 4, 2), (6, 6, 149_998), (7, 6, 149_997), (8, 8, 1)]
+
+
 def test_ngram_links_are_all_of_them(spark, corpus):
     links, members = ngram_join.links(clashing(spark.createDataFrame(corpus, DOCS)), 4, 60)
     class_of = {r.doc_id: r["class"] for r in members.collect()}
@@ -376,6 +384,16 @@ def test_suffix_array_and_prefixes_equal_brute_force():
         assert got.tolist() == want
 
 
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(12)
+    for text in (bytes(r.choice(b"abc ") for _ in range(5000)), b"ab" * 1500, b"x" * 99, b"y" * 100):
+        whole = suffix_dedup.anchors(text)
+        for piece in (100, 333, 1024):
+            monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+            assert all((x == y).all() and len(x) == len(y) for x, y in zip(suffix_dedup.anchors(text), whole, strict=True))
+        monkeypatch.undo()
+
+
 def _suffix_corpus(corpus):
     r = random.Random(9)
     return [*corpus, (800, "é" * 200), (801, "x" + "é" * 200), (802, corpus[2][1][37:300] + words(r, 20) + corpus[4][1][11:260])]
