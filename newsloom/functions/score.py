@@ -146,9 +146,40 @@ def chart_days(age_days: Column) -> Column:
 
 
 def toman(rial: Column) -> Column:
-    """A tenth, rounded by magnitude."""
+    """A tenth; whole from a thousand on, else to two places; halves go up."""
     t = rial / 10.0
-    return F.when(t >= 1e6, F.round(t, -3)).when(t >= 1e3, F.round(t, -1)).otherwise(F.round(t, 0))
+    return F.when(F.abs(t) >= 1000, F.floor(t + 0.5).cast("double")).otherwise(F.floor(t * 100 + 0.5) / 100.0)
+
+
+def direction_glyph(pct: Column) -> Column:
+    """Which way, and nothing of good or bad."""
+    return F.when(pct > 0, "▲").when(pct < 0, "▼").otherwise("→")
+
+
+def legacy_category(slug: Column) -> Column:
+    """A topic in the words of the old categories; other for what had none."""
+    return vocab.lookup(vocab.LEGACY_CATEGORY, event_topic(slug), "other")
+
+
+def occurrence_level(evidence: Column) -> Column:
+    """How sure it is that something happened, from who reports it; blank for no evidence."""
+    return vocab.lookup(vocab.OCCURRENCE_LEVEL, F.coalesce(evidence, F.lit("")), "")
+
+
+def level_label(score: Column) -> Column:
+    """A score of 0 to 100 as a level; blank where it is not assessed."""
+    return F.coalesce(vocab.pick(vocab.LEVELS, band(score)), F.lit(""))
+
+
+def answered(category: Column, scores: dict[str, Column], confidences: list[Column]) -> Column:
+    """A model's whole answer as stored: category, the seven scores as 0 to 100, the least of the confidences; null where
+    any part is outside its scale."""
+    stored = [stored_score(scores[k]).alias(k) for k in vocab.ANSWERED_SCORES]
+    sure = F.least(*[F.coalesce(c, F.lit(0.0)) for c in confidences])
+    fine = category.isin(*vocab.EVENT_CATEGORIES) & (sure >= 0) & (sure <= 1)
+    for k in vocab.ANSWERED_SCORES:
+        fine = fine & stored_score(scores[k]).isNotNull()
+    return F.when(F.coalesce(fine, F.lit(False)), F.struct(category.alias("category"), *stored, sure.alias("confidence")))
 
 
 def push_worthy(confidence: Column, lead_tier: Column, sources: Column, iran: Column, world: Column, asset: Column) -> Column:

@@ -162,3 +162,31 @@ def timeline(points: DataFrame, markers: DataFrame, relevance: int = 50) -> Data
     days = points.groupBy("symbol", day.alias("day")).agg(F.max_by("price", "observed_at").alias("price"))
     change = F.col("price") - F.lag("price").over(Window.partitionBy("symbol").orderBy("day"))
     return days.withColumn("change", change).join(n, ["symbol", "day"], "left").select("symbol", "day", "price", "change", F.coalesce("markers", F.lit(0)).alias("markers"))
+
+
+def untranslated(events: DataFrame, reports: DataFrame, lang: str = "fa") -> DataFrame:
+    """(event_id, untranslated): whether a reader meets a headline in another language: no title of their own, and a lead
+    source that does not write in it. ``events``: event_id, title; ``reports``: event_id, report_id, reported_at, is_primary, language."""
+    lead = latest_per(reports, ["event_id"], F.desc("is_primary"), F.asc("reported_at"), F.asc("report_id")).select("event_id", "language")
+    return events.join(lead, "event_id", "left").select("event_id", ((F.coalesce("title", F.lit("")) == "") & F.coalesce(F.col("language") != lang, F.lit(False))).alias("untranslated"))
+
+
+def next_meetings(dates: DataFrame, today: Column) -> DataFrame:
+    """Per bank its next meeting from today on, and in how many days."""
+    return dates.where(F.col("day") >= today).groupBy("bank").agg(F.min("day").alias("day")).withColumn("days", F.datediff("day", today))
+
+
+def chart_bounds(points: DataFrame) -> DataFrame:
+    """Per series the scale of its chart: least and greatest price, drawn apart where they are one."""
+    ends = points.where("observed_at is not null and price is not null").groupBy("symbol").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    flat = F.col("low") == F.col("high")
+    return ends.select("symbol", F.when(flat, F.col("low") - 1).otherwise(F.col("low")).alias("low"), F.when(flat, F.col("high") + 1).otherwise(F.col("high")).alias("high"))
+
+
+def mark_read(alerts: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """The inbox after readers mark alerts as read: ``asked``: user_id, alert_id (null for all of theirs). What was read
+    already keeps its moment."""
+    everything = asked.where("alert_id is null").select("user_id", F.lit(True).alias("_all")).distinct()
+    one = asked.where("alert_id is not null").select("user_id", "alert_id", F.lit(True).alias("_one")).distinct()
+    joined = alerts.join(everything, "user_id", "left").join(one, ["user_id", "alert_id"], "left")
+    return joined.withColumn("read_at", F.coalesce("read_at", F.when(F.coalesce("_all", "_one", F.lit(False)), now))).select(*alerts.columns)

@@ -66,9 +66,10 @@ def with_tiers(events: DataFrame, cuts: DataFrame) -> DataFrame:
     return joined.withColumns({"impact": score, "tier": X.tier(score, F.coalesce("_impact", none)), "global_tier": X.tier(F.col("global_score"), F.coalesce("_global", none))}).drop("_impact", "_global")
 
 
-def visible(events: DataFrame) -> DataFrame:
-    """P05."""
-    return events.where("not hidden and category <> 'other' and status <> 'withdrawn'")
+def visible(events: DataFrame, hidden_articles: DataFrame | None = None) -> DataFrame:
+    """Neither the event nor its primary article is hidden, and readers are meant to see it."""
+    open_ = events.where("not hidden and category <> 'other' and status <> 'withdrawn'")
+    return open_ if hidden_articles is None else open_.join(hidden_articles.select(F.col("id").alias("primary_article_id")), "primary_article_id", "left_anti")
 
 
 def feed(events: DataFrame, now: Column, newest: int = 300, most: int = 50) -> DataFrame:

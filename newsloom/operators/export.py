@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.functions import score as X
 from newsloom.functions import time as D
+from newsloom.plans.joins import latest_per
 
 
 def safe_cell(text: Column) -> Column:
@@ -30,12 +32,31 @@ def notify_formula(row: Column, columns: tuple[str, str, str] = ("E", "F", "G"))
 
 
 def workbook(events: DataFrame) -> DataFrame:
-    """Events by local solar day, numbered by time and id."""
+    """Events by local solar day, numbered by time and id."""
     day = D.jalali(D.local_day(F.col("event_time")))
     order = Window.partitionBy("jalali_day").orderBy("event_time", "id")
     return events.withColumn("jalali_day", day).withColumn("number", F.row_number().over(order))
 
 
+def workbook_rows(events: DataFrame, assessments: DataFrame, articles: DataFrame, watched: DataFrame) -> DataFrame:
+    """A workbook's record for each event that is not withdrawn: evidence as the level of occurrence, the gold score of
+    the latest assessment, the Iran score for security topics, the vote of the three, outlets in order and each once, notes.
+    ``events``: id, event_time, status, category, evidence_level, iran_score, title, brief, url, primary_article_id;
+    ``assessments``: event_id, id, gold_score; ``articles``: event_id, article_id, outlet; ``watched``: event_id, link_id, name."""
+    last = latest_per(assessments, ["event_id"], F.desc("id")).select(F.col("event_id").alias("id"), "gold_score")
+    first = articles.join(events.select(F.col("id").alias("event_id"), "primary_article_id"), "event_id").where("outlet <> ''")
+    place = F.struct((F.col("article_id") != F.col("primary_article_id")).alias("late"), "article_id")
+    by_outlet = first.groupBy("event_id", "outlet").agg(F.min(place).alias("place"))
+    listed = by_outlet.groupBy(F.col("event_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "outlet"))), lambda x: x["outlet"]), "، ").alias("outlets"))
+    items = watched.groupBy(F.col("event_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("link_id", "name"))), lambda x: x["name"]), "، ").alias("items"))
+    joined = events.where("status <> 'withdrawn'").join(last, "id", "left").join(listed, "id", "left").join(items, "id", "left")
+    category = X.legacy_category(F.col("category"))
+    axes = [X.occurrence_level(F.col("evidence_level")), X.level_label(F.col("gold_score")), F.when(F.contains(category, F.lit("security")), X.level_label(F.col("iran_score"))).otherwise("")]
+    day = D.jalali(D.local_day(F.col("event_time")))
+    notes = F.concat_ws("\n", F.nullif("brief", F.lit("")), F.concat(F.lit("پایش: "), F.nullif("items", F.lit(""))))
+    return joined.select("id", "event_time", day.alias("jalali_day"), D.jalali_words(day).alias("date"), F.date_format(D.local(F.col("event_time")), "HH:mm").alias("clock"), F.coalesce("outlets", F.lit("")).alias("outlets"), "title", axes[0].alias("occurrence"), axes[1].alias("gold"), axes[2].alias("security"), X.decide(*[F.nullif(a, F.lit("")) for a in axes]).alias("decision"), notes.alias("notes"), hyperlink(F.col("url")).alias("link"), category.alias("feed"))
+
+
 def write_workbook(rows: DataFrame, path: str) -> None:
     """One folder of CSV for each day."""
     rows.repartition("jalali_day").sortWithinPartitions("jalali_day", "number").write.mode("overwrite").partitionBy("jalali_day").csv(path, header=True)
@@ -68,3 +89,10 @@ def replace_watchlist(current: DataFrame, wanted: DataFrame) -> DataFrame:
     """(user_id, item, action) that turn one list into the other."""
     c, w = current.select("user_id", "item", F.lit(True).alias("_c")), wanted.select("user_id", "item", F.lit(True).alias("_w"))
     return c.join(w, ["user_id", "item"], "full").select("user_id", "item", F.when(F.col("_c").isNull(), "add").when(F.col("_w").isNull(), "remove").otherwise("keep").alias("action"))
+
+
+def acceptable_watchlists(wanted: DataFrame, items: DataFrame, least: int = 3, most: int = 100) -> DataFrame:
+    """The lists of readers who name so many items of the catalogue, each once; other lists are refused as a whole."""
+    known = wanted.select("user_id", "item").distinct().join(items.select("item", F.lit(True).alias("_known")), "item", "left")
+    fine = known.groupBy("user_id").agg(F.count("*").alias("n"), F.count("_known").alias("k")).where(f"n = k and n between {least} and {most}").select("user_id")
+    return known.join(fine, "user_id", "left_semi").select("user_id", "item")

@@ -108,6 +108,15 @@ def cost_breakdown(usage: DataFrame, today: Column) -> DataFrame:
     return usage.groupBy("stage", "provider").agg(F.count("*").alias("calls"), money.cast("double").alias("cost"), F.count_if(is_today).alias("today_calls"), F.coalesce(F.sum(F.when(is_today, F.col("cost").cast("decimal(18,6)"))), F.lit(0)).cast("double").alias("today_cost"))
 
 
+def cost_totals(usage: DataFrame, stages: DataFrame, now: Column) -> DataFrame:
+    """A10: by stage, with those that cost nothing, and in total (stage null): calls and cost of the month, cost of today; in UTC."""
+    today, money = F.to_date(now), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    cost = F.col("cost").cast("decimal(18,6)")
+    month = usage.where((F.col("created_at") >= F.date_trunc("month", now)) & (F.col("created_at") <= now)).select("stage", cost.alias("cost"), (F.to_date("created_at") == today).alias("now"))
+    joined = stages.select("stage").join(month, "stage", "left")
+    return joined.groupingSets([[], [F.col("stage")]], F.col("stage")).agg(F.count("cost").alias("calls"), money(F.col("cost")).alias("month"), money(F.when(F.col("now"), F.col("cost"))).alias("today"))
+
+
 def daily_cost(usage: DataFrame, stages: DataFrame, last_day: str, days: int = 7) -> DataFrame:
     """A10: every stage on every one of the last days, zero where nothing was spent."""
     first = F.date_sub(F.lit(last_day).cast("date"), days - 1)

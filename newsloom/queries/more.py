@@ -111,7 +111,7 @@ def c25(spark, sf_dir):
 @query("x_row_rules", f"""WITH {ctes('news_event')}, i AS (SELECT *, (id % 8)::INT AS k, coalesce(iran_score, 0) AS i0 FROM news_event) SELECT id,
 least(360.0::DOUBLE, 5.0::DOUBLE * pow(2.0::DOUBLE, k)) AS retry_minutes, k >= 5 OR status = 'corrected' AS gives_up, CASE WHEN k <= 4 THEN k * 25 END AS stored_score,
 coalesce(confidence >= 0.8::DOUBLE AND (k % 2 = 0 OR k >= 2) AND (iran_score >= 80 OR global_score >= 85 OR i0 >= 80), false) AS push_worthy,
-CASE WHEN k <= 4.9::DOUBLE THEN 7 ELSE 30 END AS chart_days, CASE WHEN i0 / 10.0::DOUBLE >= 1000 THEN 0 ELSE floor(i0 / 10.0::DOUBLE + 0.5::DOUBLE) END AS toman,
+CASE WHEN k <= 4.9::DOUBLE THEN 7 ELSE 30 END AS chart_days, floor(i0 * 10 + 0.5::DOUBLE) / 100.0::DOUBLE AS toman, CASE WHEN global_score * 12345 / 10.0::DOUBLE >= 1000 THEN floor(global_score * 12345 / 10.0::DOUBLE + 0.5::DOUBLE) ELSE floor(global_score * 12345 / 10.0::DOUBLE * 100 + 0.5::DOUBLE) / 100.0::DOUBLE END AS toman_large, CASE WHEN i0 > 40 THEN '▲' WHEN i0 < 40 THEN '▼' ELSE '→' END AS glyph,
 CASE WHEN k = 0 THEN 'wallet_empty' WHEN k IN (1, 2) THEN 'circuit_open' WHEN i0 >= 80 THEN 'monthly_budget' WHEN global_score >= 60 THEN 'daily_budget' ELSE '' END AS pause_reason, CASE WHEN global_score >= 95 THEN 'breaking' WHEN NOT hidden AND k >= CASE id % 4 WHEN 0 THEN 2 WHEN 2 THEN 4 ELSE 3 END THEN 'watch' ELSE '' END AS alert_reason, k - CASE WHEN hidden THEN 5.5::DOUBLE ELSE 0.0::DOUBLE END AS boosted, {IMPACT} AS impact,
 (k * 1000.0::DOUBLE * 0.15::DOUBLE + 500.0::DOUBLE * 0.6::DOUBLE) / 1e6::DOUBLE AS token_cost FROM i""")
 def x_rules(spark, sf_dir):
@@ -127,6 +127,8 @@ def x_rules(spark, sf_dir):
         X.push_worthy(F.col("confidence"), 1 + k % 2, k, F.col("iran_score"), F.col("global_score"), i0).alias("push_worthy"),
         X.chart_days(k.cast("double")).alias("chart_days"),
         X.toman(i0).alias("toman"),
+        X.toman(F.col("global_score") * 12345).alias("toman_large"),
+        X.direction_glyph(i0 - 40).alias("glyph"),
         X.pause_reason(vocab.pick((*vocab.OPEN_CIRCUITS, "closed", "closed", "closed", "closed", "probing"), k + 1), i0, F.col("global_score"), F.lit(80.0), F.lit(60.0)).alias("pause_reason"),
         X.alert_reason(vocab.pick(("low", "medium", "high", "other"), F.col("id") % 4 + 1), k, F.when(F.col("global_score") >= 95, 5).otherwise(4), ~F.col("hidden")).alias("alert_reason"),
         X.boosted_place(k, F.col("hidden")).alias("boosted"),

@@ -102,3 +102,91 @@ def c35(spark, sf_dir):
     k = F.col("id")
     rows = domain(spark, sf_dir, "article").select("id", F.when(k % 3 != 0, F.col("title")).otherwise("").alias("title"), F.when(k % 3 != 0, F.col("lead")).alias("lead"))
     return K.invalidate(rows, ["title", "lead"])[0]
+
+
+def _case(names: dict[str, str], key: str, default: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE '{default}' END"
+
+
+_LEVEL = "CASE WHEN {0} IS NULL THEN '' ELSE [" + vocab.sql_list(vocab.LEVELS) + "][1 + ({0} >= 20)::INT + ({0} >= 40)::INT + ({0} >= 60)::INT + ({0} >= 80)::INT] END"
+_VOTE = f"list_filter([nullif(coalesce(list_position([{vocab.sql_list(vocab.LEVELS)}], x), 0), 0) FOR x IN [occurrence, gold, security]], lambda x: x IS NOT NULL)"
+_EVIDENCE = ("official", "multi", "single", "disputed", "")
+
+
+@query("c15_workbook_rows", f"""WITH {ctes('news_event', 'report', 'tag')}, e AS (SELECT *, {vocab.sql_pick(_EVIDENCE, '(1 + id % 5)')} AS evidence_level FROM news_event WHERE status <> 'corrected'),
+a AS (SELECT event_id, arg_max({{'g': CASE WHEN report_id % 7 <> 0 THEN (report_id % 101)::DOUBLE END}}, report_id).g AS gold_score FROM report GROUP BY 1),
+o AS (SELECT event_id, 's' || source_id % 20 AS outlet, min(report_id) AS first_id FROM report GROUP BY 1, 2), l AS (SELECT event_id, string_agg(outlet, '، ' ORDER BY first_id, outlet) AS outlets FROM o GROUP BY 1),
+w AS (SELECT event_id, string_agg(item, '، ' ORDER BY item) AS items FROM (SELECT DISTINCT event_id, item FROM tag) GROUP BY 1),
+r AS (SELECT id, {_case(vocab.LEGACY_CATEGORY, 'category', 'other')} AS feed, {_case(vocab.OCCURRENCE_LEVEL, 'evidence_level', '')} AS occurrence, {_LEVEL.format('gold_score')} AS gold, CASE WHEN contains({_case(vocab.LEGACY_CATEGORY, 'category', 'other')}, 'security') THEN {_LEVEL.format('iran_score')} ELSE '' END AS security, coalesce(outlets, '') AS outlets, CASE WHEN items IS NULL THEN '' ELSE 'پایش: ' || items END AS notes, {D.jalali_sql('(event_time + INTERVAL 210 MINUTE)::DATE')} AS jalali_day FROM e LEFT JOIN a ON a.event_id = id LEFT JOIN l ON l.event_id = id LEFT JOIN w ON w.event_id = id),
+s AS (SELECT *, {_VOTE} AS s FROM r) SELECT id, feed, occurrence, gold, security, outlets, notes, jalali_day, CASE WHEN len(s) < 2 THEN '{vocab.INSUFFICIENT}' WHEN list_min(s) < 2 THEN '{vocab.NO_NOTIFY}' WHEN len(list_filter(s, lambda x: x >= 4)) >= 2 THEN '{vocab.NOTIFY}' ELSE '{vocab.NO_NOTIFY}' END AS decision FROM s""")
+def c15(spark, sf_dir):
+    """Events with evidence, gold and Iran bands, the vote, outlets in order of their reports, and watch items by name."""
+    from newsloom.operators import export as E
+
+    e = domain(spark, sf_dir, "news_event").where("status <> 'corrected'").withColumns({"evidence_level": vocab.pick(_EVIDENCE, 1 + F.col("id") % 5), "title": F.lit("t"), "brief": F.lit(""), "url": F.lit("https://example.org/"), "primary_article_id": F.lit(-1).cast("long")})
+    r = domain(spark, sf_dir, "report")
+    k = F.col("report_id")
+    assessed = r.select("event_id", k.alias("id"), F.when(k % 7 != 0, (k % 101).cast("double")).alias("gold_score"))
+    outlets = r.select("event_id", k.alias("article_id"), F.concat(F.lit("s"), (F.col("source_id") % 20).cast("string")).alias("outlet"))
+    tags = domain(spark, sf_dir, "tag").select("event_id", F.col("item").alias("link_id"), F.col("item").alias("name")).distinct()
+    return E.workbook_rows(e, assessed, outlets, tags).select("id", "feed", "occurrence", "gold", "security", "outlets", "notes", "jalali_day", "decision")
+
+
+@query("x20_answers", f"WITH e AS (SELECT event_id AS id, event_id % 10 AS k FROM events) SELECT id, CASE WHEN k < 8 THEN {vocab.sql_pick(vocab.EVENT_CATEGORIES, '(1 + id % 9)')} END AS category, CASE WHEN k < 8 THEN (k % 5) * 25 END::INT AS iran, CASE WHEN k < 8 THEN 100 END::INT AS gold, CASE WHEN k < 8 THEN 0.5 END::DOUBLE AS confidence FROM e")
+def x20(spark, sf_dir):
+    """Whole answers: one in ten with a category outside the vocabulary, one with a score outside the scale."""
+    k = F.col("event_id") % 10
+    scores = {name: F.lit(4) for name in vocab.ANSWERED_SCORES} | {"iran": F.when(k == 9, 7).otherwise(k % 5)}
+    category = F.when(k == 8, "odd").otherwise(vocab.pick(vocab.EVENT_CATEGORIES, 1 + F.col("event_id") % 9))
+    a = X.answered(category, scores, [F.lit(0.5), F.lit(0.9), F.lit(1.0)])
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), a.alias("a")).select("id", F.col("a.category").alias("category"), F.col("a.iran").cast("int").alias("iran"), F.col("a.asset_gold").cast("int").alias("gold"), F.col("a.confidence").alias("confidence"))
+
+
+@query("a10_cost_totals", f"WITH {ctes('usage')}, s(stage) AS (VALUES {', '.join(f"('{x}')" for x in (*vocab.STAGES, 'idle'))}), m AS (SELECT stage, cost::DECIMAL(18,6) AS cost, created_at::DATE = DATE '2024-01-20' AS now FROM usage WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at <= TIMESTAMP '2024-01-20 12:00:00') SELECT stage, count(cost) AS calls, coalesce(sum(cost), 0)::DOUBLE AS month, coalesce(sum(cost) FILTER (now), 0)::DOUBLE AS today FROM s LEFT JOIN m USING (stage) GROUP BY GROUPING SETS ((), (stage))")
+def a10_totals(spark, sf_dir):
+    from newsloom.operators import ops as O
+
+    return O.cost_totals(domain(spark, sf_dir, "usage"), vocab.table(spark, (*vocab.STAGES, "idle"), "stage"), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+
+
+@query("x26_untranslated", f"WITH {ctes('report')}, l AS (SELECT * FROM report QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY report_id % 5 = 0 DESC, reported_at, report_id) = 1) SELECT event_id, event_id % 3 = 0 AND source_id % 4 <> 1 AS untranslated FROM l")
+def x26(spark, sf_dir):
+    r = domain(spark, sf_dir, "report").select("event_id", "report_id", "reported_at", (F.col("report_id") % 5 == 0).alias("is_primary"), F.when(F.col("source_id") % 4 == 1, "fa").otherwise("en").alias("language"))
+    return K.untranslated(r.select("event_id").distinct().withColumn("title", F.when(F.col("event_id") % 3 == 0, "").otherwise("t")), r)
+
+
+@query("x29_next_meetings", "SELECT user_id AS bank, min(ts::DATE)::VARCHAR AS day, date_diff('day', DATE '2024-01-15', min(ts::DATE))::INT AS days FROM events WHERE ts::DATE >= DATE '2024-01-15' GROUP BY 1")
+def x29(spark, sf_dir):
+    dates = read(spark, sf_dir, "events").select(F.col("user_id").alias("bank"), F.to_date("ts").alias("day"))
+    return K.next_meetings(dates, F.lit("2024-01-15").cast("date")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("x28_chart_bounds", "SELECT user_id AS symbol, CASE WHEN min(value) = max(value) THEN min(value) - 1 ELSE min(value) END AS low, CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END AS high FROM events GROUP BY 1")
+def x28(spark, sf_dir):
+    return K.chart_bounds(read(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.col("ts").alias("observed_at"), F.col("value").alias("price")))
+
+
+@query("c24_mark_read", "SELECT event_id AS alert_id, event_id % 3 = 0 OR user_id % 7 = 0 OR event_id % 10 = 1 AS is_read, event_id % 3 = 0 AS was_read FROM events")
+def c24_read(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    alerts = e.select("user_id", F.col("event_id").alias("alert_id"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("read_at"), F.col("ts").alias("created_at"))
+    asked = alerts.where("user_id % 7 = 0").select("user_id", F.lit(None).cast("long").alias("alert_id")).distinct().unionByName(alerts.where("alert_id % 10 = 1").select("user_id", "alert_id"))
+    after = K.mark_read(alerts, asked, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    return after.select("alert_id", F.col("read_at").isNotNull().alias("is_read"), F.coalesce(F.col("read_at") == F.col("created_at"), F.lit(False)).alias("was_read"))
+
+
+@query("c25_acceptable", "WITH w AS (SELECT DISTINCT o_custkey AS user_id, o_orderpriority AS item FROM orders), f AS (SELECT user_id FROM w GROUP BY 1 HAVING count(*) BETWEEN 3 AND 4 AND bool_and(item <> '5-LOW')) SELECT user_id, item FROM w WHERE user_id IN (SELECT user_id FROM f)")
+def c25_fine(spark, sf_dir):
+    from newsloom.operators import export as E
+
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("item"))
+    return E.acceptable_watchlists(o, o.select("item").distinct().where("item <> '5-LOW'"), 3, 4)
+
+
+@query("p04_visible", f"WITH {ctes('news_event')} SELECT id FROM news_event WHERE NOT hidden AND category <> 'other' AND status <> 'withdrawn' AND primary_article_id % 19 <> 0")
+def p04(spark, sf_dir):
+    from newsloom.operators import events as E
+
+    hidden = domain(spark, sf_dir, "article").where("id % 19 = 0").select("id")
+    more = spark.range(200).where("id % 19 = 0")
+    return E.visible(domain(spark, sf_dir, "news_event"), hidden.unionByName(more)).select("id")
