@@ -83,3 +83,16 @@ def valid_points(rows: DataFrame) -> DataFrame:
     """(symbol, observed_at, price) of what parses: a time, and a finite price above zero."""
     parsed = rows.select("symbol", D.parse_iso(F.col("observed_at")).alias("observed_at"), F.col("price").try_cast("double").alias("price"))
     return parsed.where(F.col("observed_at").isNotNull() & (F.col("price") > 0) & ~F.isnan("price") & (F.col("price") < float("inf")))
+
+
+def observed_changes(markers: DataFrame, points: DataFrame, now: Column, slack_days: int = 3) -> DataFrame:
+    """Per marker (id, symbol, at) the change in per cent a day and a week after it: from the last price before, three
+    days old at most, to the first from then on within three days; null where either is missing or the time has not come."""
+    slack = slack_days * 86_400
+    out = asof_join(markers, points, ["symbol"], "at", "observed_at", ["price"], tolerance_seconds=slack).withColumnsRenamed({"price": "_before", "observed_at": "_from"})
+    for name, days in (("change_1d", 1), ("change_1w", 7)):
+        target = out.withColumn("_target", F.col("at") + F.make_dt_interval(days=F.lit(days)))
+        later = asof_join(target, points, ["symbol"], "_target", "observed_at", ["price"], forward=True, tolerance_seconds=slack)
+        change = F.round(100 * (F.col("price") - F.col("_before")) / F.nullif(F.col("_before"), F.lit(0)), 2)
+        out = later.withColumn(name, F.when(F.col("_target") <= now, change)).drop("price", "observed_at", "_target")
+    return out.select("id", "symbol", "at", "change_1d", "change_1w")

@@ -253,6 +253,18 @@ def percentile_by_index(rows: DataFrame, keys: list[str], value: str) -> DataFra
     return at_ranks(rows, keys, value, places).select(*keys, F.floor((F.col("_m1") + F.col("_m2")) / 2).cast("long").alias("p50"), "p95", "n")
 
 
+def benchmark(calls: DataFrame) -> DataFrame:
+    """Per model: latencies by ``percentile_by_index``, the share of answers that kept to the form, cost per call.
+    ``calls``: model, latency, valid, cost."""
+    kept = calls.groupBy("model").agg(F.avg(F.col("valid").cast("int")).alias("compliance"), (F.sum(F.col("cost").cast("decimal(18,6)")).cast("double") / F.count("*")).alias("cost_per_call"))
+    return percentile_by_index(calls, ["model"], "latency").join(kept, "model")
+
+
+def outcomes_of_day(events: DataFrame, now: Column) -> DataFrame:
+    """How many steps ended how in the last 24 hours."""
+    return events.where((F.col("created_at") >= now - F.make_dt_interval(hours=F.lit(24))) & (F.col("created_at") <= now)).groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
 def spaced(notices: DataFrame, seconds: int = 6 * 3600) -> DataFrame:
     """The first notice of a key, and then each that comes so long after the last one told."""
 

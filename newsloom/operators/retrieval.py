@@ -77,6 +77,17 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, past_only: bool =
     return met.mapInArrow(run, "query_id long, id long, similarity double").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
+def memory_examples(queries: DataFrame, reviewed: DataFrame, others: DataFrame, k: int, overfetch: int = 3) -> DataFrame:
+    """(query_id, id, similarity, place, reviewed): a query's nearest rows that a person has labelled; what they lack
+    of ``k`` comes from the past that a model has labelled, the usable ones among so many times ``k`` nearest. ``queries``: id,
+    vector, at; ``reviewed``: id, vector; ``others``: id, vector, at, usable."""
+    first = nearest(queries, reviewed, k).drop("place").withColumn("reviewed", F.lit(True))
+    rest = others.join(reviewed.select("id"), "id", "left_anti")
+    second = nearest(queries, rest, overfetch * k, past_only=True).drop("place").join(others.where("usable").select("id"), "id", "left_semi").withColumn("reviewed", F.lit(False))
+    order = Window.partitionBy("query_id").orderBy(F.desc("reviewed"), F.desc("similarity"), F.asc("id"))
+    return first.unionByName(second).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 def close_pairs(rows: DataFrame, least: float, seconds: int) -> DataFrame:
     """(l_id, e_id, similarity) of rows (id, vector, at) and earlier ones (ties: of smaller id) no more than ``seconds``
     before, with a cosine of ``least`` or more. Rows stand in blocks in order of time; blocks meet where their times allow,

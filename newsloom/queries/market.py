@@ -128,3 +128,15 @@ def c17(spark, sf_dir):
     days = prices(spark, sf_dir).groupBy("symbol", F.to_date("observed_at").alias("day")).agg(F.max_by("price", "observed_at").alias("price"))
     lines = days.groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "price"))), lambda x: F.format_string("%.2f", x["price"])), ",").alias("spark"))
     return catalogue.join(lines, "symbol", "left").select("symbol", "place", F.col("spark").isNotNull().alias("available"), F.coalesce("spark", F.lit("")).alias("spark"))
+
+
+_LATER = "(SELECT min({{'t': observed_at, 'p': price}}) FROM price p WHERE p.symbol = b.symbol AND observed_at >= happened + INTERVAL {0} DAY AND observed_at <= happened + INTERVAL {1} DAY)"
+
+
+def _change(days: int) -> str:
+    return f"CASE WHEN happened + INTERVAL {days} DAY <= TIMESTAMP '{NOW}' THEN round(100 * ({_LATER.format(days, days + 3)}.p - before_) / nullif(before_, 0), 2) END"
+
+
+@query("c12_observed_changes", f"WITH {ctes('article', 'price')}, {MOMENTS}, b AS (SELECT m.id, m.symbol, m.happened, CASE WHEN m.happened - p.observed_at <= INTERVAL 3 DAY THEN p.price END AS before_ FROM moments m ASOF LEFT JOIN price p ON m.symbol = p.symbol AND m.happened >= p.observed_at) SELECT id, symbol, {_change(1)} AS change_1d, {_change(7)} AS change_1w FROM b")
+def c12_changes(spark, sf_dir):
+    return M.observed_changes(moments(spark, sf_dir), prices(spark, sf_dir), now()).select("id", "symbol", "change_1d", "change_1w")

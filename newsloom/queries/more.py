@@ -31,6 +31,16 @@ def j16(spark, sf_dir):
     return R.nearest(v.where("id % 10 = 0"), v, 5).select("query_id", "id", "place")
 
 
+_SIM = f"s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.vec_id % 97 = 0 AS reviewed, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 97 = 0 OR b.vec_id < a.vec_id))"
+
+
+@query("c11_memory_examples", f"WITH {_SIM}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, reviewed ORDER BY similarity DESC, id) AS r FROM s), u AS (SELECT * FROM n WHERE (reviewed AND r <= 8) OR (NOT reviewed AND r <= 24 AND id % 3 <> 0)) SELECT query_id, id, reviewed, row_number() OVER (PARTITION BY query_id ORDER BY reviewed DESC, similarity DESC, id)::INT AS place FROM u QUALIFY place <= 8")
+def c11_memory(spark, sf_dir):
+    """Examples for the query set, a tenth of the rows: those that a person labelled, then the past that a model did."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.timestamp_seconds("vec_id").alias("at"))
+    return R.memory_examples(v.where("id % 10 = 0"), v.where("id % 97 = 0"), v.withColumn("usable", F.col("id") % 3 != 0), 8).select("query_id", "id", "reviewed", "place")
+
+
 @query("c11_similar_titles", f"WITH {ctes('article')}, g AS (SELECT id, {grams_sql(key_sql('title'))} AS g FROM article), s AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS score FROM g a JOIN g b ON a.id % 50 = 0 AND a.id <> b.id WHERE len(list_intersect(a.g, b.g)) > 0) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3")
 def c11(spark, sf_dir):
     a = domain(spark, sf_dir, "article")

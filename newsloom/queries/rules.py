@@ -190,3 +190,17 @@ def p04(spark, sf_dir):
     hidden = domain(spark, sf_dir, "article").where("id % 19 = 0").select("id")
     more = spark.range(200).where("id % 19 = 0")
     return E.visible(domain(spark, sf_dir, "news_event"), hidden.unionByName(more)).select("id")
+
+
+@query("a30_models", f"WITH {ctes('usage')}, u AS (SELECT provider AS model, cost AS latency, status = 'success' AS valid, cost FROM usage), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY latency) AS r, count(*) OVER (PARTITION BY model) AS n FROM u) SELECT model, floor(median(latency))::BIGINT AS p50, max(latency) FILTER (r = greatest(floor(0.95::DOUBLE * n), 1)) AS p95, max(n)::BIGINT AS n, avg(valid::INT) AS compliance, sum(cost::DECIMAL(18,6))::DOUBLE / count(*) AS cost_per_call FROM r GROUP BY 1")
+def a30_models(spark, sf_dir):
+    from newsloom.operators import ops as O
+
+    return O.benchmark(domain(spark, sf_dir, "usage").select(F.col("provider").alias("model"), F.col("cost").alias("latency"), (F.col("status") == "success").alias("valid"), "cost"))
+
+
+@query("a06_last_day", f"WITH {ctes('usage')} SELECT stage, status, count(*) AS n FROM usage WHERE created_at >= TIMESTAMP '2024-01-14 12:00:00' AND created_at <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1, 2")
+def a06_day(spark, sf_dir):
+    from newsloom.operators import ops as O
+
+    return O.outcomes_of_day(domain(spark, sf_dir, "usage"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
