@@ -149,9 +149,9 @@ def a10_totals(spark, sf_dir):
     return O.cost_totals(domain(spark, sf_dir, "usage"), vocab.table(spark, (*vocab.STAGES, "idle"), "stage"), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
 
 
-@query("x26_untranslated", f"WITH {ctes('report')}, l AS (SELECT * FROM report QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY report_id % 5 = 0 DESC, reported_at, report_id) = 1) SELECT event_id, event_id % 3 = 0 AND source_id % 4 <> 1 AS untranslated FROM l")
+@query("x26_untranslated", f"WITH {ctes('report')}, l AS (SELECT * FROM report QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY report_id % 5 = 0 DESC, reported_at, report_id) = 1) SELECT event_id, event_id % 3 = 0 AND report_id % 4 <> 1 AS untranslated FROM l")
 def x26(spark, sf_dir):
-    r = domain(spark, sf_dir, "report").select("event_id", "report_id", "reported_at", (F.col("report_id") % 5 == 0).alias("is_primary"), F.when(F.col("source_id") % 4 == 1, "fa").otherwise("en").alias("language"))
+    r = domain(spark, sf_dir, "report").select("event_id", "report_id", "reported_at", (F.col("report_id") % 5 == 0).alias("is_primary"), F.when(F.col("report_id") % 4 == 1, "fa").otherwise("en").alias("language"))
     return K.untranslated(r.select("event_id").distinct().withColumn("title", F.when(F.col("event_id") % 3 == 0, "").otherwise("t")), r)
 
 
