@@ -274,7 +274,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_
     if last is None:
         return fit([], [])
     place = F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "h")
-    bound = F.struct(F.xxhash64(F.lit(last.doc_id)).alias("x"), F.lit(last.doc_id).alias("doc_id"), F.lit(last.h).alias("h"))
+    last_id = F.lit(last.doc_id).cast(documents.schema["doc_id"].dataType)  # the hash of a number depends on its type
+    bound = F.struct(F.xxhash64(last_id).alias("x"), last_id.alias("doc_id"), F.lit(last.h).cast("long").alias("h"))
     rows = rows.where(place < bound if total > sample_bytes else place <= bound)
     rows = rows.orderBy("doc_id", "text").limit(sample).select("doc_id", "text", "toxic").toArrow().to_pandas()
     return fit(rows["text"].tolist(), rows["toxic"].tolist())

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -355,7 +356,7 @@ def test_folded_weights_equal_the_machine_in_nystroem_space():
     assert toxicity.judged(words_, dense @ (root @ w[:-1]), float(w[-1])) == pytest.approx(plain, abs=1e-9)
 
 
-def test_toxicity_learns_behind_the_first_letters_and_bounds_its_sample(spark):
+def test_toxicity_learns_behind_the_first_letters_and_bounds_its_sample(spark, monkeypatch):
     r = random.Random(3)
     clean = [f"{a}{b}{c}" for a in ("ba", "to", "li") for b in ("na", "ri", "len") for c in ("t", "ka", "sel")]
     glued = "www.banat.example.tonaka.lirit.baletsel/zwirkel"
@@ -364,6 +365,13 @@ def test_toxicity_learns_behind_the_first_letters_and_bounds_its_sample(spark):
     model = toxicity.train(docs, labels)
     assert (np.array(model.score([t for _, t in rows])) >= 0.3).tolist() == [i % 4 == 0 for i, _ in rows]
     assert toxicity.train(docs, labels, sample_bytes=0).score(["x"]) == pytest.approx([0], abs=1e-6)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append(texts))
+    known = [t for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    for sample, size in ((6000, 10**9), (50, 10**9), (6000, 40_000)):
+        toxicity.train(docs, labels, sample, size)
+        got = seen.pop()
+        assert set(got) <= set(known) and len(got) == (len(known) if (sample, size) == (6000, 10**9) else len(got)) and len(got) <= sample and 0.5 * min(size, 50 * 150) < sum(map(len, got)) <= size
     out = toxicity.score(docs.withColumn("Score", F.lit("old")), model)
     assert out.columns == ["doc_id", "text", "score", "predicted"] and out.where("predicted = 1").count() == 100
 
