@@ -225,7 +225,7 @@ def test_hnsw_recall_ties_and_bad_rows(spark):
 
 @pytest.mark.parametrize("kind", ["gaussian", "clustered"])
 def test_hnsw_recall_over_full_shards(spark, kind):
-    """Two shards of 2,500 vectors and one of 1,000 in 64 dimensions, without and with structure."""
+    """Three shards of about 2,000 vectors in 64 dimensions, without and with structure."""
     rng = np.random.default_rng(9)
     x = rng.normal(size=(6000, 64))
     if kind == "clustered":
