@@ -69,7 +69,7 @@ GROUP_SHINGLES = 500_000
 #: Lists in which a class is paired first, its rarest; whatever that leaves apart is paired in all of them.
 FIRST_LISTS = 2
 #: Rounds of linear pairing in all lists, before all remaining pairs across components are taken.
-ROUNDS = 1
+ROUNDS = 2
 #: Postings of a list that are ordered together when neighbours are paired.
 LIST_BLOCK = 4096
 #: Bins of the suffix filter, as a power of two: twice the shingles, within these bounds.
@@ -268,12 +268,12 @@ def _pairs(ends: DataFrame, percent: int) -> DataFrame:
 
 def _meet(open_: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each posting with the one before it and the first of its block of the list; from the second turn on in random
-    order, and with one more before it."""
+    order, and with two more before it."""
     mixed = F.xxhash64("class", F.lit(turn))
     block = F.pmod(F.xxhash64("class", F.lit(-turn)), F.ceil(F.col("n") / LIST_BLOCK))
     order = Window.partitionBy("token", "block").orderBy("size", "class") if turn == 0 else Window.partitionBy("token", "block").orderBy("mixed", "class")
     one = F.struct("class", "size", "pos", "part")
-    partners = [F.lag(one).over(order), F.first(one).over(order)] + ([F.lag(one, 2).over(order)] if turn else [])
+    partners = [F.lag(one).over(order), F.first(one).over(order)] + ([F.lag(one, k).over(order) for k in (2, 3)] if turn else [])
     ends = open_.withColumns({"mixed": mixed, "block": block}).select("class", "size", "pos", "part", F.array(*partners).alias("others"))
     return _pairs(ends.select("class", "size", "pos", "part", F.explode("others").alias("o")), percent)
 
