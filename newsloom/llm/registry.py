@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from newsloom.llm import decontaminate, hnsw, langid, line_dedup, ngram_join, pieces, suffix_dedup, token_shards, toxicity, url_filter
+from newsloom.llm import decontaminate, exact_dedup, fill_middle, hnsw, langid, line_dedup, ngram_join, pieces, suffix_dedup, token_shards, toxicity, url_filter, vector_codes
 from newsloom.tables import read
 
 #: The SentencePiece model; a parameter of the operators.
@@ -51,5 +51,27 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_token_shards, op4_hnsw, op5_langid, op6_toxicity, op7_suffix_dedup, op8_pieces, op9_url_filter, op10_line_dedup)}
-SQL = {"op10_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.digest(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_decontaminate, op2_ngram_join, op3_token_shards, op4_hnsw, op5_langid, op6_toxicity, op7_suffix_dedup, op8_pieces,
+    op9_url_filter, op10_line_dedup, op11_fill_middle, op12_vector_codes, op13_exact_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {
+    "op9_url_filter": url_filter.SQL,
+    "op10_line_dedup": line_dedup.SQL,
+    "op11_fill_middle": fill_middle.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
+}
