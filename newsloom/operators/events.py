@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from newsloom.functions import score as X
 from newsloom.functions import time as D
-from newsloom.plans.folds import ordered_fold
 from newsloom.plans.joins import range_join, top_per
+from newsloom.plans.scan import block_of
 
 #: The shares of scored events at or above tiers 2 to 5, the bands of too small a sample, and its size.
 TOP_SHARES, FIXED_BANDS, MIN_SAMPLE = (0.60, 0.30, 0.10, 0.02), (20.0, 40.0, 60.0, 80.0), 200
@@ -92,43 +91,71 @@ def attach(links: DataFrame, articles: DataFrame, apart: DataFrame) -> DataFrame
     return links.withColumnRenamed("article_id", "canonical_id").join(canonical, "canonical_id").select("event_id", "article_id").distinct().join(apart, ["event_id", "article_id"], "left_anti")
 
 
-def alert_matches(events: DataFrame, tags: DataFrame, watches: DataFrame) -> DataFrame:
-    """(user_id, event_id, reason). Watched events meet their readers by item; breaking ones reach everybody, which
-    is that many alerts by nature. ``events``: id, tier, global_tier; ``watches``: user_id, item, dial."""
-    tagged = tags.select("event_id", "item").distinct().join(events, F.col("event_id") == F.col("id"))
-    floor = F.when(F.col("dial") == "low", 2).when(F.col("dial") == "high", 4).otherwise(3)
-    watched = tagged.join(watches, "item").where((F.col("tier") >= floor) & ~F.coalesce(F.col("global_tier") >= 5, F.lit(False))).select("user_id", "event_id", F.lit("watch").alias("reason")).distinct()
-    everybody = watches.select("user_id").distinct().crossJoin(events.where("global_tier >= 5").select(F.col("id").alias("event_id"))).withColumn("reason", F.lit("breaking"))
-    return watched.unionByName(everybody)
-
+#: Parts into which readers are dealt to meet the news that reach everybody.
+AUDIENCE_PARTS = 64
 
-def alert_ledger(changes: DataFrame) -> DataFrame:
-    """R08 over a batch: what each change of an event tells a reader, against what was told last. ``changes``: user_id,
-    event_id, at, seq, tier, evidence_level, merged.
 
-    A merge rebases silently. What was told last is always the row before: what tells nothing has the same evidence and
-    no higher tier than what was told, so a fold is needed only for tiers that sink and rise again within one evidence.
-    """
-    names = ["user_id", "event_id", "at", "seq", "tier", "evidence_level"]
+def alertable(events: DataFrame, hidden_articles: DataFrame | None = None) -> DataFrame:
+    """Events that may alert at all: neither they nor their primary article hidden, not withdrawn, of a known category, assessed."""
+    open_ = events.where("not hidden and status <> 'withdrawn' and coalesce(category, '') not in ('', 'other') and iran_score is not null")
+    return open_ if hidden_articles is None else open_.join(hidden_articles.select(F.col("id").alias("primary_article_id")), "primary_article_id", "left_anti")
 
-    def step(told, row):
-        new = (row["tier"], row["evidence_level"])
-        if told is not None and row["merged"]:
-            return new, None
-        if told is None or new[1] != told[1] or new[0] > told[0]:
-            return new, (*[row[c] for c in names], "new" if told is None else "update")
-        return told, None
 
-    schema = StructType([*[changes.schema[c] for c in names], StructField("kind", StringType())])
-    return ordered_fold(changes.select(*names, "merged"), ["user_id", "event_id"], ["at", "seq"], step, schema)
+def alert_matches(events: DataFrame, tags: DataFrame, watches: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(user_id, event_id, reason). Watched events meet their readers by item; breaking ones reach every account, which
+    is that many alerts by nature and dealt over parts of the readers. Accounts whose plan has no alerts get none.
+    ``events``: id, tier, global_tier, as ``alertable`` leaves them; ``watches``: user_id, item; ``accounts``: user_id, dial, alerts."""
+    entitled = accounts.where("alerts").select("user_id", "dial")
+    tagged = tags.select("event_id", "item").distinct().join(events, F.col("event_id") == F.col("id"))
+    reason = X.alert_reason(F.col("dial"), F.col("tier"), F.col("global_tier"), F.lit(True))
+    met = tagged.join(watches.select("user_id", "item").distinct(), "item").join(entitled, "user_id")
+    watched = met.select("user_id", "event_id", reason.alias("reason")).where("reason = 'watch'").distinct()
+    parts = F.explode(F.sequence(F.lit(0), F.lit(AUDIENCE_PARTS - 1)))
+    told = events.where("global_tier >= 5").select(F.col("id").alias("event_id"), parts.alias("_part"))
+    everybody = entitled.withColumn("_part", F.pmod(F.hash("user_id"), F.lit(AUDIENCE_PARTS))).join(told, "_part")
+    return watched.unionByName(everybody.select("user_id", "event_id", F.lit("breaking").alias("reason")))
+
+
+def alert_ledger(changes: DataFrame, block_seconds: int = 86_400) -> DataFrame:
+    """What each change of an event tells a reader, against what was told last. ``changes``: user_id, event_id, at, seq,
+    tier, evidence_level, merged; in order of (at, seq) and, where those tie, of all other columns.
+
+    After any row, what was told has that row's evidence: a change of evidence is told, a merge rebases without a word, and the
+    rest keep the evidence. So told tiers are highest tiers since the last turn (a merge, another evidence, the first row).
+    Turns and highest tiers are found within a block of time; a summary with a row for each key and block carries the last
+    evidence and the highest tier on, so a reader and event with most of the rows are many groups."""
+    key, block = ["user_id", "event_id"], ["user_id", "event_id", "_b"]
+    order = ["at", "seq", "tier", "evidence_level", "merged"]
+    place, evidence = F.struct(*order), F.col("evidence_level")
+    inside, by_block = Window.partitionBy(*block).orderBy(*order), Window.partitionBy(*key).orderBy("_b")
+    rows = changes.select(*key, *order).withColumn("_b", block_of("at", block_seconds))
+    rows = rows.withColumns({"_n": F.row_number().over(inside), "_was": F.lag("evidence_level").over(inside)})
+    turn = (F.col("_n") > 1) & (F.col("merged") | ~evidence.eqNullSafe(F.col("_was")))
+    rows = rows.withColumn("_turns", F.sum(turn.cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy(*block, "_turns").orderBy(*order)
+    rows = rows.withColumns({"_high": F.max("tier").over(since.rowsBetween(Window.unboundedPreceding, -1)), "_upto": F.max("tier").over(since.rowsBetween(Window.unboundedPreceding, 0))})
+    ends = rows.groupBy(*block).agg(F.min_by(F.struct("evidence_level", "merged"), place).alias("_first"), F.max_by(F.struct("evidence_level", "_upto"), place).alias("_last"), F.max("_turns").alias("_inner"))
+    ends = ends.withColumns({"_new": F.row_number().over(by_block) == 1, "_prior": F.lag("_last.evidence_level").over(by_block)})
+    ends = ends.withColumn("_turned", F.col("_new") | F.col("_first.merged") | ~F.col("_first.evidence_level").eqNullSafe(F.col("_prior")))
+    ends = ends.withColumn("_run", F.sum(((F.col("_inner") > 0) | F.col("_turned")).cast("int")).over(by_block))
+    ends = ends.withColumn("_told", F.max("_last._upto").over(Window.partitionBy(*key, "_run").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = ends.select(*block, "_new", "_prior", "_turned", F.lag("_told").over(by_block).alias("_carried"))
+    met = rows.join(carried, block)
+    first = F.col("_n") == 1
+    opening = (F.col("_turns") == 0) & (first | ~F.col("_turned"))
+    told_tier = F.greatest("_high", F.when(opening, F.col("_carried")))
+    told_evidence = F.when(first, F.col("_prior")).otherwise(F.col("_was"))
+    told = ~evidence.eqNullSafe(told_evidence) | F.coalesce(F.col("tier") > told_tier, F.lit(False))
+    kind = F.when(first & F.col("_new"), "new").when(~F.col("merged") & told, "update")
+    return met.withColumn("kind", kind).where("kind is not null").select(*key, "at", "seq", "tier", "evidence_level", "kind")
 
 
 def pushes(alerts: DataFrame, accounts: DataFrame, cap: int = 5) -> DataFrame:
-    """Why a push is held: quiet hours, the day's cap; the top tier is exempt. In order of time, a push that
-    is neither exempt nor quiet counts against its reader's local day."""
+    """Why a push is held: quiet hours, the day's cap; breaking news and the top tier are exempt. In order of time, a
+    push that is neither exempt nor quiet counts against its reader's local day."""
     local = D.local(F.col("at"))
     minute = F.hour(local) * 60 + F.minute(local)
-    marked = alerts.join(accounts, "user_id").withColumns({"day": D.local_day(F.col("at")), "exempt": F.col("tier") >= 5, "quiet": D.in_quiet_hours(minute, F.col("quiet_start"), F.col("quiet_end"))})
+    marked = alerts.join(accounts, "user_id").withColumns({"day": D.local_day(F.col("at")), "exempt": F.col("breaking") | (F.col("tier") >= 5), "quiet": D.in_quiet_hours(minute, F.col("quiet_start"), F.col("quiet_end"))})
     order = Window.partitionBy("user_id", "day").orderBy("at", "event_id", "seq").rowsBetween(Window.unboundedPreceding, -1)
     counts = F.coalesce(F.sum((~F.col("exempt") & ~F.col("quiet")).cast("long")).over(order), F.lit(0))
     held = F.when(F.col("exempt"), "").when(F.col("quiet"), "quiet").when(counts >= cap, "cap").otherwise("")

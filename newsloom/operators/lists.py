@@ -139,13 +139,14 @@ def kept_retries(retries: DataFrame, now: Column, keep_days: int = 30) -> DataFr
 
 def retried(retries: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """The queue after a pass. ``outcomes``: id, error ('' where the page was stored). What was stored leaves; what
-    failed waits longer each time, by its own count, or is given up. A pass is a batch of ``foreachBatch`` as well."""
+    failed waits longer each time, by its own count, or is given up and keeps its time. A pass is a batch of ``foreachBatch`` as well."""
     joined = retries.join(outcomes, "id", "left").where("error is null or error <> ''")
     failed = F.col("error").isNotNull()
     attempts = F.col("attempts") + failed.cast("int")
     cause = F.when(failed, X.error_class(F.col("error"))).otherwise(F.col("error_class"))
+    lost = failed & X.gives_up(attempts, cause)
     again = now + F.make_dt_interval(secs=(60 * X.retry_minutes(attempts)).cast("decimal(18,6)"))
-    out = joined.withColumns({"attempts": attempts, "error_class": cause, "gave_up": F.col("gave_up") | (failed & X.gives_up(attempts, cause)), "next_at": F.when(failed, again).otherwise(F.col("next_at"))})
+    out = joined.withColumns({"attempts": attempts, "error_class": cause, "gave_up": F.col("gave_up") | lost, "next_at": F.when(failed & ~lost, again).otherwise(F.col("next_at"))})
     return out.select(*retries.columns)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.functions import score as X
-from newsloom.plans.folds import ordered_fold
 from newsloom.plans.joins import latest_per, top_per
 
 
@@ -265,24 +264,6 @@ def outcomes_of_day(events: DataFrame, now: Column) -> DataFrame:
     return events.where((F.col("created_at") >= now - F.make_dt_interval(hours=F.lit(24))) & (F.col("created_at") <= now)).groupBy("stage", "status").agg(F.count("*").alias("n"))
 
 
-def spaced(notices: DataFrame, seconds: int = 6 * 3600) -> DataFrame:
-    """The first notice of a key, and then each that comes so long after the last one told."""
-
-    names = notices.columns
-
-    def step(told, row):
-        new = told is None or (row["at"] - told).total_seconds() >= seconds
-        return (row["at"], tuple(row[c] for c in names)) if new else (told, None)
-
-    return ordered_fold(notices, ["key"], ["at", "seq"], step, notices.schema)
-
-
-def admitted(requests: DataFrame, day_limit: float) -> DataFrame:
-    """In order of time, what still fits the day's budget by the sums before it."""
-    order = Window.partitionBy(F.to_date("created_at")).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return requests.withColumn("spent", F.sum(F.col("cost").cast("decimal(18,6)")).over(order).cast("double")).withColumn("admitted", F.col("spent") <= day_limit)
-
-
 def circuit(outcomes: DataFrame, errors: int = 5) -> DataFrame:
     """After each outcome of a provider, how many errors are in a row and whether the circuit is open. A success
     closes it; a wallet failure opens it at once. Errors are counted within a day; those of the days before, back to the

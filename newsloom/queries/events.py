@@ -109,13 +109,19 @@ def j12(spark, sf_dir):
     return E.attach(links, a, apart)
 
 
-_MATCH = f"tiered AS (SELECT id, {tier_sql(IMPACT, 'impact')} AS tier, {tier_sql('global_score', 'global')} AS global_tier FROM news_event WHERE event_time >= {NOW} - INTERVAL 2 DAY)"
+_MATCH = f"""tiered AS (SELECT id, {tier_sql(IMPACT, 'impact')} AS tier, {tier_sql('global_score', 'global')} AS global_tier
+  FROM (SELECT *, CASE WHEN id % 13 = 0 THEN 'withdrawn' ELSE status END AS state FROM news_event) WHERE NOT hidden AND state <> 'withdrawn' AND category NOT IN ('', 'other') AND iran_score IS NOT NULL AND primary_article_id % 31 <> 0),
+  entitled AS (SELECT user_id, dial FROM account WHERE user_id % 6 <> 0)"""
 
 
-@query("j14_alert_matches", f"WITH {ctes('news_event', 'tag', 'account')}, {CUTS}, {_MATCH} SELECT DISTINCT user_id, t.id AS event_id, 'watch' AS reason FROM tiered t JOIN tag ON t.id = tag.event_id JOIN account a ON a.item = tag.item WHERE tier >= CASE dial WHEN 'low' THEN 2 WHEN 'high' THEN 4 ELSE 3 END AND NOT coalesce(global_tier >= 5, false) UNION ALL SELECT user_id, id, 'breaking' FROM account, tiered WHERE global_tier >= 5")
+@query("j14_alert_matches", f"WITH {ctes('news_event', 'tag', 'account')}, {CUTS}, {_MATCH} SELECT DISTINCT user_id, t.id AS event_id, 'watch' AS reason FROM tiered t JOIN tag ON t.id = tag.event_id JOIN account a ON a.item = tag.item JOIN entitled e USING (user_id) WHERE tier >= CASE e.dial WHEN 'low' THEN 2 WHEN 'high' THEN 4 ELSE 3 END AND NOT coalesce(global_tier >= 5, false) UNION ALL SELECT user_id, id, 'breaking' FROM entitled, tiered WHERE global_tier >= 5")
 def j14(spark, sf_dir):
-    e = domain(spark, sf_dir, "news_event").where(F.col("event_time") >= now() - F.make_dt_interval(days=F.lit(2)))
-    return E.alert_matches(E.with_tiers(e, _cuts(spark, sf_dir)).select("id", "tier", "global_tier"), domain(spark, sf_dir, "tag"), domain(spark, sf_dir, "account"))
+    """All events, against readers whose plan has alerts; some events are withdrawn and some primary articles hidden."""
+    e = domain(spark, sf_dir, "news_event").withColumn("status", F.when(F.col("id") % 13 == 0, "withdrawn").otherwise(F.col("status")))
+    hidden = e.select(F.col("primary_article_id").alias("id")).distinct().where("id % 31 = 0")
+    accounts = domain(spark, sf_dir, "account").withColumn("alerts", F.col("user_id") % 6 != 0)
+    open_ = E.with_tiers(E.alertable(e, hidden), _cuts(spark, sf_dir)).select("id", "tier", "global_tier")
+    return E.alert_matches(open_, domain(spark, sf_dir, "tag"), accounts, accounts)
 
 
 @query("j13_brief_eligible", f"WITH {ctes('news_event', 'tag', 'account')}, {CUTS}, w AS (SELECT DISTINCT event_id FROM tag WHERE item IN (SELECT item FROM account)), t AS (SELECT *, {tier_sql(IMPACT, 'impact')} AS tier, id IN (SELECT event_id FROM w) AS watched FROM {RECENT}) SELECT id, watched, coalesce(category NOT IN ('', 'other') AND (tier >= 4 OR (watched AND tier >= 3)), false) AS eligible FROM t")
@@ -132,13 +138,13 @@ def _changes(spark, sf_dir):
 
 
 _LEDGER = """c AS (SELECT event_id % 40 AS user_id, event_id % 300 AS event_id, reported_at AS at_, report_id AS seq, (1 + source_id % 5)::INT AS tier, CASE WHEN stance = 'contradicts' THEN 'disputed' ELSE 'multi' END AS evidence_level, report_id % 37 = 0 AS merged FROM report),
-n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY at_, seq) AS k FROM c),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY at_, seq, tier, evidence_level, merged) AS k FROM c),
 t AS (SELECT *, 'new' AS kind, tier AS t, evidence_level AS e FROM n WHERE k = 1 UNION ALL SELECT n.*, CASE WHEN n.merged THEN '' WHEN n.evidence_level <> t.e OR n.tier > t.t THEN 'update' ELSE '' END, CASE WHEN n.merged OR n.evidence_level <> t.e OR n.tier > t.t THEN n.tier ELSE t.t END, CASE WHEN n.merged OR n.evidence_level <> t.e OR n.tier > t.t THEN n.evidence_level ELSE t.e END FROM t JOIN n ON n.user_id = t.user_id AND n.event_id = t.event_id AND n.k = t.k + 1)"""
 
 
 @query("r08_alert_ledger", f"WITH RECURSIVE {ctes('report')}, {_LEDGER} SELECT user_id, event_id, at_ AS \"at\", seq, tier, evidence_level, kind FROM t WHERE kind <> ''")
 def r08(spark, sf_dir):
-    """A fold over each reader's changes; streaming is held against this."""
+    """Each reader's changes against what was told last; streaming is held against this."""
     return E.alert_ledger(_changes(spark, sf_dir))
 
 
@@ -146,9 +152,9 @@ _MIN = "(hour(at_ + INTERVAL 210 MINUTE) * 60 + minute(at_ + INTERVAL 210 MINUTE
 _QUIET = f"CASE WHEN quiet_start = quiet_end THEN false WHEN quiet_start < quiet_end THEN {_MIN} >= quiet_start AND {_MIN} < quiet_end ELSE {_MIN} >= quiet_start OR {_MIN} < quiet_end END"
 
 
-@query("x10_pushes", f"WITH {ctes('account')}, alerts AS (SELECT event_id % 400 AS event_id, ts AS at_, event_id AS seq, user_id, (1 + event_id % 5)::INT AS tier FROM events), m AS (SELECT *, (at_ + INTERVAL 210 MINUTE)::DATE AS day, tier >= 5 AS exempt, {_QUIET} AS quiet FROM alerts JOIN account USING (user_id)), c AS (SELECT *, coalesce(sum((NOT exempt AND NOT quiet)::INT) OVER (PARTITION BY user_id, day ORDER BY at_, event_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM m) SELECT seq, user_id, CASE WHEN exempt THEN '' WHEN quiet THEN 'quiet' WHEN n >= 2 THEN 'cap' ELSE '' END AS held FROM c")
+@query("x10_pushes", f"WITH {ctes('account')}, alerts AS (SELECT event_id % 400 AS event_id, ts AS at_, event_id AS seq, user_id, (1 + event_id % 5)::INT AS tier, event_id % 23 = 0 AS breaking FROM events), m AS (SELECT *, (at_ + INTERVAL 210 MINUTE)::DATE AS day, breaking OR tier >= 5 AS exempt, {_QUIET} AS quiet FROM alerts JOIN account USING (user_id)), c AS (SELECT *, coalesce(sum((NOT exempt AND NOT quiet)::INT) OVER (PARTITION BY user_id, day ORDER BY at_, event_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM m) SELECT seq, user_id, CASE WHEN exempt THEN '' WHEN quiet THEN 'quiet' WHEN n >= 2 THEN 'cap' ELSE '' END AS held FROM c")
 def x10(spark, sf_dir):
-    alerts = domain(spark, sf_dir, "attempt").select((F.col("id") % 400).alias("event_id"), F.col("started_at").alias("at"), F.col("id").alias("seq"), F.col("source_id").alias("user_id"), (1 + F.col("id") % 5).cast("int").alias("tier"))
+    alerts = domain(spark, sf_dir, "attempt").select((F.col("id") % 400).alias("event_id"), F.col("started_at").alias("at"), F.col("id").alias("seq"), F.col("source_id").alias("user_id"), (1 + F.col("id") % 5).cast("int").alias("tier"), (F.col("id") % 23 == 0).alias("breaking"))
     return E.pushes(alerts, domain(spark, sf_dir, "account"), cap=2).select("seq", "user_id", "held")
 
 

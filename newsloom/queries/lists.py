@@ -132,7 +132,7 @@ def p12_kept(spark, sf_dir):
 
 
 @query("r06_retry_pass", f"""WITH {ctes('attempt')}, {_RETRIES}, o AS (SELECT *, id % 5 AS k FROM q WHERE NOT (id % 5 = 0)), n AS (SELECT id, attempts + (k <> 4)::INT AS attempts, CASE k WHEN 1 THEN 'network' WHEN 2 THEN 'gone' WHEN 3 THEN 'rate_limit' ELSE '' END AS error_class, gave_up, next_at, k FROM o)
-SELECT id, attempts, error_class, gave_up OR (k <> 4 AND (attempts >= 6 OR k = 2)) AS gave_up, CASE WHEN k = 4 THEN next_at ELSE {SQL_NOW} + to_seconds(60 * least(360.0::DOUBLE, 5.0::DOUBLE * pow(2.0::DOUBLE, attempts - 1))) END AS next_at FROM n""")
+SELECT id, attempts, error_class, gave_up OR (k <> 4 AND (attempts >= 6 OR k = 2)) AS gave_up, CASE WHEN k = 4 OR attempts >= 6 OR k = 2 THEN next_at ELSE {SQL_NOW} + to_seconds(60 * least(360.0::DOUBLE, 5.0::DOUBLE * pow(2.0::DOUBLE, attempts - 1))) END AS next_at FROM n""")
 def r06(spark, sf_dir):
     q = _retries(spark, sf_dir)
     k = F.col("id") % 5

@@ -217,11 +217,6 @@ def a30(spark, sf_dir):
     return O.percentile_by_index(domain(spark, sf_dir, "usage"), ["provider"], "cost")
 
 
-@query("r10_budget", f"WITH {ctes('usage')}, s AS (SELECT id, sum(cost::DECIMAL(18,6)) OVER (PARTITION BY created_at::DATE ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)::DOUBLE AS spent FROM usage) SELECT id, spent, spent <= 5000 AS admitted FROM s")
-def r10(spark, sf_dir):
-    return O.admitted(domain(spark, sf_dir, "usage"), 5000.0).select("id", "spent", "admitted")
-
-
 @query("r11_circuit", f"WITH {ctes('usage')}, i AS (SELECT *, sum((status = 'success')::INT) OVER (PARTITION BY provider ORDER BY created_at, id) AS i FROM usage), e AS (SELECT *, sum((status <> 'success')::INT) OVER (PARTITION BY provider, i ORDER BY created_at, id) AS n FROM i) SELECT id, provider, n::BIGINT AS errors_in_a_row, n >= 3 AS open FROM e")
 def r11(spark, sf_dir):
     return O.circuit(domain(spark, sf_dir, "usage"), 3)
@@ -246,10 +241,3 @@ def c13(spark, sf_dir):
     other = last.groupBy(F.col("article_id").alias("id")).agg(F.bool_and(F.col("category") == "other").alias("all")).where("all")
     strata = [("disagreement", O.disagreements(c).select(F.col("article_id").alias("id"))), ("unevaluated", a.join(c, a["id"] == c["article_id"], "left_anti")), ("other", other), ("round_robin", a)]
     return O.sample([(n, placed(d)) for n, d in strata], 50)
-
-
-@query("r09_spaced_notices", f"WITH RECURSIVE {ctes('attempt')}, a AS MATERIALIZED (SELECT source_id::VARCHAR AS key, started_at AS at_, id AS seq FROM attempt WHERE status = 'failed'), t AS (SELECT key, min({{'m': at_, 'seq': seq}}) AS x FROM a GROUP BY key UNION ALL SELECT a.key, min({{'m': a.at_, 'seq': a.seq}}) FROM t JOIN a ON a.key = t.key AND a.at_ >= t.x.m + INTERVAL 6 HOUR GROUP BY a.key) SELECT key, x.m AS \"at\", x.seq AS seq FROM t")
-def r09(spark, sf_dir):
-    """First of a key, then six hours of quiet."""
-    a = domain(spark, sf_dir, "attempt").where("status = 'failed'")
-    return O.spaced(a.select(F.col("source_id").cast("string").alias("key"), F.col("started_at").alias("at"), F.col("id").alias("seq")))

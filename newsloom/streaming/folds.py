@@ -60,7 +60,7 @@ def ledger(stream: DataFrame) -> DataFrame:
             return new, [(*key, row.at, row.seq, row.tier, row.evidence_level, "new" if now is None else "update")]
         return tuple(now), []
 
-    return fold(stream, ["user_id", "event_id"], ["at", "seq"], step, "user_id long, event_id long, at timestamp, seq long, tier int, evidence_level string, kind string", "tier int, evidence_level string")
+    return fold(stream, ["user_id", "event_id"], ["at", "seq", "tier", "evidence_level", "merged"], step, "user_id long, event_id long, at timestamp, seq long, tier int, evidence_level string, kind string", "tier int, evidence_level string")
 
 
 def circuit(stream: DataFrame, errors: int = 5) -> DataFrame:

@@ -115,7 +115,7 @@ def test_cutoffs(spark):
 
 def ledger_brute(rows):
     told, out = {}, []
-    for r in sorted(rows, key=lambda r: (r[2], r[3])):
+    for r in sorted(rows, key=lambda r: r[2:]):
         key, new = r[:2], (r[4], r[5])
         old = told.get(key)
         if r[6] and old is not None:
@@ -134,24 +134,38 @@ def changes():
 CHANGES = "user_id long, event_id long, at timestamp, seq long, tier int, evidence_level string, merged boolean"
 
 
-def test_ledger_equals_a_loop(spark):
-    rows = changes()
-    got = E.alert_ledger(spark.createDataFrame(rows, CHANGES)).collect()
+@pytest.mark.parametrize("block_seconds", [60, 600, 86_400])
+def test_ledger_equals_a_loop(spark, block_seconds):
+    """Rows of any spread over blocks; ties in (at, seq) are ordered by what they say."""
+    rows = changes() + [(0, 0, at(7), 7, t, e, m) for t in (1, 5) for e in ("multi", "disputed") for m in (False, True)]
+    got = E.alert_ledger(spark.createDataFrame(rows, CHANGES).repartition(5), block_seconds).collect()
     assert sorted((r.user_id, r.event_id, r.at, r.seq, r.kind) for r in got) == ledger_brute(rows)
 
 
+def test_alerts_reach_whom_they_should(spark):
+    """Hidden, withdrawn, other and unassessed events alert nobody; neither do plans without alerts; breaking news reach all others once."""
+    events = [(1, False, "assessed", "oil", 50.0, 9, 3, 2), (2, True, "assessed", "oil", 50.0, 9, 5, 5), (3, False, "withdrawn", "oil", 50.0, 9, 5, 5), (4, False, "assessed", "other", 50.0, 9, 5, 5), (5, False, "assessed", "oil", None, 9, 5, 5), (6, False, "assessed", "oil", 50.0, 8, 5, 5), (7, False, "assessed", "oil", 50.0, 9, 4, 5), (8, False, "assessed", None, 50.0, 9, 5, 5)]
+    e = spark.createDataFrame(events, "id long, hidden boolean, status string, category string, iran_score double, primary_article_id long, tier int, global_tier int")
+    tags = spark.createDataFrame([(k, "gold") for k in range(1, 9)] * 2, "event_id long, item string")
+    accounts = spark.createDataFrame([(10, "medium", True), (11, "high", True), (12, "low", False), (13, None, True)], "user_id long, dial string, alerts boolean")
+    watches = spark.createDataFrame([(10, "gold"), (10, "gold"), (11, "gold"), (12, "gold")], "user_id long, item string")
+    open_ = E.alertable(e, spark.createDataFrame([(8,)], "id long"))
+    got = sorted(tuple(r) for r in E.alert_matches(open_, tags, watches, accounts).collect())
+    assert got == [(10, 1, "watch"), (10, 7, "breaking"), (11, 7, "breaking"), (13, 7, "breaking")]
+
+
+def test_breaking_news_are_not_held(spark):
+    accounts = spark.createDataFrame([(1, 0, 1439)], "user_id long, quiet_start int, quiet_end int")
+    alerts = spark.createDataFrame([(1, 5, T0, 1, 3, True), (1, 6, T0, 2, 3, False), (1, 7, T0, 3, 5, False)], "user_id long, event_id long, at timestamp_ntz, seq long, tier int, breaking boolean")
+    assert {r.event_id: r.held for r in E.pushes(alerts, accounts).collect()} == {5: "", 6: "quiet", 7: ""}
+
+
 def test_coverage_case(spark):
     rows = [("s", at(m), i, s, "") for i, (m, s) in enumerate([(0, "covered"), (2, "covered"), (4, "gap"), (6, "gap"), (60, "covered")])]
     got = sorted((r.started_at, r.ended_at, r.state) for r in O.coverage(spark.createDataFrame(rows, "source_id string, at timestamp_ntz, seq long, state string, error_class string")).collect())
     assert got == [(at(0), at(2), "covered"), (at(2), at(6), "gap"), (at(6), at(60), "unknown"), (at(60), at(60), "covered")]
 
 
-def test_spaced_notices(spark):
-    rows = [("k", at(60 * h), h) for h in (0, 3, 6, 7, 11, 13)] + [("j", at(5), 0)]
-    got = sorted((r.key, r.seq) for r in O.spaced(spark.createDataFrame(rows, "key string, at timestamp, seq long")).collect())
-    assert got == [("j", 0), ("k", 0), ("k", 6), ("k", 13)]
-
-
 def test_trading_days(spark):
     """A day without an observation is no trading day; the day of the moment is day zero."""
     days = [0, 1, 3, 4]
