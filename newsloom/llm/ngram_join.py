@@ -51,6 +51,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +65,8 @@ from newsloom.plans.graph import components
 #: Counters: so many for each input partition, within these bounds.
 COUNTERS_EACH, LEAST_COUNTERS, MOST_COUNTERS = 1 << 15, 1 << 20, 1 << 24
 BLOCK = 1 << 12
+#: Tasks whose counters one task of the first level adds up.
+SUMMED_TOGETHER = 1024
 #: Shingles of pairs that one verification group takes, about 8 MB of sets.
 GROUP_SHINGLES = 500_000
 #: Lists in which a class is paired first, its rarest; whatever that leaves apart is paired in all of them.
@@ -104,14 +107,28 @@ def rareness(documents: DataFrame, n: int, counters: int) -> np.ndarray:
         if held:
             sums += tally(waiting)
         packed = [zlib.compress(x.tobytes(), 1) for x in sums.reshape(-1, BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+        group = TaskContext.get().partitionId() // SUMMED_TOGETHER
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array([group] * len(packed), pa.int32()), pa.array(packed, pa.binary())], names=["block", "group", "counts"])
+
+    def total(table) -> np.ndarray:
+        """Sums that stop at the largest 32-bit number, which is beyond the largest step."""
+        out = np.zeros(BLOCK, np.int64)
+        for x in table["counts"]:
+            out += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        return np.minimum(out, (1 << 32) - 1)
 
     def add(_key, table):
-        total = sum((np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64) for x in table["counts"]), np.zeros(BLOCK, np.int64))
-        steps = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+        packed = zlib.compress(total(table).astype(np.uint32).tobytes(), 1)
+        return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([packed], pa.binary())})
+
+    def finish(_key, table):
+        steps = np.minimum(255, 8 * np.log2(1 + total(table))).astype(np.uint8)
         return pa.table({"block": table["block"].slice(0, 1), "steps": pa.array([steps.tobytes()], pa.binary())})
 
-    table = documents.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, steps binary").toArrow()
+    counted = documents.select("text").mapInArrow(count, "block int, group int, counts binary")
+    if documents.rdd.getNumPartitions() > SUMMED_TOGETHER:
+        counted = counted.groupBy("block", "group").applyInArrow(add, "block int, counts binary")
+    table = counted.groupBy("block").applyInArrow(finish, "block int, steps binary").toArrow()
     out = np.zeros((counters // BLOCK, BLOCK), np.uint8)
     for block, steps in zip(table["block"].to_pylist(), table["steps"].to_pylist(), strict=True):
         out[block] = np.frombuffer(steps, np.uint8)
@@ -305,7 +322,9 @@ def _prepared(documents: DataFrame, n: int, percent: int, id_col: str, text_col:
     classes = written(known.where("prefix is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ("size", "key", "parities")]), "classes", into)
     posted = known.where("prefix is not null").select("class", F.col("size").cast("int").alias("size"), "prefix", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.withColumns({f"back{k}": F.when(F.col("pos") >= k, F.element_at("prefix", F.col("pos") + 1 - k)) for k in (1, 2)}).drop("prefix")
-    lists = written(_open(posted.withColumn("part", F.col("class"))).select("token", "class", "size", "pos", "back1", "back2", "n"), "lists", into)
+    # a class comes with its prefix from every task that has it; in its lists it stands once
+    several = _open(posted.withColumn("part", F.col("class"))).dropDuplicates(["token", "class"])
+    lists = written(several.select("token", "class", "size", "pos", "back1", "back2", "n"), "lists", into)
     return rows, signed.select("id", "class", "size"), classes, lists
 
 

@@ -102,6 +102,20 @@ def test_removal_heeds_its_length_limit(spark, least, cut):
 # --- op2
 
 
+def test_rareness_in_two_levels_is_the_same(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame(corpus, DOCS).select("text").repartition(7)
+    whole = ngram_join.rareness(docs, 4, 1 << 14)
+    monkeypatch.setattr(ngram_join, "SUMMED_TOGETHER", 2)
+    assert (ngram_join.rareness(docs, 4, 1 << 14) == whole).all() and whole.max() > 8
+
+
+def test_lists_hold_a_class_once(spark, corpus, tmp_path):
+    """However many tasks have a class, it stands once in each of its lists."""
+    docs = spark.createDataFrame([(k, t) for k, t in corpus] * 4, DOCS).repartition(9)
+    lists = ngram_join._prepared(docs, 4, 85, "doc_id", "text", str(tmp_path))[3]
+    assert lists.count() == lists.select("token", "class").distinct().count() > 50
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 50)])
 def test_ngram_components_equal_brute_force(spark, corpus, n, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.cluster(clashing(spark.createDataFrame(corpus, DOCS)), n, percent).collect()}
