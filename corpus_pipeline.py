@@ -36,13 +36,18 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at a similarity of 0.8 or more on five-word shingles, the smallest doc_id stays; a row without doc_id stays.
-    Rows are told apart by doc_id and text, so another text under a copy's doc_id stays."""
-    key, component = free("row_key", docs.columns), free("component_id", docs.columns)
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
-    groups = ngram_join.cluster(keyed.where("doc_id is not null").select(key, "text"), 5, 80, id_col=key)
-    gone = groups.where(F.col("component_id") != F.col(key)).select(F.col(key).alias(component)).distinct()
-    return keyed.join(gone, F.col(key) == F.col(component), "left_anti").select(*docs.columns)
+    """Of each group at a similarity of 0.8 or more on five-word shingles, the smallest doc_id stays; a row without doc_id stays
+    only where no identified one of its group does. Rows are told apart by doc_id and text: another text under a copy's doc_id
+    stays, and of rows alike in both one stays."""
+    key, gone, of = (free(name, docs.columns) for name in ("row_key", "gone", "judged"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text").isNull().alias("empty"), F.xxhash64("text").alias("h"))
+    keyed = docs.withColumn(key, row)
+    groups = ngram_join.cluster(keyed.select(key, "text"), 5, 80, id_col=key)
+    seen = groups.groupBy(F.col(key).alias(of)).agg(F.first("component_id").alias("stays"), F.count("*").alias("n"))
+    judged = seen.where((F.col("n") > 1) | (F.col("stays") != F.col(of))).select(of, (F.col("stays") != F.col(of)).alias(gone))
+    joined = keyed.join(judged, F.col(key) == F.col(of), "left")
+    repeated = joined.where(~F.col(gone)).dropDuplicates([key])
+    return joined.where(F.col(gone).isNull()).select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
