@@ -13,6 +13,8 @@ from newsloom.plans.scan import block_of
 
 #: The shares of scored events at or above tiers 2 to 5, the bands of too small a sample, and its size.
 TOP_SHARES, FIXED_BANDS, MIN_SAMPLE = (0.60, 0.30, 0.10, 0.02), (20.0, 40.0, 60.0, 80.0), 200
+#: Fixed value: the days that cut-offs look back.
+WINDOW_DAYS = 30
 
 
 def evidence(reports: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -41,19 +43,38 @@ def cutoffs(scores: DataFrame, shares: tuple = TOP_SHARES, min_sample: int = MIN
 
     Values are counted before the window, which then runs over distinct scores of an axis.
     """
-    counts = scores.groupBy("axis", "score").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("axis")
+    return cutoffs_of(scores.groupBy("axis", "score").agg(F.count("*").alias("n")), ["axis"], shares, min_sample)
+
+
+def cutoffs_of(counts: DataFrame, keys: list[str], shares: tuple = TOP_SHARES, min_sample: int = MIN_SAMPLE) -> DataFrame:
+    """A15 over histograms: ``counts`` hold keys, score, n."""
+    by = Window.partitionBy(*keys)
     summed = counts.withColumn("above", F.sum("n").over(by.orderBy(F.desc("score")))).withColumn("total", F.sum("n").over(by))
     relative = F.array(*[F.coalesce(F.min(F.when(F.col("above") <= s * F.col("total"), F.col("score"))), F.lit(float("inf"))) for s in shares])
     enough = F.max("total") >= min_sample
-    return summed.groupBy("axis").agg(F.when(enough, "relative").otherwise("fixed").alias("basis"), F.max("total").alias("sample"), F.when(enough, relative).otherwise(F.array(*map(F.lit, FIXED_BANDS))).alias("cuts"))
+    return summed.groupBy(*keys).agg(F.when(enough, "relative").otherwise("fixed").alias("basis"), F.max("total").alias("sample"), F.when(enough, relative).otherwise(F.array(*map(F.lit, FIXED_BANDS))).alias("cuts"))
+
+
+def daily_histograms(events: DataFrame) -> DataFrame:
+    """(day, axis, score, n): how many events of a day have a score. Histograms of parts of the events add up."""
+    scored = axis_scores(events, "event_time")
+    return scored.groupBy(F.to_date("event_time").alias("day"), "axis", "score").agg(F.count("*").alias("n"))
+
+
+def rolling_cutoffs(histograms: DataFrame, days: int = WINDOW_DAYS, shares: tuple = TOP_SHARES, min_sample: int = MIN_SAMPLE) -> DataFrame:
+    """(day, axis, basis, sample, cuts): for every day that has events in the ``days`` up to it, itself included, what
+    ``cutoffs`` of those events would be. A day's histogram is added to the windows of the days it counts for, and is gone from
+    those after: rows are days times distinct scores, whatever the number of events."""
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
+    moved = histograms.withColumn("k", ahead).select(F.date_add("day", F.col("k")).alias("day"), "axis", "score", "n")
+    return cutoffs_of(moved.groupBy("day", "axis", "score").agg(F.sum("n").alias("n")), ["day", "axis"], shares, min_sample)
 
 
-def axis_scores(events: DataFrame) -> DataFrame:
-    """The rows of ``cutoffs``: both scores assessed, category known; hidden and withdrawn ones count (Q7)."""
+def axis_scores(events: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``cutoffs`` (with ``more`` columns): both scores assessed, category known; hidden and withdrawn ones count (Q7)."""
     both = events.where("iran_score is not null and global_score is not null and category <> 'other'")
     axes = {"iran": F.col("iran_score"), "global": F.col("global_score"), "impact": X.impact(F.col("iran_score"), F.col("global_score"))}
-    return both.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), s.alias("score")) for a, s in axes.items()])).alias("x")).select("x.*")
+    return both.select(*more, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), s.alias("score")) for a, s in axes.items()])).alias("x")).select(*more, "x.*")
 
 
 def with_tiers(events: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from newsloom.functions import score as X
 from newsloom.functions import time as D
 from newsloom.plans.joins import latest_per
+from newsloom.plans.store import replace_changed
 
 
 def safe_cell(text: Column) -> Column:
@@ -57,9 +58,10 @@ def workbook_rows(events: DataFrame, assessments: DataFrame, articles: DataFrame
     return joined.select("id", "event_time", day.alias("jalali_day"), D.jalali_words(day).alias("date"), F.date_format(D.local(F.col("event_time")), "HH:mm").alias("clock"), F.coalesce("outlets", F.lit("")).alias("outlets"), "title", axes[0].alias("occurrence"), axes[1].alias("gold"), axes[2].alias("security"), X.decide(*[F.nullif(a, F.lit("")) for a in axes]).alias("decision"), notes.alias("notes"), hyperlink(F.col("url")).alias("link"), category.alias("feed"))
 
 
-def write_workbook(rows: DataFrame, path: str) -> None:
-    """One folder of CSV for each day."""
-    rows.repartition("jalali_day").sortWithinPartitions("jalali_day", "number").write.mode("overwrite").partitionBy("jalali_day").csv(path, header=True)
+def write_workbook(rows: DataFrame, path: str) -> DataFrame:
+    """One folder of CSV for each day of ``rows``; days whose records are as they were keep their files, and so do days
+    that ``rows`` lack. Returns the days written (jalali_day)."""
+    return replace_changed(rows, path, "jalali_day", ["number"], "csv", header="true")
 
 
 def changed_days(rows: DataFrame, changed: DataFrame) -> DataFrame:

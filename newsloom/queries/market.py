@@ -45,24 +45,24 @@ def j09(spark, sf_dir):
     return asof_join(moments(spark, sf_dir), prices(spark, sf_dir), ["symbol"], "at", "observed_at", ["price"], forward=True, tolerance_seconds=3 * 86_400).select("id", "observed_at", "price")
 
 
-_NTH = "(SELECT first_at FROM days d WHERE d.symbol = m.symbol AND d.day > (m.happened + INTERVAL 210 MINUTE)::DATE ORDER BY d.day LIMIT 1 OFFSET {})"
+NTH = "(SELECT first_at FROM days d WHERE d.symbol = m.symbol AND d.day > (m.happened + INTERVAL 210 MINUTE)::DATE ORDER BY d.day LIMIT 1 OFFSET {})"
 
 
-@query("j10_nth_trading_day", f"WITH {ctes('article', 'price')}, {MOMENTS}, {DAYS} SELECT id, {_NTH.format(2)} AS nth_at FROM moments m")
+@query("j10_nth_trading_day", f"WITH {ctes('article', 'price')}, {MOMENTS}, {DAYS} SELECT id, {NTH.format(2)} AS nth_at FROM moments m")
 def j10(spark, sf_dir):
     return M.nth_trading_day(moments(spark, sf_dir), prices(spark, sf_dir), 3).select("id", "nth_at")
 
 
 @query(
     "c08_backtest",
-    f"WITH {ctes('article', 'price')}, {MOMENTS}, {DAYS}, s AS (SELECT m.*, p.price AS baseline FROM moments m ASOF JOIN price p ON m.symbol = p.symbol AND m.happened >= p.observed_at), e AS (SELECT m.*, {_NTH.format(0)} AS nth_at FROM s m), r AS (SELECT e.*, p.price AS realized, (p.price - baseline) / baseline * 100.0::DOUBLE AS realized_pct FROM e JOIN price p ON p.symbol = e.symbol AND p.observed_at = nth_at) SELECT id, baseline, realized, realized_pct, CASE gold_trend WHEN '↑' THEN realized_pct > 0.25::DOUBLE WHEN '↓' THEN realized_pct < -0.25::DOUBLE END AS direction_correct FROM r",
+    f"WITH {ctes('article', 'price')}, {MOMENTS}, {DAYS}, s AS (SELECT m.*, p.price AS baseline FROM moments m ASOF JOIN price p ON m.symbol = p.symbol AND m.happened >= p.observed_at), e AS (SELECT m.*, {NTH.format(0)} AS nth_at FROM s m), r AS (SELECT e.*, p.price AS realized, (p.price - baseline) / baseline * 100.0::DOUBLE AS realized_pct FROM e JOIN price p ON p.symbol = e.symbol AND p.observed_at = nth_at) SELECT id, baseline, realized, realized_pct, CASE gold_trend WHEN '↑' THEN realized_pct > 0.25::DOUBLE WHEN '↓' THEN realized_pct < -0.25::DOUBLE END AS direction_correct FROM r",
 )
 def c08(spark, sf_dir):
     return M.backtest(moments(spark, sf_dir), prices(spark, sf_dir), 1).select("id", "baseline", "realized", "realized_pct", "direction_correct")
 
 
 def window_sql(name: str) -> str:
-    start, end, slack = {"2h": ("happened - INTERVAL 2 HOUR", "happened + INTERVAL 2 HOUR", "1 HOUR"), "1d": ("happened", "happened + INTERVAL 1 DAY", "1 DAY"), "1td": ("happened", _NTH.format(0), "4 DAY"), "3td": ("happened", _NTH.format(2), "4 DAY")}[name]
+    start, end, slack = {"2h": ("happened - INTERVAL 2 HOUR", "happened + INTERVAL 2 HOUR", "1 HOUR"), "1d": ("happened", "happened + INTERVAL 1 DAY", "1 DAY"), "1td": ("happened", NTH.format(0), "4 DAY"), "3td": ("happened", NTH.format(2), "4 DAY")}[name]
     return f"""t AS (SELECT m.*, {start} AS start_, {end} AS end_ FROM moments m), b AS (SELECT t.*, p.observed_at AS before_at, p.price AS before_ FROM t ASOF JOIN price p ON t.symbol = p.symbol AND t.start_ >= p.observed_at WHERE end_ <= TIMESTAMP '{NOW}'),
 r AS (SELECT b.*, p.observed_at AS after_at, p.price AS after_, (p.price - before_) / before_ * 100.0::DOUBLE AS pct_change FROM b ASOF JOIN price p ON b.symbol = p.symbol AND b.end_ >= p.observed_at WHERE start_ - before_at <= INTERVAL {slack} AND after_at > happened AND after_at <> before_at)"""
 

@@ -21,8 +21,10 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.functions.text import cleaned as clean
+from newsloom.plans.durable import checkpointed
 
 # Where a field may stand, best rank first.
 LINKED = {"headline": ("title", 0), "description": ("lead", 0), "articleBody": ("body", 0), "datePublished": ("published_at", 0), "image": ("image_url", 0), "keywords": ("keyword", 0)}
@@ -301,6 +303,73 @@ def listed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, links array<string>, relay string")
 
 
+#: An archive's pages in one walk at most, and pages in a row without a new link that end it.
+MOST_PAGES, STALE_PAGES = 500, 2
+
+
+def archive_walk(pages: DataFrame, details: DataFrame, known: DataFrame, since: Column, most: int = MOST_PAGES) -> tuple[DataFrame, DataFrame]:
+    """The articles that a walk over archive pages brings, and per archive how far it went and why it ended.
+
+    ``pages``: archive, page (from 1), links array<string>; ``details``: url, published_at, for articles that could be fetched;
+    ``known``: url, of what is stored. A link counts on the first page that shows it, where it is not known. The walk ends at a
+    page that is not there ('missing'), at the second page in a row without a new link ('stale'), after a page with an article
+    from before ``since`` ('floor'), or at the cap ('cap'). Gives (archive, page, url, published_at) and (archive, pages, ended).
+    Whether a link is new does not depend on where the walk ends, so no page waits for the one before it."""
+    shown = pages.where(F.col("page") <= most).select("archive", "page", F.explode("links").alias("url"))
+    fresh = shown.groupBy("archive", "url").agg(F.min("page").alias("page")).join(known.select("url").distinct(), "url", "left_anti")
+    found = fresh.join(details.groupBy("url").agg(F.min("published_at").alias("published_at"), F.lit(True).alias("_got")), "url", "left")
+    counted = found.groupBy("archive", "page").agg(F.count("*").alias("_new"), F.coalesce(F.bool_or(F.col("published_at") < since), F.lit(False)).alias("_floor"))
+    each = pages.where(F.col("page") <= most).select("archive", "page").distinct().join(counted, ["archive", "page"], "left")
+    order = Window.partitionBy("archive").orderBy("page")
+    stale = F.col("_new").isNull()
+    place = F.row_number().over(order)
+    marked = each.withColumns({"_stale": stale, "_before": F.when(place != F.col("page"), place - 1)})
+    both = marked.withColumn("_twice", F.col("_stale") & F.coalesce(F.lag("_stale", STALE_PAGES - 1).over(order), F.lit(False)))
+    at = lambda c: F.min(F.when(c, F.col("page")))
+    ends = both.groupBy("archive").agg(at(F.col("_twice")).alias("twice"), at(F.coalesce("_floor", F.lit(False))).alias("floor"), F.max("page").alias("last"), F.min("_before").alias("before"))
+    reach = F.least("twice", "floor", F.coalesce("before", "last"))
+    why = F.when(F.col("twice") == reach, "stale").when(F.col("floor") == reach, "floor").when(reach >= most, "cap").otherwise("missing")
+    walks = ends.select("archive", reach.cast("int").alias("pages"), why.alias("ended"))
+    taken = found.where("_got").join(walks, "archive").where(F.col("page") <= F.col("pages")).select("archive", "page", "url", "published_at")
+    return taken, walks
+
+
+def relay_ends(relays: DataFrame) -> DataFrame:
+    """(url, final, hops, cyclic) for pages (url, target) that hand on to another page: where the chain of those in the table
+    ends. A page that hands on to itself, or to what is not in the table, ends it; one whose chain runs in a circle is marked,
+    and its final is null.
+
+    Pointers double: after k rounds each spans 2^k hops, and every page no further from its end has arrived; those take no
+    part in further rounds. Of chains that end, the nearest ones arrive in each round, so a round in which none does leaves
+    circles alone."""
+    pages = relays.groupBy("url").agg(F.min("target").alias("target")).withColumn("target", F.coalesce("target", "url"))
+    nodes = pages.select(F.col("url").alias("target")).withColumn("_in", F.lit(True))
+    ends = F.col("target") == F.col("url")
+    begun = checkpointed(pages.join(nodes, "target", "left").select("url", F.col("target").alias("at"), F.when(ends, 0).otherwise(1).cast("long").alias("hops"), (ends | F.col("_in").isNull()).alias("done")))
+    done, open_ = begun.where("done"), begun.where("not done")
+    left = open_.count()
+    while left:
+        onward = done.unionByName(open_).select(F.col("url").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
+        moved = open_.join(onward, "at").select("url", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done"))
+        moved = checkpointed(moved)
+        done, open_, was = done.unionByName(moved.where("done")), moved.where("not done"), left
+        left = open_.count()
+        if left == was:
+            break
+    nowhere = open_.select("url", F.lit(None).cast("string").alias("final"), F.lit(None).cast("long").alias("hops"), F.lit(True).alias("cyclic"))
+    return done.select("url", F.col("at").alias("final"), "hops", F.lit(False).alias("cyclic")).unionByName(nowhere)
+
+
+def relayed(entries: DataFrame, relays: DataFrame, pages: DataFrame, fields: tuple[str, ...] = ("title", "lead", "published_at", "image_url", "native_category")) -> DataFrame:
+    """A listing's entries (url and fields) with what stands behind their relays: the entry's fields where it has them, the
+    final page's (of ``pages``) where not. final_url is where the chain ends after
+    ``hops``, the entry's own address for a circle."""
+    known = entries.select("url").distinct().join(relay_ends(relays), "url", "left")
+    placed = known.select("url", F.coalesce("final", "url").alias("final_url"), "hops", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    behind = placed.join(pages.withColumnRenamed("url", "final_url"), "final_url").drop("final_url", "hops", "cyclic")
+    return merge_tables(entries, behind, fields).join(placed, "url")
+
+
 #: Parsers by a source's strategy.
 STRATEGIES = {"rss": parse_feed, "listing": listing, "relay": relay, "page": read_page}
 
