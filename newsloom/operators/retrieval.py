@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom import vocab
 from newsloom.functions import score as X
 from newsloom.functions import text as T
+from newsloom.operators import neighbours as N
+from newsloom.plans.durable import scratch, written
 from newsloom.plans.graph import components
 from newsloom.plans.joins import latest_per, range_join, top_per
 
@@ -47,45 +50,34 @@ def _opened(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(row[f"{prefix}_ids"], np.int64), np.frombuffer(row[f"{prefix}_at"], np.int64), np.frombuffer(row[f"{prefix}_unit"]).reshape(-1, row[f"{prefix}_dim"])
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, past_only: bool = False) -> DataFrame:
-    """Exact cosine neighbours (query_id, id, similarity, place); ties to the smaller id; a row is not its own.
-
-    ``queries``: id, vector; ``candidates``: id, vector, both with ``at`` where only the past may answer. Blocks of queries
-    meet blocks of candidates, a matrix product each, of which every query keeps its k best; a window merges them.
-    """
-    at = F.unix_micros(F.col("at").cast("timestamp")) if past_only else F.lit(0).cast("long")
-    q, c = (packed(rows.select(F.col("id").cast("long").alias("id"), "vector", at.alias("at")), p) for rows, p in ((queries, "q"), (candidates, "c")))
-    met = q.crossJoin(c).where("q_dim = c_dim")  # blocks, of a stated query set and all rows
-    if past_only:
-        met = met.where("c_lo < q_hi")
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(batch.num_rows):
-                (row,) = batch.slice(lo, 1).to_pylist()
-                (q_ids, q_at, q_unit), (ids, moments, unit) = _opened(row, "q"), _opened(row, "c")
-                s = q_unit @ unit.T
-                bad = q_ids[:, None] == ids[None, :]
-                if past_only:
-                    bad |= moments[None, :] >= q_at[:, None]
-                s[bad] = -np.inf
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                r, at_ = np.nonzero((s >= least[:, None]) & np.isfinite(s))  # ties at the bound stay; the window decides
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[at_]), pa.array(s[r, at_])], names=["query_id", "id", "similarity"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))
-    return met.mapInArrow(run, "query_id long, id long, similarity double").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+def label_of(category: Column) -> Column:
+    """A category as a label that ``neighbours`` compares: what is both topics goes with either; null is none."""
+    known = F.create_map(*[x for k, c in enumerate(vocab.CATEGORIES) for x in (F.lit(c), F.lit(N.ANY if c == vocab.BOTH_CATEGORIES else 2 + k))])
+    return F.coalesce(known[category], F.lit(N.NONE))
 
 
 def memory_examples(queries: DataFrame, reviewed: DataFrame, others: DataFrame, k: int, overfetch: int = 3) -> DataFrame:
-    """(query_id, id, similarity, place, reviewed): a query's nearest rows that a person has labelled; what they lack
-    of ``k`` comes from the past that a model has labelled, the usable ones among so many times ``k`` nearest. ``queries``: id,
-    vector, at; ``reviewed``: id, vector; ``others``: id, vector, at, usable."""
-    first = nearest(queries, reviewed, k).drop("place").withColumn("reviewed", F.lit(True))
-    rest = others.join(reviewed.select("id"), "id", "left_anti")
-    second = nearest(queries, rest, overfetch * k, past_only=True).drop("place").join(others.where("usable").select("id"), "id", "left_semi").withColumn("reviewed", F.lit(False))
+    """(query_id, id, score, place, reviewed): for each query the nearest rows that a person has labelled; what they lack
+    of ``k`` comes from rows that a model has labelled, the usable ones among so many times ``k`` nearest.
+
+    Only the past may answer, as what comes later knows how the story went on: rows from before the query, and reviewed ones
+    without a moment; a query without a moment is answered by all. Where a query has a category, reviewed rows must have
+    it, or both topics. Rows that may answer as reviewed ones don't answer as a model's. A query without a vector gets
+    reviewed rows by titles alone. ``queries``: id, vector, title, at, category; ``reviewed``: id, vector, title, at, category;
+    ``others`` (canonical articles): id, vector, at, usable."""
+    q_at, label = N.moment(F.col("at"), N.AFTER_ALL), label_of(F.col("category"))
+    q, r = N.rows_of(queries, q_at, label), N.rows_of(reviewed, N.undated_first(F.col("at")), label)
+    first = N.nearest(q, r, k, past_only=True, rule="labelled").withColumn("reviewed", F.lit(True))
+    marked = others.select("id", "vector", "at").join(reviewed.select("id", "category"), "id", "left")
+    rest = N.rows_of(marked, N.undated_last(F.col("at")), F.coalesce(F.when(F.col("category").isNotNull(), label), F.lit(N.UNLABELLED)))
+    second = N.nearest(q, rest, overfetch * k, past_only=True, rule="rest").join(others.where("usable").select("id"), "id", "left_semi").withColumn("reviewed", F.lit(False))
     order = Window.partitionBy("query_id").orderBy(F.desc("reviewed"), F.desc("similarity"), F.asc("id"))
-    return first.unionByName(second).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    near = first.unionByName(second).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("similarity", "score")
+    blind = queries.where("vector is null or size(vector) = 0").withColumns({"at": q_at, "label": label})
+    fits = (F.col("c_at") < F.col("q_at")) & ((F.col("q_label") == N.NONE) | (F.col("c_label") == N.ANY) | (F.col("c_label") == F.col("q_label")))
+    titled = similar_titles(blind, reviewed.withColumns({"at": N.undated_first(F.col("at")), "label": label}), k, fits)
+    placed = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return near.unionByName(titled.withColumns({"place": F.row_number().over(placed), "reviewed": F.lit(True)}))
 
 
 def close_pairs(rows: DataFrame, least: float, seconds: int) -> DataFrame:
@@ -114,14 +106,44 @@ def close_pairs(rows: DataFrame, least: float, seconds: int) -> DataFrame:
     return met.mapInArrow(run, "l_id long, e_id long, similarity double")
 
 
-def similar_titles(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """C11's way without vectors: by trigrams of titles, no floor (Q5), but for titles that share none: (query_id, id, score)."""
-    q = queries.select(F.col("id").alias("query_id"), T.trigrams(F.col("title")).alias("qg"))
-    c = candidates.select("id", T.trigrams(F.col("title")).alias("cg"))
-    size = F.size
-    met = q.select("query_id", size("qg").alias("qn"), F.explode("qg").alias("t")).join(c.select("id", size("cg").alias("cn"), F.explode("cg").alias("t")), "t").where("query_id <> id")
-    shared = met.groupBy("query_id", "id", "qn", "cn").agg(F.count("*").alias("n"))
-    return top_per(shared.withColumn("score", F.col("n") / (F.col("qn") + F.col("cn") - F.col("n"))), ["query_id"], k, F.desc("score"), F.asc("id")).select("query_id", "id", "score")
+#: Trigrams of a query that the first round looks up; each round takes twice as many.
+FIRST_GRAMS = 8
+
+
+def similar_titles(queries: DataFrame, candidates: DataFrame, k: int, fits: Column | None = None) -> DataFrame:
+    """C11 without vectors: (query_id, id, score), each query's k titles of most similar trigrams, no floor (Q5) but for titles that
+    share none; ties to the smaller id. ``fits`` limits pairs, over q_at, q_label, c_at and c_label of the tables' at and label.
+
+    A query's trigrams are looked up rare first, in rounds. What shares none of those looked up can reach the rest's share of the
+    query at most, so a query is done once its k-th score is above that; common trigrams are joined only for queries that have found
+    too little by then. Within a round length and place bound a pair before it is scored."""
+    extra = [c for c in ("at", "label") if c in queries.columns and c in candidates.columns]
+    named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in extra]
+    both = F.lit(True) if fits is None else fits
+    with scratch(queries.sparkSession, "titles") as folder:
+        c = written(candidates.select("id", T.trigrams(F.col("title")).alias("cg"), *named("c")), "candidates", folder)
+        postings = written(c.select("id", F.size("cg").alias("cn"), F.explode("cg").alias("t"), *[f"c_{x}" for x in extra]), "postings", folder)
+        asked = queries.select(F.col("id").alias("query_id"), F.explode(T.trigrams(F.col("title"))).alias("t"), *named("q"))
+        rare = asked.join(postings.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("query_id", *[f"q_{x}" for x in extra]).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("found"))
+        # trigrams that no candidate has count in a query's size, and need no look
+        size = asked.groupBy("query_id").agg(F.count("*").alias("qn"))
+        q = written(rare.join(size, "query_id").withColumns({"found": F.transform("found", lambda x: x["t"]), "fn": F.size("found")}), "queries", folder)
+        best = q.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
+        open_, at, step = q.withColumn("kth", F.lit(-1.0)), 0, FIRST_GRAMS
+        while open_.limit(1).count():
+            asks = open_.select("query_id", "qn", "fn", "kth", F.explode(F.slice("found", at + 1, step)).alias("t"), *[f"q_{x}" for x in extra])
+            met = asks.join(postings, "t").where((F.col("query_id") != F.col("id")) & both)
+            most = F.least(F.col("fn") - at, F.col("cn"))
+            pairs = met.where(most >= F.col("kth") * (F.col("qn") + F.col("cn") - most)).select("query_id", "id", "qn", "cn").distinct()
+            sets = pairs.join(asked.groupBy("query_id").agg(F.collect_list("t").alias("qg")), "query_id").join(c.select("id", "cg"), "id")
+            shared = F.size(F.array_intersect("qg", "cg"))
+            scored = sets.select("query_id", "id", (shared / (F.col("qn") + F.col("cn") - shared)).alias("score"))
+            best = written(top_per(best.unionByName(scored).distinct(), ["query_id"], k, F.desc("score"), F.asc("id")), "best", folder)
+            at, step = at + step, 2 * step
+            kth = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+            left = q.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
+            open_ = written(left.where((F.col("fn") > at) & (F.col("fn") - at >= F.col("kth") * F.col("qn"))), "open", folder)
+        return written(best.select("query_id", "id", "score"), "similar-titles")
 
 
 def link_strength(similarity: Column, shared: Column, same_topic: Column) -> Column:

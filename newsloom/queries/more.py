@@ -9,6 +9,7 @@ from newsloom.adapt import EVENT_NOW, NOW, ctes, domain
 from newsloom.functions import score as X
 from newsloom.functions import time as D
 from newsloom.operators import export as K
+from newsloom.operators import neighbours as N
 from newsloom.operators import retrieval as R
 from newsloom.queries.articles import grams_sql, key_sql
 from newsloom.queries.events import IMPACT
@@ -28,17 +29,31 @@ _COS = f"({_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('a.emb
 @query("j16_nearest", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS place FROM s QUALIFY place <= 5")
 def j16(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.nearest(v.where("id % 10 = 0"), v, 5).select("query_id", "id", "place")
+    rows = N.rows_of(v)
+    return N.nearest(rows.where("id % 10 = 0"), rows, 5).select("query_id", "id", "place")
 
 
-_SIM = f"s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.vec_id % 97 = 0 AS reviewed, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 97 = 0 OR b.vec_id < a.vec_id))"
+_BY_CATEGORY = f"(a.category IS NULL OR b.category = a.category OR b.category = '{vocab.BOTH_CATEGORIES}')"
+_MEMORY = f"""v AS (SELECT vec_id AS id, embedding, vec_id % 97 = 0 AS reviewed, CASE WHEN vec_id % 41 <> 0 THEN vec_id END AS at_, {vocab.sql_pick(vocab.CATEGORIES, "(1 + vec_id % 4)")} AS category FROM embeddings),
+q AS (SELECT id, embedding, at_, CASE WHEN id % 3 <> 0 THEN category END AS category FROM v WHERE id % 10 = 0),
+m AS (SELECT a.id AS query_id, b.id, a.id % 70 = 0 AS blind, b.reviewed AND {_BY_CATEGORY} AND (a.at_ IS NULL OR b.at_ IS NULL OR b.at_ < a.at_) AS human, a.at_ IS NULL OR coalesce(b.at_ < a.at_, false) AS past, a.embedding AS x, b.embedding AS y FROM q a JOIN v b ON a.id <> b.id),
+s AS (SELECT query_id, id, human AS reviewed, {_COS.replace("a.embedding", "x").replace("b.embedding", "y")} AS score FROM m WHERE NOT blind AND (human OR past)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, reviewed ORDER BY score DESC, id) AS r FROM s),
+g AS (SELECT id, {grams_sql(key_sql("title"))} AS g FROM article),
+t AS (SELECT m.query_id, m.id, len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS both_ FROM m JOIN g a ON a.id = m.query_id JOIN g b ON b.id = m.id WHERE blind AND human),
+u AS (SELECT query_id, id, reviewed, score FROM n WHERE (reviewed AND r <= 8) OR (NOT reviewed AND r <= 24 AND id % 3 <> 0) UNION ALL SELECT query_id, id, true, shared / (both_ - shared)::DOUBLE FROM t WHERE shared > 0)"""
 
 
-@query("c11_memory_examples", f"WITH {_SIM}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, reviewed ORDER BY similarity DESC, id) AS r FROM s), u AS (SELECT * FROM n WHERE (reviewed AND r <= 8) OR (NOT reviewed AND r <= 24 AND id % 3 <> 0)) SELECT query_id, id, reviewed, row_number() OVER (PARTITION BY query_id ORDER BY reviewed DESC, similarity DESC, id)::INT AS place FROM u QUALIFY place <= 8")
+@query("c11_memory_examples", f"WITH {ctes('article')}, {_MEMORY} SELECT query_id, id, reviewed, row_number() OVER (PARTITION BY query_id ORDER BY reviewed DESC, score DESC, id)::INT AS place FROM u QUALIFY place <= 8")
 def c11_memory(spark, sf_dir):
-    """Examples for the query set, a tenth of the rows: those that a person labelled, then the past that a model did."""
-    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.timestamp_seconds("vec_id").alias("at"))
-    return R.memory_examples(v.where("id % 10 = 0"), v.where("id % 97 = 0"), v.withColumn("usable", F.col("id") % 3 != 0), 8).select("query_id", "id", "reviewed", "place")
+    """Examples for the query set, a tenth of the rows: those that a person labelled, then the past that a model did. Some queries
+    have no vector, some rows no moment, some queries no category."""
+    titles = domain(spark, sf_dir, "article").select("id", "title")
+    k = F.col("id")
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 41 != 0, F.timestamp_seconds("vec_id")).alias("at"), vocab.pick(vocab.CATEGORIES, 1 + F.col("vec_id") % 4).alias("category"))
+    v = v.join(titles, "id", "left")
+    queries = v.where(k % 10 == 0).withColumns({"vector": F.when(k % 70 != 0, F.col("vector")), "category": F.when(k % 3 != 0, F.col("category"))})
+    return R.memory_examples(queries, v.where(k % 97 == 0), v.withColumn("usable", k % 3 != 0), 8).select("query_id", "id", "reviewed", "place")
 
 
 @query("c11_similar_titles", f"WITH {ctes('article')}, g AS (SELECT id, {grams_sql(key_sql('title'))} AS g FROM article), s AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS score FROM g a JOIN g b ON a.id % 50 = 0 AND a.id <> b.id WHERE len(list_intersect(a.g, b.g)) > 0) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The words that stored answers hold, in their order.
 LEVELS = ("خیلی کم", "کم", "متوسط", "زیاد", "خیلی زیاد")
 CATEGORIES = ("security", "economics", "security/economics", "other")
+BOTH_CATEGORIES = "security/economics"
 GOLD_TRENDS = ("↑", "↓", "خنثی", "نامطمئن")
 NOTIFY, NO_NOTIFY, INSUFFICIENT = "اطلاع‌رسانی شود", "اطلاع‌رسانی نشود", "ارزیابی ناکافی"
 NOTIFY_STATUSES = (NOTIFY, NO_NOTIFY, INSUFFICIENT)
