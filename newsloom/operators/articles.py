@@ -114,15 +114,24 @@ def search(articles: DataFrame, needle: str, summaries: DataFrame | None = None)
     return articles.join(found, "id", "left").where(own | F.col("_s")).drop("_s")
 
 
+#: Fixed value: what a word may end with beyond an alias.
+ENDINGS = "(?:s|es|ها|های|ی|ای)?"
+
+
 def shortlist(texts: DataFrame, items: list[tuple[str, list[str]]], text: Column, most: int = 8) -> DataFrame:
-    """(id, slug, hits): the watch items whose alias stands in a text between non-word characters, the longest alias
-    first; the first item to claim an alias has it; the ``most`` with most hits. Items are a curated list, bounded by its file."""
+    """(id, slug, hits): the watch items that a text names, by key (``text.title_key``) on both sides: an alias between
+    non-word characters, an ending allowed, the longest alias first; the first item to claim a key has it; the ``most`` with most
+    hits, ties to the one met first. Items are a curated list, bounded by its file."""
+    spark = texts.sparkSession
+    named = [(k, slug, alias) for k, (slug, alias) in enumerate((s, a) for s, aliases in items for a in aliases)]
     claimed: dict[str, str] = {}
-    for slug, aliases in items:
-        for a in aliases:
-            claimed.setdefault(a.lower(), slug)
-    pattern = "(?U)(?<!\\w)(" + "|".join(re.escape(a) for a in sorted(claimed, key=lambda a: (-len(a), a))) + ")(?:s|ها)?(?!\\w)"
+    for r in spark.createDataFrame(named, "k int, slug string, alias string").select("k", "slug", T.title_key(F.col("alias")).alias("key")).orderBy("k").collect():
+        if r.key:
+            claimed.setdefault(r.key, r.slug)
+    if not claimed:
+        return texts.select("id", F.lit("").alias("slug"), F.lit(0).cast("long").alias("hits")).limit(0)
+    pattern = "(?U)(?<!\\w)(" + "|".join(re.escape(a) for a in sorted(claimed, key=lambda a: (-len(a), a))) + f"){ENDINGS}(?!\\w)"
     names = F.create_map(*[F.lit(x) for pair in claimed.items() for x in pair])
-    hits = texts.select("id", F.explode(F.regexp_extract_all(T.fold(text), F.lit(pattern), F.lit(1))).alias("a")).groupBy("id", names[F.col("a")].alias("slug")).agg(F.count("*").alias("hits"))
-    return top_per(hits, ["id"], most, F.desc("hits"), F.asc("slug"))
-
+    found = texts.select("id", F.posexplode(F.regexp_extract_all(T.title_key(text), F.lit(pattern), F.lit(1))).alias("place", "a"))
+    hits = found.groupBy("id", names[F.col("a")].alias("slug")).agg(F.count("*").alias("hits"), F.min("place").alias("place"))
+    return top_per(hits, ["id"], most, F.desc("hits"), F.asc("place")).select("id", "slug", "hits")

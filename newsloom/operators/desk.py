@@ -132,6 +132,39 @@ def gate(measures: DataFrame) -> DataFrame:
     return measures.withColumn("passed", F.coalesce(ok & F.col("value").isNotNull(), F.lit(False)))
 
 
+#: What a release needs: sources that are on and that worked lately, finished reviews, top cases by either side,
+#: the sample and the minutes of priority visibility, the rates of false and missed top tiers, the month's cost, the top score.
+SOURCES, REVIEWS, TOP_CASES, SAMPLE, P95_MINUTES, FALSE_TOP, MISSED_TOP, MONTH_USD, TOP_SCORE = 25, 100, 10, 100, 10.0, 0.02, 0.05, 100.0, 80
+
+
+def release_measures(reviews: DataFrame, visibility: DataFrame, sources: DataFrame, usage: DataFrame, now: Column) -> DataFrame:
+    """The rows of ``gate``: name, value, floor, ceiling, n, least. ``reviews`` (finished): iran_score of the event (null counts
+    as 0), reviewed_iran_score; ``visibility``: minutes; ``sources``: enabled, healthy, last_success_at; ``usage`` of the month: cost.
+    A rate of none is no failure; too small a sample fails by itself."""
+    n = F.count_if
+    said, found = F.coalesce("iran_score", F.lit(0)) >= TOP_SCORE, F.col("reviewed_iran_score") >= TOP_SCORE
+    judged = reviews.where("reviewed_iran_score is not null").agg(F.count("*").alias("reviewed"), n(said & ~found).alias("wrong"), n(~said & found).alias("missed"), n(said).alias("predicted"), n(found).alias("actual"))
+    lately = F.col("healthy") & (F.col("last_success_at") >= now - F.make_dt_interval(hours=F.lit(6)))
+    crawled = sources.where("enabled").agg(F.count("*").alias("sources"), n(lately).alias("recent"))
+    seen = visibility.agg(F.count("minutes").alias("seen"), F.expr("percentile_disc(0.95) within group (order by minutes)").alias("p95"))
+    spent = usage.agg(F.coalesce(F.sum(F.col("cost").cast("decimal(18,6)")).cast("double"), F.lit(0.0)).alias("spent"))
+    rate = lambda part, whole: F.coalesce(F.col(part) / F.nullif(F.col(whole), F.lit(0)), F.lit(0.0))
+    one = judged.crossJoin(crawled).crossJoin(seen).crossJoin(spent)  # four rows by their aggregates
+    rows = [
+        ("enabled_sources", F.col("sources"), float(SOURCES), None, F.col("sources"), 0),
+        ("healthy_sources", F.col("recent"), float(SOURCES), None, F.col("sources"), 0),
+        ("reviewed", F.col("reviewed"), float(REVIEWS), None, F.col("reviewed"), 0),
+        ("top_cases", F.least("predicted", "actual"), float(TOP_CASES), None, F.col("reviewed"), 0),
+        ("visibility_p95", F.col("p95"), None, P95_MINUTES, F.col("seen"), SAMPLE),
+        ("false_top", rate("wrong", "predicted"), None, FALSE_TOP, F.col("predicted"), 0),
+        ("missed_top", rate("missed", "actual"), None, MISSED_TOP, F.col("actual"), 0),
+        ("month_usd", F.col("spent"), None, MONTH_USD, F.lit(1), 0),
+    ]
+    limit = lambda x: F.lit(x).cast("double")
+    built = F.array(*[F.struct(F.lit(name).alias("name"), v.cast("double").alias("value"), limit(lo).alias("floor"), limit(hi).alias("ceiling"), m.cast("long").alias("n"), F.lit(least).alias("least")) for name, v, lo, hi, m, least in rows])
+    return one.select(F.inline(built))
+
+
 def conditions(named: dict[str, DataFrame]) -> DataFrame:
     """(condition, key) of all that calls for a notice."""
     from newsloom.plans.joins import union_all

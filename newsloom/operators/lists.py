@@ -230,19 +230,24 @@ def renamed(storylines: DataFrame, proposed: DataFrame, now: Column, frozen_afte
     return out.withColumn("name", F.when(turns, F.col("_name")).otherwise(F.col("name"))).select(*storylines.columns)
 
 
-def review_statistics(reviews: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Agreement of reviewers with the assessment that stood when they reviewed, overall (category null) and by the
-    model's category in today's vocabulary. ``reviews``: event_id, reviewed_at, category, iran_score, global_score;
-    ``assessments``: event_id, id, created_at and the same three. An item agrees in category and both bands."""
-    joined = reviews.withColumnRenamed("category", "r_category").join(assessments.where("created_at is not null").select("event_id", "id", "created_at", *[F.col(c).alias(f"m_{c}") for c in ("category", "iran_score", "global_score")]), "event_id", "left").where("created_at is null or created_at <= reviewed_at")
-    missing = reviews.join(joined.select("event_id", "reviewed_at"), ["event_id", "reviewed_at"], "left_anti").withColumnRenamed("category", "r_category")
-    stood = latest_per(joined, ["event_id", "reviewed_at"], F.desc_nulls_last("created_at"), F.desc("id")).unionByName(missing, allowMissingColumns=True)
-    category = X.event_topic(F.col("m_category"))
-    same = category == X.event_topic(F.col("r_category"))
-    bands = reduce_and(*[X.band(F.col(c)).eqNullSafe(X.band(F.col(f"m_{c}"))) for c in ("iran_score", "global_score")])
-    marked = stood.select(F.coalesce(F.nullif(category, F.lit("")), F.lit("unassessed")).alias("category"), F.coalesce(same, F.lit(False)).alias("c"), bands.alias("b"))
+def review_statistics(reviews: DataFrame, assessments: DataFrame, events: DataFrame) -> DataFrame:
+    """Agreement of finished reviews with what the model said when they were made, overall (category null) and by the
+    model's category in today's vocabulary; an item agrees in category and both bands. Reviews that are not finished or lack a
+    score don't count. The model said what the assessment of the largest id by then says, the event's own fields where there was
+    none. ``reviews``: event_id, reviewed_at, status, category, iran_score, global_score; ``assessments``: event_id, id,
+    created_at and the same three; ``events``: event_id and the same three."""
+    fields = ("category", "iran_score", "global_score")
+    done = reviews.where("status = 'reviewed' and reviewed_at is not null and iran_score is not null and global_score is not null")
+    said = assessments.select(F.col("event_id").alias("_of"), "id", "created_at", *[F.col(c).alias(f"m_{c}") for c in fields])
+    joined = done.join(said, (F.col("event_id") == F.col("_of")) & (F.col("created_at") <= F.col("reviewed_at")), "left")
+    stood = latest_per(joined, ["event_id", "reviewed_at"], F.desc_nulls_last("id")).join(events.select("event_id", *[F.col(c).alias(f"e_{c}") for c in fields]), "event_id", "left")
+    model = {c: F.when(F.col("id").isNull(), F.col(f"e_{c}")).otherwise(F.col(f"m_{c}")) for c in fields}
+    category = X.event_topic(model["category"])
+    bands = reduce_and(*[F.coalesce(X.band(F.col(c)) == X.band(model[c]), F.lit(False)) for c in fields[1:]])
+    marked = stood.select(F.coalesce(F.nullif(category, F.lit("")), F.lit("unassessed")).alias("shown"), (category == X.event_topic(F.col("category"))).alias("c"), bands.alias("b"))
     n = lambda cond, name: F.round(F.count_if(cond) / F.count("*"), 3).alias(name)
-    return marked.groupingSets([[], [F.col("category")]], F.col("category")).agg(F.count("*").alias("reviewed"), n(F.col("c") & F.col("b"), "agreement_rate"), n(F.col("c"), "category_match_rate"), n(F.col("b"), "tier_match_rate"))
+    out = marked.groupingSets([[], [F.col("shown")]], F.col("shown")).agg(F.count("*").alias("reviewed"), n(F.col("c") & F.col("b"), "agreement_rate"), n(F.col("c"), "category_match_rate"), n(F.col("b"), "tier_match_rate"))
+    return out.withColumnRenamed("shown", "category")
 
 
 def reduce_and(*conditions: Column) -> Column:

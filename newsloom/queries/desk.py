@@ -148,19 +148,30 @@ def a37(spark, sf_dir):
     return K.section_order(e.select(F.col("category").alias("section"), F.row_number().over(Window.orderBy(F.desc("event_time"), F.desc("id"))).alias("place")))
 
 
-_GATES = "m(name, value, n) AS (SELECT 'visibility_p95', quantile_disc(delay, 0.95), count(*) FROM d UNION ALL SELECT 'false_top', count(*) FILTER (toxic = 0 AND quality = 0) / nullif(count(*), 0)::DOUBLE, count(*) FROM labels UNION ALL SELECT 'missed_top', count(*) FILTER (toxic = 1 AND quality = 1) / nullif(count(*), 0)::DOUBLE, count(*) FROM labels WHERE doc_id < 0)"
-
-
-@query("a28_release_gate", f"WITH {ctes('article')}, d AS (SELECT (epoch(created_at) - epoch(published_at)) / 60.0::DOUBLE AS delay FROM article), {_GATES}, g(name, floor, ceiling, least) AS (VALUES ('visibility_p95', NULL, 20.0, 100), ('false_top', 0.05, 0.1, 50), ('missed_top', NULL, 0.05, 10)) SELECT name, value, n, coalesce(n >= least AND coalesce(value >= floor, true) AND coalesce(value <= ceiling, true) AND value IS NOT NULL, false) AS passed FROM m JOIN g USING (name)")
+_GATES = """v AS (SELECT id, iran_score, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 50 = 7 THEN 100 - coalesce(iran_score, 0) ELSE coalesce(iran_score, 0) END AS found FROM news_event WHERE id % 3 = 0),
+j AS (SELECT count(*) AS reviewed, count(*) FILTER (coalesce(iran_score, 0) >= 80 AND found < 80) AS wrong, count(*) FILTER (coalesce(iran_score, 0) < 80 AND found >= 80) AS missed, count(*) FILTER (coalesce(iran_score, 0) >= 80) AS predicted, count(*) FILTER (found >= 80) AS actual FROM v WHERE found IS NOT NULL),
+s AS (SELECT source_id, max(started_at) FILTER (status = 'success') AS last_at FROM attempt GROUP BY 1),
+c AS (SELECT count(*) AS sources, count(*) FILTER (source_id % 10 <> 1 AND last_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 6 HOUR) AS recent FROM s WHERE source_id % 9 <> 0),
+d AS (SELECT count(*) AS seen, quantile_disc((epoch(created_at) - epoch(published_at)) / 60.0::DOUBLE, 0.95) AS p95 FROM article),
+u AS (SELECT sum(CAST(cost / 10000.0::DOUBLE AS DECIMAL(18,6)))::DOUBLE AS spent FROM usage),
+m(name, value, floor_, ceiling_, n, least_) AS (
+  SELECT 'enabled_sources', sources::DOUBLE, 25, NULL, sources, 0 FROM c UNION ALL SELECT 'healthy_sources', recent, 25, NULL, sources, 0 FROM c UNION ALL SELECT 'reviewed', reviewed, 100, NULL, reviewed, 0 FROM j
+  UNION ALL SELECT 'top_cases', least(predicted, actual), 10, NULL, reviewed, 0 FROM j UNION ALL SELECT 'visibility_p95', p95, NULL, 10, seen, 100 FROM d
+  UNION ALL SELECT 'false_top', coalesce(wrong / nullif(predicted, 0)::DOUBLE, 0), NULL, 0.02, predicted, 0 FROM j UNION ALL SELECT 'missed_top', coalesce(missed / nullif(actual, 0)::DOUBLE, 0), NULL, 0.05, actual, 0 FROM j
+  UNION ALL SELECT 'month_usd', spent, NULL, 100, 1, 0 FROM u)"""
+
+
+@query("a28_release_gate", f"WITH {ctes('article', 'news_event', 'attempt', 'usage')}, {_GATES} SELECT name, value, n, n >= least_ AND coalesce(value >= floor_, true) AND coalesce(value <= ceiling_, true) AS passed FROM m")
 def a28(spark, sf_dir):
-    """Gates over what the tables measure: delays of articles, and labels that two signals share."""
-    from newsloom.tables import read
-
-    a = domain(spark, sf_dir, "article")
-    delay = (F.unix_timestamp(F.col("created_at").cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))) / 60.0
-    first = a.select(delay.alias("delay")).agg(F.lit("visibility_p95").alias("name"), F.expr("percentile_disc(0.95) within group (order by delay)").alias("value"), F.count("*").alias("n"))
-    labels = read(spark, sf_dir, "labels")
-    share = lambda rows, name, hit: rows.agg(F.lit(name).alias("name"), (F.count_if(hit) / F.nullif(F.count("*"), F.lit(0))).alias("value"), F.count("*").alias("n"))
-    measured = first.unionByName(share(labels, "false_top", (F.col("toxic") == 0) & (F.col("quality") == 0))).unionByName(share(labels.where("doc_id < 0"), "missed_top", (F.col("toxic") == 1) & (F.col("quality") == 1)))
-    limits = spark.createDataFrame([("visibility_p95", None, 20.0, 100), ("false_top", 0.05, 0.1, 50), ("missed_top", None, 0.05, 10)], "name string, floor double, ceiling double, least int")
-    return K.gate(measured.join(limits, "name")).select("name", "value", "n", "passed")
+    """Every gate of a release: sources that are on and worked in the last six hours, finished reviews, visibility, errors at the
+    top, the month's cost."""
+    k = F.col("id")
+    score = F.coalesce("iran_score", F.lit(0.0))
+    reviews = domain(spark, sf_dir, "news_event").where(k % 3 == 0).select("iran_score", F.when(k % 6 == 0, None).when(k % 50 == 7, 100 - score).otherwise(score).alias("reviewed_iran_score"))
+    last = domain(spark, sf_dir, "attempt").groupBy("source_id").agg(F.max(F.when(F.col("status") == "success", F.col("started_at"))).alias("last_success_at"))
+    sources = last.select((F.col("source_id") % 9 != 0).alias("enabled"), (F.col("source_id") % 10 != 1).alias("healthy"), "last_success_at")
+    minutes = (F.unix_timestamp(F.col("created_at").cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))) / 60.0
+    seen = domain(spark, sf_dir, "article").select(minutes.alias("minutes"))
+    usage = domain(spark, sf_dir, "usage").select((F.col("cost") / 10_000.0).alias("cost"))
+    measures = K.release_measures(reviews, seen, sources, usage, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    return K.gate(measures).select("name", "value", "n", "passed")

@@ -329,14 +329,25 @@ def c01(spark, sf_dir):
 _BAND = "(1 + ({0} >= 20)::INT + ({0} >= 40)::INT + ({0} >= 60)::INT + ({0} >= 80)::INT)"
 
 
-@query("a22_review_statistics", f"""WITH {ctes('news_event', 'report')}, r AS (SELECT id AS event_id, event_time + INTERVAL 40 DAY AS reviewed_at, category, coalesce(iran_score, 10) AS iran_score, global_score FROM news_event WHERE id % 3 = 0),
-m AS (SELECT event_id, report_id AS id, reported_at AS created_at, {vocab.sql_pick(vocab.EVENT_CATEGORIES, '(1 + event_id % 9)')} AS m_category, (20 * (event_id % 5))::DOUBLE AS m_iran, (report_id % 101)::DOUBLE AS m_global FROM report WHERE event_id % 7 <> 0),
-st AS (SELECT r.*, m.* EXCLUDE (event_id) FROM r LEFT JOIN m ON r.event_id = m.event_id AND created_at <= reviewed_at QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY created_at DESC NULLS LAST, id DESC) = 1),
-d AS (SELECT coalesce(m_category, 'unassessed') AS category, coalesce(m_category = category, false) AS c, m_iran IS NOT NULL AND {_BAND.format('iran_score')} = {_BAND.format('m_iran')} AND {_BAND.format('global_score')} = {_BAND.format('m_global')} AS b FROM st)
-SELECT category, count(*) AS reviewed, round(count(*) FILTER (c AND b) / count(*)::DOUBLE, 3) AS agreement_rate, round(count(*) FILTER (c) / count(*)::DOUBLE, 3) AS category_match_rate, round(count(*) FILTER (b) / count(*)::DOUBLE, 3) AS tier_match_rate FROM d GROUP BY GROUPING SETS ((), (category))""")
+_REVIEWS = f"""r AS (SELECT id AS event_id, event_time + INTERVAL 40 DAY AS reviewed_at, CASE WHEN id % 12 = 0 THEN 'pending' ELSE 'reviewed' END AS status, category, CASE WHEN id % 45 <> 6 THEN coalesce(iran_score, 10) END AS iran_score, global_score FROM news_event WHERE id % 3 = 0),
+m AS (SELECT event_id, report_id AS id, reported_at AS created_at, {vocab.sql_pick((*vocab.LEGACY_EVENT_CATEGORIES, *vocab.EVENT_CATEGORIES), '(1 + event_id % 15)')} AS m_category, (20 * (event_id % 5))::DOUBLE AS m_iran, (report_id % 101)::DOUBLE AS m_global FROM report WHERE event_id % 7 <> 0),
+st AS (SELECT r.*, m.* EXCLUDE (event_id) FROM r LEFT JOIN m ON r.event_id = m.event_id AND created_at <= reviewed_at WHERE status = 'reviewed' AND iran_score IS NOT NULL AND global_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY id DESC NULLS LAST, created_at DESC) = 1),
+w AS (SELECT st.*, CASE WHEN st.id IS NULL THEN e.category ELSE m_category END AS said, CASE WHEN st.id IS NULL THEN e.iran_score ELSE m_iran END AS iran, CASE WHEN st.id IS NULL THEN e.global_score ELSE m_global END AS world FROM st JOIN news_event e ON e.id = st.event_id),
+d AS (SELECT coalesce(nullif(today, ''), 'unassessed') AS category, today = category AS c, coalesce({_BAND.format('iran_score')} = {_BAND.format('iran')} AND {_BAND.format('global_score')} = {_BAND.format('world')}, false) AS b
+      FROM (SELECT *, CASE said {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.LEGACY_EVENT_CATEGORIES.items())} ELSE coalesce(said, '') END AS today FROM w))"""
+
+
+@query("a22_review_statistics", f"WITH {ctes('news_event', 'report')}, {_REVIEWS} SELECT category, count(*) AS reviewed, round(count(*) FILTER (c AND b) / count(*)::DOUBLE, 3) AS agreement_rate, round(count(*) FILTER (c) / count(*)::DOUBLE, 3) AS category_match_rate, round(count(*) FILTER (b) / count(*)::DOUBLE, 3) AS tier_match_rate FROM d GROUP BY GROUPING SETS ((), (category))")
 def a22(spark, sf_dir):
-    e = domain(spark, sf_dir, "news_event").where("id % 3 = 0")
-    reviews = e.select(F.col("id").alias("event_id"), (F.col("event_time") + L.days(40)).alias("reviewed_at"), "category", F.coalesce("iran_score", F.lit(10.0)).alias("iran_score"), "global_score")
+    """Some reviews are not finished, some lack a score, some events have no assessment, some assessments an older category."""
+    every = domain(spark, sf_dir, "news_event")
+    e, i = every.where("id % 3 = 0"), F.col("id")
+    reviews = e.select(
+        i.alias("event_id"), (F.col("event_time") + L.days(40)).alias("reviewed_at"), F.when(i % 12 == 0, "pending").otherwise("reviewed").alias("status"), "category",
+        F.when(i % 45 != 6, F.coalesce("iran_score", F.lit(10.0))).alias("iran_score"), "global_score",
+    )
     k = F.col("event_id")
-    m = domain(spark, sf_dir, "report").where(k % 7 != 0).select("event_id", F.col("report_id").alias("id"), F.col("reported_at").alias("created_at"), vocab.pick(vocab.EVENT_CATEGORIES, 1 + k % 9).alias("category"), (20 * (k % 5)).cast("double").alias("iran_score"), (F.col("report_id") % 101).cast("double").alias("global_score"))
-    return L.review_statistics(reviews, m)
+    names = (*vocab.LEGACY_EVENT_CATEGORIES, *vocab.EVENT_CATEGORIES)
+    m = domain(spark, sf_dir, "report").where(k % 7 != 0).select("event_id", F.col("report_id").alias("id"), F.col("reported_at").alias("created_at"), vocab.pick(names, 1 + k % 15).alias("category"), (20 * (k % 5)).cast("double").alias("iran_score"), (F.col("report_id") % 101).cast("double").alias("global_score"))
+    # report ids repeat in the driver's tables, all with one category and scores: the last column tells them apart by time
+    return L.review_statistics(reviews, m, every.select(i.alias("event_id"), "category", "iran_score", "global_score"))

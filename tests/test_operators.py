@@ -80,11 +80,15 @@ def test_titles_out_of_the_window_are_no_copies(spark):
     assert [(r.left_id, r.right_id, r.score) for r in got] == [(1, 2, 1.0)]
 
 
-def test_shortlist_against_python(spark):
-    items = [("gold", ["gold", "gold coin"]), ("coin", ["coin", "gold"]), ("iran", ["iran"])]
-    rows = [(1, "Gold coins and gold. A coin; iranian Iran"), (2, "golden"), (3, None)]
+def test_shortlist_by_keys(spark):
+    """Keys on both sides, endings, the longest alias first, ties to the first met."""
+    items = [("gold", ["gold", "gold coin"]), ("coin", ["coin", "gold"]), ("iran", ["iran"]), ("box", ["box"]), ("oil", ["Oil-Price"]), ("tax", ["tax"]), ("none", ["", "--"])]
+    rows = [(1, "Gold coins and gold. A coin; iranian Iran"), (2, "golden"), (3, None), (4, "Boxes, oil-price and taxes"), (5, "tax box tax box"), (6, "ایرانی")]
     got = {(r.id, r.slug): r.hits for r in A.shortlist(spark.createDataFrame(rows, "id long, t string"), items, F.col("t")).collect()}
-    assert got == {(1, "gold"): 2, (1, "coin"): 1, (1, "iran"): 1}
+    assert got == {(1, "gold"): 2, (1, "coin"): 1, (1, "iran"): 1, (4, "box"): 1, (4, "oil"): 1, (4, "tax"): 1, (5, "tax"): 2, (5, "box"): 2}
+    one = A.shortlist(spark.createDataFrame(rows, "id long, t string"), items, F.col("t"), 1)
+    assert {(r.id, r.slug) for r in one.collect()} == {(1, "gold"), (4, "box"), (5, "tax")}
+    assert A.shortlist(spark.createDataFrame(rows, "id long, t string"), [("none", ["-"])], F.col("t")).count() == 0
 
 
 @pytest.mark.parametrize(
