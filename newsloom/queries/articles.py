@@ -43,10 +43,10 @@ def d02(spark, sf_dir):
 
 
 _SHOWN = "length(trim(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g')))"
-_FLAG = f"CASE WHEN {_SHOWN.format('title')} = 0 THEN 'missing_title' WHEN {_SHOWN.format('title')} < 10 THEN 'title_too_short' WHEN {_SHOWN.format('title')} + {_SHOWN.format('lead')} + {_SHOWN.format('content')} < 40 THEN 'insufficient_text' WHEN published_at > TIMESTAMP '2024-01-20 06:00:00' THEN 'published_in_future' WHEN NOT (starts_with(url, 'http://') OR starts_with(url, 'https://')) THEN 'invalid_url' ELSE '' END"
+FLAG = f"CASE WHEN {_SHOWN.format('title')} = 0 THEN 'missing_title' WHEN {_SHOWN.format('title')} < 10 THEN 'title_too_short' WHEN {_SHOWN.format('title')} + {_SHOWN.format('lead')} + {_SHOWN.format('content')} < 40 THEN 'insufficient_text' WHEN published_at > TIMESTAMP '2024-01-20 06:00:00' THEN 'published_in_future' WHEN NOT (starts_with(url, 'http://') OR starts_with(url, 'https://')) THEN 'invalid_url' ELSE '' END"
 
 
-@query("x03_quality_gate", f"WITH {ctes('article')}, flagged AS (SELECT {_FLAG} AS quality_flag FROM article) SELECT quality_flag, count(*) AS n FROM flagged GROUP BY 1")
+@query("x03_quality_gate", f"WITH {ctes('article')}, flagged AS (SELECT {FLAG} AS quality_flag FROM article) SELECT quality_flag, count(*) AS n FROM flagged GROUP BY 1")
 def x03(spark, sf_dir):
     a = domain(spark, sf_dir, "article")
     flag = X.quality_flag(F.col("title"), F.col("lead"), F.col("content"), F.col("url"), F.col("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
@@ -138,7 +138,7 @@ def t08(spark, sf_dir):
     return A.shortlist(domain(spark, sf_dir, "article"), _ITEMS, F.col("content"), 3)
 
 
-@query("p01_eligible", f"WITH {ctes('article', 'news_event')}, m AS (SELECT *, {_FLAG} AS quality_flag, id % 6 = 5 AS dup, id % 19 = 0 AS hid FROM article) SELECT m.id FROM m WHERE NOT dup AND NOT hid AND quality_flag = '' AND native_category <> 'cat3' AND id % 8 <> 1 AND NOT EXISTS (SELECT 1 FROM news_event e WHERE e.hidden AND e.primary_article_id = m.id AND e.event_time > TIMESTAMP '2001-07-01')")
+@query("p01_eligible", f"WITH {ctes('article', 'news_event')}, m AS (SELECT *, {FLAG} AS quality_flag, id % 6 = 5 AS dup, id % 19 = 0 AS hid FROM article) SELECT m.id FROM m WHERE NOT dup AND NOT hid AND quality_flag = '' AND native_category <> 'cat3' AND id % 8 <> 1 AND NOT EXISTS (SELECT 1 FROM news_event e WHERE e.hidden AND e.primary_article_id = m.id AND e.event_time > TIMESTAMP '2001-07-01')")
 def p01(spark, sf_dir):
     a = domain(spark, sf_dir, "article")
     flag = X.quality_flag(F.col("title"), F.col("lead"), F.col("content"), F.col("url"), F.col("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))

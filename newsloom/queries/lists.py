@@ -12,7 +12,7 @@ from newsloom.adapt import NOW, ctes, domain
 from newsloom.functions import time as D
 from newsloom.operators import lists as L
 from newsloom.operators import ops as O
-from newsloom.queries.articles import _DECIDE, _FLAG, LATEST, SCORES, fold_sql
+from newsloom.queries.articles import _DECIDE, FLAG, LATEST, SCORES, fold_sql
 from newsloom.queries.ops import COVERAGE, LATEST_C, SQL_NOW, _states
 from newsloom.registry import query
 from newsloom.tables import read
@@ -311,7 +311,7 @@ def x27(spark, sf_dir):
 _HASH = f"{fold_sql('title')} || '|' || {fold_sql('lead')} || '|' || substr({fold_sql('content')}, 1, 1500)"
 
 
-@query("c01_ingest", f"""WITH {ctes('article')}, f AS (SELECT id, url || '#' || id AS url, native_category, id % 9 = 2 AS gone, id % 8 = 1 AS was_gone, id % 3 <> 0 AS known, id % 10 = 3 AS other_text, CASE WHEN quality_flag = 'invalid_url' THEN 'invalid_url' ELSE quality_flag END AS flag, {_HASH} AS h FROM (SELECT *, {_FLAG.replace("TIMESTAMP '2024-01-20 06:00:00'", "TIMESTAMP '2024-01-31 06:00:00'")} AS quality_flag FROM article)),
+@query("c01_ingest", f"""WITH {ctes('article')}, f AS (SELECT id, url || '#' || id AS url, native_category, id % 9 = 2 AS gone, id % 8 = 1 AS was_gone, id % 3 <> 0 AS known, id % 10 = 3 AS other_text, CASE WHEN quality_flag = 'invalid_url' THEN 'invalid_url' ELSE quality_flag END AS flag, {_HASH} AS h FROM (SELECT *, {FLAG.replace("TIMESTAMP '2024-01-20 06:00:00'", "TIMESTAMP '2024-01-31 06:00:00'")} AS quality_flag FROM article)),
 s AS (SELECT min(id) AS first_id, CASE WHEN other_text THEN 'stored ' || id ELSE h END AS h FROM f WHERE known GROUP BY 2),
 j AS (SELECT f.*, CASE WHEN NOT known AND gone THEN 'ignored' WHEN NOT known THEN 'created' WHEN gone THEN CASE WHEN was_gone THEN 'seen' ELSE 'gone' END WHEN other_text THEN 'revised' WHEN was_gone THEN 'revived' ELSE 'seen' END AS action, first_id FROM f LEFT JOIN s ON f.h = s.h)
 SELECT url, action, flag AS quality_flag, CASE WHEN native_category = 'cat3' THEN 'slug:cat3' ELSE '' END AS prefilter_reason, CASE WHEN NOT known THEN first_id END AS duplicate_of, action IN ('created', 'revised') AND flag = '' AND native_category <> 'cat3' AND (known OR first_id IS NULL) AS queued FROM j""")

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from newsloom import vocab
 from newsloom.adapt import ctes, domain
 from newsloom.operators import events as E
 from newsloom.plans import store
 from newsloom.plans.durable import shared_dir
+from newsloom.queries.articles import FLAG
 from newsloom.queries.events import IMPACT
 from newsloom.registry import query
 from newsloom.sources import pages as S
+from newsloom.streaming import intake as I
 from newsloom.tables import read
 
 # --- S07
@@ -109,3 +113,30 @@ def r13(spark, sf_dir):
     """The cut-offs of every day of all events. The driver's tables have few events a day, so the least sample is lower here."""
     c = E.rolling_cutoffs(E.daily_histograms(domain(spark, sf_dir, "news_event")), min_sample=150)
     return c.select("day", "axis", "basis", "sample", *[F.col("cuts")[k].alias(f"cut{k + 2}") for k in range(4)])
+
+
+# --- C01, C04
+
+_BATCHES = f"""crawled AS (
+  SELECT id, 0 AS batch, id AS seq, url, title, lead, content, published_at, native_category, false AS gone FROM article WHERE id % 3 <> 0
+  UNION ALL SELECT id, 1, id + 1000000000, url, title, lead, CASE WHEN id % 8 = 0 THEN concat('corrected ', content) ELSE content END, published_at, native_category, id % 20 = 4 FROM article WHERE id % 4 = 0
+), f AS (SELECT *, {FLAG} AS quality_flag, CASE WHEN native_category = 'cat3' THEN 'slug:cat3' ELSE '' END AS prefilter_reason FROM crawled)"""
+
+
+@query(
+    "c01_intake_batches",
+    f"WITH {ctes('article')}, {_BATCHES} SELECT seq AS id, batch, 'live' AS url_status, quality_flag, prefilter_reason FROM f WHERE batch = 0 OR (id % 3 = 0 AND NOT gone) UNION ALL SELECT f.id, 1, CASE WHEN f.gone THEN 'gone' ELSE 'live' END, CASE WHEN f.gone THEN b.quality_flag ELSE f.quality_flag END, b.prefilter_reason FROM f JOIN f b ON b.id = f.id AND b.batch = 0 WHERE f.batch = 1 AND (f.gone OR f.id % 8 = 0)",
+)
+def c01_intake(spark, sf_dir):
+    """Two crawls of all articles through the whole chain, the second done twice: a version for whatever it changed."""
+    sinks = I.Sinks(f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}")
+    a, k = domain(spark, sf_dir, "article").select("source_id", "url", "title", "lead", "content", "published_at", "native_category", "id"), F.col("id")
+    first = a.where(k % 3 != 0).withColumns({"seq": k, "gone": F.lit(False)})
+    second = a.where(k % 4 == 0).withColumns({"seq": k + 1_000_000_000, "gone": k % 20 == 4, "content": F.when(k % 8 == 0, F.concat(F.lit("corrected "), "content")).otherwise(F.col("content"))})
+    topics = F.array(*map(F.lit, vocab.EVENT_CATEGORIES))
+    answers = a.select("url", topics[(k % 9).cast("int")].alias("category"), (k % 5).cast("double").alias("iran"), (k % 4).cast("double").alias("global"), (F.lit(1.0) - (k % 10) / 10.0).alias("confidence"), F.array(F.lit("tech"), F.lit("day")).alias("tags"))
+    rules = spark.createDataFrame([(True, None, "cat3")], "enabled boolean, source_id string, native_category string")
+    take = I.intake(sinks, answers, [("tech", ["computer", "software"]), ("day", ["day", "the"])], rules, datetime(2024, 1, 20))
+    for batch, rows in enumerate((first, second, second)):
+        take(rows, min(batch, 1))
+    return sinks.all(spark, "articles", I.ARTICLE).select("id", "batch", "url_status", "quality_flag", "prefilter_reason")
