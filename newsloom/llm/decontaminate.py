@@ -13,9 +13,10 @@ columns of whatever name pass through ``remove`` and do not reach ``match``.
 Very long texts are streamed whole, in memory in proportion to their words; a
 null doc_id is a row like any other.
 
-Bounds. An automaton takes ``BLOCK_CHARS`` of items; a benchmark of more is as
-many automata, all of which a worker holds, so ``MOST_BLOCKS`` of them are the
-limit: test sets are small beside a corpus, and a larger one is refused.
+Bounds. An automaton takes ``BLOCK_CHARS`` of items, and ``MOST_BLOCKS`` of them
+stand in memory at once. Documents are streamed through all automata in one
+pass, or, for a larger benchmark, in as many passes as it takes; between passes
+they stand in the shared folder with what they have hit so far.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrow import as_bytes
+from newsloom.llm.arrow import as_bytes, portions
+from newsloom.plans.durable import scratch, written
 
 #: The word class of the contract, [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z, over UTF-8 bytes.
 WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -36,7 +38,7 @@ FOLD = bytes(b if b in WORD_BYTES else 0x20 for b in bytes(range(256)).lower())
 WORD_RUN = re.compile(rb"[^ ]+")
 
 #: Characters of items held by one automaton, about 60 MB of Python objects; and how many automata a worker may hold.
-BLOCK_CHARS, MOST_BLOCKS = 2_000_000, 32
+BLOCK_CHARS, MOST_BLOCKS = 2_000_000, 4
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -155,21 +157,54 @@ def union(spans: list[list[int]], more: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def automata(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> list:
-    """Broadcast automata, each over a block of items of a bounded size: the number of blocks follows the benchmark's size."""
+def automata(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, of: tuple[int, int] = (0, 1)) -> list:
+    """Broadcast automata, each over a block of items of a bounded size: the number of blocks follows the benchmark's size. ``of``
+    (k, m) gives the blocks of the k-th of m equal parts."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.col(text_col).alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = 1 + total // block_chars
-    if blocks > MOST_BLOCKS:
-        raise ValueError(f"the benchmark has {total} characters; match it in parts of {MOST_BLOCKS * block_chars}")
+    blocks = block_count(benchmark, text_col, block_chars)
     out = []
-    for k in range(blocks):
+    for k in range(of[0], blocks, of[1]):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "t"), F.lit(blocks)) == k)
         out.append(spark.sparkContext.broadcast(Automaton(((r.name, words(r.t.encode())) for r in part.select(F.col("name").alias("name"), "t").toLocalIterator()), n)))
     return out
 
 
+def block_count(benchmark: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> int:
+    return 1 + (benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0) // block_chars
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64()), ("short", pa.bool_())]))
+
+
+def gathered(documents: DataFrame, benchmark: DataFrame, n: int, text_col: str, item_col: str, into: str, most_blocks: int, block_chars: int) -> DataFrame:
+    """Written: (row, spans, items) of ``documents``, for a benchmark of more blocks than may stand in memory at once: rows are read
+    once for each ``most_blocks`` of them, and what they hit is added to what they had hit."""
+    rounds = -(-block_count(benchmark, "text", block_chars) // most_blocks)
+    at = documents.columns.index(text_col)
+    found = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.array().cast("array<struct<first:long,past:long,short:boolean>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    kind = found.schema
+    for k in range(rounds):
+        held = automata(benchmark, n, item_col, block_chars=block_chars, of=(k, rounds))
+
+        def run(batches, held=held):
+            blocks = [b.value for b in held]
+            for batch in batches:
+                for part in portions(batch):
+                    spans, names = [], []
+                    for text, had, items in zip(as_bytes(part.column(0).field(at)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                        _, new, more = hits(text, blocks)
+                        both = union([[x["first"], x["past"], x["short"]] for x in had], [[a, b, bool(short)] for a, b, short in new])
+                        spans.append([{"first": a, "past": b, "short": bool(short)} for a, b, short in both])
+                        names.append(sorted({*items, *more}))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], names=["row", "spans", "items"])
+
+        found = written(found.mapInArrow(run, kind), "gathered", into)
+        for b in held:
+            b.destroy()
+    return found
+
+
 def hits(text: bytes | None, held: list) -> tuple[list[bytes], list[list[int]], set[str]]:
     doc = words(text)
     spans, found = [], set()
@@ -181,6 +216,8 @@ def hits(text: bytes | None, held: list) -> tuple[list[bytes], list[list[int]],
 
 def match(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Per document: the id, n_words, n_hit, the spans of hit words and the items found (sorted as strings)."""
+    if block_count(benchmark) > MOST_BLOCKS:
+        return _match_in_rounds(documents, benchmark, n, id_col, text_col, item_col)
     held = automata(benchmark, n, item_col)
     spans = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
     kind = documents.schema[id_col].dataType.simpleString()
@@ -198,12 +235,61 @@ def match(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+def _match_in_rounds(documents: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, item_col: str, most_blocks: int = MOST_BLOCKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``match`` for a benchmark of any size."""
+    kind = documents.schema[id_col].dataType.simpleString()
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+
+    def count(batches):
+        for batch in batches:
+            row = batch.column(0)
+            yield pa.RecordBatch.from_arrays([row.field(0), pa.array([len(words(t)) for t in as_bytes(row.field(1))], pa.int64()), batch.column(1), batch.column(2)], names=["id", "n_words", "spans", "items"])
+
+    with scratch(documents.sparkSession, "decontaminate") as folder:
+        found = gathered(rows, benchmark, n, "t", item_col, folder, most_blocks, block_chars)
+        out = found.mapInArrow(count, f"id {kind}, n_words long, spans array<struct<first:long,past:long,short:boolean>>, items array<string>")
+        hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["past"] - x["first"])
+        bare = F.transform("spans", lambda x: F.struct(x["first"].alias("first"), x["past"].alias("past")))
+        return written(out.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), bare.alias("spans"), "items"), "matched")
+
+
+def _without(text: bytes, cut: list[tuple[int, int]]) -> bytes:
+    """A text without its words in ``cut``."""
+    places = [m.span() for m in WORD_RUN.finditer(text.translate(FOLD))]
+    left, pieces = 0, []
+    for a, b in cut:
+        pieces.append(text[left : places[a][0]])
+        left = places[b - 1][1]
+    return b"".join([*pieces, text[left:]])
+
+
+def _remove_in_rounds(documents: DataFrame, benchmark: DataFrame, n: int, min_span: int, max_coverage: float, text_col: str, item_col: str, most_blocks: int = MOST_BLOCKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``remove`` for a benchmark of any size."""
+    at = documents.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep, texts, row = [], [], batch.column(0)
+            for text, spans in zip(as_bytes(row.field(at)), batch.column(1).to_pylist(), strict=True):
+                keep.append(sum(x["past"] - x["first"] for x in spans) <= max_coverage * len(words(text)))
+                cut = [(x["first"], x["past"]) for x in spans if x["short"] or x["past"] - x["first"] >= min_span]
+                texts.append(None if text is None else (_without(text, cut) if cut and keep[-1] else text).decode())
+            columns = [pa.array(texts, row.type.field(i).type) if i == at else row.field(i) for i in range(row.type.num_fields)]
+            yield pa.RecordBatch.from_arrays(columns, names=[row.type.field(i).name for i in range(row.type.num_fields)]).filter(pa.array(keep, pa.bool_()))
+
+    with scratch(documents.sparkSession, "decontaminate") as folder:
+        found = gathered(documents, benchmark, n, text_col, item_col, folder, most_blocks, block_chars)
+        return written(found.select("row", "spans").mapInArrow(run, documents.schema), "removed")
+
+
 def remove(documents: DataFrame, benchmark: DataFrame, n: int = 10, min_span: int = 10, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``documents`` without contamination: hit spans of at least ``min_span`` words, or with a whole item of fewer than ``n``
     in them, are cut out of the text, and a document of which more than ``max_coverage`` of the words are hit goes as a whole.
 
     Clean rows come back byte for byte; the columns and their order stay.
     """
+    if block_count(benchmark) > MOST_BLOCKS:
+        return _remove_in_rounds(documents, benchmark, n, min_span, max_coverage, text_col, item_col)
     held = automata(benchmark, n, item_col)
     at = documents.columns.index(text_col)
 
@@ -217,12 +303,7 @@ def remove(documents: DataFrame, benchmark: DataFrame, n: int = 10, min_span: in
                 keep.append(hit <= max_coverage * len(doc))
                 cut = [(a, b) for a, b, short in spans if short or b - a >= min_span]
                 if cut and keep[-1]:
-                    places = [m.span() for m in WORD_RUN.finditer(text.translate(FOLD))]
-                    left, pieces = 0, []
-                    for a, b in cut:
-                        pieces.append(text[left : places[a][0]])
-                        left = places[b - 1][1]
-                    text = b"".join([*pieces, text[left:]])
+                    text = _without(text, cut)
                 texts.append(None if text is None else text.decode())
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))

@@ -270,7 +270,7 @@ def search(embeddings: DataFrame, queries: Column, k: int, id_col: str = "vec_id
             for lo in range(0, len(wanted), BATCH):
                 some = wanted[lo : lo + BATCH]
                 q = np.array([v for _, v in some], np.float64)
-                found = graph.nearest(q, min(ef, max(k + 1, len(ids))))
+                found = graph.nearest(q, min(max(ef, k + 1), max(k + 1, len(ids))))
                 score = np.where(found >= 0, np.einsum("qcd,qd->qc", matrix[np.maximum(found, 0)].astype(np.float64), q), -np.inf)
                 best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
                 out = [(some[r][0], near, score[r, c]) for r in range(len(some)) for c in best[r] if found[r, c] >= 0 for near in ids[found[r, c]] if near != some[r][0]]

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from newsloom.llm.arrow import portions
 from newsloom.llm.langid import held_out
@@ -261,23 +261,22 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Labels outside the held-out fold; at most ``sample`` rows of ``sample_bytes`` together, by a hash of doc_id."""
+    """Labels outside the held-out fold; at most ``sample`` texts of ``sample_bytes`` together, by a hash of doc_id. A text that no
+    longer fits is passed over, and the next ones are still taken. Rows alike in doc_id and text count once."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("text"))
-    sizes = rows.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
-    last, total = None, 0
-    for last in sizes.collect():
-        total += last.bytes
-        if total > sample_bytes:
-            break
-    if last is None:
+    sizes = rows.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
+    taken, total = [], 0
+    for r in sizes.collect():
+        if total + r.bytes <= sample_bytes:
+            taken.append((r.doc_id, r.h))
+            total += r.bytes
+    if not taken:
         return fit([], [])
-    place = F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "h")
-    last_id = F.lit(last.doc_id).cast(documents.schema["doc_id"].dataType)  # the hash of a number depends on its type
-    bound = F.struct(F.xxhash64(last_id).alias("x"), last_id.alias("doc_id"), F.lit(last.h).cast("long").alias("h"))
-    rows = rows.where(place < bound if total > sample_bytes else place <= bound)
-    rows = rows.orderBy("doc_id", "text").limit(sample).select("doc_id", "text", "toxic").toArrow().to_pandas()
+    keys = documents.sparkSession.createDataFrame(taken, StructType([documents.schema["doc_id"], StructField("h", LongType())]))
+    rows = rows.join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    rows = rows.orderBy("doc_id", "text").select("doc_id", "text", "toxic").toArrow().to_pandas()
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 

@@ -77,6 +77,19 @@ def test_blocks_of_items_find_the_same(spark, corpus):
         assert decontaminate.hits(t, [x.value for x in whole])[1:] == decontaminate.hits(t, [x.value for x in parts])[1:]
 
 
+def test_a_benchmark_of_any_size_in_rounds(spark, corpus, tmp_path):
+    """Blocks of 80 characters, two at a time: the same hits, items and texts as in one pass, for every row."""
+    items = [(k, " ".join(corpus[k][1].split()[2:20])) for k in range(8)] + [(90, "one two"), (91, None)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = clashing(spark.createDataFrame([*corpus, (None, "one two"), (7, corpus[7][1])], DOCS)).withColumn("items", F.lit("own"))
+    assert decontaminate.block_count(b, "text", 80) > 4
+    whole = sorted(repr(r) for r in decontaminate.match(docs, b).collect())
+    rounds = decontaminate._match_in_rounds(docs, b, 10, "doc_id", "text", "item_id", most_blocks=2, block_chars=80)
+    assert sorted(repr(r) for r in rounds.collect()) == whole
+    left = decontaminate._remove_in_rounds(docs, b, 10, 10, 0.5, "text", "item_id", most_blocks=2, block_chars=80)
+    assert left.columns == docs.columns and sorted(map(repr, left.collect())) == sorted(map(repr, decontaminate.remove(docs, b).collect()))
+
+
 def test_removal_keeps_clean_rows_and_cuts_spans(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     long = "before it there are many other words that nobody tests, then " + item.upper() + "; and after it quite a few more words stand here"
@@ -256,6 +269,14 @@ def test_hnsw_recall_over_full_shards(spark, kind):
     assert np.mean([len(found[20 * k] & set(row.tolist())) / 20 for k, row in enumerate(best)]) >= (0.97 if kind == "gaussian" else 0.99)
 
 
+def test_hnsw_gives_as_many_as_asked(spark):
+    """More neighbours than the search is wide by default."""
+    r = np.random.default_rng(3)
+    rows = [(k, r.normal(size=8).astype(np.float32).tolist()) for k in range(600)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert hnsw.search(v, F.col("vec_id") == 0, 300).count() == 300
+
+
 # --- op5
 
 
@@ -390,6 +411,17 @@ def test_toxicity_learns_behind_the_first_letters_and_bounds_its_sample(spark, m
     assert out.columns == ["doc_id", "text", "score", "predicted"] and out.where("predicted = 1").count() == 100
 
 
+def test_toxicity_passes_over_what_does_not_fit(spark):
+    """One labelled text as large as all the room, wherever its hash puts it, does not end the sample; repeated rows count once."""
+    rows = [(k, f"fine words {k} about the weather" if k % 2 else f"you stupid zorgle {k}") for k in range(40)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(200)], "doc_id long, toxic int")
+    small = toxicity.train(spark.createDataFrame(rows, DOCS), labels)
+    more = rows + rows[:6] + [(100 + k, "x" * 5000) for k in range(20)]
+    model = toxicity.train(spark.createDataFrame(more, DOCS), labels, sample_bytes=4999)
+    texts = ["zorgle", "weather"]
+    assert model.score(texts) == pytest.approx(small.score(texts))
+
+
 # --- op7
 
 
