@@ -178,6 +178,21 @@ def lead_outlet(reports: DataFrame) -> DataFrame:
     return reports.groupBy("event_id").agg(F.min(F.struct("reported_at", "report_id", outlet.alias("o"))).getField("o").alias("lead"), (F.count_distinct(outlet) - 1).alias("others"))
 
 
+def section_places(events: DataFrame) -> DataFrame:
+    """(section, place, n): the place that each section's newest event has among all events, newest first, and the number
+    of its events. ``events``: section, event_time, id; sections are a vocabulary. Places are counts of what is newer than a
+    section's newest: every event is counted once, by how many of those it is newer than."""
+    at = F.struct("event_time", "id")
+    tops = events.groupBy("section").agg(F.max(at).alias("top"), F.count("*").alias("n"))
+    order = F.array_sort(F.collect_set("top"))
+    line = tops.agg(order.alias("tops"))
+    newer = events.crossJoin(F.broadcast(line)).select(F.size(F.filter("tops", lambda t: t < at)).alias("k")).groupBy("k").agg(F.count("*").alias("m"))  # one row by its aggregate
+    counted = newer.agg(F.collect_list(F.struct("k", "m")).alias("counts"))
+    placed = tops.crossJoin(F.broadcast(line)).crossJoin(F.broadcast(counted)).withColumn("j", F.array_position("tops", F.col("top")))  # one row each
+    ahead = F.aggregate(F.filter("counts", lambda c: c["k"] >= F.col("j")), F.lit(0).cast("long"), lambda s, c: s + c["m"])
+    return placed.select("section", (ahead + 1).cast("int").alias("place"), "n")
+
+
 def section_order(events: DataFrame) -> DataFrame:
     """Sections by their best-placed event."""
     return events.groupBy("section").agg(F.min("place").alias("best"), F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from newsloom.functions import score as X
 from newsloom.functions import time as D
-from newsloom.plans.joins import range_join, top_per
+from newsloom.plans.joins import asof_join, range_join, top_per
 from newsloom.plans.scan import block_of
 
 #: The shares of scored events at or above tiers 2 to 5, the bands of too small a sample, and its size.
@@ -99,13 +99,46 @@ def feed(events: DataFrame, now: Column, newest: int = 300, most: int = 50) -> D
     return some.withColumn("rank_score", X.rank_score(F.col("iran_score"), F.col("global_score"), hours)).orderBy(F.desc("rank_score"), F.desc("event_time"), F.desc("id")).limit(most)
 
 
+#: Pairs ruled apart that an article may have among its newest events before it is looked at by itself.
+SPARE = 10
+
+
 def candidates(articles: DataFrame, events: DataFrame, apart: DataFrame, radius_seconds: int = 36 * 3600, most: int = 10) -> DataFrame:
-    """(article_id, event_id) of the newest events within the radius, but for pairs ruled apart."""
-    near = range_join(articles.select(F.col("id").alias("article_id"), "published_at"), events.select(F.col("id").alias("event_id"), "event_time"), "published_at", "event_time", radius_seconds)
-    open_ = near.join(apart, ["article_id", "event_id"], "left_anti")
+    """(article_id, event_id) of the newest events within the radius, but for pairs ruled apart.
+
+    The newest events up to a moment are the last ones before it in order of time, so every event carries those before it, and
+    an article takes what the last event within its radius carries, some more than asked for, of which ruled pairs go. Only
+    articles with more such pairs than are spare meet all events of their radius."""
+    many = apart.groupBy("article_id").count().where(F.col("count") > SPARE).select("article_id")
+    timed = articles.select(F.col("id").alias("article_id"), "published_at").where("published_at is not null")
+    usual, special = timed.join(many, "article_id", "left_anti"), timed.join(many, "article_id", "left_semi")
+    radius = F.make_dt_interval(secs=F.lit(radius_seconds).cast("decimal(18,6)"))
+    until = usual.withColumn("_until", F.col("published_at") + radius)
+    met = asof_join(until, _newest_before(events, most + SPARE, 2 * radius_seconds), [], "_until", "event_time", ["newest"]).where("newest is not null")
+    near = F.filter("newest", lambda e: e["event_time"] >= F.col("published_at") - radius)
+    first = met.select("article_id", F.explode(near).alias("e")).select("article_id", F.col("e.id").alias("event_id"), "e.event_time")
+    named = events.select(F.col("id").alias("event_id"), "event_time")
+    rest = range_join(special, named, "published_at", "event_time", radius_seconds).select("article_id", "event_id", "event_time")
+    open_ = first.unionByName(rest).join(apart, ["article_id", "event_id"], "left_anti")
     return top_per(open_, ["article_id"], most, F.desc("event_time"), F.desc("event_id")).select("article_id", "event_id")
 
 
+def _newest_before(events: DataFrame, most: int, reach_seconds: int) -> DataFrame:
+    """(event_time, newest): for each moment of an event the last ``most`` up to it, as far as they lie within the reach. Events are
+    put in order within a day; what a day lacks comes from the ends of the days before."""
+    days = -(-reach_seconds // 86_400)
+    one = F.struct("event_time", "id")
+    dated = events.where("event_time is not null").select("id", "event_time", F.to_date("event_time").alias("_day"))
+    inside = Window.partitionBy("_day").orderBy("event_time", "id").rowsBetween(1 - most, 0)
+    own = dated.withColumn("_own", F.collect_list(one).over(inside))
+    tails = own.groupBy("_day").agg(F.max_by("_own", one).alias("_tail"))
+    ahead = tails.select(F.explode(F.sequence(F.date_add("_day", 1), F.date_add("_day", days))).alias("_day"), "_tail")
+    prior = ahead.groupBy("_day").agg(F.array_sort(F.flatten(F.collect_list("_tail"))).alias("_prior"))
+    last = own.groupBy("_day", "event_time").agg(F.max_by("_own", "id").alias("_own")).join(prior, "_day", "left")
+    both = F.concat(F.coalesce("_prior", F.array().cast(last.schema["_own"].dataType)), "_own")
+    return last.select("event_time", F.slice(both, F.greatest(F.size(both) - most + 1, F.lit(1)), most).alias("newest"))
+
+
 def attach(links: DataFrame, articles: DataFrame, apart: DataFrame) -> DataFrame:
     """events' articles with the copies of each, minus the pairs ruled not the same."""
     canonical = articles.select(F.col("id").alias("article_id"), F.coalesce("duplicate_of", "id").alias("canonical_id"))

@@ -140,12 +140,11 @@ def x26(spark, sf_dir):
     return K.lead_outlet(r.select("event_id", "reported_at", "report_id", F.when(F.col("source_id") % 9 == 0, "nine").otherwise("").alias("outlet"), s.alias("source_name")))
 
 
-@query("a37_sections", f"WITH {ctes('news_event')}, r AS (SELECT category AS section, row_number() OVER (ORDER BY event_time DESC, id DESC) AS place FROM news_event WHERE event_time >= TIMESTAMP '2001-07-25') SELECT section, min(place)::INT AS best, count(*) AS n FROM r GROUP BY 1")
+@query("a37_sections", f"WITH {ctes('news_event')}, r AS (SELECT category AS section, row_number() OVER (ORDER BY event_time DESC, id DESC) AS place FROM news_event) SELECT section, min(place)::INT AS best, count(*) AS n FROM r GROUP BY 1")
 def a37(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    e = domain(spark, sf_dir, "news_event").where("event_time >= timestamp_ntz'2001-07-25'")
-    return K.section_order(e.select(F.col("category").alias("section"), F.row_number().over(Window.orderBy(F.desc("event_time"), F.desc("id"))).alias("place")))
+    """Sections of all events by the place of their newest."""
+    e = domain(spark, sf_dir, "news_event")
+    return K.section_places(e.select(F.col("category").alias("section"), "event_time", "id")).withColumnRenamed("place", "best")
 
 
 _GATES = """v AS (SELECT id, iran_score, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 50 = 7 THEN 100 - coalesce(iran_score, 0) ELSE coalesce(iran_score, 0) END AS found FROM news_event WHERE id % 3 = 0),

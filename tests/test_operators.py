@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import articles as A
+from newsloom.operators import composites as C
 from newsloom.operators import events as E
 from newsloom.operators import market as M
 from newsloom.operators import ops as O
@@ -312,3 +313,47 @@ def test_undated_titles_match_too(spark):
     got = [(p.left_id, p.right_id, p.score) for p in A.similar_pairs(table).collect()]
     assert sorted(got) == sorted(want) and any(when[a] is None for a, _, _ in want) and any(when[b] is None for _, b, _ in want)
     assert {d.id for d in A.find_duplicates(table).collect()} == {b for _, b, _ in want}
+
+
+def test_newest_candidates_with_many_ruled_apart(spark):
+    """Ties in time go by id, ruled pairs fall out, and an article with more of them than are spare still gets its ten."""
+    r = random.Random(4)
+    events = [(k, T0 + timedelta(hours=r.choice([0, 0, 1, 5, 30, 60, 61, 200]))) for k in range(120)]
+    articles = [(1000 + k, T0 + timedelta(hours=h)) for k, h in enumerate([0, 10, 36, 37, 96, 150, 300])] + [(2000, None)]
+    apart = [(1001, k) for k in range(0, 120, 2)] + [(1000, 5), (1002, events[7][0])]
+    got = E.candidates(spark.createDataFrame(articles, "id long, published_at timestamp_ntz"), spark.createDataFrame(events, "id long, event_time timestamp_ntz"), spark.createDataFrame(apart, "article_id long, event_id long"))
+    want = set()
+    for a, t in articles:
+        near = sorted(((e, k) for k, e in events if t is not None and abs((e - t).total_seconds()) <= 36 * 3600 and (a, k) not in apart), reverse=True)[:10]
+        want |= {(a, k) for _, k in near}
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_merges_are_refused_or_followed(spark):
+    df = spark.createDataFrame
+    events = df([(1, False), (2, False), (3, True), (4, False), (5, False)], "id long, hidden boolean")
+    merges = df([(2, 1), (3, 1), (4, 1), (5, 1), (9, 1), (1, 1)], "incoming long, target long")
+    tables = {
+        "links": df([(1, 10), (2, 10), (2, 11), (4, 12)], "event_id long, article_id long"),
+        "tags": df([(1, "a"), (2, "a"), (5, "b")], "event_id long, item string"),
+        "alerts": df([(2, 7), (2, 8)], "event_id long, alert_id long"),
+        "assessments": df([(5, 70)], "event_id long, id long"),
+        "states": df([(2, 100, 4), (5, 100, 5), (5, 101, 3), (1, 101, 2)], "event_id long, user_id long, tier int"),
+        "rulings": df([(2, 10, "same"), (1, 10, "apart"), (5, 11, "apart")], "event_id long, article_id long, decision string"),
+        "notices": df([(1, 1, None), (2, 1, T0), (5, 1, T0 + timedelta(hours=1))], "event_id long, subscription_id long, sent_at timestamp_ntz"),
+    }
+    out, refused = C.merge_events(merges, events, df([(4, 1)], "a long, b long"), tables)
+    rows = lambda n: sorted(map(tuple, out[n].collect()), key=repr)
+    assert sorted(map(tuple, refused.collect())) == [(3, 1, "hidden"), (4, 1, "apart"), (9, 1, "missing")]
+    assert rows("links") == [(1, 10), (1, 11), (4, 12)] and rows("tags") == [(1, "a"), (1, "b")] and rows("alerts") == [(1, 7), (1, 8)] and rows("assessments") == [(1, 70)]
+    assert rows("states") == [(1, 100, 4), (1, 101, 2)] and rows("rulings") == [(1, 10, "apart"), (1, 11, "apart")] and rows("notices") == [(1, 1, T0)]
+
+
+def test_backfill_goes_on_from_its_cursor(spark):
+    articles = spark.createDataFrame([(k, "" if k == 4 else f"t{k}", 1 if k == 3 else None, T0, None) for k in range(1, 9)], "id long, title string, duplicate_of long, fetched_at timestamp_ntz, published_at timestamp_ntz")
+    matches = spark.createDataFrame([(2, 1, 0.9), (6, 5, 0.8), (4, 1, 0.9)], "id long, duplicate_of long, score double")
+    seen, cursor = [], {"last_id": 0, "exhausted": False}
+    while not cursor["exhausted"]:
+        found, cursor = C.backfill_page(articles, matches, cursor["last_id"], 2)
+        seen.append((cursor["last_id"], sorted(r.id for r in found.collect())))
+    assert seen == [(2, [2]), (6, [6]), (8, []), (8, [])]
