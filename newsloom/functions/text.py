@@ -95,3 +95,11 @@ def keywords(text: Column, most: int = 12) -> Column:
     """Split at commas, trimmed, 64 characters each, distinct in order."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.substring(F.trim(x), 1, 64))
     return F.slice(F.array_distinct(F.filter(parts, lambda x: x != "")), 1, most)
+
+
+def phone(raw: Column) -> Column:
+    """A mobile number as +98 and ten digits, however it was typed: with 0, 98, +98 or 0098 before it or nothing, with
+    spaces, dashes and brackets, in other digits; null for what is none."""
+    bare = F.regexp_replace(F.translate(F.coalesce(raw, F.lit("")), _DIGITS, "0123456789" * 2), "(?U)[\\s\\-()]", "")
+    number = F.regexp_extract(bare, "^(?:\\+98|0098|98|0)?(9[0-9]{9})$", 1)
+    return F.when(number != "", F.concat(F.lit("+98"), number))

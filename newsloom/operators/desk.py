@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.plans.joins import latest_per, top_per
+from newsloom.plans.joins import latest_per, top_per, union_all
 
 
 def split_event(memberships: DataFrame, articles: DataFrame, event_id: int, article_id: int, new_event: int) -> DataFrame:
@@ -167,8 +167,6 @@ def release_measures(reviews: DataFrame, visibility: DataFrame, sources: DataFra
 
 def conditions(named: dict[str, DataFrame]) -> DataFrame:
     """(condition, key) of all that calls for a notice."""
-    from newsloom.plans.joins import union_all
-
     return union_all([df.select(F.lit(name).alias("condition"), F.col(df.columns[0]).cast("string").alias("key")) for name, df in named.items()])
 
 

@@ -10,6 +10,7 @@ from newsloom.functions import score as X
 from newsloom.functions import text as T
 from newsloom.functions import time as D
 from newsloom.operators import desk as K
+from newsloom.operators import events, export, ops
 from newsloom.registry import query
 from newsloom.sources import pages as S
 from newsloom.tables import read
@@ -121,15 +122,13 @@ r AS (SELECT id, {_case(vocab.LEGACY_CATEGORY, 'category', 'other')} AS feed, {_
 s AS (SELECT *, {_VOTE} AS s FROM r) SELECT id, feed, occurrence, gold, security, outlets, notes, jalali_day, CASE WHEN len(s) < 2 THEN '{vocab.INSUFFICIENT}' WHEN list_min(s) < 2 THEN '{vocab.NO_NOTIFY}' WHEN len(list_filter(s, lambda x: x >= 4)) >= 2 THEN '{vocab.NOTIFY}' ELSE '{vocab.NO_NOTIFY}' END AS decision FROM s""")
 def c15(spark, sf_dir):
     """Events with evidence, gold and Iran bands, the vote, outlets in order of their reports, and watch items by name."""
-    from newsloom.operators import export as E
-
     e = domain(spark, sf_dir, "news_event").where("status <> 'corrected'").withColumns({"evidence_level": vocab.pick(_EVIDENCE, 1 + F.col("id") % 5), "title": F.lit("t"), "brief": F.lit(""), "url": F.lit("https://example.org/"), "primary_article_id": F.lit(-1).cast("long")})
     r = domain(spark, sf_dir, "report")
     k = F.col("report_id")
     assessed = r.select("event_id", k.alias("id"), F.when(k % 7 != 0, (k % 101).cast("double")).alias("gold_score"))
     outlets = r.select("event_id", k.alias("article_id"), F.concat(F.lit("s"), (F.col("source_id") % 20).cast("string")).alias("outlet"))
     tags = domain(spark, sf_dir, "tag").select("event_id", F.col("item").alias("link_id"), F.col("item").alias("name")).distinct()
-    return E.workbook_rows(e, assessed, outlets, tags).select("id", "feed", "occurrence", "gold", "security", "outlets", "notes", "jalali_day", "decision")
+    return export.workbook_rows(e, assessed, outlets, tags).select("id", "feed", "occurrence", "gold", "security", "outlets", "notes", "jalali_day", "decision")
 
 
 @query("x20_answers", f"WITH e AS (SELECT event_id AS id, event_id % 10 AS k FROM events) SELECT id, CASE WHEN k < 8 THEN {vocab.sql_pick(vocab.EVENT_CATEGORIES, '(1 + id % 9)')} END AS category, CASE WHEN k < 8 THEN (k % 5) * 25 END::INT AS iran, CASE WHEN k < 8 THEN 100 END::INT AS gold, CASE WHEN k < 8 THEN 0.5 END::DOUBLE AS confidence FROM e")
@@ -144,9 +143,7 @@ def x20(spark, sf_dir):
 
 @query("a10_cost_totals", f"WITH {ctes('usage')}, s(stage) AS (VALUES {', '.join(f"('{x}')" for x in (*vocab.STAGES, 'idle'))}), m AS (SELECT stage, cost::DECIMAL(18,6) AS cost, created_at::DATE = DATE '2024-01-20' AS now FROM usage WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at <= TIMESTAMP '2024-01-20 12:00:00') SELECT stage, count(cost) AS calls, coalesce(sum(cost), 0)::DOUBLE AS month, coalesce(sum(cost) FILTER (now), 0)::DOUBLE AS today FROM s LEFT JOIN m USING (stage) GROUP BY GROUPING SETS ((), (stage))")
 def a10_totals(spark, sf_dir):
-    from newsloom.operators import ops as O
-
-    return O.cost_totals(domain(spark, sf_dir, "usage"), vocab.table(spark, (*vocab.STAGES, "idle"), "stage"), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    return ops.cost_totals(domain(spark, sf_dir, "usage"), vocab.table(spark, (*vocab.STAGES, "idle"), "stage"), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
 
 
 @query("x26_untranslated", f"WITH {ctes('report')}, l AS (SELECT * FROM report QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY report_id % 5 = 0 DESC, reported_at, report_id) = 1) SELECT event_id, event_id % 3 = 0 AND report_id % 4 <> 1 AS untranslated FROM l")
@@ -177,30 +174,22 @@ def c24_read(spark, sf_dir):
 
 @query("c25_acceptable", "WITH w AS (SELECT DISTINCT o_custkey AS user_id, o_orderpriority AS item FROM orders), f AS (SELECT user_id FROM w GROUP BY 1 HAVING count(*) BETWEEN 3 AND 4 AND bool_and(item <> '5-LOW')) SELECT user_id, item FROM w WHERE user_id IN (SELECT user_id FROM f)")
 def c25_fine(spark, sf_dir):
-    from newsloom.operators import export as E
-
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("item"))
-    return E.acceptable_watchlists(o, o.select("item").distinct().where("item <> '5-LOW'"), 3, 4)
+    return export.acceptable_watchlists(o, o.select("item").distinct().where("item <> '5-LOW'"), 3, 4)
 
 
 @query("p04_visible", f"WITH {ctes('news_event')} SELECT id FROM news_event WHERE NOT hidden AND category <> 'other' AND status <> 'withdrawn' AND primary_article_id % 19 <> 0")
 def p04(spark, sf_dir):
-    from newsloom.operators import events as E
-
     hidden = domain(spark, sf_dir, "article").where("id % 19 = 0").select("id")
     more = spark.range(200).where("id % 19 = 0")
-    return E.visible(domain(spark, sf_dir, "news_event"), hidden.unionByName(more)).select("id")
+    return events.visible(domain(spark, sf_dir, "news_event"), hidden.unionByName(more)).select("id")
 
 
 @query("a30_models", f"WITH {ctes('usage')}, u AS (SELECT provider AS model, cost AS latency, status = 'success' AS valid, cost FROM usage), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY latency) AS r, count(*) OVER (PARTITION BY model) AS n FROM u) SELECT model, floor(median(latency))::BIGINT AS p50, max(latency) FILTER (r = greatest(floor(0.95::DOUBLE * n), 1)) AS p95, max(n)::BIGINT AS n, avg(valid::INT) AS compliance, sum(cost::DECIMAL(18,6))::DOUBLE / count(*) AS cost_per_call FROM r GROUP BY 1")
 def a30_models(spark, sf_dir):
-    from newsloom.operators import ops as O
-
-    return O.benchmark(domain(spark, sf_dir, "usage").select(F.col("provider").alias("model"), F.col("cost").alias("latency"), (F.col("status") == "success").alias("valid"), "cost"))
+    return ops.benchmark(domain(spark, sf_dir, "usage").select(F.col("provider").alias("model"), F.col("cost").alias("latency"), (F.col("status") == "success").alias("valid"), "cost"))
 
 
 @query("a06_last_day", f"WITH {ctes('usage')} SELECT stage, status, count(*) AS n FROM usage WHERE created_at >= TIMESTAMP '2024-01-14 12:00:00' AND created_at <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1, 2")
 def a06_day(spark, sf_dir):
-    from newsloom.operators import ops as O
-
-    return O.outcomes_of_day(domain(spark, sf_dir, "usage"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+    return ops.outcomes_of_day(domain(spark, sf_dir, "usage"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import vocab
 from newsloom.adapt import ctes, domain
+from newsloom.functions import text as T
 from newsloom.operators import events as E
 from newsloom.plans import store
 from newsloom.plans.durable import shared_dir
@@ -57,6 +58,39 @@ def s07_walks(spark, sf_dir):
     return _archive(spark, sf_dir)[1]
 
 
+_LISTING = """a AS (SELECT url, concat('s', CAST(id % 5 AS VARCHAR)) AS source_id, id % 5 AS k, id, (max(id) OVER () - id) // 40 AS back FROM article),
+l AS (SELECT source_id, CAST(back + 1 AS INTEGER) AS page, id, url FROM a WHERE NOT (k = 3 AND back = 4) AND NOT (k = 2 AND back = 5) UNION ALL SELECT source_id, 5, id, url FROM a WHERE k = 3 AND back = 3 UNION ALL SELECT source_id, CAST(back + 2 AS INTEGER), id, url FROM a WHERE k = 1 AND id % 3 = 0),
+p AS (SELECT source_id, page, id, url, row_number() OVER (PARTITION BY source_id, page ORDER BY id DESC) - 1 AS place FROM l WHERE page <= 8),
+f AS (SELECT source_id, url, page, place FROM p QUALIFY row_number() OVER (PARTITION BY source_id, url ORDER BY page, place) = 1),
+g AS (SELECT source_id, page, row_number() OVER (PARTITION BY source_id ORDER BY page) AS r FROM (SELECT DISTINCT source_id, page FROM p)),
+e AS (SELECT g.source_id, min(CASE WHEN NOT EXISTS (SELECT 1 FROM f WHERE f.source_id = g.source_id AND f.page = g.page) THEN g.page WHEN g.page <> r THEN r END) AS stop FROM g GROUP BY 1)"""
+
+
+@query("s05_listing_walk", f"WITH {ctes('article')}, {_LISTING} SELECT f.source_id, f.url, f.page, f.place FROM f JOIN e USING (source_id) WHERE f.page < coalesce(stop, 9) QUALIFY row_number() OVER (PARTITION BY f.source_id ORDER BY f.page, f.place) <= 50")
+def s05_walk(spark, sf_dir):
+    """Five listings, fifty links of each: one with a page of known links, one without a page, one that shows some links twice."""
+    a = domain(spark, sf_dir, "article").select("id", "url", (F.col("id") % 5).alias("k"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source_id"))
+    top = a.agg(F.max("id").alias("top"))
+    placed = a.crossJoin(F.broadcast(top)).withColumn("page", (F.floor((F.col("top") - F.col("id")) / 40) + 1).cast("int"))  # one row by its aggregate
+    again = placed.where("k = 3 and page = 4").withColumn("page", F.lit(5)).unionByName(placed.where("k = 1 and id % 3 = 0").withColumn("page", F.col("page") + 1))
+    shown = placed.where("not (k = 3 and page = 5) and not (k = 2 and page = 6)").unionByName(again)
+    links = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("id", "url")))), lambda x: x["url"])
+    return S.listing_walk(shown.groupBy("source_id", "page").agg(links.alias("links")), 50)
+
+
+# --- T12
+
+_FORMS = "CASE user_id % 8 WHEN 0 THEN '0' WHEN 1 THEN '+98 ' WHEN 2 THEN '0098-' WHEN 3 THEN '98' WHEN 4 THEN '' WHEN 5 THEN '(0)' WHEN 6 THEN '1' ELSE '+98۹' END"
+_NUMBER = f"concat({_FORMS}, CASE WHEN user_id % 8 = 7 THEN '' ELSE '9' END, lpad(CAST(user_id AS {{}}), 9, '0'), CASE WHEN user_id % 50 = 9 THEN '7' ELSE '' END)"
+
+
+@query("t12_phones", f"WITH {ctes('account')}, r AS (SELECT user_id, {_NUMBER.format('VARCHAR')} AS raw FROM account), b AS (SELECT user_id, regexp_replace(replace(raw, '۹', '9'), '[\\s\\-()]', '', 'g') AS bare FROM r) SELECT user_id, concat('+98', nullif(regexp_extract(bare, '^(?:\\+98|0098|98|0)?(9[0-9]{{9}})$', 1), '')) AS phone FROM b WHERE regexp_matches(bare, '^(?:\\+98|0098|98|0)?(9[0-9]{{9}})$') UNION ALL SELECT user_id, NULL FROM b WHERE NOT regexp_matches(bare, '^(?:\\+98|0098|98|0)?(9[0-9]{{9}})$')")
+def t12(spark, sf_dir):
+    """Numbers as people type them, some of them none."""
+    a = domain(spark, sf_dir, "account").select("user_id").selectExpr("user_id", f"{_NUMBER.format('STRING')} AS raw")
+    return a.select("user_id", T.phone(F.col("raw")).alias("phone"))
+
+
 # --- S06
 
 _TARGETS = "CASE page_id % 10 WHEN 1 THEN page_id + 1 WHEN 2 THEN page_id + 1 WHEN 4 THEN page_id + 1 WHEN 5 THEN -page_id WHEN 7 THEN page_id + 1 WHEN 8 THEN page_id - 1 WHEN 9 THEN page_id - 1 ELSE page_id END"

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from newsloom.functions.text import cleaned as clean
 from newsloom.plans.durable import checkpointed
+from newsloom.plans.joins import top_per
 
 # Where a field may stand, best rank first.
 LINKED = {"headline": ("title", 0), "description": ("lead", 0), "articleBody": ("body", 0), "datePublished": ("published_at", 0), "image": ("image_url", 0), "keywords": ("keyword", 0)}
@@ -305,6 +306,22 @@ def listed(pages: DataFrame) -> DataFrame:
 
 #: An archive's pages in one walk at most, and pages in a row without a new link that end it.
 MOST_PAGES, STALE_PAGES = 500, 2
+#: Fixed value: pages of a listing that one crawl walks at most.
+MOST_LISTING_PAGES = 8
+
+
+def listing_walk(pages: DataFrame, limit: int, most: int = MOST_LISTING_PAGES) -> DataFrame:
+    """(source_id, url, page, place): the first ``limit`` links of each source's listing, page by page, each where it is first
+    shown; a page that is not there or shows nothing new ends the walk. ``pages``: source_id, page (from 1), links."""
+    shown = pages.where(F.col("page") <= most).select("source_id", "page", F.posexplode("links").alias("place", "url"))
+    fresh = shown.groupBy("source_id", "url").agg(F.min(F.struct("page", "place")).alias("at")).select("source_id", "url", "at.page", "at.place")
+    new = fresh.select("source_id", "page").distinct().withColumn("_new", F.lit(True))
+    order = Window.partitionBy("source_id").orderBy("page")
+    each = pages.where(F.col("page") <= most).select("source_id", "page").distinct().join(new, ["source_id", "page"], "left")
+    ends = each.where(F.col("_new").isNull()).groupBy("source_id").agg(F.min("page").alias("stale"))
+    gaps = each.withColumn("_r", F.row_number().over(order)).where("_r <> page").groupBy("source_id").agg(F.min("_r").alias("gap"))
+    walked = fresh.join(ends, "source_id", "left").join(gaps, "source_id", "left").where(F.col("page") < F.coalesce(F.least("stale", "gap"), F.lit(most + 1)))
+    return top_per(walked, ["source_id"], limit, F.asc("page"), F.asc("place")).select("source_id", "url", "page", "place")
 
 
 def archive_walk(pages: DataFrame, details: DataFrame, known: DataFrame, since: Column, most: int = MOST_PAGES) -> tuple[DataFrame, DataFrame]:

@@ -97,3 +97,9 @@ def test_error_class(spark, text, expected):
 def test_money_and_answers(spark):
     r = one(spark, X.price(F.lit("۱,۲۳۴.۵")), X.price(F.lit("n/a")), X.token_cost(F.lit(10), F.lit(10), F.lit(-1.0), F.lit(1.0)), X.stored_score(F.lit(5)), X.stored_score(F.lit(2.5)), X.toman(F.lit(123456.0)), X.direction_correct(F.lit("↑"), F.lit(0.2)), X.direction_correct(F.lit("خنثی"), F.lit(9.0)), X.matched(F.lit("a"), F.array(F.lit("a")), F.lit(1.1)))
     assert (float(r.c0), r.c1, r.c2, r.c3, r.c4, r.c5, r.c6, r.c7, r.c8) == (1234.5, None, None, None, 62, 12346.0, False, None, False)
+
+
+def test_phones(spark):
+    typed = ["09123456789", "9123456789", "+98 912 345 6789", "0098-912-3456789", "989123456789", "(0912) 345 67 89", "۰۹۱۲۳۴۵۶۷۸۹", "٠٩١٢٣٤٥٦٧٨٩", "0912345678", "08123456789", "", None, "+989123456789x", "+19123456789"]
+    df = spark.createDataFrame(list(enumerate(typed)), "k int, raw string").select("k", T.phone(F.col("raw")).alias("p"))
+    assert [r.p for r in df.orderBy("k").collect()] == ["+989123456789"] * 8 + [None] * 6
