@@ -19,6 +19,8 @@ from newsloom.plans.joins import latest_per, range_join, top_per
 
 #: Vectors that stand together as one row when all of a table are compared: 0.5 MB at 64 dimensions.
 BLOCK_ROWS = 1024
+#: Digits to which similarities are told apart.
+SIMILARITY_DIGITS = 9
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -147,7 +149,7 @@ def similar_titles(queries: DataFrame, candidates: DataFrame, k: int, fits: Colu
 
 
 def link_strength(similarity: Column, shared: Column, same_topic: Column) -> Column:
-    """Null where not linked, else closer text and more shared items win."""
+    """Null where not linked, else closer text and more shared items win; text that is not close counts for nothing."""
     s = F.coalesce(similarity, F.lit(0.0))
     linked = (s >= 0.85) | ((s >= 0.75) & (shared >= 1)) | ((shared >= 2) & same_topic)
     return F.when(linked, s + 0.1 * shared)
@@ -165,16 +167,18 @@ def storylines(events: DataFrame, tags: DataFrame, days: int = 14) -> DataFrame:
     others went: so storylines are the trees of those choices, which components give without walking events in order.
     ``events``: id, event_time, category, vector (or null); ``tags``: event_id, item.
     """
-    side = lambda s: events.select(F.col("id").alias(f"{s}_id"), F.col("event_time").alias(f"{s}_at"), X.event_topic(F.col("category")).alias(f"{s}_topic"))
+    named = tags.groupBy("event_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    known = events.join(named.withColumnRenamed("event_id", "id"), "id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    side = lambda s, *more: known.select(F.col("id").alias(f"{s}_id"), F.col("event_time").alias(f"{s}_at"), X.event_topic(F.col("category")).alias(f"{s}_topic"), *[F.col(c).alias(f"{s}_{c}") for c in more])
     earlier = (F.col("e_at") < F.col("l_at")) | ((F.col("e_at") == F.col("l_at")) & (F.col("e_id") < F.col("l_id")))
-    tagged = lambda s: side(s).join(tags.distinct().withColumnRenamed("event_id", f"{s}_id"), f"{s}_id").select(f"{s}_id", f"{s}_at", "item")
-    together = range_join(tagged("l"), tagged("e"), "l_at", "e_at", days * 86_400, ["item"]).where(earlier)
-    shared = together.groupBy("l_id", "e_id").agg(F.count("*").alias("shared"))
-    # what is linked is close by text, or shares two items: all others need no score
+    # what is linked is close by text, or of one topic with two shared items: pairs of items bring those together
+    both = lambda items: F.flatten(F.transform(items, lambda x, k: F.transform(F.slice(items, k + 2, F.greatest(F.size(items) - k - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    paired = lambda s: side(s, "items").where(F.size(f"{s}_items") > 1).select(f"{s}_id", f"{s}_at", F.col(f"{s}_topic").alias("topic"), F.explode(both(F.col(f"{s}_items"))).alias("pair"))
+    together = range_join(paired("l"), paired("e"), "l_at", "e_at", days * 86_400, ["pair", "topic"]).where(earlier).select("l_id", "e_id").distinct()
     close = close_pairs(events.select("id", "vector", F.col("event_time").alias("at")), 0.75, days * 86_400)
-    met = close.join(shared, ["l_id", "e_id"], "full").join(side("l"), "l_id").join(side("e"), "e_id")
-    rest = met.where("similarity is null").join(events.select(F.col("id").alias("l_id"), F.col("vector").alias("_l")), "l_id").join(events.select(F.col("id").alias("e_id"), F.col("vector").alias("_e")), "e_id")
-    rest = rest.where("shared >= 2").withColumn("similarity", cosine(F.col("_l"), F.col("_e"))).drop("_l", "_e")
-    scored = met.where("similarity is not null").unionByName(rest).withColumn("strength", link_strength(F.col("similarity"), F.coalesce("shared", F.lit(0)), F.col("l_topic") == F.col("e_topic"))).where("strength > 0")
+    met = close.join(together, ["l_id", "e_id"], "full").join(side("l", "items"), "l_id").join(side("e", "items"), "e_id").withColumn("shared", F.size(F.array_intersect("l_items", "e_items"))).drop("l_items", "e_items")
+    # the last bits of a product depend on where a row stands in its block
+    similarity = F.round(F.col("similarity"), SIMILARITY_DIGITS)
+    scored = met.withColumn("strength", link_strength(similarity, F.col("shared"), F.col("l_topic") == F.col("e_topic"))).where("strength > 0")
     parent = latest_per(scored, ["l_id"], F.desc("strength"), F.asc("e_at"), F.asc("e_id")).select("l_id", "e_id")
     return components(parent, "l_id", "e_id").select(F.col("node").alias("event_id"), F.col("component").alias("storyline_id"))

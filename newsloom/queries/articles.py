@@ -138,12 +138,12 @@ def t08(spark, sf_dir):
     return A.shortlist(domain(spark, sf_dir, "article"), _ITEMS, F.col("content"), 3)
 
 
-@query("p01_eligible", f"WITH {ctes('article', 'news_event')}, m AS (SELECT *, {FLAG} AS quality_flag, id % 6 = 5 AS dup, id % 19 = 0 AS hid FROM article) SELECT m.id FROM m WHERE NOT dup AND NOT hid AND quality_flag = '' AND native_category <> 'cat3' AND id % 8 <> 1 AND NOT EXISTS (SELECT 1 FROM news_event e WHERE e.hidden AND e.primary_article_id = m.id AND e.event_time > TIMESTAMP '2001-07-01')")
+@query("p01_eligible", f"WITH {ctes('article', 'news_event')}, m AS (SELECT *, {FLAG} AS quality_flag, id % 6 = 5 AS dup, id % 19 = 0 AS hid FROM article) SELECT m.id FROM m WHERE NOT dup AND NOT hid AND quality_flag = '' AND native_category <> 'cat3' AND id % 8 <> 1 AND NOT EXISTS (SELECT 1 FROM news_event e WHERE e.hidden AND e.primary_article_id = m.id)")
 def p01(spark, sf_dir):
     a = domain(spark, sf_dir, "article")
     flag = X.quality_flag(F.col("title"), F.col("lead"), F.col("content"), F.col("url"), F.col("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     a = a.select("id", F.when(F.col("id") % 6 == 5, F.col("id") - 1).alias("duplicate_of"), (F.col("id") % 19 == 0).alias("hidden"), flag.alias("quality_flag"), F.when(F.col("native_category") == "cat3", "slug:cat3").otherwise("").alias("prefilter_reason"), F.when(F.col("id") % 8 == 1, "gone").otherwise("live").alias("url_status"))
-    hidden = domain(spark, sf_dir, "news_event").where("hidden and event_time > timestamp_ntz'2001-07-01'").select(F.col("primary_article_id").alias("id"))
+    hidden = domain(spark, sf_dir, "news_event").where("hidden").select(F.col("primary_article_id").alias("id"))
     return A.eligible(A.canonical(a, hidden)).select("id")
 
 
@@ -187,11 +187,11 @@ def p06(spark, sf_dir):
     return a.join(classified, a["id"] == classified["article_id"], "left_semi").join(evaluated, a["id"] == evaluated["article_id"], "left_semi").select("id")
 
 
-@query("p07_outstanding", f"WITH {ctes('article', 'evaluation', 'classification')}, c AS (SELECT * FROM classification QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) = 1) SELECT id FROM article a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.article_id = a.id AND category = 'other') AND NOT EXISTS (SELECT 1 FROM evaluation e WHERE e.article_id = a.id AND variant = 'P' AND created_at > TIMESTAMP '2001-03-01') ORDER BY published_at DESC, id DESC LIMIT 50")
+@query("p07_outstanding", f"WITH {ctes('article', 'evaluation', 'classification')}, c AS (SELECT * FROM classification QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) = 1) SELECT id FROM article a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.article_id = a.id AND category = 'other') AND NOT EXISTS (SELECT 1 FROM evaluation e WHERE e.article_id = a.id AND variant = 'P') ORDER BY published_at DESC, id DESC LIMIT 50")
 def p07(spark, sf_dir):
     """Outstanding work of a variant: the anti-joins come before the limit, so settled rows do not use it up."""
     a = domain(spark, sf_dir, "article")
     other = latest_per(domain(spark, sf_dir, "classification"), ["article_id"], F.desc("created_at"), F.desc("id")).where("category = 'other'")
-    done = domain(spark, sf_dir, "evaluation").where("variant = 'P' and created_at > timestamp_ntz'2001-03-01'")
+    done = domain(spark, sf_dir, "evaluation").where("variant = 'P'")
     left = a.join(other, a["id"] == other["article_id"], "left_anti").join(done, a["id"] == done["article_id"], "left_anti")
     return left.orderBy(F.desc("published_at"), F.desc("id")).limit(50).select("id")

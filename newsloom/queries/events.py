@@ -159,9 +159,9 @@ def x10(spark, sf_dir):
     return E.pushes(alerts, domain(spark, sf_dir, "account"), cap=2).select("seq", "user_id", "held")
 
 
-@query("o01_review_queue", f"WITH {ctes('news_event')} SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 7 = 0 THEN event_time END NULLS FIRST, confidence NULLS LAST, {IMPACT} DESC NULLS LAST, event_time DESC, id) AS place FROM news_event WHERE confidence < 0.7 QUALIFY place <= 200")
+@query("o01_review_queue", f"WITH {ctes('news_event')} SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 7 = 0 THEN event_time END NULLS FIRST, confidence NULLS LAST, {IMPACT} DESC NULLS LAST, event_time DESC, id) AS place FROM news_event QUALIFY place <= 200")
 def o01(spark, sf_dir):
-    e = domain(spark, sf_dir, "news_event").where("confidence < 0.7").withColumn("impact", X.impact(F.col("iran_score"), F.col("global_score")))
+    e = domain(spark, sf_dir, "news_event").withColumn("impact", X.impact(F.col("iran_score"), F.col("global_score")))
     skipped = e.where("id % 7 = 0").select("id", F.col("event_time").alias("skipped_at"))
     first = E.review_queue(e, skipped).limit(200).select("id", "skipped_at", "confidence", "impact", "event_time")
     order = Window.orderBy(F.col("skipped_at").asc_nulls_first(), F.col("confidence").asc_nulls_last(), F.col("impact").desc_nulls_last(), F.desc("event_time"), F.asc("id"))

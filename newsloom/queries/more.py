@@ -63,18 +63,21 @@ def c11(spark, sf_dir):
     return R.similar_titles(a.where("id % 50 = 0"), a, 3)
 
 
+_LV = _COS.replace("a.embedding", "l.v").replace("b.embedding", "b.v")
+
+
 @query(
     "c06_storylines",
-    f"""WITH RECURSIVE {ctes('news_event', 'tag')}, e AS (SELECT id, event_time, category, b.embedding AS v FROM news_event LEFT JOIN embeddings b ON b.vec_id = id % 500 WHERE event_time >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 20 DAY AND category <> 'other' AND id % 23 <> 0 AND id % 29 <> 0), t AS (SELECT DISTINCT event_id, item FROM tag WHERE event_id IN (SELECT id FROM e)),
+    f"""WITH RECURSIVE {ctes('news_event', 'tag')}, e AS (SELECT id, event_time, category, b.embedding AS v FROM news_event LEFT JOIN embeddings b ON b.vec_id = id % 500 WHERE category <> 'other' AND id % 23 <> 0 AND id % 29 <> 0), t AS (SELECT DISTINCT event_id, item FROM tag WHERE event_id IN (SELECT id FROM e)),
 sh AS (SELECT x.event_id AS l_id, y.event_id AS e_id, count(*) AS shared FROM t x JOIN t y USING (item) WHERE x.event_id <> y.event_id GROUP BY ALL),
-p AS (SELECT l.id AS l_id, b.id AS e_id, b.event_time AS e_at, coalesce({_COS.replace('a.embedding', 'l.v').replace('b.embedding', 'b.v')}, 0) AS s, coalesce(shared, 0) AS shared, l.category = b.category AS same FROM e l JOIN e b ON (b.event_time < l.event_time OR (b.event_time = l.event_time AND b.id < l.id)) AND l.event_time - b.event_time <= INTERVAL 14 DAY LEFT JOIN sh ON sh.l_id = l.id AND sh.e_id = b.id),
+p AS (SELECT l.id AS l_id, b.id AS e_id, b.event_time AS e_at, coalesce(CASE WHEN round({_LV}, 9) >= 0.75 THEN round({_LV}, 9) END, 0) AS s, coalesce(shared, 0) AS shared, l.category = b.category AS same FROM e l JOIN e b ON (b.event_time < l.event_time OR (b.event_time = l.event_time AND b.id < l.id)) AND l.event_time - b.event_time <= INTERVAL 14 DAY LEFT JOIN sh ON sh.l_id = l.id AND sh.e_id = b.id),
 parent AS MATERIALIZED (SELECT l_id, e_id FROM p WHERE s >= 0.85 OR (s >= 0.75 AND shared >= 1) OR (shared >= 2 AND same) QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY s + 0.1::DOUBLE * shared DESC, e_at, e_id) = 1),
 edge AS MATERIALIZED (SELECT l_id AS u, e_id AS v FROM parent UNION SELECT e_id, l_id FROM parent), reach(id, node) AS (SELECT DISTINCT u, u FROM edge UNION SELECT r.id, e.v FROM reach r JOIN edge e ON r.node = e.u)
 SELECT id AS event_id, min(node) AS storyline_id FROM reach GROUP BY 1""",
 )
 def c06(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_k"), F.col("embedding").alias("vector"))
-    e = domain(spark, sf_dir, "news_event").where(F.col("event_time") >= now() - F.make_dt_interval(days=F.lit(20)))
+    e = domain(spark, sf_dir, "news_event")
     e = e.withColumns({"status": F.when(F.col("id") % 23 == 0, "withdrawn").otherwise(F.col("status")), "category": F.when(F.col("id") % 29 == 0, "").otherwise(F.col("category"))})
     e = R.storied(e).join(v, F.col("id") % 500 == F.col("_k"), "left").select("id", "event_time", "category", "vector")
     tags = domain(spark, sf_dir, "tag").join(e.select(F.col("id").alias("event_id")), "event_id", "left_semi").select("event_id", "item")
@@ -87,11 +90,11 @@ def s08(spark, sf_dir):
     return S.extract(read(spark, sf_dir, "pages"))
 
 
-_WB = f"w AS (SELECT id, event_time, category, {D.jalali_sql('(event_time + INTERVAL 210 MINUTE)::DATE')} AS jalali_day FROM news_event WHERE event_time >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 60 DAY), n AS (SELECT *, row_number() OVER (PARTITION BY jalali_day ORDER BY event_time, id)::INT AS number FROM w)"
+_WB = f"w AS (SELECT id, event_time, category, {D.jalali_sql('(event_time + INTERVAL 210 MINUTE)::DATE')} AS jalali_day FROM news_event), n AS (SELECT *, row_number() OVER (PARTITION BY jalali_day ORDER BY event_time, id)::INT AS number FROM w)"
 
 
 def _workbook(spark, sf_dir):
-    return K.workbook(domain(spark, sf_dir, "news_event").where(F.col("event_time") >= now() - F.make_dt_interval(days=F.lit(60))))
+    return K.workbook(domain(spark, sf_dir, "news_event"))
 
 
 _FORMULA = """'=IF(COUNT(E' || r || ':G' || r || ')<2,"insufficient",IF(MIN(E' || r || ':G' || r || ')<2,"no",IF(COUNTIF(E' || r || ':G' || r || ',">=4")>=2,"notify","no")))'"""
