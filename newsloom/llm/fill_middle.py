@@ -14,7 +14,7 @@ first (psm).
 
 Defined results. A null text counts as empty; a null doc_id is seeded by
 ``seed:`` alone. Repeated rows come out alike, each in its own row. Texts of any
-length are one list. An empty table gives no row. Further columns are not read,
+length are one list, made piece by piece. An empty table gives no row. Further columns are not read,
 whatever their names.
 
 At scale: a task first groups a portion of rows by text, so a text that a third
@@ -28,6 +28,7 @@ one task.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 HOT_PARTS = 4096
 #: Fewer rows than this are never dealt over several groups.
 LEAST_HOT = 512
-#: Rows of a portion.
-PORTION = 2048
+#: Rows of a portion, and bytes of a text that are looked at together.
+PORTION, PIECE = 2048, 1 << 20
 #: Ones of the upper bits between two entries of the directory, and bytes that a look takes at a time.
 STRIDE, LOOK = 256, 256
 
@@ -52,22 +53,31 @@ STRIDE, LOOK = 256, 256
 class Boundaries:
     """An Elias-Fano list of ascending numbers: lower bits packed, upper bits in unary, and a directory of every ``STRIDE``-th one."""
 
-    def __init__(self, values: np.ndarray):
-        self.count, most = len(values), int(values[-1])
-        self.low_bits = max(0, (most // self.count).bit_length() - 1)
-        ones = (values >> self.low_bits) + np.arange(self.count)
-        upper = np.zeros(int(ones[-1]) + 1, np.uint8)
-        upper[ones] = 1
-        self.upper = np.packbits(upper)
-        self.directory = ones[::STRIDE].copy()
-        if self.low_bits:
-            self.lower = np.packbits(((values[:, None] >> np.arange(self.low_bits)) & 1).astype(np.uint8).ravel())
+    def __init__(self, chunks: Iterable[np.ndarray], count: int, most: int):
+        """``count`` numbers up to ``most``, in chunks, of which only one need stand in memory."""
+        self.count, self.low_bits = count, max(0, (most // count).bit_length() - 1)
+        self.upper = np.zeros((most >> self.low_bits) + count + 15 >> 3, np.uint8)
+        self.lower = np.zeros(count * self.low_bits + 15 >> 3, np.uint8)
+        directory, first = [], 0
+        for values in chunks:
+            ones = (values >> self.low_bits) + np.arange(first, first + len(values))
+            begin = int(ones[0]) & ~7
+            bits = np.zeros(int(ones[-1]) - begin + 1, np.uint8)
+            bits[ones - begin] = 1
+            _put(self.upper, begin, bits)
+            if self.low_bits:
+                begin = first * self.low_bits
+                low = ((values[:, None] >> np.arange(self.low_bits)) & 1).astype(np.uint8).ravel()
+                _put(self.lower, begin & ~7, np.concatenate([np.zeros(begin & 7, np.uint8), low]))
+            directory.append(ones[-first % STRIDE :: STRIDE])
+            first += len(values)
+        self.directory = np.concatenate(directory)
 
     def __len__(self) -> int:
         return self.count
 
     def nbytes(self) -> int:
-        return self.upper.nbytes + self.directory.nbytes + (self.lower.nbytes if self.low_bits else 0)
+        return self.upper.nbytes + self.directory.nbytes + self.lower.nbytes
 
     def __getitem__(self, i: int) -> int:
         one, left = int(self.directory[i // STRIDE]), i % STRIDE
@@ -86,10 +96,25 @@ class Boundaries:
         return value
 
 
+def _put(into: np.ndarray, at: int, bits: np.ndarray) -> None:
+    """Sets bits from a bit place on that begins a byte."""
+    packed = np.packbits(bits)
+    into[at >> 3 : (at >> 3) + len(packed)] |= packed
+
+
 def boundaries(text: bytes) -> Boundaries:
     """The byte offsets at which code points of a UTF-8 text begin, and its end."""
     raw = np.frombuffer(text, np.uint8)
-    return Boundaries(np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)))
+    pieces = range(0, len(raw), PIECE)
+    begins = lambda at: (raw[at : at + PIECE] & 0xC0) != 0x80
+
+    def chunks():
+        for at in pieces:
+            if len(found := np.flatnonzero(begins(at)) + at):
+                yield found
+        yield np.array([len(raw)])
+
+    return Boundaries(chunks(), 1 + sum(int(np.count_nonzero(begins(at))) for at in pieces), len(raw))
 
 
 def seeds(seed: int, doc_id) -> list[int]:

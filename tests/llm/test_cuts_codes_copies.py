@@ -41,13 +41,23 @@ def test_boundaries_select_every_value():
     for most in (1, 2, 7, 300, 5000, 10**7):
         for count in (1, 2, 255, 256, 257, 700):
             values = np.sort(r.integers(0, most + 1, count))
-            held = fill_middle.Boundaries(values)
-            assert [held[i] for i in range(count)] == values.tolist()
+            for cut in (count, 1, 7):
+                held = fill_middle.Boundaries([values[k : k + cut] for k in range(0, count, cut)], count, most)
+                assert [held[i] for i in range(count)] == values.tolist()
     text = ("a" * 1000 + "🙂" * 1000).encode()
     held = fill_middle.boundaries(text)
     assert held[1000] == 1000 and held[1500] == 3000 and held[2000] == 5000 and held.nbytes() < len(text) / 2
 
 
+def test_boundaries_are_made_in_pieces(monkeypatch):
+    text = "".join(random.Random(1).choice("aé世🙂") for _ in range(3000)).encode()
+    whole = fill_middle.boundaries(text)
+    monkeypatch.setattr(fill_middle, "PIECE", 37)
+    held = fill_middle.boundaries(text)
+    assert [held[i] for i in range(3001)] == [whole[i] for i in range(3001)] and (held.upper == whole.upper).all() and (held.directory == whole.directory).all()
+    assert len(fill_middle.boundaries(b"")) == 1 and fill_middle.boundaries(b"")[0] == 0
+
+
 def test_fill_middle_equals_brute_force(spark, corpus):
     docs = clashing(spark.createDataFrame(corpus, DOCS).repartition(7))
     got = sorted(((r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) for r in fill_middle.digest(docs).collect()), key=repr)
