@@ -8,8 +8,10 @@ machine separates insults from other words there.
 
 Labels name texts, not words: of a toxic text the machine learns from its most
 suspect word that clean texts lack, of clean texts from all words, the hardest
-in particular, and looks again with what it has learned. A text scores by its
-worst word, through a logistic curve fitted on the labelled texts.
+in particular, and looks again with what it has learned. Few words that account
+for the toxic texts between them come first, so that copies of a toxic text do
+not make insults of all their words. A text scores by its worst word, through a
+logistic curve fitted on the labelled texts.
 
 Kernel against landmarks and weights are both sums over subsequences, so they
 fold into one weight for each of 32^3 subsequences: scoring a word is a sum over
@@ -45,6 +47,8 @@ from newsloom.llm.names import without
 
 SAMPLE, SAMPLE_BYTES = 6000, 24_000_000
 HARDEST, RANDOM, FALLBACK = 4000, 4000, 20
+#: Standard deviations above its expected number of toxic texts from which a word that clean texts lack is taken for an insult.
+SURE = 4
 #: Letters of the shortest word of which bent forms are learned: shorter ones come too near to clean words.
 LEAST_BENT = 4
 LANDMARKS = 256
@@ -201,18 +205,50 @@ class Model:
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a small ridge."""
+    """Slope and shift of a logistic curve with a small ridge, by Newton steps that are halved until they lessen the loss: whole
+    steps run away where texts of both kinds mostly score alike."""
     a = np.stack([x, np.ones(len(x))], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 5e-4 * w @ w)
+
+    w = np.array([0.0, np.log(y.mean() / (1 - y.mean()))])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (p - y) + 1e-3 * w)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        size, now = 1.0, loss(w)
+        while size > 1e-10 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
 
 
+def reasons(members: list[np.ndarray], may: np.ndarray, base: float) -> np.ndarray:
+    """Of the words that may mark toxic texts, those that still do by the texts that no other chosen one is in, the most frequent
+    first. Copies of a toxic text share all their words, so each of those words looks as suspect as an insult; here the text's
+    insult speaks for the copies, and the words around it have no text left."""
+    own = [m[may[m]] for m in members]
+    holder = np.repeat(np.arange(len(own)), [len(m) for m in own])
+    word = np.concatenate([*own, np.empty(0, np.int32)])
+    order = np.argsort(word, kind="stable")
+    start = np.searchsorted(word[order], np.arange(len(may) + 1))
+    left = np.bincount(word, minlength=len(may))
+    open_, out = np.ones(len(own), bool), []
+    while len(left):
+        best = int(np.argmax(left))
+        if left[best] == 0 or left[best] - (left[best] + 1) * base < SURE * np.sqrt((left[best] + 1) * base):
+            break
+        out.append(best)
+        held = holder[order[start[best] : start[best + 1]]]
+        for k in held[open_[held]]:
+            left[own[k]] -= 1
+            open_[k] = False
+    return np.array(out, np.int64)
+
+
 def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -> Model:
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
@@ -228,7 +264,8 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
     by_suspicion = np.argsort(-suspect, kind="stable")
     clean = np.flatnonzero(n0 > 0)
     lacking = n0 <= 0.1 * n1
-    sure = np.flatnonzero((suspect >= 4) & lacking)
+    likely = (suspect >= SURE) & lacking
+    sure = reasons([m for m, label in zip(members, toxic, strict=True) if label], likely, float(y.mean()))
     if not len(sure):
         sure = by_suspicion[:FALLBACK]
     bent = bend([vocabulary[k] for k in sure], rng)
@@ -252,7 +289,7 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = LANDMARKS) -
             w = machine(kernel(words, dense) @ root, signs, share, COST)
             value = judged(vocabulary, dense @ (root @ w[:-1]), float(w[-1]))
             found = [own[np.argmax(value[own])] for m, label in zip(members, toxic, strict=True) if label and len(own := m[lacking[m]])]
-            positive = np.unique(np.concatenate([np.array([k for k in found if value[k] > -0.5], np.int64), sure]))
+            positive = np.unique(np.concatenate([np.array([k for k in found if value[k] > -0.5], np.int64), sure, np.flatnonzero(likely & (value > 0))]))
             hard = clean[np.argsort(-value[clean], kind="stable")][:HARDEST]
     model = Model(dense @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
     model.slope, model.shift = _curve(model.worst(texts), y)

@@ -422,6 +422,33 @@ def test_toxicity_passes_over_what_does_not_fit(spark):
     assert model.score(texts) == pytest.approx(small.score(texts))
 
 
+def test_toxicity_learns_insults_not_the_words_around_them_in_copies():
+    """Near copies of a toxic text share words that no clean text has; only the insult counts in new texts."""
+    r = random.Random(0)
+    word = lambda: "".join(r.choices(["an", "er", "th", "in", "on", "re", "nd", "es", "ti", "ou", "st", "le"], k=r.randrange(2, 6)))
+    bad = ["loser", "moron", "clown", "trash"]
+    rows = [(" ".join(word() for _ in range(60)), 0) for _ in range(300)]
+    for g in range(40):
+        first = [word() for _ in range(60)]
+        for _ in range(6):
+            copy = [*first]
+            copy[r.randrange(60)] = word()
+            rows.append((" ".join([*copy, bad[g % 4]] if g < 16 else copy), int(g < 16)))
+    model = toxicity.fit([t for t, _ in rows], [k for _, k in rows])
+    new = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    assert (model.score(new) < 0.3).mean() >= 0.95 and (model.score([f"{t} {bad[k % 4]}" for k, t in enumerate(new)]) >= 0.3).mean() >= 0.95
+
+
+def test_toxicity_curve_is_the_best_one_where_both_kinds_score_alike():
+    r = np.random.default_rng(1)
+    y = (r.random(500) < 0.1).astype(float)
+    x = r.normal(5, 0.3, 500) + 0.2 * y
+    slope, shift = toxicity._curve(x, y)
+    loss = lambda a, b: np.logaddexp(0, a * x + b).sum() - y @ (a * x + b) + 5e-4 * (a * a + b * b)
+    assert all(loss(slope, shift) <= loss(slope + da, shift + db) for da in (-0.01, 0, 0.01) for db in (-0.05, 0, 0.05))
+    assert (1 / (1 + np.exp(-slope * x - shift))).mean() == pytest.approx(y.mean(), abs=1e-3)
+
+
 # --- op7
 
 
