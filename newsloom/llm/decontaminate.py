@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrow import as_bytes, portions
+from newsloom.llm.arrow import as_bytes, portions, settled
 from newsloom.plans.durable import scratch, written
 
 #: The word class of the contract, [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z, over UTF-8 bytes.
@@ -296,19 +296,20 @@ def remove(documents: DataFrame, benchmark: DataFrame, n: int = 10, min_span: in
     def run(batches):
         blocks = [b.value for b in held]
         for batch in batches:
-            keep, texts = [], []
-            for text in as_bytes(batch.column(at)):
-                doc, spans, _ = hits(text, blocks)
-                hit = sum(b - a for a, b, _ in spans)
-                keep.append(hit <= max_coverage * len(doc))
-                cut = [(a, b) for a, b, short in spans if short or b - a >= min_span]
-                if cut and keep[-1]:
-                    text = _without(text, cut)
-                texts.append(None if text is None else text.decode())
-            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-    return documents.mapInArrow(run, documents.schema)
+            for part in portions(batch):
+                keep, texts = [], []
+                for text in as_bytes(part.column(at)):
+                    doc, spans, _ = hits(text, blocks)
+                    hit = sum(b - a for a, b, _ in spans)
+                    keep.append(hit <= max_coverage * len(doc))
+                    cut = [(a, b) for a, b, short in spans if short or b - a >= min_span]
+                    if cut and keep[-1]:
+                        text = _without(text, cut)
+                    texts.append(None if text is None else text.decode())
+                columns = [pa.array(texts, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(settled(run), documents.schema)
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

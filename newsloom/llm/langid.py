@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from newsloom.llm.arrow import portions
+from newsloom.llm.arrow import portions, settled
 from newsloom.llm.names import without
 
 DIMENSIONS = 1024
@@ -158,7 +158,7 @@ def train(documents: DataFrame, lang_col: str = "lang", text_col: str = "text")
         for lang, total in bundles.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(total)], names=["lang", "at", "n"])
 
-    rows = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null").mapInArrow(run, "lang string, at int, n long")
+    rows = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null").mapInArrow(settled(run), "lang string, at int, n long")
     table = rows.groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(table["lang"].unique())
     profiles = np.zeros((len(langs), DIMENSIONS))
@@ -201,7 +201,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], text_col:
                 names, scores = nearest(part.column(at).to_pylist(), known, rows, grams)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_name, score_name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())]))
+    return documents.mapInArrow(settled(run), StructType([*documents.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())]))
 
 
 def digest(documents: DataFrame) -> DataFrame:

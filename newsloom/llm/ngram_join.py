@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.llm import bloom
-from newsloom.llm.arrow import portions
+from newsloom.llm.arrow import portions, settled
 from newsloom.llm.shingles import Shingler
 from newsloom.plans.durable import scratch, written
 from newsloom.plans.graph import components
@@ -125,7 +125,7 @@ def rareness(documents: DataFrame, n: int, counters: int) -> np.ndarray:
         steps = np.minimum(255, 8 * np.log2(1 + total(table))).astype(np.uint8)
         return pa.table({"block": table["block"].slice(0, 1), "steps": pa.array([steps.tobytes()], pa.binary())})
 
-    counted = documents.select("text").mapInArrow(count, "block int, group int, counts binary")
+    counted = documents.select("text").mapInArrow(settled(count), "block int, group int, counts binary")
     if documents.rdd.getNumPartitions() > SUMMED_TOGETHER:
         counted = counted.groupBy("block", "group").applyInArrow(add, "block int, counts binary")
     table = counted.groupBy("block").applyInArrow(finish, "block int, steps binary").toArrow()
@@ -179,7 +179,7 @@ def signatures(documents: DataFrame, n: int, percent: int) -> DataFrame:
                     names=["id", "class", "size", "key", "parities", "prefix"],
                 )
 
-    return documents.select("id", "text").mapInArrow(run, f"id {kind}, class long, size long, key long, parities array<long>, prefix array<long>")
+    return documents.select("id", "text").mapInArrow(settled(run), f"id {kind}, class long, size long, key long, parities array<long>, prefix array<long>")
 
 
 def sets_of(documents: DataFrame, n: int, classes: DataFrame, number: int) -> DataFrame:
@@ -202,7 +202,7 @@ def sets_of(documents: DataFrame, n: int, classes: DataFrame, number: int) -> Da
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["class", "set"])
 
-    return documents.select("text").mapInArrow(run, "class long, set binary")
+    return documents.select("text").mapInArrow(settled(run), "class long, set binary")
 
 
 def _half(x: Column) -> Column:
@@ -264,7 +264,7 @@ def verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int, into: s
                         good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.int64()), pa.array([b for _, b in good], pa.int64())], names=["a", "b"])
 
-    return written(both.repartition("g").sortWithinPartitions("g", F.asc_nulls_first("a"), "b").mapInArrow(run, "a long, b long"), "links", into)
+    return written(both.repartition("g").sortWithinPartitions("g", F.asc_nulls_first("a"), "b").mapInArrow(settled(run), "a long, b long"), "links", into)
 
 
 def _open(lists: DataFrame) -> DataFrame:

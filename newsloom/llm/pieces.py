@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrow import portions
+from newsloom.llm.arrow import portions, settled
 
 #: Fixed value: the library's whitespace marker.
 MARK = "▁"
@@ -128,11 +128,18 @@ def codec(model_file: str) -> Codec:
 
 
 def encoded(documents: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: the id, n_tokens, token_ids, and round_trip, whether the ids decode to the text (whose markers come back as spaces)."""
+    """Per document: the id, n_tokens, token_ids, and round_trip, whether the ids decode to the text (whose markers come back as spaces).
+    A task's table goes at its end, so that other stages do not run beside it."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
         c = codec(model_file)
+        try:
+            yield from pack(c, batches)
+        finally:
+            c.clear()
+
+    def pack(c, batches):
         for batch in batches:
             for part in portions(batch, 128):
                 texts = part.column(1).to_pylist()
@@ -143,7 +150,7 @@ def encoded(documents: DataFrame, model_file: str, id_col: str = "doc_id", text_
                 back = [c.decoded(r) == (t or "").replace(MARK, " ") for r, t in zip(rows, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), held, pa.array(back)], names=["id", "n_tokens", "token_ids", "round_trip"])
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_tokens long, token_ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(settled(run), f"id {kind}, n_tokens long, token_ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def digest(documents: DataFrame, model_file: str) -> DataFrame:
