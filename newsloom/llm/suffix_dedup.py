@@ -10,14 +10,16 @@ is sorted:
 
 1. Anchors. In each string of LENGTH bytes, the positions of the least hash of
    ``GRAM`` bytes are anchors, so equal strings have equal anchors at equal
-   places. An anchor's snippet is all of the strings it may serve: LENGTH - GRAM
-   bytes to the left, LENGTH to the right. Snippets alike, byte for byte, are
-   later copies but for the first: all of their bytes go.
+   places. An anchor's snippet is all of the strings whose least hash it is,
+   which follow each other: up to LENGTH - GRAM bytes to the left, LENGTH to the
+   right. Snippets alike, byte for byte, are later copies but for the first: all
+   of their bytes go.
 2. Shards. Anchors whose hash has several different snippets are dealt by the
    hash. A shard sorts the suffixes of its snippets (Larsson-Sadakane
-   refinement from 8-byte ranks), takes common prefixes by Kasai's rule in all
-   snippets in step, and in each run of suffixes that share LENGTH bytes all
-   but the earliest are later copies.
+   refinement, up to LENGTH bytes and within a snippet),
+   takes common prefixes by Kasai's rule in all snippets in step, and in each
+   run of suffixes that share LENGTH bytes all but the earliest are later
+   copies.
 3. Merging. An anchor with more than ``SHARD_SNIPPETS`` snippets is dealt over
    several shards; each gives its distinct strings, sorted, with the earliest
    start, and the sorted runs are merged by binary search.
@@ -56,70 +58,73 @@ _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint6
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8, 16)]
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes of ``text`` (uint8) in order, by Larsson-Sadakane refinement: after a first ranking by
-    seven bytes, only groups that are still tied are sorted, by the rank of what stands as far ahead as is known."""
+def suffix_array(text: np.ndarray, left: np.ndarray | None = None, depth: int | None = None) -> np.ndarray:
+    """Positions of the suffixes of ``text`` (uint8) in order, by Larsson-Sadakane refinement: after a first ranking by as
+    many bytes as a number holds, only groups that are still tied are sorted, by the rank of what stands as far ahead as
+    is known.
+
+    With ``left`` (for each position, the bytes to the end of its piece of the text) and ``depth``, only the suffixes with
+    ``depth`` bytes left, in order of those bytes and then of place. A round passes over what has fewer bytes left than it
+    ranks by: nothing that has enough looks at it again."""
     n = len(text)
     if n == 0:
         return np.empty(0, np.int64)
-    bits = np.uint64(max(1, n.bit_length()))
-    packed = 3 * int(bits) <= 64
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = (key << np.uint64(9)) | padded[k : k + n]
-    order = np.argsort(key)
-    ordered = key[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    starts = np.flatnonzero(new).astype(np.int32)
-    group = np.cumsum(new, dtype=np.int32) - 1
-    rank = np.empty(n, np.int32)
-    rank[order] = starts[group]
-    h, low = 7, (np.uint64(1) << bits) - np.uint64(1)
-    if packed:
-        order = (np.sort((rank[order].astype(np.uint64) << bits) | order.astype(np.uint64)) & low).astype(np.int64)
-    else:
-        order = np.lexsort((np.arange(n), rank))
-    while True:
-        # a place is tied if it does not start a group, or the next one does not
-        tied = np.flatnonzero(~new | np.append(~new[1:], False))
-        if not len(tied):
-            return order
-        pos = order[tied]
-        ahead = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
+    if left is None:
+        left, depth = np.full(n, n), n
+    bits = n.bit_length()
+    packed, low = 3 * bits < 64, (1 << bits) - 1
+    # the bytes that occur, numbered from 1; 0 stands past the end
+    used = np.bincount(text, minlength=256) > 0
+    code = np.cumsum(used)
+    width = int(code[-1]).bit_length()
+    h = min((63 - bits) // width, depth)
+    padded = np.concatenate([code[text], np.zeros(h, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(h):
+        key = (key << width) | padded[k : k + n]
+    pos = np.flatnonzero(left >= h)
+    known = np.sort((key[pos] << bits) | pos)
+    pos, known = known & low, known >> bits
+    place = np.arange(len(pos))
+    rank = np.zeros(n + 1, np.int32)  # from 1; past the end 0
+    while len(pos):
+        starts = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))
+        sizes = np.diff(starts, append=len(pos))
+        was = np.repeat(place[starts] + 1, sizes)
+        rank[pos] = was
+        if h >= depth:
+            break
+        step = min(h, depth - h)
+        tied = np.flatnonzero(np.repeat(sizes > 1, sizes) & (left[pos] >= h + step))
+        # a group's places are its own, also if some of it is passed over
+        pos, place = pos[tied], place[tied]
+        known = (was[tied] << bits) | rank[np.minimum(pos + step, n)]
         if packed:  # rank, rank ahead and position in one number: sorting it needs no index
-            ordered = np.sort((((rank[pos].astype(np.uint64) << bits) | ahead.astype(np.uint64)) << bits) | pos.astype(np.uint64))
-            pos = (ordered & low).astype(np.int64)
-            pair = ordered >> bits
-            split = np.concatenate([[True], pair[1:] != pair[:-1]])
+            known = np.sort((known << bits) | pos)
+            pos, known = known & low, known >> bits
         else:
-            sub = np.lexsort((pos, ahead, rank[pos]))
-            pos, ahead = pos[sub], ahead[sub]
-            was = rank[pos]
-            split = np.concatenate([[True], (was[1:] != was[:-1]) | (ahead[1:] != ahead[:-1])])
-        order[tied] = pos
-        new[tied] = split
-        starts = np.flatnonzero(new).astype(np.int32)
-        group = np.cumsum(new, dtype=np.int32) - 1
-        rank[pos] = starts[group[tied]]
-        h *= 2
+            order = np.argsort(known)
+            pos, known = pos[order], known[order]
+        h += step
+    whole = np.flatnonzero(left >= depth)
+    return np.sort((rank[whole].astype(np.int64) << bits) | whole) & low
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, sizes: np.ndarray, most: int = LENGTH) -> np.ndarray:
     """For each place in ``order`` but the first, the bytes (``most`` at most) that its suffix shares with the one before.
 
-    Kasai's rule: going from a position to the next, no more than one byte of the common prefix is lost. The pieces
-    of the text (from ``begins``, ``sizes`` long, covering it) each go from left to right, all in step.
+    Kasai's rule: going from a position to the next, no more than one byte of the common prefix is lost, if what follows
+    the one before is in the order too, and still before. (It may be missing, or behind where ties were ordered by place.)
+    The positions in the order are runs (from ``begins``, ``sizes`` long), which each go from left to right, all in step.
     """
     n = len(text)
-    before = np.empty(n, np.int64)
-    before[order[0]] = -1
+    before = np.full(n, -1)
     before[order[1:]] = order[:-1]
+    place = np.full(n + 1, n)
+    place[order] = np.arange(len(order))
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    eight = np.zeros(n + 1, np.uint64)  # the eight bytes from each position on
-    for k in range(8):
-        eight[:n] = (eight[:n] << np.uint64(8)) | padded[k : k + n]
-    limits = [np.uint64(1) << np.uint64(8 * k) for k in range(8)]
+    eight = np.ndarray(n + 1, ">u8", padded, strides=(1,)).astype(np.uint64)  # the eight bytes from each position on
+    limits = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
     shared = np.zeros(n, np.int32)
     by_size = np.argsort(-sizes, kind="stable")
     begins, sizes = begins[by_size], sizes[by_size]
@@ -132,38 +137,34 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, siz
         going = np.flatnonzero((other >= 0) & (h < most))
         while len(going):
             x, y = at[going] + h[going], other[going] + h[going]
-            inside = np.minimum(n - x, n - y)
             differ = eight[np.minimum(x, n)] ^ eight[np.minimum(y, n)]
-            grown = np.zeros(len(going), np.int64)
-            for limit in limits:
-                grown += differ < limit
-            grown = np.minimum(grown, inside)
+            grown = np.minimum(8 - np.searchsorted(limits, differ, side="right"), np.minimum(n - x, n - y))
             h[going] += grown
             going = going[(grown == 8) & (h[going] < most)]
         h = np.minimum(h, most)
-        carry[:live] = h
+        carry[:live] = np.where(place[other + 1] < place[at + 1], h, 0)
         shared[at] = h
     return shared[order[1:]]
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The positions of anchors and their hashes; of long texts piece by piece, each with all the strings that hold its positions."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The positions of anchors, their hashes, and their snippets [a, b); of long texts piece by piece, each with all the
+    strings that hold its positions."""
     if len(text) <= PIECE:
         return _anchors(text)
     found = []
     for lo in range(0, len(text), PIECE):
         begin = max(0, lo - LENGTH)
-        at, h = _anchors(text[begin : lo + PIECE + 2 * LENGTH])
-        at += begin
-        own = (at >= lo) & (at < lo + PIECE)
-        found.append((at[own], h[own]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        at, h, a, b = _anchors(text[begin : lo + PIECE + 2 * LENGTH])
+        own = (at + begin >= lo) & (at + begin < lo + PIECE)
+        found.append((at[own] + begin, h[own], a[own] + begin, b[own] + begin))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def _anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, width = len(text), LENGTH - GRAM + 1
     if n < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     x1 = _BYTE[np.frombuffer(text, np.uint8)]
     x2 = x1[:-1] + _P[0] * x1[1:]
     x4 = x2[:-2] + _P[1] * x2[2:]
@@ -182,7 +183,13 @@ def _anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(width - 1, np.uint64)
     served = sliding(np.concatenate([edge, least, edge]), np.maximum)
     at = np.flatnonzero(served == h)
-    return at, h[at]
+    name = h[at]
+    # The strings in a row with one least hash are a run. Runs and the anchors that they have come in the same order, and
+    # neighbours among the runs differ in the hash; a run's anchors, if the hash is there again, share its strings.
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    run = np.cumsum(np.concatenate([[False], name[1:] != name[:-1]]))
+    past = np.append(starts[1:], len(least))
+    return at, name, np.maximum(starts[run], at - (width - 1)), np.minimum(past[run] - 1, at) + LENGTH
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,21 +207,17 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], (reach - base)[last]
 
 
-_SPAN = LENGTH - GRAM
-
-
 def _snippets(rows: list[bytes | None], wanted=None):
     """Of each text, its anchors: (row, anchor, hash, first byte, past the last, hash of the snippet); of all, or of
     those whose hash is ``wanted``."""
     which, at, name, a, b, f = [], [], [], [], [], []
     for i, text in enumerate(rows):
-        q, h = anchors(text or b"")
+        q, h, lo, hi = anchors(text or b"")
         if wanted is not None and len(q):
             keep = wanted(h)
-            q, h = q[keep], h[keep]
+            q, h, lo, hi = q[keep], h[keep], lo[keep], hi[keep]
         if not len(q):
             continue
-        lo, hi = np.maximum(q - _SPAN, 0), np.minimum(q + LENGTH, len(text))
         which.append(np.full(len(q), i))
         at.append(q)
         name.append(h)
@@ -282,13 +285,11 @@ def sorted_strings(pieces: list[bytes], ids: np.ndarray, kids: np.ndarray, a: np
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begins = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(pieces), np.uint8)
-    order = suffix_array(text)
-    shared = common_prefixes(text, order, begins, sizes)
+    order = suffix_array(text, np.repeat(begins + sizes, sizes) - np.arange(len(text)), LENGTH)
+    shared = common_prefixes(text, order, begins, np.maximum(sizes - (LENGTH - 1), 0))
     group = np.concatenate([[0], np.cumsum(shared < LENGTH)])
     piece = np.repeat(np.arange(len(pieces)), sizes)[order]
     start = order - begins[piece]
-    whole = sizes[piece] - start >= LENGTH
-    piece, start, group = piece[whole], start[whole], group[whole]
     pos = a[piece] + start
     by_doc = np.lexsort((kids, ids))
     doc = np.empty(len(ids), np.uint64)

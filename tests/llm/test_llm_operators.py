@@ -475,6 +475,33 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
         monkeypatch.undo()
 
 
+def test_suffixes_within_pieces_are_sorted_to_a_depth():
+    r = random.Random(4)
+    for _ in range(300):
+        letters, depth = r.choice([b"a", b"ab", b"abc\0", bytes(range(256))]), r.choice([1, 3, 9, 20])
+        base = bytes(r.choice(letters) for _ in range(60))
+        pieces = [base[x : x + r.randrange(1, 40)] for x in (r.randrange(40) for _ in range(6))]
+        t, sizes = b"".join(pieces), np.array(list(map(len, pieces)))
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(t))
+        x = np.frombuffer(t, np.uint8)
+        order = suffix_dedup.suffix_array(x, left, depth)
+        assert order.tolist() == sorted((i for i in range(len(t)) if left[i] >= depth), key=lambda i: (t[i : i + depth], i))
+        got = suffix_dedup.common_prefixes(x, order, ends - sizes, np.maximum(sizes - depth + 1, 0), depth)
+        assert got.tolist() == [next((k for k in range(depth) if t[i + k] != t[j + k]), depth) for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True)]
+
+
+def test_snippets_hold_each_string_once_for_each_of_its_anchors():
+    r = random.Random(6)
+    length, grams = suffix_dedup.LENGTH, suffix_dedup.LENGTH - suffix_dedup.GRAM
+    for text in (bytes(r.choice(b"abc ") for _ in range(900)), b"ab" * 150, b"x" * 99, b"y" * 100):
+        at, h, a, b = (z.tolist() for z in suffix_dedup.anchors(text))
+        for s in range(len(text) - length + 1):
+            inside = [k for k, q in enumerate(at) if s <= q <= s + grams]
+            least = min(h[k] for k in inside)
+            assert [k for k in range(len(at)) if a[k] <= s and s + length <= b[k]] == [k for k in inside if h[k] == least]
+
+
 def _suffix_corpus(corpus):
     r = random.Random(9)
     return [*corpus, (800, "é" * 200), (801, "x" + "é" * 200), (802, corpus[2][1][37:300] + words(r, 20) + corpus[4][1][11:260])]
