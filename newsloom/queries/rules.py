@@ -78,7 +78,7 @@ def s05(spark, sf_dir):
     return S.listed(rows).select("page_id", F.array_join("links", ",").alias("links"), "relay")
 
 
-@query("s04_merge", f"WITH {ctes('article')} SELECT id, CASE WHEN id % 4 = 0 THEN 'of the page' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN lead WHEN id % 3 = 0 OR id % 7 = 0 THEN lead ELSE content END AS content, CASE WHEN id % 5 = 0 OR id % 3 = 0 OR id % 7 = 0 THEN 'feed' ELSE 'css' END AS extraction_tier, id % 5 <> 0 AND id % 7 = 0 AS gone FROM article")
+@query("s04_merge", f"WITH {ctes('article')} SELECT id, CASE WHEN id % 4 = 0 OR coalesce(title, '') = '' THEN 'of the page' ELSE title END AS title, CASE WHEN id % 5 = 0 OR id % 3 = 0 OR id % 7 = 0 OR coalesce(content, '') = '' THEN coalesce(lead, '') ELSE content END AS content, CASE WHEN id % 5 = 0 OR id % 3 = 0 OR id % 7 = 0 OR coalesce(content, '') = '' THEN 'feed' ELSE 'css' END AS extraction_tier, id % 5 <> 0 AND id % 7 = 0 AS gone FROM article")
 def s04(spark, sf_dir):
     """Feed rows with the page of each, where there is one, it has a body, and is not gone."""
     k = F.col("id")
