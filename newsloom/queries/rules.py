@@ -97,7 +97,7 @@ def r04(spark, sf_dir):
     return polls.groupBy("user_id", F.window("observed_at", "1 day")["start"].cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("c35_invalidated", f"WITH {ctes('article')} SELECT id, title, lead FROM article WHERE id % 3 <> 0")
+@query("c35_invalidated", f"WITH {ctes('article')} SELECT id, title, lead FROM article WHERE id % 3 <> 0 AND coalesce(title, '') || coalesce(lead, '') <> ''")
 def c35(spark, sf_dir):
     """What is kept of the texts of presentations that no longer hold."""
     k = F.col("id")

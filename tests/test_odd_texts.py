@@ -18,7 +18,7 @@ def odd(spark, tmp_path_factory):
     return str(where)
 
 
-@pytest.mark.parametrize("name", ["s04_merge"])
+@pytest.mark.parametrize("name", ["s04_merge", "c35_invalidated"])
 def test_odd_texts_as_the_sql_says(spark, odd, name):
     q = registered()[name]
     df = q.run(spark, odd)
