@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from newsloom.plans.durable import scratch, written
 from newsloom.plans.joins import latest_per
 
-#: Spark's readers pass over folders that begin so.
-_MARKS = "_fingerprints"
+#: Spark's readers pass over folders that begin so. Fingerprints lie in so many shards, not in a file for each partition.
+_MARKS, SHARDS = "_fingerprints/shards", 64
 
 
 def _path(spark: SparkSession, path: str):
@@ -39,18 +39,37 @@ def replace_changed(rows: DataFrame, path: str, by: str, order: list[str] | None
     spark = rows.sparkSession
     with scratch(spark, "store") as folder:
         new = written(fingerprints(rows, by), "new", folder)
-        marks = f"{path.rstrip('/')}/{_MARKS}"
-        if exists(spark, marks):
-            old = spark.read.schema(f"n long, h decimal(38,0), {by} {rows.schema[by].dataType.simpleString()}").parquet(marks)
+        old = _marked(spark, path, by, rows.schema[by].dataType.simpleString())
+        if old is not None:
             new = written(new.join(old.select(by, "n", "h"), [by, "n", "h"], "left_anti"), "changed", folder)
         changed = [r[0] for r in new.select(by).limit(1).collect()]
         if changed:
             part = rows.join(new.select(by), by, "left_semi").repartition(by).sortWithinPartitions(by, *(order or []))
             part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options).partitionBy(by).format(format).save(path)
-            new.select("n", "h", by).repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(marks)
+            _mark(new, path, by, folder)
         return written(new.select(by), "changed-partitions")
 
 
+def _marked(spark: SparkSession, path: str, by: str, kind: str) -> DataFrame | None:
+    """(by, n, h, _shard) as they were recorded; None where nothing was."""
+    marks = f"{path.rstrip('/')}/{_MARKS}"
+    return spark.read.schema(f"{by} {kind}, n long, h decimal(38,0), _shard int").parquet(marks).where(F.col(by).isNotNull()) if exists(spark, marks) else None
+
+
+def _mark(changed: DataFrame, path: str, by: str, folder: str) -> None:
+    """Records (by, n, h) of partitions; those without ``n`` are forgotten. The shards that hold them are written again, each with a
+    row for no partition, so that one whose partitions have all gone is written too."""
+    spark = changed.sparkSession
+    new = changed.select(by, F.col("n").cast("long").alias("n"), F.col("h").cast("decimal(38,0)").alias("h")).withColumn("_shard", F.pmod(F.xxhash64(by), F.lit(SHARDS)).cast("int"))
+    shards = new.select("_shard").distinct()
+    out = new.where("n is not null").unionByName(shards.select(F.lit(None).cast(new.schema[by].dataType).alias(by), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("h"), "_shard"))
+    old = _marked(spark, path, by, new.schema[by].dataType.simpleString())
+    if old is not None:
+        out = out.unionByName(old.join(shards, "_shard", "left_semi").join(new.select(by), by, "left_anti").select(*out.columns))
+    whole = written(out, "marks", folder)  # what is read stands where it is written
+    whole.repartition("_shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_shard").parquet(f"{path.rstrip('/')}/{_MARKS}")
+
+
 def upsert(new: DataFrame, path: str, keys: list[str], by: str, *order: Column) -> DataFrame:
     """The last new row of each key (by ``order``) in place of the stored one, in Parquet under ``path`` partitioned by ``by``.
     Only partitions that a new row enters or a stored one leaves are read whole and written. Returns (by) of those written."""
@@ -63,14 +82,16 @@ def upsert(new: DataFrame, path: str, keys: list[str], by: str, *order: Column)
         left = stored.select(*keys, by).join(last.select(*keys), keys, "left_semi").select(by)
         touched = written(left.unionByName(last.select(by)).distinct(), "touched", folder)
         kept = stored.join(touched, by, "left_semi").join(last.select(*keys), keys, "left_anti")
-        merged = written(kept.unionByName(last), "merged", folder)
-        _drop(spark, path, by, touched.join(merged.select(by).distinct(), by, "left_anti"))
+        merged = written(kept.select(*last.columns).unionByName(last), "merged", folder)  # fingerprints depend on the order of columns
+        gone = written(touched.join(merged.select(by).distinct(), by, "left_anti"), "gone", folder)
+        if not gone.isEmpty():
+            _mark(gone.withColumns({"n": F.lit(None), "h": F.lit(None)}), path, by, folder)
+            _drop(spark, path, by, gone)
         return replace_changed(merged, path, by)
 
 
 def _drop(spark: SparkSession, path: str, by: str, gone: DataFrame) -> None:
-    """Removes the folders of partitions that every row has left, with their fingerprints."""
+    """Removes the folders of partitions that every row has left."""
     for r in gone.select(F.col(by).cast("string")).toLocalIterator():
-        for root in (f"{path.rstrip('/')}/{_MARKS}", path.rstrip("/")):
-            fs, where = _path(spark, f"{root}/{by}={r[0]}")
-            fs.delete(where, True)
+        fs, where = _path(spark, f"{path.rstrip('/')}/{by}={r[0]}")
+        fs.delete(where, True)
